@@ -31,7 +31,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op3_substring_dedup": r"""
-        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\x0C\r]+'), x -> x <> '') AS w FROM documents),
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\x0C\r]+'), lambda x: x <> '') AS w FROM documents),
         starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
         windows AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS h FROM starts),
         again AS (SELECT doc_id, i FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)),
@@ -41,4 +41,19 @@ ORACLES: dict[str, str] = {
                  FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.j = g.j GROUP BY e.doc_id)
         SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
         FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id""",
+    "op10_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+        s AS (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 99)) AS i FROM d WHERE len(x) >= 200),
+        w AS (SELECT doc_id, i, hash(substr(x, 2 * i + 1, 200)) AS h1, md5_number(substr(x, 2 * i + 1, 200)) AS h2 FROM s),
+        r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h1, h2 ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
+        gap AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM r),
+        num AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM gap),
+        span AS (SELECT doc_id, g, min(i) AS a, max(i) + 100 AS b FROM num GROUP BY doc_id, g),
+        edge AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM span),
+        kept AS (SELECT e.doc_id, sum(b - a) AS gone, count(*) AS n, max(b) AS last,
+                        string_agg(substr(d.x, 2 * before::BIGINT + 1, 2 * (a - before)::BIGINT), '' ORDER BY a) AS t
+                 FROM edge e JOIN d ON e.doc_id = d.doc_id GROUP BY e.doc_id)
+        SELECT d.doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(t || substr(x, 2 * last::BIGINT + 1), x))) AS kept_sha256
+        FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id""",
 }

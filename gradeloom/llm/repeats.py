@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gradeloom.llm.tokens import U64, mix
 from gradeloom.plans.durable import written
 
 NO_ID = -(2**63)
@@ -33,7 +34,21 @@ def packed_place(start: np.ndarray, count: np.ndarray, tag: np.ndarray) -> np.nd
 
 
 def unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return at >> 32, (at >> 24) & 255
+    return at >> 32, (at >> 24) & 127
+
+
+#: Set in the place of a run that repeats inside its own text: settled before the shuffle, and dealt
+#: by a name of its own, so that a line repeated all over a text loads no single task.
+KNOWN = np.int64(1 << 31)
+
+
+def repeated_inside(owner: np.ndarray, name: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which runs come first of their name and content in their text, and which have company there."""
+    code = mix(mix(name ^ mix(content)) ^ owner.astype(U64))
+    _, first, inverse, number = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+    is_first = np.zeros(len(code), bool)
+    is_first[first] = True
+    return is_first, number[inverse] > 1
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -65,7 +80,7 @@ def tag_of() -> Column:
 
 
 def sorted_runs(runs: DataFrame) -> DataFrame:
-    """Runs whose name occurs twice or more, with ``nth`` and ``copies`` among runs alike and ``mixed`` (several contents)."""
+    """Runs whose name occurs twice or more or that are ``known``, with ``nth`` and ``copies`` among runs alike and ``mixed`` (several contents)."""
     by_name = Window.partitionBy("name")
     alike = Window.partitionBy("name", "content")
     return (
@@ -73,7 +88,8 @@ def sorted_runs(runs: DataFrame) -> DataFrame:
         .sortWithinPartitions("name", "content", "doc", "at")
         .withColumn("uses", F.count(F.lit(1)).over(by_name))
         .withColumn("mixed", F.min("content").over(by_name) != F.max("content").over(by_name))
-        .filter("uses > 1")
+        .withColumn("known", F.shiftright("at", 31).bitwiseAND(1) == 1)
+        .filter("uses > 1 or known")
         .withColumn("copies", F.count(F.lit(1)).over(alike))
         .withColumn("nth", F.row_number().over(alike.orderBy("doc", "at")))
     )

@@ -119,8 +119,8 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     row is a second document with the same words, so both lose them. Null ids are allowed. An empty
     table gives an empty result. Other columns are not read.
     """
-    if not 2 <= window <= 120:
-        raise ValueError("window must be between 2 and 120 words")
+    if not 2 <= window <= 127:
+        raise ValueError("window must be between 2 and 127 words")
     keys = repeats.keyed(docs, id_col, text_col)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,10 +132,16 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
                 if len(start):
                     owner = text[start]
                     at = repeats.packed_place(start - first_word(text, b - a)[owner], count, tag[a + owner])
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(signed(content)), pa.array(doc[a + owner]), pa.array(at)], ["name", "content", "doc", "at"])
-
-    runs = repeats.sorted_runs(keys.select("doc", "tag", "text").mapInArrow(find, repeats.RUNS)).select("name", "doc", "at", "copies", "nth", "mixed")
-    runs = repeats.written(runs.filter("copies > 1 or (mixed and nth = 1)"))
+                    doc_of = doc[a + owner]
+                    first, company = repeats.repeated_inside(owner, name, content)
+                    # one run stands for the text under the common name; all of them are known to repeat
+                    alone = mix(name ^ mix(doc_of.view(U64) ^ at.view(U64)))
+                    name, content, doc_of = (np.concatenate([x[first], y[company]]) for x, y in ((name, alone), (content, content), (doc_of, doc_of)))
+                    at = np.concatenate([at[first], at[company] | repeats.KNOWN])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(signed(content)), pa.array(doc_of), pa.array(at)], ["name", "content", "doc", "at"])
+
+    runs = repeats.sorted_runs(keys.select("doc", "tag", "text").mapInArrow(find, repeats.RUNS)).select("name", "doc", "at", "copies", "nth", "mixed", "known")
+    runs = repeats.written(runs.filter("known or copies > 1 or (mixed and nth = 1)"))
     small = repeats.squeezed(keys)
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +161,7 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     alone = repeats.texts_with_places(small.select("doc", "tag", "small"), runs.filter("mixed and nth = 1"), ["name", "at"], "inner")
     windows = alone.select("doc", "small", "name", "at").mapInArrow(single, repeats.RUNS)
     again = windows.withColumn("uses", F.count(F.lit(1)).over(Window.partitionBy("name", "content"))).filter("uses > 1")
-    found = runs.filter("copies > 1").select("doc", "at").unionByName(again.select("doc", "at"))
+    found = runs.filter("known or copies > 1").select("doc", "at").unionByName(again.select("doc", "at"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
