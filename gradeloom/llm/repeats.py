@@ -51,12 +51,16 @@ def repeated_inside(owner: np.ndarray, name: np.ndarray, content: np.ndarray) ->
     return is_first, number[inverse] > 1
 
 
+def text_tag(text_col: str) -> Column:
+    return F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).bitwiseAND(0xFFFFFF)
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc``, ``tag`` and ``text``: a null id counts as the smallest number, and the tag tells texts of one id apart."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"),
-        F.crc32(text.cast("binary")).bitwiseAND(0xFFFFFF).alias("tag"),
+        text_tag(text_col).alias("tag"),
         text.alias("text"),
         F.col(id_col).alias("id"),
     )
