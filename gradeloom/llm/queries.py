@@ -5,7 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gradeloom.llm.decontaminate import overlaps
+from gradeloom.llm.language_id import identify
+from gradeloom.llm.license_scan import scan_licenses
+from gradeloom.llm.maxent_lm import score_texts
+from gradeloom.llm.quality_forest import judge_quality
+from gradeloom.llm.shards import shuffle_into_shards
+from gradeloom.llm.simhash_dedup import near_duplicates
+from gradeloom.llm.source_mix import mix_sources
 from gradeloom.llm.substring_dedup import remove_repeated_passages
 from gradeloom.llm.suffix_dedup import remove_repeated_bytes
 
@@ -16,6 +25,41 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir))
+
+
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir)).drop("source", "copies")
+
+
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shuffle_into_shards(documents(spark, sf_dir))
+
+
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    # documents have no paths: a tree by source, language and a hundred folders of ids
+    folder = F.concat(F.lit("part-"), (F.col("doc_id") % 100).cast("string"))
+    return scan_licenses(docs.withColumn("path", F.concat_ws("/", "source", "lang", folder, F.col("doc_id").cast("string"))))
+
+
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_passages(documents(spark, sf_dir)).drop("kept")
 
@@ -25,7 +69,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_maxent_scores": op1,
+    "op2_spaced_seed_overlaps": op2,
     "op3_substring_dedup": op3,
+    "op4_language_id": op4,
+    "op5_source_mix": op5,
+    "op6_shards": op6,
+    "op7_license_scan": op7,
+    "op8_simhash_groups": op8,
+    "op9_quality_forest": op9,
     "op10_suffix_dedup": op10,
 }
 

@@ -64,3 +64,17 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard",
         (F.col("slot") + F.col("offset")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def sharded(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", seed: int = 20240601) -> DataFrame:
+    """All rows and columns of ``docs`` with their ``shard`` and ``slot``. Write it with ``partitionBy("shard")``.
+
+    The rows travel once: decisions join them by id, checksum and the number among rows alike in both.
+    """
+    where = shuffle_into_shards(docs, shards, id_col, text_col, seed).select(F.col(id_col).alias("_of"), F.col("text_crc32").alias("_sum"), "shard", "slot")
+    where = where.withColumn("_turn", F.row_number().over(Window.partitionBy("_of", "_sum").orderBy("shard", "slot")))
+    marked = docs.withColumns({"_id": F.col(id_col), "_crc": F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))})
+    marked = marked.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_crc").orderBy(F.lit(0))))
+    same = F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_crc") == F.col("_sum")) & (F.col("_nth") == F.col("_turn"))
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    return marked.drop("shard", "slot").join(where.hint("merge"), same).select(*kept, "shard", "slot")
