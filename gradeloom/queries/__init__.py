@@ -1,5 +1,6 @@
 """Queries over the provided tables, one for each operator."""
 
 from gradeloom.plans.catalog import ORACLES, QUERIES
+from gradeloom.queries import governance, inspection
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "governance", "inspection"]
