@@ -95,13 +95,12 @@ def document_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFram
 
 
 def features(columns: dict[str, np.ndarray]) -> np.ndarray:
+    """What the forest sees: shares that no base rule judges. Repeats have a rule of their own."""
     c = {k: v.astype(np.float64) for k, v in columns.items()}
     n = np.maximum(c["n_words"], 1)
     return np.stack([
         np.log1p(c["n_symbols"] / n * 20),
         c["word_chars"] / n,
-        c["n_dup_lines"] / np.maximum(c["n_lines"], 1),
-        c["n_repeat_words"] / n,
         c["n_capitals"] / np.maximum(c["n_letters"], 1),
         np.log1p(c["n_marks"] / n * 20),
     ], axis=1)

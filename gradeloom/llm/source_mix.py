@@ -54,10 +54,11 @@ def take_by_length(length: np.ndarray, number: np.ndarray, budget: int) -> np.nd
     take = np.diff(np.array(ends, np.int64), prepend=0)
     rest = budget - int((length * take).sum())
     longest = int(length.max())
+    room = max(4 * longest, 4096)
     # make room for the knapsack: give back some documents, the longest first, one of each length in turn
-    while rest < 2 * longest and take.any():
-        for k in np.flatnonzero(take)[::-1]:
-            if rest >= 2 * longest:
+    while rest < room and take[length > 0].any():
+        for k in np.flatnonzero((take > 0) & (length > 0))[::-1]:
+            if rest >= room:
                 break
             take[k] -= 1
             rest += int(length[k])
@@ -67,7 +68,7 @@ def take_by_length(length: np.ndarray, number: np.ndarray, budget: int) -> np.nd
     reach[0] = True
     by = np.full(limit + 1, -1, np.int64)
     pieces: list[tuple[int, int]] = []
-    for k in np.flatnonzero(free):
+    for k in np.flatnonzero((free > 0) & (length > 0)):
         left, size = min(int(free[k]), limit // int(length[k])), 1
         while left > 0 and not reach[rest]:
             count = min(size, left)
