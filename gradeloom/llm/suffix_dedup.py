@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gradeloom.llm import repeats
-from gradeloom.llm.tokens import BYTE_CODE, U64, Rolling, groups, signed
+from gradeloom.llm.tokens import BYTE_CODE, U64, Rolling, groups, mix, signed
 
 TRIGGER = 32
 #: Names with more uses than this are compared by hashed windows, which need no group in one task.
@@ -99,8 +99,8 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     and texts shorter than ``length`` lose nothing. An empty table gives an empty result. Other columns
     are not read.
     """
-    if not TRIGGER + 8 <= length <= 255:
-        raise ValueError(f"length must be between {TRIGGER + 8} and 255 bytes")
+    if not TRIGGER + 8 <= length <= 127:
+        raise ValueError(f"length must be between {TRIGGER + 8} and 127 bytes")
     keys = repeats.keyed(docs, id_col, text_col)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,13 +111,16 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 if len(start):
                     owner = np.searchsorted(offsets, start, side="right") - 1
                     at = repeats.packed_place(start - offsets[owner], count, tag[a + owner])
+                    first, _ = repeats.repeated_inside(owner, name, content)
+                    alone = mix(name ^ mix(doc[a + owner].view(U64) ^ at.view(U64)))
+                    name, at = np.where(first, name, alone), np.where(first, at, at | repeats.KNOWN)
                     yield pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(signed(content)), pa.array(doc[a + owner]), pa.array(at)], ["name", "content", "doc", "at"])
 
     runs = repeats.sorted_runs(keys.select("doc", "tag", "text").mapInArrow(find, repeats.RUNS))
     alike = Window.partitionBy("name", "content").orderBy("doc", "at")
     # a copy of the same row (equal doc and place) is not earlier than itself
     runs = runs.withColumn("nth", F.dense_rank().over(alike)).withColumn("twin", F.row_number().over(Window.partitionBy("name", "content", "doc", "at").orderBy("nth")))
-    runs = repeats.written(runs.filter("twin = 1 and (nth > 1 or mixed)").select("name", "doc", "at", "nth", "mixed", "uses"))
+    runs = repeats.written(runs.filter("known or twin = 1 and (nth > 1 or mixed)").select("name", "doc", "at", "nth", "mixed", "uses", "known"))
     small = repeats.squeezed(keys)
     single = runs.filter("mixed and nth = 1").withColumn("large", (F.col("uses") > LARGE_NAME).cast("long"))
 
@@ -171,7 +174,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     few = pick(0).mapInArrow(stretches, STRETCHES).repartition("name").sortWithinPartitions("name").mapInArrow(ordered, "doc long, at long")
     many = pick(1).mapInArrow(hashed, repeats.RUNS)
     many = many.withColumn("nth", F.row_number().over(Window.partitionBy("name", "content").orderBy("doc", "at"))).filter("nth > 1")
-    found = runs.filter("nth > 1").select("doc", "at").unionByName(few).unionByName(many.select("doc", "at"))
+    found = runs.filter("known or nth > 1").select("doc", "at").unionByName(few).unionByName(many.select("doc", "at"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
