@@ -24,7 +24,7 @@ VIEWS = {
     "boxes": ("events", [
         "event_id AS box", "event_id - event_id % 8 AS image", "(event_id * 37) % 200 AS x1", "(event_id * 53) % 150 AS y1",
         "(event_id * 37) % 200 + 24 + (event_id * 7) % 60 AS x2", "(event_id * 53) % 150 + 24 + (event_id * 11) % 80 AS y2",
-        "((event_id * 31) % 97 + 1) / 98.0 AS confidence", "((event_id * 17) % 89) / 89.0 AS red_core",
+        "((event_id * 31) % 97 + 1) / CAST(98 AS DOUBLE) AS confidence", "((event_id * 17) % 89) / CAST(89 AS DOUBLE) AS red_core",
     ]),
     "manifest": ("documents", [
         "doc_id AS path", "source AS source_id", "concat(source, ':', lang) AS group_id", "lang AS origin", "text AS text",
@@ -33,8 +33,8 @@ VIEWS = {
     ]),
     "predictions": ("documents", [
         "doc_id AS path", "source AS group_id", "doc_id % 4 AS class_id",
-        "((doc_id * 2654435761 + 7) % 9973 + 1) / 9975.0 AS k1", "((doc_id * 2654435761 + 108) % 9973 + 1) / 9975.0 AS g0",
-        "((doc_id * 2654435761 + 209) % 9973 + 1) / 9975.0 AS g1",
+        "((doc_id * 2654435761 + 7) % 9973 + 1) / CAST(9975 AS DOUBLE) AS k1", "((doc_id * 2654435761 + 108) % 9973 + 1) / CAST(9975 AS DOUBLE) AS g0",
+        "((doc_id * 2654435761 + 209) % 9973 + 1) / CAST(9975 AS DOUBLE) AS g1",
     ]),
     "features": ("embeddings", [
         "vec_id AS path", "vec_id % 25 AS group_id", "label % 2 AS kind", "embedding AS embedding", "label AS label",

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 NAMES = sorted(n for n in entry.oracle_sql() if not n.startswith("op") and n != "E04_group_kfold")
 
 
