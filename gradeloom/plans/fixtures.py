@@ -36,6 +36,11 @@ VIEWS = {
         "((doc_id * 2654435761 + 7) % 9973 + 1) / CAST(9975 AS DOUBLE) AS k1", "((doc_id * 2654435761 + 108) % 9973 + 1) / CAST(9975 AS DOUBLE) AS g0",
         "((doc_id * 2654435761 + 209) % 9973 + 1) / CAST(9975 AS DOUBLE) AS g1",
     ]),
+    "predictions_b": ("documents", [
+        "doc_id AS path", "source AS group_id", "doc_id % 4 AS class_id",
+        "((doc_id * 2654435761 + 1017) % 9973 + 1) / CAST(9975 AS DOUBLE) AS k1", "((doc_id * 2654435761 + 1118) % 9973 + 1) / CAST(9975 AS DOUBLE) AS g0",
+        "((doc_id * 2654435761 + 1219) % 9973 + 1) / CAST(9975 AS DOUBLE) AS g1",
+    ]),
     "features": ("embeddings", [
         "vec_id AS path", "vec_id % 25 AS group_id", "label % 2 AS kind", "embedding AS embedding", "label AS label",
     ]),

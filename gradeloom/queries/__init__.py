@@ -1,6 +1,6 @@
 """Queries over the provided tables, one for each operator."""
 
 from gradeloom.plans.catalog import ORACLES, QUERIES
-from gradeloom.queries import boxes, governance, inspection
+from gradeloom.queries import boxes, evaluation, governance, inspection
 
-__all__ = ["ORACLES", "QUERIES", "boxes", "governance", "inspection"]
+__all__ = ["ORACLES", "QUERIES", "boxes", "evaluation", "governance", "inspection"]
