@@ -1,0 +1,127 @@
+"""Feature vectors (``path`` and an array of doubles) and 64-bit fingerprints."""
+
+from __future__ import annotations
+
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from gradeloom.plans.durable import written
+
+
+def norm(v: str | Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+
+
+def l2_normalise(v: str | Column) -> Column:
+    """The unit vector; a zero vector stays zero."""
+    n = norm(v)
+    return F.transform(v, lambda x: x / F.when(n > 0, n).otherwise(1.0))
+
+
+def dot(a: str | Column, b: str | Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def mean_vector(df: DataFrame, keys: list[str], v: str) -> DataFrame:
+    """Mean vector of each key: averages by place, folded before the shuffle, then put in order."""
+    cells = df.select(*keys, F.posexplode(v).alias("_place", "_x")).groupBy(*keys, "_place").agg(F.avg("_x").alias("_x"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_place", "_x"))), lambda c: c["_x"])  # one entry for each dimension
+    return cells.groupBy(*keys).agg(ordered.alias(v))
+
+
+def unit_means(df: DataFrame, keys: list[str], v: str) -> DataFrame:
+    """Means of unit vectors, made unit again: of the views of an image, the rows of a pair or the members of a group."""
+    return mean_vector(df.withColumn(v, l2_normalise(v)), keys, v).withColumn(v, l2_normalise(v))
+
+
+def place_statistics(df: DataFrame, v: str) -> DataFrame:
+    """``place, mean, sd, variance`` (of the population) of every dimension."""
+    return df.select(F.posexplode(v).alias("place", "x")).groupBy("place").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.var_pop("x").alias("variance"))
+
+
+def standardise(fit: DataFrame, apply: DataFrame, v: str) -> DataFrame:
+    """``apply`` with each dimension centred and scaled by the rows of ``fit``; constant dimensions go; then unit norm."""
+    kept = place_statistics(fit, v).filter("sd > 1e-8").agg(F.array_sort(F.collect_list(F.struct("place", "mean", "sd"))).alias("_stats"))
+    rows = apply.crossJoin(F.broadcast(kept))  # one row with one entry for each dimension
+    return rows.withColumn(v, l2_normalise(F.transform("_stats", lambda s: (F.get(v, s["place"]) - s["mean"]) / s["sd"]))).drop("_stats")
+
+
+def variance_top_k(df: DataFrame, v: str, k: int) -> DataFrame:
+    """The ``k`` dimensions of largest variance, ties to the lower one."""
+    return place_statistics(df, v).orderBy(F.desc("variance"), "place").limit(k).select("place", "variance")
+
+
+def fuse_families(blocks: list[str]) -> Column:
+    """Unit blocks side by side, each divided by the root of their number."""
+    return F.concat(*[F.transform(l2_normalise(b), lambda x: x / F.sqrt(F.lit(float(len(blocks))))) for b in blocks])
+
+
+def aligned(manifest: DataFrame, features: DataFrame, v: str, dimensions: int) -> DataFrame:
+    """``path, reason`` of rows without partner, of repeated features and of vectors that are not usable."""
+    both = manifest.select("path", F.lit(True).alias("_m")).join(features.groupBy("path").agg(F.count(F.lit(1)).alias("_n"), F.first(v).alias(v)).hint("merge"), "path", "full_outer")
+    bad = F.exists(v, lambda x: F.isnan(x) | x.isNull())
+    reason = F.when(F.col("_m").isNull(), "no manifest row").when(F.col("_n").isNull(), "no features").when(F.col("_n") > 1, "repeated").when(F.size(v) != dimensions, "wrong size").when(bad, "not finite").when(norm(v) == 0, "zero")
+    return both.select("path", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+def group_excluded_knn(df: DataFrame, v: str, k: int = 3, salt: int = 16) -> DataFrame:
+    """Vote of the ``k`` nearest group centroids of each grade, of the same kind and other groups: ``path, score0, score1, knn_grade, knn_margin``.
+
+    Centroids are pre-aggregated by (kind, grade, group). The join on the kind is salted, since there are few kinds.
+    """
+    centroids = written(unit_means(df, ["kind", "grade", "group_id"], v))
+    side = centroids.select("kind", F.col("grade").alias("_grade"), F.col("group_id").alias("_group"), F.col(v).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt"))
+    rows = df.select("path", "kind", "group_id", l2_normalise(v).alias(v), F.pmod(F.xxhash64("path"), F.lit(salt)).cast("int").alias("_salt"))
+    near = rows.join(side.hint("shuffle_hash"), ["kind", "_salt"]).filter("group_id <> _group").select("path", "_grade", dot(v, "_v").alias("_c"))
+    ranked = near.withColumn("_n", F.row_number().over(Window.partitionBy("path", "_grade").orderBy(F.desc("_c")))).filter(F.col("_n") <= k)
+    out = ranked.groupBy("path").agg(F.avg(F.when(F.col("_grade") == 0, F.col("_c"))).alias("score0"), F.avg(F.when(F.col("_grade") == 1, F.col("_c"))).alias("score1"))
+    return out.withColumns({"knn_grade": F.when(F.col("score1") > F.col("score0"), 1).otherwise(0), "knn_margin": F.abs(F.col("score1") - F.col("score0"))})
+
+
+def difference_hash(v: str, n: int = 64) -> Column:
+    """Bit i is set where value i + 1 (around the end) is above value i; as a string of bits."""
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(F.get(v, (i + 1) % n) > F.get(v, i), "1").otherwise("0")), "")
+
+
+def token_fingerprint(df: DataFrame, text: str) -> DataFrame:
+    """``path, hi, lo``: a bit is set where over half of the words' MD5 bits are; texts without words have none set."""
+    words = df.select("path", F.explode(F.split(F.lower(text), " ")).alias("w")).filter("w <> ''")
+    code = lambda at: F.conv(F.substring(F.md5("w"), at, 8), 16, 10).cast("long")
+    words = words.select("path", code(1).alias("_hi"), code(9).alias("_lo"))
+    bits = [F.sum(F.shiftright(F.col(p), i).bitwiseAND(F.lit(1))).alias(f"{p}{i}") for p in ("_hi", "_lo") for i in range(32)]
+    sums = words.groupBy("path").agg(F.count(F.lit(1)).alias("_n"), *bits)
+    join = lambda p: sum((F.when(2 * F.col(f"{p}{i}") > F.col("_n"), F.lit(1 << i)).otherwise(0) for i in range(32)), F.lit(0).cast("long"))
+    return sums.select("path", join("_hi").alias("hi"), join("_lo").alias("lo"))
+
+
+def hamming(a: str, b: str) -> Column:
+    return F.bit_count(F.col(f"{a}hi").bitwiseXOR(F.col(f"{b}hi"))) + F.bit_count(F.col(f"{a}lo").bitwiseXOR(F.col(f"{b}lo")))
+
+
+def near_fingerprints(df: DataFrame, distance: int, blocks: int | None = None) -> DataFrame:
+    """``a, b, bits`` of distinct fingerprints within ``distance``; ``a`` and ``b`` are their least paths.
+
+    The 64 bits are cut into ``blocks`` (distance + 3 if not given); a close pair agrees in ``blocks - distance`` of
+    them, so every choice of that many is a join key. More blocks make longer keys for larger tables.
+    """
+    blocks = blocks or distance + 3
+    keep, edges = blocks - distance, [round(64 * i / blocks) for i in range(blocks + 1)]
+    reps = written(df.groupBy("hi", "lo").agg(F.min("path").alias("path")))
+    bits = F.concat(*[F.lpad(F.conv(F.col(c).cast("string"), 10, 2), 32, "0") for c in ("hi", "lo")])
+    parts = reps.withColumns({f"_b{i}": F.substring(bits, edges[i] + 1, edges[i + 1] - edges[i]) for i in range(blocks)})
+    keys = F.array(*[F.xxhash64(F.lit(n), *[f"_b{i}" for i in chosen]) for n, chosen in enumerate(combinations(range(blocks), keep))])
+    keyed = parts.select("path", "hi", "lo", F.explode(keys).alias("_key"))
+    left = keyed.select("_key", F.col("path").alias("a"), F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"))
+    right = keyed.select("_key", F.col("path").alias("b"), F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"))
+    pairs = left.join(right.hint("merge"), "_key").filter(F.col("a") < F.col("b")).withColumn("bits", hamming("a_", "b_")).filter(F.col("bits") <= distance)
+    return pairs.groupBy("a", "b").agg(F.min("bits").alias("bits"))
+
+
+def fingerprint_spacing(df: DataFrame, distance: int) -> DataFrame:
+    """Close pairs of distinct fingerprints, rows in them, and the least and median of each row's nearest distance."""
+    pairs = written(near_fingerprints(df, distance))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("path"), "bits").groupBy("path").agg(F.min("bits").alias("bits"))
+    return ends.agg(F.count(F.lit(1)).alias("rows"), F.min("bits").alias("least"), F.percentile("bits", F.lit(0.5)).alias("median")).crossJoin(F.broadcast(pairs.agg(F.count(F.lit(1)).alias("pairs"))))

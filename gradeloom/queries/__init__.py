@@ -1,6 +1,6 @@
 """Queries over the provided tables, one for each operator."""
 
 from gradeloom.plans.catalog import ORACLES, QUERIES
-from gradeloom.queries import boxes, evaluation, governance, inspection, labels
+from gradeloom.queries import boxes, evaluation, governance, inspection, labels, records, streams
 
-__all__ = ["ORACLES", "QUERIES", "boxes", "evaluation", "governance", "inspection", "labels"]
+__all__ = ["ORACLES", "QUERIES", "boxes", "evaluation", "governance", "inspection", "labels", "records", "streams"]

@@ -1,0 +1,196 @@
+"""Queries over records, vectors and fingerprints."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gradeloom.operators import records as rc
+from gradeloom.operators import vectors as vc
+from gradeloom.operators.evaluation import judged
+from gradeloom.plans.catalog import query
+from gradeloom.plans.fixtures import view, with_views
+from gradeloom.queries.evaluation import predictions, rounded, sql_both
+from gradeloom.queries.inspection import graded
+from gradeloom.queries.inspection import sql as graded_sql
+
+rounded_list = lambda c, n=5: F.transform(c, lambda x: F.round(x, n) + F.lit(0.0))
+
+
+@query("A02_labels_from_path", "SELECT page_id, nullif(regexp_extract(url, '^[a-z]+://([^/]+)', 1), '') AS host, nullif(regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]+)', 1), '') AS label FROM pages")
+def a02(spark, sf):
+    return rc.labels_from_url(spark.read.parquet(f"{sf}/pages.parquet"), "url").select("page_id", "host", "label")
+
+
+@query("A03_capture_time", with_views("SELECT id, CASE WHEN id % 10 <> 0 THEN date_trunc('second', ts) END AS captured FROM inspection_log", "inspection_log"))
+def a03(spark, sf):
+    names = view(spark, sf, "inspection_log").selectExpr("id", "concat(CASE WHEN id % 10 = 0 THEN 'result-' ELSE 'camera-' END, date_format(ts, 'yyyyMMdd-HHmmss'), '-', id) AS name")
+    return rc.capture_time(names, "name").select("id", "captured")
+
+
+def features(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, "features").withColumns({"v": F.transform("embedding", lambda x: x.cast("double")), "grade": F.expr("cast(floor(label / 2) % 2 as int)")})
+
+
+@query("A04_align_features", with_views("SELECT path, 'no features' AS reason FROM features WHERE path % 7 = 0 UNION ALL SELECT path, 'repeated' FROM features WHERE path % 11 = 0 AND path % 7 <> 0", "features"))
+def a04(spark, sf):
+    rows = features(spark, sf)
+    some = rows.filter("path % 7 <> 0").select("path", "v")
+    return vc.aligned(rows, some.unionByName(some.filter("path % 11 = 0")), "v", 64)
+
+
+@query("A09_upgrade_legacy", with_views("SELECT sample_code, score, 'legacy' AS source FROM inspection_log", "inspection_log"))
+def a09(spark, sf):
+    return rc.upgrade_legacy(view(spark, sf, "inspection_log").select(F.col("sample_code").alias("id"), "score"))
+
+
+@query("A10_event_envelope", with_views("""SELECT id, '{"type":"detection","data":{"id":' || id || ',"sample_code":"' || sample_code || '"}}' AS message FROM inspection_log""", "inspection_log"))
+def a10(spark, sf):
+    return rc.event_envelope(view(spark, sf, "inspection_log"), "detection", ["id", "sample_code"]).select("id", "message")
+
+
+@query("B03_derive_result_columns", graded_sql("SELECT sample, line, batch_id, CASE WHEN reason LIKE 'severe%' THEN 'defect' WHEN reason LIKE 'model%' THEN 'model' ELSE 'score' END AS result_type, round(score / 100, 4) AS confidence, CASE grade WHEN 'A' THEN 'first class' WHEN 'B' THEN 'good' ELSE 'second class' END AS display FROM graded"))
+def b03(spark, sf):
+    return rc.derive_result_columns(graded(spark, sf)).select("sample", "line", "batch_id", "result_type", "confidence", "display")
+
+
+@query("B04_prediction_to_inspection", sql_both("SELECT path, CASE WHEN pred % 2 = 0 THEN 'C' ELSE 'A' END AS grade, round(conf * 100, 2) AS model_score, CASE WHEN pred % 2 = 0 THEN 'moderate' END AS severity FROM a"))
+def b04(spark, sf):
+    return rc.prediction_to_inspection(judged(predictions(spark, sf))).select("path", "grade", "model_score", "severity")
+
+
+@query("B07_resolve_defaults", with_views("SELECT path, CASE WHEN path % 3 = 0 THEN 'override' WHEN path % 3 = 1 AND source_id <> '' THEN source_id ELSE 'asset' END AS image FROM manifest", "manifest"))
+def b07(spark, sf):
+    rows = view(spark, sf, "manifest").selectExpr("path", "CASE WHEN path % 3 = 0 THEN 'override' ELSE '' END AS a", "CASE WHEN path % 3 = 1 THEN source_id END AS b", "'asset' AS c")
+    return rows.select("path", rc.resolve_defaults("a", "b", "c").alias("image"))
+
+
+@query("B08_check_roles", with_views("SELECT path, list_filter([CASE WHEN split NOT IN ('train', 'val') THEN 'split' END, CASE WHEN origin IS DISTINCT FROM 'en' THEN 'origin' END], lambda r: r IS NOT NULL) AS reasons FROM manifest WHERE split NOT IN ('train', 'val') OR origin IS DISTINCT FROM 'en'", "manifest"))
+def b08(spark, sf):
+    return rc.check_roles(view(spark, sf, "manifest"), {"split": ["train", "val"], "origin": ["en"]}).select("path", "reasons")
+
+
+@query("B09_mentions_token", "SELECT page_id, list_contains(string_split_regex(lower(url), '[^a-z0-9]+'), 'com') AS found FROM pages")
+def b09(spark, sf):
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", rc.mentions_token("url", "com").alias("found"))
+
+
+@query("B17_result_rows", with_views("SELECT image, box, round(confidence, 4) AS confidence, row_number() OVER (PARTITION BY image ORDER BY confidence DESC, box) AS number FROM boxes", "boxes"))
+def b17(spark, sf):
+    return rc.result_rows(view(spark, sf, "boxes"), "image", [F.desc("confidence"), F.col("box")], "confidence").select("image", "box", "confidence", "number")
+
+
+BITS = ", ".join(f"sum((('0x' || substr(h, {at}, 8))::BIGINT >> {i}) & 1) AS {p}{i}" for p, at in (("hi", 1), ("lo", 9)) for i in range(32))
+JOINED = ", ".join("(" + " + ".join(f"CASE WHEN 2 * {p}{i} > n THEN {1 << i}::BIGINT ELSE 0 END" for i in range(32)) + f") AS {p}" for p in ("hi", "lo"))
+PRINTS = f"w AS (SELECT path, md5(w) AS h FROM (SELECT path, unnest(string_split(lower(text), ' ')) AS w FROM manifest) WHERE w <> ''), q AS (SELECT path, count(*) AS n, {BITS} FROM w GROUP BY path), fp AS (SELECT path, {JOINED} FROM q), reps AS (SELECT hi, lo, min(path) AS path FROM fp GROUP BY hi, lo)"
+CLOSE = "pairs AS (SELECT a.path AS a, b.path AS b, bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS bits FROM reps a JOIN reps b ON a.path < b.path AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= %d)"
+
+
+def prints(spark: SparkSession, sf: str) -> DataFrame:
+    return vc.token_fingerprint(view(spark, sf, "manifest"), "text")
+
+
+@query("C07_near_duplicates", with_views(f"WITH {PRINTS}, {CLOSE % 6} SELECT * FROM pairs", "manifest"))
+def c07(spark, sf):
+    return vc.near_fingerprints(prints(spark, sf), 6)
+
+
+@query("C10_fingerprint_spacing", with_views(f"WITH {PRINTS}, {CLOSE % 4}, e AS (SELECT path, min(bits) AS bits FROM (SELECT a AS path, bits FROM pairs UNION ALL SELECT b, bits FROM pairs) GROUP BY path) SELECT count(*) AS rows, min(bits) AS least, quantile_cont(bits, 0.5)::DOUBLE AS median, (SELECT count(*) FROM pairs) AS pairs FROM e", "manifest"))
+def c10(spark, sf):
+    return vc.fingerprint_spacing(prints(spark, sf), 4)
+
+
+@query("C13_group_excluded_knn")
+def c13(spark, sf):
+    return rounded(vc.group_excluded_knn(features(spark, sf), "v"))
+
+
+@query("C16_known_hash_overlap", with_views("SELECT path FROM manifest WHERE split = 'test' AND sha256(text) IN (SELECT sha256(text) FROM manifest WHERE split = 'train' AND text IS NOT NULL)", "manifest"))
+def c16(spark, sf):
+    rows = view(spark, sf, "manifest").select("path", "split", F.sha2("text", 256).alias("content"))
+    return rc.known_hash_overlap(rows.filter("split = 'test'"), rows.filter("split = 'train'"), "content").select("path")
+
+
+@query("D06_cross_split_owners", with_views("SELECT group_id, count(DISTINCT split) AS splits, count(*) AS n FROM manifest GROUP BY group_id HAVING splits > 1", "manifest"))
+def d06(spark, sf):
+    return rc.cross_split_owners(view(spark, sf, "manifest"), "group_id")
+
+
+LONG = "x AS (SELECT path, label, generate_subscripts(embedding, 1) - 1 AS place, unnest(embedding)::DOUBLE AS x FROM features)"
+
+
+@query("D21_unit_means", with_views(f"""WITH {LONG}, n AS (SELECT path, sqrt(sum(x * x)) AS n FROM x GROUP BY path), m AS (SELECT label, place, avg(x / CASE WHEN n > 0 THEN n ELSE 1 END) AS x FROM x JOIN n USING (path) GROUP BY 1, 2), k AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY 1)
+ SELECT label, list(round(x / n, 5) + 0.0 ORDER BY place) AS v FROM m JOIN k USING (label) GROUP BY label""", "features"))
+def d21(spark, sf):
+    return vc.unit_means(features(spark, sf), ["label"], "v").withColumn("v", rounded_list("v"))
+
+
+STATS = "s AS (SELECT place, avg(x) AS mean, stddev_pop(x) AS sd, var_pop(x) AS variance FROM x WHERE path % 2 = 0 GROUP BY place)"
+
+
+@query("D22_standardise", with_views(f"""WITH {LONG}, {STATS}, z AS (SELECT path, place, (x - mean) / sd AS x FROM x JOIN s USING (place) WHERE sd > 1e-8), n AS (SELECT path, sqrt(sum(x * x)) AS n FROM z GROUP BY path)
+ SELECT path, list(round(x / CASE WHEN n > 0 THEN n ELSE 1 END, 5) + 0.0 ORDER BY place) AS v FROM z JOIN n USING (path) GROUP BY path""", "features"))
+def d22(spark, sf):
+    rows = features(spark, sf).select("path", "v")
+    return vc.standardise(rows.filter("path % 2 = 0"), rows, "v").withColumn("v", rounded_list("v"))
+
+
+@query("D23_variance_top_k", with_views(f"WITH {LONG}, {STATS} SELECT place, round(variance, 9) AS variance FROM s ORDER BY s.variance DESC, place LIMIT 10", "features"))
+def d23(spark, sf):
+    return vc.variance_top_k(features(spark, sf).filter("path % 2 = 0"), "v", 10).withColumn("variance", F.round("variance", 9))
+
+
+@query("D24_fuse_families", with_views(f"WITH {LONG}, n AS (SELECT path, sqrt(sum(x * x)) AS n FROM x GROUP BY path) SELECT path, list_concat(list(round(x / n / sqrt(2), 5) + 0.0 ORDER BY place), list(round(x / n / sqrt(2), 5) + 0.0 ORDER BY place)) AS v FROM x JOIN n USING (path) GROUP BY path", "features"))
+def d24(spark, sf):
+    return features(spark, sf).select("path", rounded_list(vc.fuse_families(["v", "v"])).alias("v"))
+
+
+NUMERIC = "(SELECT l_returnflag AS flag, CAST(l_discount * 10 AS DOUBLE) AS x, CAST(l_tax AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) AS z FROM lineitem)"
+
+
+def numeric(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_returnflag AS flag", "CAST(l_discount * 10 AS DOUBLE) AS x", "CAST(l_tax AS DOUBLE) AS y", "CAST(l_quantity AS DOUBLE) AS z")
+
+
+@query("D26_distribution_features", "WITH d AS (SELECT flag, count(*) AS n, avg(x) AS mean, stddev_pop(x) AS sd, " + ", ".join(f"count(*) FILTER (least(floor(x * 8), 7) = {b})::DOUBLE / count(*) AS bin{b}" for b in range(8)) + ", " + ", ".join(f"quantile_cont(x, {q / 100}) AS q{q}" for q in (5, 25, 50, 75, 95)) + f" FROM {NUMERIC} GROUP BY flag) SELECT flag, n, round(mean, 6) AS mean, round(sd, 6) AS sd, " + ", ".join(f"round(bin{b}, 6) AS bin{b}" for b in range(8)) + ", " + ", ".join(f"round(q{q}, 6) AS q{q}" for q in (5, 25, 50, 75, 95)) + ", round((" + " + ".join(f"-bin{b} * ln(bin{b} + 1e-12)" for b in range(8)) + ") / ln(8), 6) AS entropy FROM d")
+def d26(spark, sf):
+    return rounded(rc.distribution_features(numeric(spark, sf), "flag", "x", 8))
+
+
+@query("D27_threshold_shares", f"SELECT flag, round(avg((x > 0.5)::INT), 6) AS high, round(avg((z < 10)::INT), 6) AS few FROM {NUMERIC} GROUP BY flag")
+def d27(spark, sf):
+    return rounded(rc.threshold_shares(numeric(spark, sf), "flag", {"high": F.col("x") > 0.5, "few": F.col("z") < 10}))
+
+
+@query("D28_pairwise_correlation", f"SELECT flag, round(corr(x, y), 6) AS x_y, round(corr(x, z), 6) AS x_z, round(corr(y, z), 6) AS y_z FROM {NUMERIC} GROUP BY flag")
+def d28(spark, sf):
+    return rounded(rc.pairwise_correlation(numeric(spark, sf), "flag", ["x", "y", "z"]))
+
+
+@query("E11_ema", with_views("""WITH o AS (SELECT id, batch_id, score, row_number() OVER (PARTITION BY batch_id ORDER BY ts, id) AS n FROM inspection_log),
+ e AS (SELECT id, batch_id, n, score AS smooth FROM o WHERE n = 1 UNION ALL SELECT o.id, o.batch_id, o.n, 0.7::DOUBLE * e.smooth + 0.3::DOUBLE * o.score FROM e JOIN o ON o.batch_id = e.batch_id AND o.n = e.n + 1) SELECT id, batch_id, round(smooth, 6) AS smooth FROM e""", "inspection_log").replace("WITH ", "WITH RECURSIVE ", 1))
+def e11(spark, sf):
+    return rounded(rc.ema(view(spark, sf, "inspection_log"), "batch_id", ["ts", "id"], "score", 0.3).select("id", "batch_id", "smooth"))
+
+
+@query("E12_change_ratio", """WITH c AS (SELECT CAST(l_shipdate AS DATE) AS day, l_suppkey AS cell, sum(CAST(l_quantity AS DOUBLE)) AS v FROM lineitem GROUP BY 1, 2), d AS (SELECT day, abs(v - lag(v) OVER (PARTITION BY cell ORDER BY day)) AS d FROM c)
+ SELECT day, count(*) AS cells, round(avg((d > 24)::INT), 6) AS ratio FROM d WHERE d IS NOT NULL GROUP BY day""")
+def e12(spark, sf):
+    cells = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_shipdate").cast("date").alias("day"), F.col("l_suppkey").alias("cell")).agg(F.sum(F.col("l_quantity").cast("double")).alias("v"))
+    return rounded(rc.change_ratio(cells, "day", "cell", "v", 24))
+
+
+@query("G01_union_manifests", "SELECT doc_id AS path, lang, NULL AS quality FROM documents UNION ALL SELECT doc_id, NULL, quality FROM labels")
+def g01(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    return rc.union_manifests([docs.select(F.col("doc_id").alias("path"), "lang"), labels.select(F.col("doc_id").alias("path"), "quality")])
+
+
+@query("G07_manifest_paths", with_views("SELECT DISTINCT path FROM (SELECT source_id AS path FROM manifest UNION ALL SELECT group_id FROM manifest UNION ALL SELECT CAST(path AS VARCHAR) FROM manifest) WHERE path IS NOT NULL", "manifest"))
+def g07(spark, sf):
+    return rc.manifest_paths(view(spark, sf, "manifest"), ["source_id", "group_id", "path"])
+
+
+@query("H11_stable_id", with_views("SELECT path, 'item-' || substr(sha256(concat_ws('|', source_id, path)), 1, 20) AS code FROM manifest", "manifest"))
+def h11(spark, sf):
+    return view(spark, sf, "manifest").select("path", rc.stable_id("item-", ["source_id", "path"]).alias("code"))

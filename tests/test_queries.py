@@ -17,7 +17,7 @@ def plain(value):
         return "nan" if math.isnan(value) else repr(round(value, 6) + 0.0)
     if isinstance(value, (list, tuple)):
         return [plain(v) for v in value]
-    return str(value.replace(tzinfo=None)) if hasattr(value, "replace") and not isinstance(value, str) else str(value)
+    return str(value.replace(tzinfo=None)) if hasattr(value, "tzinfo") else str(value)
 
 
 @pytest.mark.parametrize("name", NAMES)
