@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradeloom.operators.hot_keys import look_up
 from gradeloom.plans.durable import written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, number: int, large: bool) -> DataFrame:
     """Tie the larger (or all smaller) neighbours of every node to the smallest node around it."""
     both = edges.select("a", "b")
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
-    tied = both.join(least.hint("merge"), "a")
+    least = written(both.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("_n")).withColumn("low", F.least("a", "low")))
+    tied = look_up(both, least, "a", 2 * number)
     if large:
         return tied.filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
     own = least.select("a", F.col("low").alias("b"))
@@ -25,20 +26,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """``node`` and ``root`` (the smallest node of its component) of every node that an edge names.
 
     Direction, repetition and loops do not matter; edges with a null end are left out. Every round is
-    two joins and two aggregations on the edges, written to the shared folder, and the number of
-    rounds grows with the logarithm of the number of nodes.
+    two joins and two aggregations on the edges, written to the shared folder; the number of rounds grows with the logarithm of the number of nodes.
     """
     ends = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     now = written(ends.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
     loops = now.filter("a = b").select("a").distinct()
     now = now.filter("a <> b")
-    summary = None
+    summary, number = None, now.count()
     while True:
-        now = written(_star(_star(now, large=True), large=False))
+        # a node with a large part of all edges is met where its edges lie, in both steps
+        now = written(_star(written(_star(now, number, large=True)), 2 * number, large=False))
         latest = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if latest == summary:
             break
-        summary = latest
+        summary, number = latest, latest[0]
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     alone = loops.join(roots.select(F.col("node").alias("a")).hint("merge"), "a", "left_anti")
