@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 from gradeloom.llm.repeats import NO_ID, keyed, text_tag
 from gradeloom.llm.tokens import U64, mix
 from gradeloom.operators.components import connected_components
+from gradeloom.operators.hot_keys import look_up
 from gradeloom.plans.durable import written
 
 #: A bucket with more members is cut again by its other bits, so that no task gets more of one bucket.
@@ -142,13 +143,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are not read.
     """
     marked = written(fingerprints(docs, id_col, text_col, size))
-    nodes = written(marked.groupBy("fp").agg(F.min("id").alias("smallest")))
-    number = nodes.count()
+    nodes = written(marked.groupBy("fp").agg(F.min("id").alias("smallest"), F.count(F.lit(1)).alias("_n")))
+    number, rows = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
     roots = connected_components(close_pairs(nodes, number, distance))
-    nodes = nodes.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = nodes.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    labels = nodes.select("fp", "root").join(smallest.hint("merge"), "root").select("fp", "component_id")
-    return marked.join(labels.hint("merge"), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = nodes.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = written(rooted)
+    smallest = written(rooted.groupBy("root").agg(F.min("smallest").alias("component_id"), F.count(F.lit(1)).alias("_members")))
+    labels = written(look_up(rooted.select("fp", "root", "_n"), smallest, "root", number, "_members").drop("root"))
+    return look_up(marked, labels, "fp", rows).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 WIDE = 512
@@ -188,8 +190,8 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int, simil
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("tag"), pa.array(marks, pa.binary())], ["doc", "tag", "wide"])
 
     marked = written(keys.mapInArrow(run, "doc long, tag long, wide binary").withColumn("fp", F.xxhash64("wide")))
-    nodes = marked.select("fp", "wide").distinct()
-    number = marked.select("fp").distinct().count()
+    nodes = written(marked.groupBy("fp", "wide").agg(F.count(F.lit(1)).alias("_n")))
+    number, rows = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
     width = min(40, max(16, int(np.ceil(np.log2(number + 1))) + 3))
     reach = similarity_reach(similarity)
 
@@ -201,11 +203,13 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int, simil
             key = (bits[:, : count * width].reshape(-1, count, width).astype(U64) * weights).sum(axis=2, dtype=U64)
             yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(count, dtype=np.int64), len(bits))), pa.array(key.ravel().view(np.int64)), batch.column("fp").take(pa.array(np.repeat(np.arange(len(bits)), count)))], ["block", "key", "fp"])
 
-    keys = nodes.mapInArrow(blocks, "block long, key long, fp long")
+    keys = nodes.select("fp", "wide").mapInArrow(blocks, "block long, key long, fp long")
     # a star in every bucket: each member against the least one, so that no bucket makes all its pairs
     least = Window.partitionBy("block", "key")
     star = keys.withColumn("hub", F.min("fp").over(least)).filter("fp <> hub").select("fp", "hub").distinct()
-    sides = star.join(nodes.hint("merge"), "fp").join(nodes.select(F.col("fp").alias("hub"), F.col("wide").alias("hub_wide")).hint("merge"), "hub")
+    star = written(star.join(nodes.select("fp", "wide").hint("merge"), "fp"))
+    hubs = star.groupBy("hub").agg(F.count(F.lit(1)).alias("_n")).join(nodes.select(F.col("fp").alias("hub"), F.col("wide").alias("hub_wide")).hint("merge"), "hub")
+    sides = look_up(star, written(hubs), "hub", star.count())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,8 +218,9 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int, simil
             yield pa.RecordBatch.from_arrays([batch.column("fp").filter(near), batch.column("hub").filter(near)], ["a", "b"])
 
     roots = connected_components(sides.select("fp", "wide", "hub", "hub_wide").mapInArrow(verify, "a long, b long"))
-    joined = marked.select("doc", "tag", "fp").join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left")
-    return joined.select("doc", "tag", F.coalesce("root", "fp").alias("root"))
+    rooted = nodes.groupBy("fp").agg(F.sum("_n").alias("_n")).join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left")
+    rooted = written(rooted.select("fp", "_n", F.coalesce("root", "fp").alias("root")))
+    return look_up(marked.select("doc", "tag", "fp"), rooted, "fp", rows).select("doc", "tag", "root")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -225,8 +230,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     in id and text are one. Null, empty and blank texts are one group. All columns of ``docs`` stay.
     """
     groups = written(similar_groups(docs, id_col, text_col, size, similarity))
-    first = Window.partitionBy("root").orderBy("doc", "tag")
-    kept = groups.withColumn("n", F.row_number().over(first)).filter("n = 1").select("doc", "tag")
+    kept = groups.groupBy("root").agg(F.min(F.struct("doc", "tag")).alias("first")).select("first.*")  # folded before the shuffle
     marked = docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_tag": text_tag(text_col)})
     out = marked.join(kept.select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).hint("shuffle_hash"), ["_doc", "_tag"], "left_semi").drop("_doc", "_tag")
     twins = groups.groupBy("doc", "tag").count().filter("count > 1")
