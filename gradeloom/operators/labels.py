@@ -86,6 +86,39 @@ def restore_zero_weight(df: DataFrame) -> DataFrame:
     return df.withColumns({"target": F.when(none, (F.col("class_id") % 2).cast("double")).otherwise(F.col("target")), "consistent": ~none & F.col("consistent")})
 
 
+def pseudo_targets(df: DataFrame, chosen: Column, weight: float = 0.20) -> DataFrame:
+    """Chosen rows take their out-of-fold grade as a soft target of low weight and are never consistent.
+
+    ``violation`` marks a chosen row whose target does not contradict its label.
+    """
+    grade = F.col("class_id") % 2
+    target = F.when(chosen, F.col("p_grade")).otherwise(grade.cast("double"))
+    same = (F.col("p_grade") > 0.5).cast("int") == grade
+    return df.withColumns({"target": target, "weight": F.when(chosen, weight).otherwise(1.0), "consistent": ~chosen, "violation": chosen & same})
+
+
+def build_targets(rows: DataFrame, decisions: DataFrame, statuses: list[str]) -> DataFrame:
+    """Rows after their decisions, with the grade of the class read again from the soft ``target``.
+
+    ``consistent``: a decided row has one of ``statuses`` and a positive weight, another one a weight of 0.999 or more.
+    """
+    marks = decisions.groupBy("path").agg(F.min("target").alias("_target"), F.min("status").alias("_status"))
+    out = apply_decisions(rows, decisions).join(marks.hint("merge"), "path", "left")
+    out = out.withColumn("target", F.when(F.col("decided"), F.coalesce("_target", "target")).otherwise(F.col("target")))
+    hard = F.coalesce((F.col("target") > 0.5).cast("int"), F.col("class_id") % 2)
+    sure = F.when(F.col("decided"), F.col("_status").isin(statuses) & (F.col("weight") > 0)).otherwise(F.col("weight") >= 0.999)
+    return out.withColumns({"class_id": F.floor(F.col("class_id") / 2) * 2 + hard, "consistent": F.coalesce(sure, F.lit(False))}).drop("_target", "_status")
+
+
+def run_summary(df: DataFrame, group: str, review: Column, top: int = 20) -> DataFrame:
+    """Rows and rows for review of each group, and the paths of the first ``top`` of these, as a report."""
+    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(review).alias("n_review"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy("path"))
+    first = df.filter(review).select(group, "path").withColumn("_n", place).filter(F.col("_n") <= top)
+    lists = first.groupBy(group).agg(F.array_sort(F.collect_list("path")).alias("review"))
+    return counts.join(lists.hint("merge"), group, "left").withColumn("review", F.coalesce("review", F.array().cast("array<long>")))
+
+
 def initial_reliability(df: DataFrame) -> DataFrame:
     """Add ``reliable``: the predicted class is the label, views are stable and the label's probability is at least 0.52."""
     kind, grade = F.floor(F.col("class_id") / 2), F.col("class_id") % 2

@@ -86,6 +86,27 @@ def i04(spark, sf):
     return lb.pseudo_relabel(all_views(spark, sf), audit(spark, sf), 0.82, 0.35).select("path", "pair_id", "new_class", "weight", "target")
 
 
+@query("I05_pseudo_targets", sql("""SELECT path, CASE WHEN c THEN round(p_grade, 6) ELSE class_id % 2 END::DOUBLE AS target, CASE WHEN c THEN 0.2 ELSE 1 END::DOUBLE AS weight, NOT c AS consistent, c AND (p_grade > 0.5)::INT = class_id % 2 AS violation
+ FROM (SELECT *, status IN ('grade_contradiction', 'ambiguous') AS c FROM audit)"""))
+def i05(spark, sf):
+    out = lb.pseudo_targets(audit(spark, sf), F.col("status").isin("grade_contradiction", "ambiguous"))
+    return out.select("path", F.round("target", 6).alias("target"), "weight", "consistent", "violation")
+
+
+@query("I07_build_targets", with_views("""SELECT path, c // 2 * 2 + (t > 0.5)::INT AS class_id, round(t, 6) AS target, w AS weight, CASE WHEN d THEN path % 2 = 0 AND w > 0 ELSE w >= 0.999 END AS consistent
+ FROM (SELECT path, d, CASE WHEN d THEN (class_id + 1) % 4 ELSE class_id END AS c, CASE WHEN d THEN path % 9 / 9.0::DOUBLE ELSE path % 5 / 5.0::DOUBLE END AS t, CASE WHEN d THEN path % 3 / 2.0::DOUBLE WHEN path % 4 = 0 THEN 1 ELSE path % 4 / 4.0::DOUBLE END AS w
+ FROM (SELECT *, path % 7 = 0 AND split = 'train' AS d FROM manifest))""", "manifest"))
+def i07(spark, sf):
+    rows = view(spark, sf, "manifest").selectExpr("path", "split", "class_id", "CASE WHEN path % 4 = 0 THEN NULL ELSE path % 4 / 4D END AS weight", "path % 5 / 5D AS target")
+    decisions = view(spark, sf, "manifest").filter("path % 7 = 0").selectExpr("path", "(class_id + 1) % 4 AS class_id", "path % 3 / 2D AS weight", "path % 9 / 9D AS target", "CASE WHEN path % 2 = 0 THEN 'agreed' ELSE 'ambiguous' END AS status")
+    return lb.build_targets(rows, decisions, ["agreed"]).select("path", "class_id", F.round("target", 6).alias("target"), "weight", "consistent")
+
+
+@query("D29_run_summary", sql("SELECT class_id, count(*) AS n, count(*) FILTER (priority <= 2) AS n_review, coalesce(list(path ORDER BY path) FILTER (priority <= 2), [])[1:20] AS review FROM audit GROUP BY class_id"))
+def d29(spark, sf):
+    return lb.run_summary(audit(spark, sf), "class_id", F.col("priority") <= 2)
+
+
 @query("I06_restore_zero_weight", sql("SELECT path, CASE WHEN grade_weight = 0 THEN class_id % 2 ELSE round(p_grade, 6) END::DOUBLE AS target, grade_weight > 0 AS consistent FROM audit"))
 def i06(spark, sf):
     rows = audit(spark, sf).withColumns({"target": F.round("p_grade", 6), "consistent": F.lit(True)})
