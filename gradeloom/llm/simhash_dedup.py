@@ -10,7 +10,7 @@ than members.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -18,10 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gradeloom.llm.repeats import NO_ID, keyed, text_tag
-from gradeloom.llm.tokens import U64, mix
+from gradeloom.llm.tokens import LOWER, U64, Rolling, groups, mix, signed, word_hashes, words
 from gradeloom.operators.components import connected_components
 from gradeloom.operators.hot_keys import look_up
 from gradeloom.plans.durable import written
@@ -153,73 +152,229 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return look_up(marked, labels, "fp", rows).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-WIDE = 512
+#: Bits of the sketch of a set of shingles.
+SKETCH = 1024
+#: At most this many frequent shingles come last in the order of shingles.
+FREQUENT = 1 << 16
+#: Bits of the map of texts whose sets are compared.
+SLOTS = 1 << 24
 
 
-def wide_fingerprint(text: bytes, size: int) -> bytes:
-    """A SimHash of 512 bits, for links by similarity: eight scrambled copies of each shingle's hash."""
-    parts = text.lower().split()
-    n = max(1, len(parts) - size + 1)
-    ones = np.zeros(WIDE, np.int64)
-    if parts:
-        line = b" ".join(parts)
-        length = np.fromiter(map(len, parts), np.int64, len(parts))
-        end = np.cumsum(length + 1) - 1
-        first, last = (end - length)[:n], end[min(size, len(parts)) - 1 :]
-        digest = xxhash.xxh3_64_intdigest
-        for k in range(0, n, 1 << 13):
-            hashes = np.array([digest(line[a:b]) for a, b in zip(first[k : k + (1 << 13)].tolist(), last[k : k + (1 << 13)].tolist(), strict=True)], U64)
-            wide = np.stack([mix(hashes + U64(0x9E3779B97F4A7C15 * j % 2**64)) for j in range(WIDE // 64)], axis=1)
-            ones += np.unpackbits(wide.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > n).tobytes()
-
-
-def similarity_reach(similarity: float) -> int:
-    """Bits of a wide fingerprint in which texts differ on average at this Jaccard similarity."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return round(WIDE * share)
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different hashes of the word shingles of each text in order, and the edges between texts.
+
+    A-Z are made small; a text of fewer words than ``size`` is one shingle and one without words has none.
+    """
+    small = LOWER[data]
+    start, end, owner = words(small, offsets)
+    count = np.bincount(owner, minlength=len(offsets) - 1)
+    word = np.concatenate([[0], np.cumsum(count)])
+    number = np.where(count > 0, np.maximum(count - size + 1, 1), 0)
+    edge = np.concatenate([[0], np.cumsum(number)])
+    own = np.repeat(np.arange(len(count)), number)
+    first = word[own] + np.arange(edge[-1]) - edge[own]
+    value = Rolling(word_hashes(small, start, end)).of(first, np.minimum(first + size, word[own + 1]))
+    value = value[np.lexsort([value, own])]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (own[1:] != own[:-1])
+    return value[new], np.searchsorted(own[new], np.arange(len(count) + 1))
+
+
+def set_names(value: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """A hash of each set of shingles; sets alike have one name."""
+    total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(value ^ U64(0x5851F42D4C957F2D)), dtype=U64)])
+    return mix(total[edge[1:]] - total[edge[:-1]] + np.diff(edge).astype(U64))
+
+
+def set_sketches(value: np.ndarray, edge: np.ndarray) -> list[bytes]:
+    """Parities of the shingles dealt to ``SKETCH`` bits, more for large sets: two sketches differ in no more bits than their sets in members."""
+    place, out = mix(value), []
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        bits = max(SKETCH, 1 << (2 * (b - a)).bit_length())
+        parity = np.bincount((place[a:b] & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(parity.astype(np.uint8)).tobytes())
+    return out
+
+
+def sketch_distance(one: bytes, two: bytes) -> int:
+    """Bits in which two sketches differ, the larger one folded to the smaller one's length."""
+    x, y = np.frombuffer(one, U64), np.frombuffer(two, U64)
+    short = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, short), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def needed(number: np.ndarray, similarity: float) -> np.ndarray:
+    """The least whole number that is ``similarity`` times ``number`` or more."""
+    return np.ceil(number * similarity - 1e-9).astype(np.int64)
+
+
+def prefixes(value: np.ndarray, edge: np.ndarray, similarity: float, late: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of each set in the common order (``late`` ones last, by ``turn``), and the edges between sets.
+
+    Two sets of this similarity share ``similarity`` times the larger one's size or more, so that the
+    first shingle they share is among the others' number and one of each.
+    """
+    number = np.diff(edge)
+    own = np.repeat(np.arange(len(number)), number)
+    rank = np.zeros(len(value), np.int64)
+    if len(late):
+        at = np.minimum(np.searchsorted(late, value), len(late) - 1)
+        rank = np.where(late[at] == value, turn[at], 0)
+    value = value[np.lexsort([value, rank, own])]
+    length = np.where(number > 0, number - needed(number, similarity) + 1, 0)
+    return value[np.arange(len(value)) - edge[own] < length[own]], np.concatenate([[0], np.cumsum(length)])
+
+
+def bucket_pairs(bucket: np.ndarray, fp: np.ndarray, number: np.ndarray, place: np.ndarray, root: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of one bucket and two roots whose sizes and whose places of the shared shingle allow this similarity."""
+    order = np.lexsort([number, bucket])
+    bucket, fp, number, place, root = (x[order] for x in (bucket, fp, number, place, root))
+    stop = np.searchsorted(bucket, bucket, side="right")
+    least = needed(number, similarity)
+    i, step, found, held = np.arange(len(fp)), 1, [], 0
+    while len(i):
+        i = i[i + step < stop[i]]
+        i = i[least[i + step] <= number[i]]
+        j = i + step
+        shared = np.minimum(place[i], place[j]) + 1 + np.minimum(number[i] - place[i], number[j] - place[j]) - 1
+        both = needed(number[i] + number[j], similarity / (1 + similarity))
+        ok = (root[i] != root[j]) & (shared >= both)
+        found.append(np.stack([np.minimum(fp[i[ok]], fp[j[ok]]), np.maximum(fp[i[ok]], fp[j[ok]])]))
+        held += found[-1].shape[1]
+        if held > 1 << 19:
+            yield tuple(np.unique(np.concatenate(found, axis=1), axis=1))
+            found, held = [], 0
+        step += 1
+    if held:
+        yield tuple(np.unique(np.concatenate(found, axis=1), axis=1))
 
 
 def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:
-    """``doc``, ``tag`` and ``copies`` of each text, with the root fingerprint of its group (``root``)."""
+    """``doc`` and ``tag`` of each text, with the ``root`` of its group.
+
+    A link joins two texts whose sets of shingles have this Jaccard similarity or more; no such pair is
+    missed at any size. Sets alike are one node. Two sets of the similarity share one of their first
+    shingles in any common order (``prefixes``), so they meet in its bucket; frequent shingles come last
+    in the order, which keeps buckets small. First each member of a bucket meets the least one, then
+    all pairs of members that this has not joined. Sketches drop pairs that are surely too far apart,
+    and the sets themselves decide about the others.
+    """
+    spark = docs.sparkSession
     keys = keyed(docs, id_col, text_col).select("doc", "tag", "text")
+    none = (np.zeros(0, U64), np.zeros(0, np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in groups(batch.column("text")):
+                first, _ = prefixes(*shingle_sets(data, offsets, size), similarity, *none)
+                value, number = np.unique(first, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(value)), pa.array(number)], ["h", "n"])
+
+    # which shingles come last decides the size of buckets only, not what is found
+    often = keys.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 16")
+    often = [r["h"] % 2**64 for r in often.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()]
+    late = np.array(often, U64)
+    order = np.argsort(late)
+    sent = spark.sparkContext.broadcast((late[order], (len(late) - np.arange(len(late), dtype=np.int64))[order]))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = [wide_fingerprint(x.as_py(), size) for x in batch.column("text").cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("tag"), pa.array(marks, pa.binary())], ["doc", "tag", "wide"])
+            for a, b, data, offsets in groups(batch.column("text"), 1 << 20):
+                value, edge = shingle_sets(data, offsets, size)
+                first, cut = prefixes(value, edge, similarity, *sent.value)
+                lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(signed(first)))
+                sketch = pa.array(set_sketches(value, edge), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, b - a), batch.column("tag").slice(a, b - a), pa.array(signed(set_names(value, edge))), pa.array(np.diff(edge)), lists, sketch], ["doc", "tag", "fp", "size", "first", "sketch"])
+
+    marked = written(keys.mapInArrow(mark, "doc long, tag long, fp long, size long, first array<long>, sketch binary"))
+    nodes = marked.groupBy("fp").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("doc", "tag")).alias("text"), *[F.first(c).alias(c) for c in ("size", "first", "sketch")])
+    nodes = written(nodes)
+    rows = nodes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    members = nodes.select("fp", "size", F.posexplode("first").alias("place", "h"))
+    buckets = written(members.groupBy("h").agg(F.collect_list(F.struct("fp", "size", "place")).alias("m")).filter(F.size("m") > 1))
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0)
+            fp, ends = column.flatten().field("fp").to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
+            hub = np.repeat(np.minimum.reduceat(fp, ends[:-1]), np.diff(ends))
+            a, b = np.unique(np.stack([fp, hub])[:, fp != hub], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    marked = written(keys.mapInArrow(run, "doc long, tag long, wide binary").withColumn("fp", F.xxhash64("wide")))
-    nodes = written(marked.groupBy("fp", "wide").agg(F.count(F.lit(1)).alias("_n")))
-    number, rows = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
-    width = min(40, max(16, int(np.ceil(np.log2(number + 1))) + 3))
-    reach = similarity_reach(similarity)
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0)
+            flat, ends = column.flatten(), column.offsets.to_numpy()
+            bucket = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+            fp, number, place, root = (flat.field(c).to_numpy() for c in ("fp", "size", "place", "root"))
+            for a, b in bucket_pairs(bucket, fp, number, place.astype(np.int64), root, similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = U64(1) << np.arange(width, dtype=U64)
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.unpackbits(np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint8).reshape(-1, WIDE // 8), axis=1)
-            count = WIDE // width
-            key = (bits[:, : count * width].reshape(-1, count, width).astype(U64) * weights).sum(axis=2, dtype=U64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(count, dtype=np.int64), len(bits))), pa.array(key.ravel().view(np.int64)), batch.column("fp").take(pa.array(np.repeat(np.arange(len(bits)), count)))], ["block", "key", "fp"])
-
-    keys = nodes.select("fp", "wide").mapInArrow(blocks, "block long, key long, fp long")
-    # a star in every bucket: each member against the least one, so that no bucket makes all its pairs
-    least = Window.partitionBy("block", "key")
-    star = keys.withColumn("hub", F.min("fp").over(least)).filter("fp <> hub").select("fp", "hub").distinct()
-    star = written(star.join(nodes.select("fp", "wide").hint("merge"), "fp"))
-    hubs = star.groupBy("hub").agg(F.count(F.lit(1)).alias("_n")).join(nodes.select(F.col("fp").alias("hub"), F.col("wide").alias("hub_wide")).hint("merge"), "hub")
-    sides = look_up(star, written(hubs), "hub", star.count())
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            apart = np.array([sketch_distance(x, y) for x, y in zip(batch.column("a_sketch").to_pylist(), batch.column("b_sketch").to_pylist(), strict=True)], np.int64)
+            x, y = (batch.column(c).to_numpy() for c in ("a_size", "b_size"))
+            shared = needed(x + y, similarity / (1 + similarity))
+            near = pa.array((apart <= x + y - 2 * shared) & (shared <= np.minimum(x, y)))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in ("a", "b")], ["a", "b"])
+
+    def full(slots: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        marks = spark.sparkContext.broadcast(slots)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                slot = batch.column("slot").to_numpy()
+                batch = batch.filter(pa.array(marks.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1))
+                for a, b, data, offsets in groups(batch.column("text"), 1 << 20):
+                    value, edge = shingle_sets(data, offsets, size)
+                    sets = pa.array([value[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, b - a), batch.column("tag").slice(a, b - a), sets], ["doc", "tag", "set"])
+
+        return run
+
+    def sets_of(close: DataFrame) -> DataFrame:
+        """``fp`` and ``set`` of all texts that links name; a bitmap of fixed size leaves out most others before the shuffle."""
+        slot = F.pmod(F.xxhash64("doc", "tag"), F.lit(SLOTS))
+        named = written(close.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "text.*").hint("merge"), "fp"))
+        slots = np.zeros(SLOTS // 8, np.uint8)
+        for r in named.groupBy(F.floor(slot / 32768).alias("part")).agg(F.bitmap_construct_agg(slot % 32768).alias("bits")).collect():
+            slots[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+        sets = keys.withColumn("slot", slot).mapInArrow(full(slots), "doc long, tag long, set binary")
+        return written(sets.join(named.hint("merge"), ["doc", "tag"]).select("fp", "set").dropDuplicates(["fp"]))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), U64).reshape(-1, WIDE // 64) for c in ("wide", "hub_wide"))
-            near = pa.array(np.bitwise_count(one ^ two).sum(axis=1) <= reach)
-            yield pa.RecordBatch.from_arrays([batch.column("fp").filter(near), batch.column("hub").filter(near)], ["a", "b"])
-
-    roots = connected_components(sides.select("fp", "wide", "hub", "hub_wide").mapInArrow(verify, "a long, b long"))
-    rooted = nodes.groupBy("fp").agg(F.sum("_n").alias("_n")).join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left")
-    rooted = written(rooted.select("fp", "_n", F.coalesce("root", "fp").alias("root")))
+            near = []
+            for one, two in zip(batch.column("a_set"), batch.column("b_set"), strict=True):
+                x, y = np.frombuffer(one.as_py(), U64), np.frombuffer(two.as_py(), U64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both >= needed(np.int64(len(x) + len(y) - both), similarity))
+            near = pa.array(near, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in ("a", "b")], ["a", "b"])
+
+    def beside(pairs: DataFrame, table: DataFrame, *values: str) -> DataFrame:
+        """Pairs with the values of both sides; a side with many pairs is met where they lie."""
+        for end in ("a", "b"):
+            uses = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("_n"))
+            side = written(uses.join(table.select(F.col("fp").alias(end), *[F.col(v).alias(f"{end}_{v}") for v in values]).hint("merge"), end))
+            pairs = look_up(pairs, side, end, pairs.count())
+            if end == "a":
+                pairs = written(pairs)
+        return pairs
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs.distinct())
+        close = written(beside(pairs, nodes, "size", "sketch").mapInArrow(sketched, "a long, b long"))
+        return written(beside(close, sets_of(close), "set").mapInArrow(exact, "a long, b long"))
+
+    links = verified(buckets.select("m").mapInArrow(stars, "a long, b long"))
+    roots = written(connected_components(links))
+    rooted = buckets.select("h", F.explode("m").alias("m")).select("h", "m.*").join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    apart = rooted.groupBy("h").agg(F.collect_list(F.struct("fp", "size", "place", "root")).alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
+    links = links.unionByName(verified(apart.select("m").mapInArrow(others, "a long, b long")))
+    roots = connected_components(links)
+    rooted = written(nodes.select("fp", "_n").join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "_n", F.coalesce("root", "fp").alias("root")))
     return look_up(marked.select("doc", "tag", "fp"), rooted, "fp", rows).select("doc", "tag", "root")
 
 
