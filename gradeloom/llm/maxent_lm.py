@@ -2,7 +2,7 @@
 
 P(word | history) = P(class | history) * P(word | class). The class follows a softmax over weights of
 hashed features of the history (bias, word before, class trigram, skips), trained by gradient updates that the
-tasks make on their own texts and that are averaged after each round. A word's share in its class
+tasks make at every token place of their own texts and that are averaged after each round. A word's share in its class
 comes from exact counts over all training texts. The most frequent words have a class of their own,
 the others are in classes by their last two bytes.
 
@@ -29,8 +29,6 @@ END = U64(0x0123456789ABCDEF)
 OWN, TAIL = 64, 32
 CLASSES = OWN + TAIL
 BUCKETS = 1 << 14
-#: Share of token places that one round of training uses; every text takes part.
-STRIDE = 8
 FREQUENT = 1 << 16
 BLOCKS = 64
 
@@ -131,10 +129,11 @@ def in_training(id_col: str, folds: int, held: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds != held
 
 
-def frequent_words(texts: DataFrame, sample: int, seed: int) -> Words:
-    """The most frequent words of about ``sample`` training texts: which words are counted in place, no more."""
-    number = texts.count()
-    few = texts.filter(F.pmod(F.xxhash64(F.lit(seed), "doc", "tag"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(number, 1))) + 1)
+def frequent_words(texts: DataFrame) -> Words:
+    """The most frequent words of all training texts by exact counts, equal ones by hash.
+
+    They are counted in place, and the first ones have classes of their own.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +143,7 @@ def frequent_words(texts: DataFrame, sample: int, seed: int) -> Words:
                 codes, number = np.unique(word_hashes(small, start, end), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(codes)), pa.array(number)], ["h", "n"])
 
-    top = few.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT - 1)
+    top = texts.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT - 1)
     return Words.of([r["h"] for r in top.collect()])
 
 
@@ -153,19 +152,18 @@ def train(texts: DataFrame, known: Words, rounds: int, rate: float) -> np.ndarra
     spark = texts.sparkSession
     weights = np.zeros((BUCKETS, CLASSES), np.float32)
     each = BUCKETS // BLOCKS
-    for turn in range(rounds):
+    for _ in range(rounds):
         sent = spark.sparkContext.broadcast((known, weights))
 
-        def update(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
+        def update(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             words_, start = sent.value
             w, square, seen = start.copy(), np.full((BUCKETS, 1), 1e-2, np.float32), 0
             for batch in batches:
                 for _, _, data, offsets in groups(batch.column("text")):
                     t = tokenize(data, offsets, words_)
                     features = histories(t)
-                    places = np.flatnonzero(mix(t.code ^ mix(t.place.astype(U64) + U64(turn))) % U64(STRIDE) == 0)
-                    for k in range(0, len(places), 512):
-                        at = places[k : k + 512]
+                    for k in range(0, len(t.code), 512):
+                        at = np.arange(k, min(k + 512, len(t.code)))
                         buckets = [x[at] for x in features]
                         g = shares(w, buckets)
                         g[np.arange(len(at)), t.group[at]] -= 1
@@ -198,7 +196,7 @@ def train(texts: DataFrame, known: Words, rounds: int, rate: float) -> np.ndarra
     return weights
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, sample: int = 3000, rounds: int = 2, rate: float = 0.1, seed: int = 3) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, rounds: int = 2, rate: float = 0.1) -> DataFrame:
     """One row for each document: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
     Learns from rows whose crc32(id as text) mod ``folds`` is not ``held``; a null id counts as the empty
@@ -211,7 +209,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     keys = keyed(docs, id_col, text_col).withColumn("train", in_training("id", folds, held))
     learn = keys.filter("train")
-    known = frequent_words(learn, sample, seed)
+    known = frequent_words(learn)
     sent = spark.sparkContext.broadcast(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
