@@ -40,12 +40,13 @@ def recompressed(codes: np.ndarray, text: np.ndarray, rounds: int = ROUNDS) -> t
         length = np.diff(first, append=len(symbol))
         last = first + length - 1
         symbol = np.where(length > 1, mix(symbol[first] ^ mix(length.astype(U64) + U64(k << 32))), symbol[first])
-        text, run_low, run_high = text[first], low[first], high[last]
+        # a run's border is decided by the one symbol beside it, however long the run that this one belongs to
+        text, run_low, run_high, last_low, first_high = text[first], low[first], high[last], low[last], high[first]
         joined = text[1:] == text[:-1]
         low, high = run_low.copy(), run_high.copy()
         low[0], high[-1] = -FAR, FAR
-        low[1:] = np.where(joined, np.minimum(run_low[1:], run_low[:-1]), -FAR)
-        high[:-1] = np.where(joined, np.maximum(run_high[:-1], run_high[1:]), FAR)
+        low[1:] = np.where(joined, np.minimum(run_low[1:], last_low[:-1]), -FAR)
+        high[:-1] = np.where(joined, np.maximum(run_high[:-1], first_high[1:]), FAR)
         left = (mix(symbol + U64(0x5851F42D4C957F2D * (k + 1) % 2**64)) >> U64(63)) == 1
         meets = np.concatenate([joined & left[:-1] & ~left[1:], [False]])
         second = np.concatenate([[False], meets[:-1]])
