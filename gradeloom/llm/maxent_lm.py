@@ -1,13 +1,14 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-P(word | history) = P(class | history) * P(word | class). The class follows a softmax over weights of
-hashed features of the history (bias, word before, class trigram, skips), trained by gradient updates that the
-tasks make at every token place of their own texts and that are averaged after each round. A word's share in its class
-comes from exact counts over all training texts. The most frequent words have a class of their own,
-the others are in classes by their last two bytes.
-
-Frequent words (a bounded set) are counted in each task; all other words are counted by one shuffle,
-which also gives each text the sum of its words' logarithms, so no table of words reaches a task whole.
+P(word | history) = P(class | history) * P(word | class, history). Both factors are softmaxes over sums
+of weights of hashed features: n-grams and skips of the history for the class, and the same crossed with
+the class for the word. The most frequent words of each class have a place of their own in its softmax;
+all others share one place and divide its probability by their exact counts.
+
+Work on Spark: (1) words of all training texts are counted; (2) every text becomes a written row of word
+codes, from which all later steps read; (3) words outside the frequent ones meet their counts by a join
+on the word; (4) tasks make gradient updates at every token place of their own training texts, and after
+each round the changes are averaged, weighted by use, in two steps; (5) texts are scored in batches.
 """
 
 from __future__ import annotations
@@ -19,282 +20,357 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from gradeloom.llm.repeats import keyed
 from gradeloom.llm.tokens import LOWER, U64, groups, mix, signed, word_hashes, words
 from gradeloom.plans.durable import written
 
 END = U64(0x0123456789ABCDEF)
-OWN, TAIL = 64, 32
-CLASSES = OWN + TAIL
+#: Classes of words (by their last two bytes), and places in the softmax of a class; place 0 is all its other words.
+CLASSES, PLACES = 32, 32
+#: At most so many words and their counts are in every task. The others meet their counts by a join; hardly one makes up more than 1/FREQUENT of the corpus.
+FREQUENT = 1 << 18
+#: Rows of weights; a feature is hashed to one.
 BUCKETS = 1 << 14
-FREQUENT = 1 << 16
+#: Parts in which changes of weights travel.
 BLOCKS = 64
+RARE = np.uint32(1 << 31)
+BATCH = 8192
 
 
-@dataclass
-class Words:
-    """The frequent words: hashes in order and the rank of each; rank 0 is the end."""
-
-    keys: np.ndarray
-    rank: np.ndarray
+def level_of(count: str = "c") -> Column:
+    """Words are ranked by 64 levels to a doubling of their counts."""
+    return F.floor(F.log2(count) * 64)
 
-    @classmethod
-    def of(cls, hashes: list[int]) -> Words:
-        ranked = np.array([int(END), *[h % 2**64 for h in hashes if h % 2**64 != int(END)]], U64)
-        order = np.argsort(ranked)
-        return cls(ranked[order], order)
 
-    def find(self, codes: np.ndarray) -> np.ndarray:
-        """Rank of each word, -1 where it is not frequent."""
-        at = np.minimum(np.searchsorted(self.keys, codes), len(self.keys) - 1)
-        return np.where(self.keys[at] == codes, self.rank[at], -1)
-
-
-@dataclass
-class Tokens:
-    """All tokens of some texts, each text with its end: hash, rank, class, text and place in the text."""
+def in_training(id_col: str, folds: int, held: int) -> Column:
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds != held
 
-    code: np.ndarray
-    rank: np.ndarray
-    group: np.ndarray
-    owner: np.ndarray
-    place: np.ndarray
-    first: np.ndarray
 
+def tokenize(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of all tokens of some texts, A-Z made small, each text with its end; and the edges between texts.
 
-def tokenize(data: np.ndarray, offsets: np.ndarray, known: Words) -> Tokens:
+    A name is a 59-bit hash of the word with its class in the lowest bits.
+    """
     data = LOWER[data]
     start, end, owner = words(data, offsets)
-    texts = len(offsets) - 1
-    count = np.bincount(owner, minlength=texts) + 1
-    first = np.concatenate([[0], np.cumsum(count)])
-    code, all_owner = np.full(first[-1], END), np.repeat(np.arange(texts), count)
-    at = np.arange(len(start)) + owner
-    code[at] = word_hashes(data, start, end)
-    rank = known.find(code)
-    tail = np.zeros(first[-1], np.int64)
+    edge = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(offsets) - 1) + 1)])
+    name = np.full(edge[-1], END)
     if len(start):
         last = data[end - 1].astype(U64)
         before = np.where(end - start > 1, data[np.maximum(end - 2, 0)], 0).astype(U64)
-        tail[at] = (mix(last << U64(8) | before) % U64(TAIL)).astype(np.int64)
-    group = np.where((rank >= 0) & (rank < OWN), rank, OWN + tail)
-    return Tokens(code, rank, group, all_owner, np.arange(first[-1]) - first[all_owner], first)
+        group = mix(last << U64(8) | before) % U64(CLASSES)
+        name[np.arange(len(start)) + owner] = word_hashes(data, start, end) // U64(CLASSES) * U64(CLASSES) + group
+    return name, edge
 
 
-def histories(t: Tokens) -> list[np.ndarray]:
-    """Buckets of the features of every token, an array for each feature."""
-    name = mix(np.where(t.rank >= 0, t.code, t.group.astype(U64) + U64(77)))
-    group = t.group.astype(U64) + U64(2)
-
-    def back(values: np.ndarray, k: int) -> np.ndarray:
-        out = np.ones(len(values), U64)
-        out[k:] = values[:-k]
-        out[t.place < k] = U64(1)
-        return out
-
-    parts = [np.zeros(len(name), U64), *[back(name, k) for k in (1, 2, 3, 4)], mix(back(group, 1) * U64(CLASSES + 3) + back(group, 2))]
-    return [((x + U64(k)) * U64(0x9E3779B97F4A7C15 + 2 * k) >> U64(50)).astype(np.int64) for k, x in enumerate(parts)]
+def count_words(texts: DataFrame) -> DataFrame:
+    """``h`` (the name of a word) and ``c`` (its uses) over all rows of ``texts``."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in groups(batch.column("text"), 1 << 23):
+                name, number = np.unique(tokenize(data, offsets)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(number)], ["h", "n"])
 
-def summed(weights: np.ndarray, buckets: list[np.ndarray]) -> np.ndarray:
-    """The weights of all features of each place, less their maximum."""
-    x = np.take(weights, buckets[0], axis=0)
-    more = np.empty_like(x)
-    for b in buckets[1:]:
-        np.take(weights, b, axis=0, out=more, mode="clip")
-        x += more
-    x -= x.max(axis=1, keepdims=True)
-    return x
+    return texts.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("c"))
 
 
-def shares(weights: np.ndarray, buckets: list[np.ndarray]) -> np.ndarray:
-    """The probability of every class, a line for each place."""
-    x = summed(weights, buckets)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    return x
+@dataclass
+class Lexicon:
+    """The frequent words in order of their names, and what scoring needs to know of each and of the classes."""
 
+    keys: np.ndarray
+    group: np.ndarray
+    place: np.ndarray
+    count: np.ndarray
+    mass: np.ndarray
+    types: np.ndarray
+    #: Uses of each place of each class.
+    table: np.ndarray
+    #: The level (see ``level_of``) from which words are frequent.
+    level: int
 
-def log_share(weights: np.ndarray, buckets: list[np.ndarray], group: np.ndarray) -> np.ndarray:
-    """Logarithm of the probability of one class at each place."""
-    x = summed(weights, buckets)
-    own = x[np.arange(len(group)), group]
-    np.exp(x, out=x)
-    return own - np.log(x.sum(axis=1))
+    @classmethod
+    def of(cls, counted: DataFrame) -> Lexicon:
+        """From the counts of all words: those above the lowest level that leaves ``FREQUENT`` or fewer."""
+        sizes = sorted(counted.groupBy(level_of().alias("level")).count().collect(), reverse=True)
+        total, level = 0, 1 << 20
+        for r in sizes:
+            total += r["count"]
+            if total > FREQUENT:
+                break
+            level = r["level"]
+        top = counted.filter(level_of() >= level).toArrow()
+        keys, count = top.column("h").to_numpy().view(U64), top.column("c").to_numpy()
+        ranked = np.lexsort([keys, -count])
+        group = (keys % U64(CLASSES)).astype(np.int64)
+        by_class = ranked[np.argsort(group[ranked], kind="stable")]
+        first = np.searchsorted(group[by_class], np.arange(CLASSES))
+        place = np.empty(len(keys), np.int64)
+        place[by_class] = np.arange(len(keys)) - first[group[by_class]] + 1
+        place[place >= PLACES] = 0
+        mass, types = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+        for r in counted.groupBy(F.pmod("h", F.lit(CLASSES)).alias("k")).agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("t")).collect():
+            mass[r["k"]], types[r["k"]] = r["m"], r["t"]
+        table = np.zeros((CLASSES, PLACES), np.int64)
+        np.add.at(table, (group, place), count)
+        table[:, 0] += mass - table.sum(axis=1)
+        order = np.argsort(keys)
+        return cls(keys[order], group[order], place[order], count[order], mass, types, table, level)
+
+    def encode(self, name: np.ndarray) -> np.ndarray:
+        """A number for each token: the rank of a frequent word, else its class and a part of its hash."""
+        if not len(self.keys):
+            return self.rare(name)
+        at = np.minimum(np.searchsorted(self.keys, name), len(self.keys) - 1)
+        return np.where(self.keys[at] == name, at.astype(np.uint32), self.rare(name))
+
+    @staticmethod
+    def rare(name: np.ndarray) -> np.ndarray:
+        return (name % U64(1 << 31)).astype(np.uint32) | RARE
+
+    def of_codes(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class, place in its softmax, and count (-1 if rare) of tokens."""
+        frequent = code < RARE
+        at = np.where(frequent, code, 0)
+        if not len(self.keys):
+            return (code % CLASSES).astype(np.int64), np.zeros(len(code), np.int64), np.full(len(code), -1)
+        return np.where(frequent, self.group[at], code % CLASSES), np.where(frequent, self.place[at], 0), np.where(frequent, self.count[at], -1)
+
+
+def histories(code: np.ndarray, group: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the features of every token, ``[feature, token]``: those of its class and those of its word.
+
+    ``at`` is the token's place in its text. The class sees the word before, the words two, three and
+    four before (skips), the two before together, and the three classes before; the word sees the word
+    before, the two classes before and the word two before, each with the class.
+    """
 
+    def back(values: np.ndarray, k: int) -> np.ndarray:
+        out = np.ones(len(values), U64)
+        out[k:] = values[:-k]
+        out[at < k] = U64(1)
+        return out
 
-def in_training(id_col: str, folds: int, held: int) -> Column:
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds != held
+    word, kind = code.astype(U64) + U64(2), group.astype(U64) + U64(2)
+    w1, w2, k1, k2 = back(word, 1), back(word, 2), back(kind, 1), back(kind, 2)
+    two = (k1 << U64(8)) | k2
+    of_class = [w1, w2, back(word, 3), back(word, 4), w1 * U64(0x9E3779B97F4A7C15) ^ w2, (two << U64(8)) | back(kind, 3)]
+    own = (kind << U64(40)) * U64(0xD6E8FEB86659FD93)
+    of_word = [own ^ w1, own ^ two, own ^ (w2 << U64(1))]
+    shift = U64(64 - (BUCKETS.bit_length() - 1))
+    hashed = lambda parts: np.stack([(mix(x + U64(0x5851F42D4C957F2D * (k + 1) % 2**64)) >> shift).astype(np.uint16) for k, x in enumerate(parts)])
+    return hashed(of_class), hashed(of_word)
+
+
+def line_sums(lines: np.ndarray, which: np.ndarray, first: np.ndarray, number: np.ndarray, few: int = 12) -> np.ndarray:
+    """Sums of neighbouring groups of lines: group ``k`` is ``which[first[k] : first[k] + number[k]]``."""
+    total, more = np.take(lines, which[first], axis=0), np.arange(len(first))
+    for k in range(1, few):
+        more = more[number[more] > k]
+        total[more] += np.take(lines, which[first[more] + k], axis=0)
+    large = number > few
+    if large.any():
+        edge = np.concatenate([[0], np.cumsum(number[large])[:-1]])
+        total[large] = np.add.reduceat(np.take(lines, which[np.repeat(large, number)], axis=0), edge, axis=0)
+    return total
+
+
+class Model:
+    """Two tables of weights ``[bucket, choice]`` with a base for each choice: the logarithm of its share."""
+
+    def __init__(self, table: np.ndarray):
+        log = lambda x: np.log(x / x.sum(axis=-1, keepdims=True)).astype(np.float32)
+        self.bases = [log(table.sum(axis=1, keepdims=True).T + 0.5), log(table + 0.5)]
+        self.weights = [np.zeros((BUCKETS, CLASSES), np.float32), np.zeros((BUCKETS, PLACES), np.float32)]
+
+    def shares(self, k: int, buckets: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """The probability of every choice, a line for each token."""
+        x = np.take(self.weights[k], buckets[0], axis=0)
+        for b in buckets[1:]:
+            x += np.take(self.weights[k], b, axis=0)
+        x += self.bases[k][base]
+        x -= x.max(axis=1, keepdims=True)
+        np.exp(x, out=x)
+        x /= x.sum(axis=1, keepdims=True)
+        return x
+
+    def gradient(self, k: int, buckets: np.ndarray, base: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the negative log-likelihood: the buckets in use, their uses and their gradients."""
+        g = self.shares(k, buckets, base)
+        g[np.arange(len(chosen)), chosen] -= 1
+        flat = buckets.ravel()
+        order = np.argsort(flat, kind="stable")
+        ordered = flat[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        number = np.diff(first, append=len(flat))
+        return ordered[first], number, line_sums(g, order % len(chosen), first, number)
+
+    def log_share(self, code_features: tuple[np.ndarray, np.ndarray], group: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Logarithm of the probability of each token's class and place."""
+        out = np.empty(len(group))
+        for x in range(0, len(group), BATCH):
+            at = slice(x, x + BATCH)
+            line = np.arange(len(group[at]))
+            kinds = self.shares(0, code_features[0][:, at], np.zeros(len(line), np.int64))
+            places = self.shares(1, code_features[1][:, at], group[at])
+            out[at] = np.log(np.maximum(kinds[line, group[at]], 1e-30)) + np.log(np.maximum(places[line, place[at]], 1e-30))
+        return out
 
 
-def frequent_words(texts: DataFrame) -> Words:
-    """The most frequent words of all training texts by exact counts, equal ones by hash.
+def positions(edge: np.ndarray) -> np.ndarray:
+    return np.arange(edge[-1]) - np.repeat(edge[:-1], np.diff(edge))
 
-    They are counted in place, and the first ones have classes of their own.
-    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in groups(batch.column("text")):
-                small = LOWER[data]
-                start, end, _ = words(small, offsets)
-                codes, number = np.unique(word_hashes(small, start, end), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(codes)), pa.array(number)], ["h", "n"])
+def coded(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Slices ``(first, last, codes, edges)`` of a column of codes."""
+    for a, b, data, offsets in groups(column, limit):
+        yield a, b, np.frombuffer(data.tobytes(), np.uint32), offsets // 4
 
-    top = texts.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT - 1)
-    return Words.of([r["h"] for r in top.collect()])
 
+def train(texts: DataFrame, lexicon: Lexicon, rounds: int, rate: float) -> Model:
+    """The model after ``rounds`` rounds: each takes its part of the texts, and all parts together are all texts.
 
-def train(texts: DataFrame, known: Words, rounds: int, rate: float) -> np.ndarray:
-    """Weights ``[bucket, class]`` after some rounds of local updates and averaging."""
+    A task steps through its tokens in batches, with a pace for each row of weights that slows with its
+    gradients. A row's changes are averaged over the tasks by how often each used it.
+    """
     spark = texts.sparkSession
-    weights = np.zeros((BUCKETS, CLASSES), np.float32)
+    model = Model(lexicon.table)
     each = BUCKETS // BLOCKS
-    for _ in range(rounds):
-        sent = spark.sparkContext.broadcast((known, weights))
+    schema = "block long, part long, uses binary, change binary"
+    width = CLASSES + PLACES
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list] = {}
+        part = 0
+        for batch in batches:
+            for block, part, uses, change in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                old = total.setdefault(block, [np.zeros((each, 2)), np.zeros((each, width))])
+                old[0] += np.frombuffer(uses, np.float64).reshape(each, 2)
+                old[1] += np.frombuffer(change, np.float32).reshape(each, width)
+        for block, (uses, change) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([part]), pa.array([uses.tobytes()], pa.binary()), pa.array([change.astype(np.float32).tobytes()], pa.binary())], ["block", "part", "uses", "change"])
+
+    for turn in range(rounds):
+        sent = spark.sparkContext.broadcast((lexicon, model))
 
         def update(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             words_, start = sent.value
-            w, square, seen = start.copy(), np.full((BUCKETS, 1), 1e-2, np.float32), 0
+            here = Model(words_.table)
+            here.weights = [w.copy() for w in start.weights]
+            square = [np.full(BUCKETS, 1e-1, np.float32) for _ in here.weights]
+            uses = np.zeros((BUCKETS, 2))
             for batch in batches:
-                for _, _, data, offsets in groups(batch.column("text")):
-                    t = tokenize(data, offsets, words_)
-                    features = histories(t)
-                    for k in range(0, len(t.code), 512):
-                        at = np.arange(k, min(k + 512, len(t.code)))
-                        buckets = [x[at] for x in features]
-                        g = shares(w, buckets)
-                        g[np.arange(len(at)), t.group[at]] -= 1
-                        norm = (g * g).mean(axis=1)
-                        for b in buckets:
-                            which, inverse, number = np.unique(b, return_inverse=True, return_counts=True)
-                            total = np.add.reduceat(g[np.argsort(inverse, kind="stable")], np.concatenate([[0], np.cumsum(number)[:-1]]), axis=0)
-                            square[which, 0] += np.bincount(inverse, norm).astype(np.float32)
-                            w[which] -= rate / np.sqrt(square[which]) * total / np.sqrt(number)[:, None].astype(np.float32)
-                        seen += len(at)
-            if seen:
+                for _, _, code, edge in coded(batch.column("codes")):
+                    group, place, _ = words_.of_codes(code)
+                    features = histories(code, group, positions(edge))
+                    for x in range(0, len(code), BATCH):
+                        at = slice(x, x + BATCH)
+                        for k, base, chosen in ((0, np.zeros(len(code[at]), np.int64), group[at]), (1, group[at], place[at])):
+                            rows, number, total = here.gradient(k, features[k][:, at], base, chosen)
+                            square[k][rows] += np.einsum("ij,ij->i", total, total)
+                            here.weights[k][rows] -= (rate / np.sqrt(square[k][rows]))[:, None] * total
+                            uses[rows, k] += number
+            if uses.any():
+                for k in range(BLOCKS):
+                    part = slice(k * each, (k + 1) * each)
+                    change = np.concatenate([(a[part] - b[part]) * uses[part, i : i + 1] for i, (a, b) in enumerate(zip(here.weights, start.weights, strict=True))], axis=1).astype(np.float32)
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([0]), pa.array([uses[part].tobytes()], pa.binary()), pa.array([change.tobytes()], pa.binary())], ["block", "part", "uses", "change"])
+
+        now = texts.filter(F.pmod(F.xxhash64("row"), F.lit(rounds)) == turn) if rounds > 1 else texts
+        changes = now.select("codes").mapInArrow(update, schema).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(16)).cast("long"))
+        changes = changes.repartition("block", "part").mapInArrow(summed, schema).repartition("block").mapInArrow(summed, schema)
+        for r in changes.collect():  # one row for each block
+            part = slice(r["block"] * each, (r["block"] + 1) * each)
+            uses = np.maximum(np.frombuffer(r["uses"], np.float64).reshape(each, 2), 1e-9)
+            change = np.frombuffer(r["change"], np.float32).reshape(each, width)
+            model.weights[0][part] += (change[:, :CLASSES] / uses[:, :1]).astype(np.float32)
+            model.weights[1][part] += (change[:, CLASSES:] / uses[:, 1:]).astype(np.float32)
+        sent.unpersist()
+    return model
+
+
+def encoded(docs: DataFrame, lexicon: Lexicon, id_col: str, text_col: str, folds: int, held: int) -> DataFrame:
+    """A written row for each row of ``docs``: a number ``row``, ``id``, ``train``, the codes of its tokens, and its rare words with their uses."""
+    sent = docs.sparkSession.sparkContext.broadcast(lexicon)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in groups(batch.column("text")):
+                name, edge = tokenize(data, offsets)
+                code = sent.value.encode(name)
+                owner = np.repeat(np.arange(b - a), np.diff(edge))
+                rare = code >= RARE
+                h, own = name[rare], owner[rare]
+                order = np.lexsort([h, own])
+                h, own = h[order], own[order]
+                first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])])) if len(h) else np.zeros(0, np.int64)
+                cut = pa.array(np.searchsorted(own[first], np.arange(b - a + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(BLOCKS)), pa.array(np.full(BLOCKS, seen)), pa.array([(w[k * each : (k + 1) * each] - start[k * each : (k + 1) * each]).tobytes() for k in range(BLOCKS)], pa.binary())],
-                    ["block", "seen", "change"],
+                    [
+                        *[batch.column(c).slice(a, b - a) for c in ("id", "train")],
+                        pa.array([code[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary()),
+                        pa.ListArray.from_arrays(cut, pa.array(signed(h[first]))),
+                        pa.ListArray.from_arrays(cut, pa.array(np.diff(first, append=len(h)))),
+                    ],
+                    ["id", "train", "codes", "rare", "uses"],
                 )
 
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict[int, list] = {}
-            for batch in batches:
-                for block, seen, change in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    old = total.setdefault(block, [0, np.zeros(each * CLASSES)])
-                    old[0] += seen
-                    old[1] += np.frombuffer(change, np.float32).astype(np.float64) * seen
-            if total:
-                yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v[0] for v in total.values()]), pa.array([(v[1] / v[0]).astype(np.float32).tobytes() for v in total.values()], pa.binary())], ["block", "seen", "change"])
-
-        schema = "block long, seen long, change binary"
-        for r in texts.select("text").mapInArrow(update, schema).repartition("block").mapInArrow(add, schema).collect():
-            weights[r["block"] * each : (r["block"] + 1) * each] += np.frombuffer(r["change"], np.float32).reshape(each, CLASSES)
-    return weights
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("train", in_training("id", folds, held))
+    rows = rows.mapInArrow(run, f"id {kind}, train boolean, codes binary, rare array<long>, uses array<long>")
+    # numbers are given once and written; nothing is computed from them before
+    return written(rows.withColumn("row", F.monotonically_increasing_id()))
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, rounds: int = 2, rate: float = 0.1) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, rounds: int = 2, rate: float = 0.5) -> DataFrame:
     """One row for each document: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
     Learns from rows whose crc32(id as text) mod ``folds`` is not ``held``; a null id counts as the empty
     text. Tokens are words with A-Z made small, then one end; a null or empty text is its end alone. Both
     scores are log10 of the whole text's probability: ``base_score`` by word counts with one added,
     ``score`` by the model. A word that training never saw counts as the one unseen word of its class.
-    Repeated rows count one by one and score alike. Without training rows the base score is 0. An empty
-    table gives an empty result. Other columns are not read.
+    Very long texts are scored whole, a batch of places at a time. Ids of any type do, also several rows
+    of one id. Repeated rows count one by one and score alike. Without training rows the base score
+    is 0. An empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
-    keys = keyed(docs, id_col, text_col).withColumn("train", in_training("id", folds, held))
-    learn = keys.filter("train")
-    known = frequent_words(learn)
-    sent = spark.sparkContext.broadcast(known)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, classes = np.zeros(len(sent.value.keys), np.int64), np.zeros(len(sent.value.keys), np.int64)
-        names = ["h", "doc", "at", "frequent"]
-        for batch in batches:
-            doc, tag = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
-            train = batch.column("train").to_numpy(zero_copy_only=False)
-            for a, b, data, offsets in groups(batch.column("text")):
-                t = tokenize(data, offsets, sent.value)
-                frequent = t.rank >= 0
-                total += np.bincount(t.rank[frequent & train[a:b][t.owner]], minlength=len(total))
-                classes[t.rank[frequent]] = t.group[frequent]
-                code, owner, group = t.code[~frequent], t.owner[~frequent], t.group[~frequent]
-                order = np.lexsort([code, owner])
-                code, owner, group = code[order], owner[order], group[order]
-                if len(code):
-                    first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])]))
-                    number, row = np.diff(first, append=len(code)), a + owner[first]
-                    at = number << 33 | train[row].astype(np.int64) << 32 | group[first] << 24 | tag[row]
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(code[first])), pa.array(doc[row]), pa.array(at), pa.array(np.zeros(len(at), bool))], names)
-        ranks = np.flatnonzero(total)
-        back = np.empty(len(total), np.int64)
-        back[sent.value.rank] = np.arange(len(total))
-        group = np.where(ranks < OWN, ranks, classes[ranks])
-        yield pa.RecordBatch.from_arrays([pa.array(signed(sent.value.keys[back[ranks]])), pa.array(ranks), pa.array(total[ranks] << 33 | 1 << 32 | group << 24), pa.array(np.ones(len(ranks), bool))], names)
-
-    rows = keys.select("doc", "tag", "text", "train").mapInArrow(count, "h long, doc long, at long, frequent boolean")
-    n, by_word = F.shiftright("at", 33), Window.partitionBy("h")
-    rows = rows.repartition("h").sortWithinPartitions("h", "doc", "at")
-    rows = rows.withColumn("c", F.sum(n * F.shiftright("at", 32).bitwiseAND(1)).over(by_word)).withColumn("nth", F.row_number().over(by_word.orderBy("doc", "at")))
-    group = F.shiftright("at", 24).bitwiseAND(255)
-    zero = F.lit(0).cast("long")
-    item = lambda kind, x, y, s, k, v, c: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), s.alias("s"), k.alias("k"), v.alias("v"), c.alias("c"))
-    own = F.when(~F.col("frequent"), item(0, F.col("doc"), F.col("at").bitwiseAND(0xFFFFFF), n * F.log10(F.col("c") + 1), F.when(F.col("c") > 0, n).otherwise(zero), zero, zero))
-    word = F.when(F.col("frequent"), item(1, F.col("doc"), zero, F.lit(0.0), zero, zero, n))
-    kind = F.when((F.col("nth") == 1) & (F.col("c") > 0), item(2, group, zero, F.lit(0.0), zero, F.lit(1).cast("long"), F.col("c")))
-    sums = rows.select(F.explode(F.array_compact(F.array(own, word, kind))).alias("i")).select("i.*")
-    sums = written(sums.groupBy("kind", "x", "y").agg(*[F.sum(x).alias(x) for x in ("s", "k", "v", "c")]))
-    counts = np.zeros(len(known.keys), np.int64)  # by rank
-    for r in sums.filter("kind = 1").collect():
-        counts[r["x"]] = r["c"]
-    mass, types = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for r in sums.filter("kind = 2").collect():
-        mass[r["x"]], types[r["x"]] = r["c"], r["v"]
-    weights = train(learn, known, rounds, rate)
-    model = spark.sparkContext.broadcast((known, weights, counts, np.log10(mass + types + 1.0)))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    counted = written(count_words(texts.filter(in_training("id", folds, held))))
+    lexicon = Lexicon.of(counted)
+    rows = encoded(docs, lexicon, id_col, text_col, folds, held)
+    uses = rows.filter(F.size("rare") > 0).select("row", F.inline(F.arrays_zip(F.col("rare").alias("h"), F.col("uses").alias("n"))))
+    found = uses.join(counted.filter(level_of() < lexicon.level).hint("merge"), "h", "left")
+    sums = found.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("s"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"))
+    model = train(rows.filter("train"), lexicon, rounds, rate)
+    sent = spark.sparkContext.broadcast((lexicon, model))
     kind_of = docs.schema[id_col].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_, w, c, whole = model.value
-        logs = np.log10(c + 1.0)
+        known, fitted = sent.value
+        others = known.types - np.bincount(known.group[known.place > 0], minlength=CLASSES)
+        whole = np.log10(known.table[:, 0] + others + 1.0)
         for batch in batches:
-            for a, b, data, offsets in groups(batch.column("text")):
-                t = tokenize(data, offsets, words_)
-                frequent = t.rank >= 0
-                share, features = np.empty(len(t.code)), histories(t)
-                for k in range(0, len(share), 1024):
-                    at = slice(k, k + 1024)
-                    share[at] = log_share(w, [x[at] for x in features], t.group[at]) / np.log(10.0) - whole[t.group[at]]
-                total = lambda x: np.bincount(t.owner, x, minlength=b - a)  # noqa: B023, E731
-                place = np.maximum(t.rank, 0)
+            for a, b, code, edge in coded(batch.column("codes")):
+                group, place, count = known.of_codes(code)
+                logs = np.where(count > 0, np.log10(np.maximum(count, 0) + 1.0), 0.0)
+                share = fitted.log_share(histories(code, group, positions(edge)), group, place) / np.log(10.0)
+                share += np.where(place == 0, logs - whole[group], 0.0)
+                total = lambda x: np.add.reduceat(x, edge[:-1])  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        *[batch.column(x).slice(a, b - a) for x in ("id", "doc", "tag")],
-                        pa.array(np.diff(t.first)),
-                        pa.array(total(np.where(frequent & (c[place] > 0), 1, 0)).astype(np.int64)),
-                        pa.array(total(np.where(frequent, logs[place], 0.0))),
-                        pa.array(total(share)),
-                    ],
-                    ["id", "doc", "tag", "n_tokens", "known", "logs", "shares"],
+                    [*[batch.column(c).slice(a, b - a) for c in ("row", "id", "train")], pa.array(np.diff(edge)), pa.array(total((count > 0).astype(np.int64))), pa.array(total(logs)), pa.array(total(share))],
+                    ["row", "id", "train", "n_tokens", "known", "logs", "shares"],
                 )
 
-    scored = written(keys.select("id", "doc", "tag", "text").mapInArrow(score, f"id {kind_of}, doc long, tag long, n_tokens long, known long, logs double, shares double"))
-    # the sums of rows alike in id and text lie under one key
-    rare = sums.filter("kind = 0").select(F.col("x").alias("doc"), F.col("y").alias("tag"), "s", "k")
-    scored = scored.withColumn("twins", F.count(F.lit(1)).over(Window.partitionBy("doc", "tag"))).join(rare.hint("merge"), ["doc", "tag"], "left")
-    logs = F.col("logs") + F.coalesce(F.col("s") / F.col("twins"), F.lit(0.0))
-    seen = F.col("known") + F.coalesce((F.col("k") / F.col("twins")).cast("long"), F.lit(0))
-    return scored.select(
+    scored = rows.select("row", "id", "train", "codes").mapInArrow(score, f"row long, id {kind_of}, train boolean, n_tokens long, known long, logs double, shares double")
+    out = written(scored).join(sums.hint("merge"), "row", "left")
+    s, k = F.coalesce("s", F.lit(0.0)), F.coalesce("k", F.lit(0))
+    return out.select(
         F.col("id").alias(id_col),
-        (~in_training("id", folds, held)).alias("held_out"),
+        (~F.col("train")).alias("held_out"),
         "n_tokens",
-        seen.cast("long").alias("n_known"),
-        F.lit(int(mass.sum())).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * float(np.log10(mass.sum() + types.sum() + 1.0))).alias("base_score"),
-        (logs + F.col("shares")).alias("score"),
+        (F.col("known") + k).cast("long").alias("n_known"),
+        F.lit(int(lexicon.mass.sum())).cast("long").alias("train_tokens"),
+        (F.col("logs") + s - F.col("n_tokens") * float(np.log10(lexicon.mass.sum() + lexicon.types.sum() + 1.0))).alias("base_score"),
+        (F.col("shares") + s).alias("score"),
     )
