@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a new temporary one only where it is unset (tests)."""
+    """The folder named in ``spark.checkpoint.dir``; where it is unset, a new temporary one in local mode (tests).
+
+    On a cluster the setting is needed: executors do not see each other's folders.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         folder = "file://" + tempfile.mkdtemp(prefix="gradeloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
