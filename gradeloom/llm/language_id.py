@@ -15,9 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gradeloom.llm.tokens import LOWER, groups
+from gradeloom.plans.columns import packed, unpacked
 
 WINDOW = 64
 LETTER = re.compile(r"[^\W\d_]")
@@ -136,21 +136,30 @@ def held_out(id_col: str, folds: int) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int = 5, each: int = 500, pieces: int = 6, hidden: int = 8, epochs: int = 8, seed: int = 11) -> tuple[Network | None, list[str]]:
-    """Train on at most ``each`` documents of a language, ``pieces`` windows spread over each whole text."""
-    size = F.greatest(F.lit(0), F.length(text_col) - WINDOW)
-    part = [F.substring(F.col(text_col), (size * (k / max(1, pieces - 1))).cast("int") + 1, F.lit(WINDOW)) for k in range(pieces)]
-    rows = (
-        docs.filter(~held_out(id_col, folds) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-        .select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(seed), id_col).alias("h"), F.array(*part).alias("parts"))
-        .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "parts")))
-        .filter(F.col("n") <= each)
-        .select("lang", "n", "parts")
-        .collect()
-    )
+    """Train on at most ``each`` documents of a language, ``pieces`` windows spread over each whole text.
+
+    The documents are those with the least hash of id and text. Those of each language are counted first, so
+    that only little more than needed comes to the driver.
+    """
+    size = F.greatest(F.lit(0), F.length("text") - WINDOW)
+    part = [F.substring(F.col("text"), (size * (k / max(1, pieces - 1))).cast("int") + 1, F.lit(WINDOW)) for k in range(pieces)]
+    rows = docs.select(held_out(id_col, folds).alias("held"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.filter(~F.col("held") & F.col("lang").isNotNull() & (F.length("text") > 0))
+    number = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row for each language
+    if not number:
+        return None, []
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in number.items() for x in (lang, min(1.0, (each + 4 * each**0.5 + 16) / n))]), F.col("lang"))
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "id", "text"))
+    found = rows.filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).select("lang", F.pmod("h", F.lit(1 << 30)).alias("h"), F.array(*part).alias("parts")).collect()
+    by_lang: dict[str, list] = {}
+    for r in sorted(found, key=lambda r: (r["lang"], r["h"], r["parts"])):
+        kept = by_lang.setdefault(r["lang"], [])
+        if len(kept) < each:
+            kept.append(r)
+    rows = [r for kept in by_lang.values() for r in kept]
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return None, []
-    rows.sort(key=lambda r: (r["lang"], r["n"]))
     texts = [(x.encode()[:WINDOW], langs.index(r["lang"])) for r in rows for x in r["parts"] if x]
     raw = np.frombuffer(b"".join(x for x, _ in texts), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(x) for x, _ in texts])])
@@ -160,9 +169,9 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int =
     return net, langs
 
 
-def predict(docs: DataFrame, net: Network | None, langs: list[str], id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with ``lang_pred`` and ``score``."""
-    fields = [docs.schema[c] for c in keep]
+def predict(docs: DataFrame, net: Network | None, langs: list[str], keep: str) -> DataFrame:
+    """Column ``keep`` of ``docs`` with ``lang_pred`` and ``score`` of its column ``text``."""
+    kind = docs.schema[keep].dataType.simpleString()
 
     def label(text: pa.Array) -> tuple[pa.Array, pa.Array]:
         names, scores = [], []
@@ -185,11 +194,9 @@ def predict(docs: DataFrame, net: Network | None, langs: list[str], id_col: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            name, score = label(batch.column(len(keep)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], name, score], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *label(batch.column(1))], [keep, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(keep, "text").mapInArrow(run, f"{keep} {kind}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5) -> DataFrame:
@@ -198,15 +205,16 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Learns from rows with a language whose crc32(id as text) mod ``folds`` is not 0; a null id counts as
     the empty text and is held out. ``lang_pred`` is a learned language, or ``und`` with score 0 where
     the text is null or has no letter, or where there is nothing to learn from. Equal probabilities go
-    to the first language by name. Repeated rows are judged alike. An empty table gives an empty result.
-    Other columns are not read.
+    to the first language by name. Very long texts are read whole, window by window. Repeated rows are judged alike.
+    An empty table gives an empty result. Other columns are not read.
     """
     net, langs = fit(docs, id_col, text_col, lang_col, folds)
-    marked = docs.select(id_col, text_col).withColumn("held_out", held_out(id_col, folds))
-    return predict(marked, net, langs, id_col, text_col, [id_col, "held_out"])
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), held_out(id_col, folds).alias("held_out")).alias("row"), F.col(text_col).cast("string").alias("text"))
+    return predict(rows, net, langs, "row").select(F.col("row.id").alias(id_col), "row.held_out", "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Rows of ``docs`` whose language is known with at least this score; all columns stay."""
+    """Rows of ``docs`` whose language is known with at least this score; all columns stay, whatever their names."""
     net, langs = fit(docs, id_col, text_col, lang_col)
-    return predict(docs, net, langs, id_col, text_col, docs.columns).filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    rows = packed(docs).withColumn("text", F.col("row").getField(text_col).cast("string"))
+    return unpacked(predict(rows, net, langs, "row").filter((F.col("lang_pred") != "und") & (F.col("score") >= least)))
