@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gradeloom.llm.tokens import LOWER, U64, groups, mix, word_hashes, words
 
@@ -27,6 +28,8 @@ SIMILARITY = 0.8
 MASKS = ((0, 1, 3, 5, 6, 7), (0, 1, 2, 5, 6, 9))
 #: The most test words that are broadcast at a time; a larger benchmark is searched in blocks of this size.
 BLOCK_WORDS = 1_000_000
+#: Meetings of seeds that are expanded at a time; the different placings of an item on a text are what is kept of them.
+PAIRS = 1 << 18
 
 
 def tolerated(length: int) -> int:
@@ -56,8 +59,8 @@ class TestSet:
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
-        self.items: list[tuple[int | None, np.ndarray]] = []
+    def __init__(self, items: list[tuple[object, str | None]]):
+        self.items: list[tuple[object, np.ndarray]] = []
         found: dict[tuple[int, ...], dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for name, text in items:
             data = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
@@ -90,8 +93,11 @@ class TestSet:
             real = (keys[place] == mine[at]) & (owner[at] == owner[np.minimum(at + mask[-1], len(owner) - 1)])
             at, place = at[real], place[real]
             count = ends[place] - np.concatenate([[0], ends])[place]
-            row = np.repeat(ends[place] - count, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-            pairs.append(np.stack([which[row, 0], np.repeat(at, count) - which[row, 1], np.repeat(owner[at], count)], axis=1))
+            border = np.searchsorted(np.cumsum(count), np.arange(PAIRS, int(count.sum()) + PAIRS, PAIRS), side="left") + 1
+            for x, y in zip(np.concatenate([[0], border])[:-1].astype(np.int64), border, strict=True):  # seeds with many places on both sides: a portion at a time
+                n = count[x:y]
+                row = np.repeat(ends[place[x:y]] - n, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+                pairs.append(np.unique(np.stack([which[row, 0], np.repeat(at[x:y], n) - which[row, 1], np.repeat(owner[at[x:y]], n)], axis=1), axis=0))
         if not pairs:
             return []
         pairs = np.unique(np.concatenate(pairs), axis=0)
@@ -122,7 +128,7 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int
     part = F.pmod(F.xxhash64(F.col(item_col).cast("string"), text_col), F.lit(number))
     for k in range(number):
         rows = benchmark.filter(part == k).select(item_col, text_col).collect()
-        yield TestSet(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
+        yield TestSet(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, "" if r[0] is None else f"{r[0]:020d}" if isinstance(r[0], int) else str(r[0]), r[1] or "")))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -131,13 +137,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     Columns: the document's id and the item's, ``start`` (word of the document where the item's first
     word would lie; negative if it lies before), ``stretch`` (words compared), ``agreed`` (of them, those
     that agree), ``shared`` (words that agree over the whole item) and ``item_words``. Letters A-Z are
-    made small first. Null or blank texts and items never overlap. Repeated rows give their rows again; ids may be
+    made small first. Ids of both sides may be of any type. Null or blank texts and items never overlap. Repeated rows give their rows again; ids may be
     null. An empty benchmark or table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    schema = f"{id_col} {kinds[0]}, {item_col} {kinds[1]}, start long, stretch long, agreed long, shared long, item_words long"
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
+    schema = f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}, start long, stretch long, agreed long, shared long, item_words long"
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("decontaminated_text"))
     out = None
     for tests in blocks(benchmark, item_col, item_text_col, block_words):
         sent = spark.sparkContext.broadcast(tests)
@@ -155,7 +162,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                         yield pa.RecordBatch.from_arrays(
                             [
                                 batch.column(0).take(pa.array([a + h[0] for h in found])),
-                                pa.array([test.items[h[1]][0] for h in found], pa.int64()),
+                                pa.array([test.items[h[1]][0] for h in found], item_type),
                                 pa.array([h[2] for h in found], pa.int64()),
                                 pa.array([min(STRETCH, n) for n in size], pa.int64()),
                                 pa.array([h[3] for h in found], pa.int64()),

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gradeloom.plans.columns import packed
 from gradeloom.plans.durable import written
 
 
@@ -67,14 +68,16 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id
 
 
 def sharded(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", seed: int = 20240601) -> DataFrame:
-    """All rows and columns of ``docs`` with their ``shard`` and ``slot``. Write it with ``partitionBy("shard")``.
+    """All rows and columns of ``docs`` with their ``shard`` and ``slot``, which take the place of columns of these names.
 
     The rows travel once: decisions join them by id, checksum and the number among rows alike in both.
+    Write the result with ``partitionBy("shard")``.
     """
-    where = shuffle_into_shards(docs, shards, id_col, text_col, seed).select(F.col(id_col).alias("_of"), F.col("text_crc32").alias("_sum"), "shard", "slot")
-    where = where.withColumn("_turn", F.row_number().over(Window.partitionBy("_of", "_sum").orderBy("shard", "slot")))
-    marked = docs.withColumns({"_id": F.col(id_col), "_crc": F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))})
-    marked = marked.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_crc").orderBy(F.lit(0))))
-    same = F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_crc") == F.col("_sum")) & (F.col("_nth") == F.col("_turn"))
-    kept = [c for c in docs.columns if c not in ("shard", "slot")]
-    return marked.drop("shard", "slot").join(where.hint("merge"), same).select(*kept, "shard", "slot")
+    where = shuffle_into_shards(docs, shards, id_col, text_col, seed).select(F.col(id_col).alias("of"), F.col("text_crc32").alias("sum"), "shard", "slot")
+    where = where.withColumn("turn", F.row_number().over(Window.partitionBy("of", "sum").orderBy("shard", "slot")))
+    text = F.coalesce(F.col("row").getField(text_col), F.lit("")).cast("binary")
+    marked = packed(docs).select("row", F.col("row").getField(id_col).alias("id"), F.crc32(text).alias("crc"))
+    marked = marked.withColumn("nth", F.row_number().over(Window.partitionBy("id", "crc").orderBy(F.lit(0))))
+    same = F.col("id").eqNullSafe(F.col("of")) & (F.col("crc") == F.col("sum")) & (F.col("nth") == F.col("turn"))
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("shard", "slot")]
+    return marked.join(where.hint("merge"), same).select(*kept, "shard", "slot")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gradeloom.plans.columns import packed, unpacked
 from gradeloom.plans.durable import written
 
 #: Fixed values of the mix: weights of the sources in turn, share of all words, and most copies of a document.
@@ -99,8 +100,8 @@ def plan(lengths: pd.DataFrame) -> pd.DataFrame:
 
 
 def quotas(rows: DataFrame, kind: str) -> DataFrame:
-    """How many rows of each (source, size, salt) to take, from the numbers of rows ``_source, _size, _salt``."""
-    salted = written(rows.groupBy(F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_salt").alias("salt")).agg(F.count(F.lit(1)).alias("rows")))
+    """How many rows of each (source, size, salt) to take."""
+    salted = written(rows.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("rows")))
     goal = targets(salted.select("source", (F.col("size") * F.col("rows")).alias("size")))
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = goal.withColumn("budget", (F.round("target") - F.col("whole") * F.col("source_size")).cast("long")).withColumnRenamed("source", "of")
@@ -111,22 +112,23 @@ def quotas(rows: DataFrame, kind: str) -> DataFrame:
     before = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     quota = salted.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
     quota = quota.join(chosen.hint("merge"), F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("length")))
-    return quota.select("source", "size", "salt", "whole", "source_size", "target", (F.col("take") - F.col("before")).alias("quota"))
+    return quota.select(F.col("source").alias("of"), F.col("size").alias("length"), F.col("salt").alias("grain"), "whole", "source_size", "target", (F.col("take") - F.col("before")).alias("quota"))
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """``docs`` with the source, the size in words, a seeded draw and a salt of each row."""
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    draw = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(source_col))
-    rows = docs.withColumns({"_source": F.col(source_col), "_size": size, "_draw": draw})
-    return rows.withColumn("_salt", F.pmod(F.shiftright("_draw", 20), F.lit(SALTS)).cast("int"))
+    """Each row in a struct ``row`` with its ``id``, ``source``, ``size`` in words, a seeded ``draw`` and a ``salt``."""
+    of = lambda c: F.col("row").getField(c)
+    size = F.coalesce(F.regexp_count(of(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    draw = F.xxhash64(F.lit(seed), of(id_col).cast("string"), of(source_col))
+    rows = packed(docs).select("row", of(id_col).alias("id"), of(source_col).alias("source"), size.alias("size"), draw.alias("draw"))
+    return rows.withColumn("salt", F.pmod(F.shiftright("draw", 20), F.lit(SALTS)).cast("int"))
 
 
-def with_copies(rows: DataFrame, quota: DataFrame, id_col: str) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("_source", "_size", "_salt").orderBy("_draw", id_col))
-    same = F.col("_source").eqNullSafe(F.col("source_")) & (F.col("_size") == F.col("size_")) & (F.col("_salt") == F.col("salt_"))
-    out = rows.withColumn("_nth", nth).join(quota.withColumnsRenamed({c: f"{c}_" for c in quota.columns}).hint("merge"), same)
-    return out.withColumn("_copies", F.col("whole_") + (F.col("_nth") <= F.col("quota_")).cast("long"))
+def with_copies(rows: DataFrame, quota: DataFrame) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("draw", "id"))
+    same = F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("length")) & (F.col("salt") == F.col("grain"))
+    out = rows.withColumn("nth", nth).join(quota.hint("merge"), same)
+    return out.withColumn("copies", F.col("whole") + (F.col("nth") <= F.col("quota")).cast("long"))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 5) -> DataFrame:
@@ -135,19 +137,17 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``taken`` is the size times the copies in the mix: 0, 1 or 2. A null or blank text has size 0 and adds
     nothing. A null source is a source of its own, the last one. Rows alike in id, source and size
     count one by one; which of them is taken cannot be told apart. A table without words has targets 0.
+    The knapsack's memory grows with the longest text's words (some 40 bytes each). Ids may be of any type.
     An empty table gives an empty result. Other columns are not read.
     """
-    rows = written(sized(docs.select(id_col, text_col, source_col), id_col, text_col, source_col, seed).drop(text_col))
-    out = with_copies(rows, quotas(rows, docs.schema[source_col].dataType.simpleString()), id_col)
-    return out.select(
-        id_col, F.col("_source").alias(source_col), F.col("_size").alias("size"), F.col("source_size_").alias("source_size"), F.col("target_").alias("target"),
-        (F.col("_size") * F.col("_copies")).alias("taken"), F.col("_copies").alias("copies"),
-    )
+    rows = written(sized(docs.select(id_col, text_col, source_col), id_col, text_col, source_col, seed).drop("row"))
+    out = with_copies(rows, quotas(rows, docs.schema[source_col].dataType.simpleString()))
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 5) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken, with all its columns."""
+    """The mix itself: every row of ``docs`` as often as it is taken, with all its columns, whatever their names."""
     rows = sized(docs, id_col, text_col, source_col, seed)
-    counted = written(rows.select("_source", "_size", "_salt"))
-    out = with_copies(rows, quotas(counted, docs.schema[source_col].dataType.simpleString()), id_col)
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    counted = written(rows.select("source", "size", "salt"))
+    out = with_copies(rows, quotas(counted, docs.schema[source_col].dataType.simpleString()))
+    return unpacked(out.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))))
