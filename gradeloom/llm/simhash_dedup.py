@@ -16,13 +16,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.repeats import NO_ID, keyed, text_tag
 from gradeloom.llm.tokens import LOWER, U64, Rolling, groups, mix, signed, word_hashes, words
 from gradeloom.operators.components import connected_components
 from gradeloom.operators.hot_keys import look_up
+from gradeloom.plans.columns import packed, unpacked
 from gradeloom.plans.durable import written
 
 #: A bucket with more members is cut again by its other bits, so that no task gets more of one bucket.
@@ -250,8 +250,14 @@ def bucket_pairs(bucket: np.ndarray, fp: np.ndarray, number: np.ndarray, place:
         yield tuple(np.unique(np.concatenate(found, axis=1), axis=1))
 
 
+def keyed(name: Column, text: Column) -> list[Column]:
+    """``doc`` and ``tag``: 128 bits of hashes of a row's id and text. Rows alike in both are one."""
+    parts = name.cast("string"), F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(F.lit(1), *parts).alias("doc"), F.xxhash64(F.lit(2), *parts[::-1]).alias("tag")]
+
+
 def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:
-    """``doc`` and ``tag`` of each text, with the ``root`` of its group.
+    """``doc`` (the id) and ``key`` (hashes of id and text) of each text, with the ``root`` of its group.
 
     A link joins two texts whose sets of shingles have this Jaccard similarity or more; no such pair is
     missed at any size. Sets alike are one node. Two sets of the similarity share one of their first
@@ -261,7 +267,8 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int, simil
     and the sets themselves decide about the others.
     """
     spark = docs.sparkSession
-    keys = keyed(docs, id_col, text_col).select("doc", "tag", "text")
+    id_kind = docs.schema[id_col].dataType.simpleString()
+    keys = docs.select(*keyed(F.col(id_col), F.col(text_col)), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     none = (np.zeros(0, U64), np.zeros(0, np.int64))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,9 +292,9 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int, simil
                 first, cut = prefixes(value, edge, similarity, *sent.value)
                 lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(signed(first)))
                 sketch = pa.array(set_sketches(value, edge), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, b - a), batch.column("tag").slice(a, b - a), pa.array(signed(set_names(value, edge))), pa.array(np.diff(edge)), lists, sketch], ["doc", "tag", "fp", "size", "first", "sketch"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in ("doc", "tag", "id")], pa.array(signed(set_names(value, edge))), pa.array(np.diff(edge)), lists, sketch], ["doc", "tag", "id", "fp", "size", "first", "sketch"])
 
-    marked = written(keys.mapInArrow(mark, "doc long, tag long, fp long, size long, first array<long>, sketch binary"))
+    marked = written(keys.mapInArrow(mark, f"doc long, tag long, id {id_kind}, fp long, size long, first array<long>, sketch binary"))
     nodes = marked.groupBy("fp").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("doc", "tag")).alias("text"), *[F.first(c).alias(c) for c in ("size", "first", "sketch")])
     nodes = written(nodes)
     rows = nodes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
@@ -340,7 +347,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int, simil
         slots = np.zeros(SLOTS // 8, np.uint8)
         for r in named.groupBy(F.floor(slot / 32768).alias("part")).agg(F.bitmap_construct_agg(slot % 32768).alias("bits")).collect():
             slots[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
-        sets = keys.withColumn("slot", slot).mapInArrow(full(slots), "doc long, tag long, set binary")
+        sets = keys.drop("id").withColumn("slot", slot).mapInArrow(full(slots), "doc long, tag long, set binary")
         return written(sets.join(named.hint("merge"), ["doc", "tag"]).select("fp", "set").dropDuplicates(["fp"]))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,18 +382,20 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int, simil
     links = links.unionByName(verified(apart.select("m").mapInArrow(others, "a long, b long")))
     roots = connected_components(links)
     rooted = written(nodes.select("fp", "_n").join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "_n", F.coalesce("root", "fp").alias("root")))
-    return look_up(marked.select("doc", "tag", "fp"), rooted, "fp", rows).select("doc", "tag", "root")
+    return look_up(marked.select("doc", "tag", "id", "fp"), rooted, "fp", rows).select(F.col("id").alias("doc"), F.struct("doc", "tag").alias("key"), "root")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """Keep one row of each group of texts that are alike at this similarity of word shingles: that of the smallest id.
 
-    A null id counts as the smallest; among rows of one id the text's checksum decides, and rows alike
-    in id and text are one. Null, empty and blank texts are one group. All columns of ``docs`` stay.
+    A null id counts as the smallest; among rows of one id a hash of the text decides, and of rows alike
+    in id and text the one first by its columns written as JSON. Null, empty and blank texts are one
+    group. All columns of ``docs`` stay, whatever their names. Ids may be of any type that has an order.
     """
     groups = written(similar_groups(docs, id_col, text_col, size, similarity))
-    kept = groups.groupBy("root").agg(F.min(F.struct("doc", "tag")).alias("first")).select("first.*")  # folded before the shuffle
-    marked = docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_tag": text_tag(text_col)})
-    out = marked.join(kept.select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).hint("shuffle_hash"), ["_doc", "_tag"], "left_semi").drop("_doc", "_tag")
-    twins = groups.groupBy("doc", "tag").count().filter("count > 1")
-    return out if twins.isEmpty() else out.dropDuplicates([id_col, text_col])
+    kept = groups.groupBy("root").agg(F.min(F.struct("doc", "key")).alias("first")).select("first.key.*")  # folded before the shuffle
+    row = F.col("row")
+    marked = packed(docs).select("row", *keyed(row.getField(id_col), row.getField(text_col)))
+    out = marked.join(kept.hint("shuffle_hash"), ["doc", "tag"], "left_semi")
+    twins = groups.groupBy("key").count().filter("count > 1")
+    return unpacked(out if twins.isEmpty() else out.groupBy("doc", "tag").agg(F.min_by("row", F.to_json("row")).alias("row")))

@@ -12,7 +12,7 @@ and single windows under shared names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gradeloom.llm import repeats
-from gradeloom.llm.tokens import U64, Rolling, groups, mix, signed, word_hashes, words
+from gradeloom.llm.tokens import U64, Rolling, mix, word_hashes, words
 
 FAR = np.int64(1 << 40)
 NONE = U64(2**64 - 1)
@@ -117,66 +117,51 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     Returns the id, ``n_words``, ``n_removed``, ``kept_sha256`` and ``kept`` (the kept words joined by
     one space) for every row. Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. A null or empty text has no
     words, loses none and keeps the empty string. Texts shorter than a window lose nothing. A repeated
-    row is a second document with the same words, so both lose them. Null ids are allowed. An empty
-    table gives an empty result. Other columns are not read.
+    row is a second document with the same words, so both lose them. Ids may be null, repeated and of any
+    type. A very long text is one row of one task, read whole. An empty table gives an empty result. Other columns are not read.
     """
     if not 2 <= window <= 127:
         raise ValueError("window must be between 2 and 127 words")
-    keys = repeats.keyed(docs, id_col, text_col)
+    small = repeats.stored(docs, id_col, text_col)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, tag = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
-            for a, b, data, offsets in groups(batch.column("text")):
+            row = batch.column("row").to_numpy()
+            for a, b, data, offsets in repeats.opened(batch.column("small"), 1 << 21):
                 starts, ends, text = words(data, offsets)
                 name, content, start, count = anchored_runs(word_hashes(data, starts, ends), text, window)
                 if len(start):
                     owner = text[start]
-                    at = repeats.packed_place(start - first_word(text, b - a)[owner], count, tag[a + owner])
-                    doc_of = doc[a + owner]
-                    first, company = repeats.repeated_inside(owner, name, content)
-                    # one run stands for the text under the common name; all of them are known to repeat
-                    alone = mix(name ^ mix(doc_of.view(U64) ^ at.view(U64)))
-                    name, content, doc_of = (np.concatenate([x[first], y[company]]) for x, y in ((name, alone), (content, content), (doc_of, doc_of)))
-                    at = np.concatenate([at[first], at[company] | repeats.KNOWN])
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(signed(content)), pa.array(doc_of), pa.array(at)], ["name", "content", "doc", "at"])
-
-    runs = repeats.sorted_runs(keys.select("doc", "tag", "text").mapInArrow(find, repeats.RUNS)).select("name", "doc", "at", "copies", "nth", "mixed", "known")
-    runs = repeats.written(runs.filter("known or copies > 1 or (mixed and nth = 1)"))
-    small = repeats.squeezed(keys)
-
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loose = zstandard.ZstdDecompressor()
-        for batch in batches:
-            names, places = repeats.lists(batch.column("name")), repeats.lists(batch.column("at"))
-            for doc, text, name, at in zip(batch.column("doc").to_pylist(), batch.column("small"), names, places, strict=True):
-                data = np.frombuffer(loose.decompress(text.as_py()), np.uint8)
-                begin, end, _ = words(data, np.array([0, len(data)]))
-                rolling = Rolling(word_hashes(data, begin, end))
-                first, count = repeats.unpacked(at)
-                start = np.repeat(first, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-                hashes = rolling.of(start, start + window)
-                place = repeats.packed_place(start, np.ones(len(start), np.int64), np.repeat(at & 0xFFFFFF, count))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, count)), pa.array(signed(hashes)), pa.array(np.full(len(start), doc)), pa.array(place)], ["name", "content", "doc", "at"])
-
-    alone = repeats.texts_with_places(small.select("doc", "tag", "small"), runs.filter("mixed and nth = 1"), ["name", "at"], "inner")
-    windows = alone.select("doc", "small", "name", "at").mapInArrow(single, repeats.RUNS)
-    again = windows.withColumn("uses", F.count(F.lit(1)).over(Window.partitionBy("name", "content"))).filter("uses > 1")
-    found = runs.filter("known or copies > 1").select("doc", "at").unionByName(again.select("doc", "at"))
+                    at = repeats.packed_place(start - first_word(text, b - a)[owner], count)
+                    first, more = repeats.company(name, content)
+                    yield repeats.runs_batch(name, content, row[a + owner], at, more, first)
+
+    runs = repeats.sorted_runs(small.select("row", "small").mapInArrow(find, repeats.RUNS), "row", "at")
+    runs = repeats.written(runs.filter("known or copies > 1 or (mixed and line = 1)").select("name", "row", "at", "copies", "line", "mixed", "known"))
+
+    def hashes(data: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        begin, end, _ = words(data, np.array([0, len(data)]))
+        rolling = Rolling(word_hashes(data, begin, end))
+        return lambda start: rolling.of(start, start + window)
+
+    windows = repeats.windows_of_runs(small, runs.filter("mixed and line = 1 and not known"), window, hashes, with_id=False)
+    again = windows.withColumn("uses", F.count(F.lit(1)).over(Window.partitionBy("name", "content"))).filter(repeats.is_known() | (F.col("uses") > 1))
+    found = runs.filter("known or copies > 1").select("row", "at").unionByName(again.select("row", "at"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loose = zstandard.ZstdDecompressor()
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
         for batch in batches:
-            total, removed, digest, kept = [], [], [], []
-            for text, at in zip(batch.column("small"), repeats.lists(batch.column("at")), strict=True):
-                parts = loose.decompress(text.as_py()).split()
+            rows, first, size = [], 0, 0
+            for k, at in enumerate(repeats.lists(batch.column("at"))):
+                parts = loose.decompress(batch.column("small")[k].as_buffer()).split()
                 gone = repeats.covered(at, window, len(parts))
-                left = b" ".join([parts[k] for k in np.flatnonzero(~gone)]) if len(at) else b" ".join(parts)
-                total.append(len(parts))
-                removed.append(int(gone.sum()))
-                digest.append(hashlib.sha256(left).hexdigest())
-                kept.append(left)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())], [id_col, "n_words", "n_removed", "kept_sha256", "kept"])
-
-    return repeats.texts_with_places(small, found, ["at"], "left").select("id", "small", "at").mapInArrow(cut, f"{id_col} {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
+                left = b" ".join([parts[j] for j in np.flatnonzero(~gone)] if len(at) else parts)
+                rows.append((len(parts), int(gone.sum()), hashlib.sha256(left).hexdigest(), left.decode()))
+                size += len(left)
+                if size > repeats.PORTION or k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, k + 1 - first), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]], [id_col, "n_words", "n_removed", "kept_sha256", "kept"])
+                    rows, first, size = [], k + 1, 0
+
+    return repeats.texts_with_places(small, found, ["at"], "left").select("id", "small", "at").mapInArrow(cut, f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string, kept string")

@@ -1,19 +1,20 @@
-"""Removal of repeated byte strings by prefix-free parsing.
+"""Removal of repeated byte strings by trigger-anchored windows.
 
 A rolling hash runs over the bytes; a place is a trigger if its hash is the least in some window of
-the length that counts, so every window holds one and equal windows hold the same one. Triggers cut
-each text into phrases that overlap by the trigger string, and no phrase is a prefix of another.
-The parse is counted over the corpus (``repeats.py``): phrases that occur once end there, stretches
-of phrases that repeat as a whole are settled together. What is left is the dictionary: one stretch
-for each different content under a shared trigger. Its suffixes are sorted byte by byte, and with
-the order of the texts they give the corpus order, in which equal strings are neighbours and the
-first of them is the earliest in the corpus.
+the length that counts, so every window holds one and equal windows hold the same one. Windows with
+one trigger are a phrase with its surroundings; the phrases are counted over the corpus
+(``repeats.py``): those that occur once end there, and those alike in all bytes are settled together.
+What is left is one phrase for each different content under a shared trigger, of which the single
+windows are compared, in the order of the texts' ids and places.
+
+This stands in for prefix-free parsing with suffix arrays: only equality of strings of one length matters here,
+so no order of suffixes is made. The README says why, with figures.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gradeloom.llm import repeats
-from gradeloom.llm.tokens import BYTE_CODE, U64, Rolling, groups, mix, signed
+from gradeloom.llm.tokens import BYTE_CODE, U64, Rolling
 
 TRIGGER = 32
-#: Names with more uses than this are compared by hashed windows, which need no group in one task.
-LARGE_NAME = 4096
-STRETCHES = "name long, doc long, at long, stretch binary"
 
 
 def least_in_windows(key: np.ndarray, length: int) -> np.ndarray:
@@ -70,127 +68,60 @@ def parsed_runs(data: np.ndarray, offsets: np.ndarray, size: int, trigger: int =
     return gram[at], rolling.of(start, start + count - 1 + size) ^ (at - start).astype(U64), start, count
 
 
-def in_corpus_order(name: np.ndarray, doc: np.ndarray, at: np.ndarray, data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of all strings of ``size`` bytes in these stretches, those with an equal one earlier in the corpus: text and place."""
-    first, count = repeats.unpacked(at)
-    which = np.repeat(np.arange(len(at)), count)
-    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    begin, place = offsets[which] + step, first[which] + step
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
-    columns = [np.ascontiguousarray(eight[begin + k]).view(">u8").ravel().astype(U64) for k in [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]]
-    owner, names = doc[which], name[which]
-    order = np.lexsort([place, owner, *columns[::-1], names])
-    same = np.ones(len(order) - 1, bool)
-    for column in (names, *columns):
-        same &= column[order[1:]] == column[order[:-1]]
-    later = order[1:][same]
-    return which[later], place[later]
-
-
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
     """Remove each byte that a string of ``length`` bytes covers which also starts earlier in the corpus.
 
-    Earlier means: in a text with a smaller id, or in the same text at an earlier place. A null id comes
-    before all others. Rows with one id and different texts are ordered by the place in the text; rows
-    alike in id and text are one text given twice, of which every copy is returned as the text itself
-    would be. Returns the id, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs),
+    Earlier means: in a text with a smaller id, or in the same text at an earlier place. Ids may be of any
+    type that has an order; a null id comes before all others. Rows with one id are ordered by the place in the
+    text, and at equal places none is earlier, so that of one row given twice each copy is returned as
+    the row itself would be. A very long text is one row of one task, read whole. Returns the id, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs),
     ``kept_sha256`` and ``kept`` (the bytes that stay) for every row. A null text is empty; empty texts
     and texts shorter than ``length`` lose nothing. An empty table gives an empty result. Other columns
     are not read.
     """
     if not TRIGGER + 8 <= length <= 127:
         raise ValueError(f"length must be between {TRIGGER + 8} and 127 bytes")
-    keys = repeats.keyed(docs, id_col, text_col)
+    small = repeats.stored(docs, id_col, text_col)
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, tag = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
-            for a, _, data, offsets in groups(batch.column("text"), 1 << 20):
+            row, ids = batch.column("row").to_numpy(), batch.column("id")
+            rank = repeats.ranks(ids)
+            for a, _, data, offsets in repeats.opened(batch.column("small"), 1 << 21):
                 name, content, start, count = parsed_runs(data, offsets, length)
                 if len(start):
                     owner = np.searchsorted(offsets, start, side="right") - 1
-                    at = repeats.packed_place(start - offsets[owner], count, tag[a + owner])
-                    first, _ = repeats.repeated_inside(owner, name, content)
-                    alone = mix(name ^ mix(doc[a + owner].view(U64) ^ at.view(U64)))
-                    name, at = np.where(first, name, alone), np.where(first, at, at | repeats.KNOWN)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(signed(content)), pa.array(doc[a + owner]), pa.array(at)], ["name", "content", "doc", "at"])
-
-    runs = repeats.sorted_runs(keys.select("doc", "tag", "text").mapInArrow(find, repeats.RUNS))
-    alike = Window.partitionBy("name", "content").orderBy("doc", "at")
-    # a copy of the same row (equal doc and place) is not earlier than itself
-    runs = runs.withColumn("nth", F.dense_rank().over(alike)).withColumn("twin", F.row_number().over(Window.partitionBy("name", "content", "doc", "at").orderBy("nth")))
-    runs = repeats.written(runs.filter("known or twin = 1 and (nth > 1 or mixed)").select("name", "doc", "at", "nth", "mixed", "uses", "known"))
-    small = repeats.squeezed(keys)
-    single = runs.filter("mixed and nth = 1").withColumn("large", (F.col("uses") > LARGE_NAME).cast("long"))
-
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loose = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for doc, text, name, at in zip(batch.column("doc").to_pylist(), batch.column("small"), repeats.lists(batch.column("name")), repeats.lists(batch.column("at")), strict=True):
-                data = loose.decompress(text.as_py())
-                first, count = repeats.unpacked(at)
-                pieces = [data[x : x + k - 1 + length] for x, k in zip(first.tolist(), count.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.full(len(at), doc)), pa.array(at), pa.array(pieces, pa.binary())], ["name", "doc", "at", "stretch"])
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stretches(batches):
-            name, doc, at = (batch.column(k).to_numpy() for k in range(3))
-            data, offsets = batch.column(3).cast(pa.large_binary()).buffers()[2], batch.column(3).cast(pa.large_binary()).buffers()[1]
-            data, offsets = np.frombuffer(data, np.uint8), np.frombuffer(offsets, np.int64)
-            first, count = repeats.unpacked(at)
-            which = np.repeat(np.arange(len(at)), count)
-            step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            content = Rolling(BYTE_CODE[data]).of(offsets[which] + step, offsets[which] + step + length)
-            place = repeats.packed_place(first[which] + step, np.ones(len(which), np.int64), at[which] & 0xFFFFFF)
-            yield pa.RecordBatch.from_arrays([pa.array(name[which]), pa.array(signed(content)), pa.array(doc[which]), pa.array(place)], ["name", "content", "doc", "at"])
-
-    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by name; whole names are taken together, several in one sort."""
-        held: list[pa.RecordBatch] = []
-
-        def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            if table.num_rows:
-                name, doc, at = (table.column(k).to_numpy() for k in range(3))
-                pieces = table.column(3).combine_chunks().cast(pa.large_binary())
-                _, offsets, data = pieces.buffers()
-                offsets = np.frombuffer(offsets, np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]
-                which, place = in_corpus_order(name, doc, at, np.frombuffer(data, np.uint8), offsets, length)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[which]), pa.array(repeats.packed_place(place, np.ones(len(place), np.int64), at[which] & 0xFFFFFF))], ["doc", "at"])
+                    place = start - offsets[owner]
+                    first, _ = repeats.company(name, content, (rank[a + owner], place))
+                    yield repeats.runs_batch(name, content, row[a + owner], repeats.packed_place(place, count), ~first, first, {"id": ids.take(pa.array(a + owner))})
 
-        for batch in batches:
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            names = table.column(0).to_numpy()
-            if table.num_rows >= LARGE_NAME and names[0] != names[-1]:
-                cut = int(np.flatnonzero(names != names[-1])[-1]) + 1
-                yield from settle(table.slice(0, cut))
-                held = table.slice(cut).combine_chunks().to_batches()
-        if held:
-            yield from settle(pa.Table.from_batches(held))
-
-    joined = repeats.texts_with_places(small.select("doc", "tag", "small"), single, ["name", "at", "large"], "inner")
-    pick = lambda large: joined.select("doc", "small", *[F.transform(F.filter(F.arrays_zip(F.col("name"), F.col("at"), F.col("large")), lambda x: x["large"] == large), lambda x: x[c]).alias(c) for c in ("name", "at")]).filter(F.size("at") > 0)
-    few = pick(0).mapInArrow(stretches, STRETCHES).repartition("name").sortWithinPartitions("name").mapInArrow(ordered, "doc long, at long")
-    many = pick(1).mapInArrow(hashed, repeats.RUNS)
-    many = many.withColumn("nth", F.row_number().over(Window.partitionBy("name", "content").orderBy("doc", "at"))).filter("nth > 1")
-    found = runs.filter("known or nth > 1").select("doc", "at").unionByName(few).unionByName(many.select("doc", "at"))
-    kind = docs.schema[id_col].dataType.simpleString()
+    runs = repeats.sorted_runs(small.select("row", "id", "small").mapInArrow(find, f"{repeats.RUNS}, id {kind}"), "id", "at")
+    # of copies of one row (equal id and place) none is earlier than the others
+    runs = repeats.written(runs.filter("known or nth > 1 or mixed").select("name", "row", "at", "nth", "mixed", "known"))
+
+    def hashes(data: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        rolling = Rolling(BYTE_CODE[data])
+        return lambda start: rolling.of(start, start + length)
+
+    windows = repeats.windows_of_runs(small, runs.filter("mixed and nth = 1 and not known"), length, hashes, with_id=True)
+    again = windows.withColumn("nth", F.dense_rank().over(Window.partitionBy("name", "content").orderBy("id", "at"))).filter(repeats.is_known() | (F.col("nth") > 1))
+    found = runs.filter("known or nth > 1").select("row", "at").unionByName(again.select("row", "at"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loose = zstandard.ZstdDecompressor()
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         for batch in batches:
-            total, removed, spans, digest, kept = [], [], [], [], []
-            for text, at in zip(batch.column("small"), repeats.lists(batch.column("at")), strict=True):
-                left = loose.decompress(text.as_py())
-                total.append(len(left))
-                gone = repeats.covered(at, length, len(left))
+            rows, first, size = [], 0, 0
+            for k, at in enumerate(repeats.lists(batch.column("at"))):
+                left = loose.decompress(batch.column("small")[k].as_buffer())
+                total, gone = len(left), repeats.covered(at, length, len(left))
                 if len(at):
                     left = np.frombuffer(left, np.uint8)[~gone].tobytes()
-                removed.append(int(gone.sum()))
-                spans.append(int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()))
-                digest.append(hashlib.sha256(left).hexdigest())
-                kept.append(left)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                rows.append((total, int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()), hashlib.sha256(left).hexdigest(), left))
+                size += len(left)
+                if size > repeats.PORTION or k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, k + 1 - first), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                    rows, first, size = [], k + 1, 0
 
-    return repeats.texts_with_places(small, found, ["at"], "left").select("id", "small", "at").mapInArrow(cut_out, f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return repeats.texts_with_places(small, found, ["at"], "left").select("id", "small", "at").mapInArrow(cut_out, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -23,6 +23,8 @@ from gradeloom.llm.suffix_dedup import remove_repeated_bytes
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, name long, at long, doc string, tag string, fp string, size string, shard string, path string"
+#: Names that working columns might have.
+CLASHING = ["row", "score", "lang_pred", "text_", "_text", "_source", "_size", "_crc", "_sum", "nth", "turn", "of", "sum", "slot", "copies", "copy", "size_", "h", "id", "root", "_doc", "_tag", "first"]
 
 
 def lower(text):
@@ -246,3 +248,61 @@ def test_licenses(spark, docs, empty):
     got = {r.doc_id: (r.license, r.origin, r.from_dir) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
     assert got == {1: ("Apache-2.0", "own", None), 2: ("MIT", "inherited", "a/b"), 3: ("MIT", "own", None), 4: (None, "none", None), 5: ("MIT", "own", None), 6: (None, "none", None), 7: ("MIT", "inherited", "a/b")}
     assert scan_licenses(docs).count() == docs.count() and scan_licenses(empty).count() == 0
+
+
+@pytest.mark.parametrize("keep", [keep_identified, keep_one_of_each, mixed, sharded])
+def test_columns_with_working_names_stay(docs, keep):
+    wide = docs.select("*", *[docs.n_chars.alias(c) for c in CLASHING])
+    out = keep(wide)
+    assert set(out.columns) == {*wide.columns, *(("shard", "slot") if keep is sharded else ())}
+    assert out.count() == keep(docs).count()
+    assert out.filter("score <> n_chars or lang_pred <> n_chars").count() == 0
+
+
+def test_decontaminated_keeps_columns(spark, docs):
+    wide = docs.select("*", *[docs.n_chars.alias(c) for c in CLASHING])
+    tests = spark.createDataFrame([("t1", "some words that are not there at all in these texts of ours here", 1)], "item_id string, text string, row int")
+    assert decontaminated(wide, tests).columns == wide.columns and decontaminated(wide, tests).count() == docs.count()
+    named = spark.createDataFrame([("a", "w " * 40 + "these are ten words of a benchmark item in a text " + "w " * 30), (None, None)], "doc_id string, text string")
+    item = spark.createDataFrame([("t2", "these are ten words of a benchmark item in a text"), (None, "w w w"), ("t3", "w " * 50)], "item_id string, text string")
+    assert {(r.doc_id, r.item_id) for r in overlaps(named, item).collect()} == {("a", "t2"), ("a", None), ("a", "t3")}
+
+
+def test_ids_of_any_type(spark, docs):
+    named = docs.selectExpr("concat('d', doc_id) AS doc_id", "text", "lang", "source")
+    for f in (identify, mix_sources, shuffle_into_shards, near_duplicates, score_texts):
+        got = f(named)
+        assert got.count() == docs.count() and got.schema["doc_id"].dataType.simpleString() == "string"
+
+
+def test_language_network_gradient():
+    import numpy as np
+
+    from gradeloom.llm.language_id import Network
+
+    net, rng = Network(3, 2, 1), np.random.default_rng(2)
+    net.p = {n: v.astype(np.float64) for n, v in net.p.items()}
+    data, mask, label = rng.integers(97, 100, (5, 4)), rng.random((5, 4)) < 0.8, np.array([0, 1, 1, 0])
+
+    def loss():
+        p = net.probabilities(data)[:, np.arange(4), label]
+        return -(np.log(p) * mask).sum() / mask.sum()
+
+    for name, g in net.gradient(data, mask, label).items():
+        flat, values = net.p[name].reshape(-1), g.reshape(-1)
+        for k in np.argsort(-np.abs(values))[:4]:
+            flat[k] += 1e-3
+            up = loss()
+            flat[k] -= 2e-3
+            down = loss()
+            flat[k] += 1e-3
+            assert abs((up - down) / 2e-3 - values[k]) < 2e-3, name
+
+
+def test_language_is_learned(spark):
+    rng = random.Random(8)
+    letters = {"xx": "abcdefghij ", "yy": "hijklmnopq ", "zz": "opqrstuvwa "}
+    rows = [(k, "".join(rng.choice(letters[lang]) for _ in range(200)), lang) for k in range(240) for lang in [sorted(letters)[k % 3]]]
+    got = {r.doc_id: r for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    held = [(got[k].lang_pred, lang) for k, _, lang in rows if got[k].held_out]
+    assert len(held) > 20 and sum(a == b for a, b in held) >= 0.95 * len(held)
