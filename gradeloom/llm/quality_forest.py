@@ -1,8 +1,8 @@
 """Quality rules with an isolation forest on the rule statistics.
 
-The statistics come from one pass over whole texts. Trees split a documented number of rows at random
-places; a document that few splits set apart is odd. The threshold on that oddness comes from all
-labelled rows.
+The statistics come from one pass over whole texts. Each tree splits its own draw of rows from the whole
+table at random places; a document that few splits set apart is odd. The threshold on that oddness comes
+from all labelled rows.
 """
 
 from __future__ import annotations
@@ -94,26 +94,31 @@ def document_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFram
     return out.withColumn("base_failed", few | much)
 
 
-def features(columns: dict[str, np.ndarray]) -> np.ndarray:
-    """What the forest sees: shares that no base rule judges. Repeats have a rule of their own."""
+#: Families of statistics; each has a forest and a threshold of its own.
+FAMILIES = ("signs", "repeats")
+
+
+def features(columns: dict[str, np.ndarray], family: str) -> np.ndarray:
+    """What the forest of a family sees: a share or a logarithm of each of its statistics."""
     c = {k: v.astype(np.float64) for k, v in columns.items()}
     n = np.maximum(c["n_words"], 1)
-    return np.stack([
-        np.log1p(c["n_symbols"] / n * 20),
-        c["word_chars"] / n,
-        c["n_capitals"] / np.maximum(c["n_letters"], 1),
-        np.log1p(c["n_marks"] / n * 20),
-    ], axis=1)
+    if family == "signs":
+        of = [np.log1p(c["n_symbols"] / n * 20), c["word_chars"] / n, c["n_capitals"] / np.maximum(c["n_letters"], 1), np.log1p(c["n_marks"] / n * 20)]
+    else:
+        of = [c["n_dup_lines"] / np.maximum(c["n_lines"], 1), c["n_repeat_words"] / n, np.log1p(c["n_words"]), np.log1p(c["n_lines"] / n * 20)]
+    return np.stack(of, axis=1)
 
 
 class Forest:
-    """Isolation trees over the features of some rows."""
+    """Isolation trees over the features of some rows: each has ``size`` rows of its own, as long as there are enough."""
 
     def __init__(self, rows: np.ndarray, trees: int, size: int, seed: int):
         rng = np.random.default_rng(seed)
         self.size = min(size, len(rows))
         self.depth = int(np.ceil(np.log2(max(self.size, 2))))
-        self.trees = [self.grow(rows[rng.choice(len(rows), self.size, replace=False)], rng) for _ in range(trees)]
+        own = len(rows) >= trees * self.size
+        part = lambda k: np.arange(k * self.size, (k + 1) * self.size) if own else rng.choice(len(rows), self.size, replace=False)
+        self.trees = [self.grow(rows[part(k)], rng) for k in range(trees)]
 
     @staticmethod
     def expected(n: np.ndarray | float) -> np.ndarray:
@@ -155,59 +160,78 @@ class Forest:
         return 2.0 ** (-total / len(self.trees) / max(float(self.expected(self.size)), 1e-9))
 
 
-def fit_forest(stats: DataFrame, id_col: str, sample: int = 8192, trees: int = 100, size: int = 256, seed: int = 7) -> Forest | None:
-    """Trees over at most ``sample`` rows that pass the base rules, those with the least hash of the id and counts."""
-    rows = stats.filter("not base_failed").orderBy(F.xxhash64(F.lit(seed), id_col, *COUNTS), *COUNTS).select(*COUNTS).limit(sample).collect()
-    if not rows:
-        return None
-    return Forest(features({c: np.array([r[c] for r in rows]) for c in COUNTS}), trees, size, seed)
+def fit_forests(stats: DataFrame, id_col: str, trees: int = 100, size: int = 256, seed: int = 7) -> dict[str, Forest]:
+    """For each family trees of ``size`` rows each, drawn from all rows that pass the base rules: those with the least hash of the id and counts."""
+    passed = stats.filter("not base_failed")
+    need, number = trees * size, passed.count()
+    if not number:
+        return {}
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), *COUNTS), F.lit(1 << 40))
+    share = min(1.0, (need + 4 * need**0.5 + 16) / number)
+    rows = passed.select(draw.alias("draw"), *COUNTS).filter(F.col("draw") < int(share * (1 << 40))).toArrow()
+    column = {c: rows.column(c).to_numpy() for c in ("draw", *COUNTS)}
+    order = np.lexsort([column[c] for c in (*COUNTS, "draw")])[:need]
+    return {f: Forest(features({c: column[c][order] for c in COUNTS}, f), trees, size, seed) for f in FAMILIES}
 
 
-def with_oddness(stats: DataFrame, forest: Forest | None) -> DataFrame:
-    if forest is None:
-        return stats.withColumn("oddness", F.lit(0.0))
+def with_oddness(stats: DataFrame, forests: dict[str, Forest]) -> DataFrame:
+    """``stats`` with a column of oddness for each family."""
+    names = [f"odd_{f}" for f in FAMILIES]
+    if not forests:
+        return stats.withColumns({n: F.lit(0.0) for n in names})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = forest.oddness(features({c: batch.column(c).to_numpy() for c in COUNTS}))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "oddness"])
+            counts = {c: batch.column(c).to_numpy() for c in COUNTS}
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(forests[f].oddness(features(counts, f))) for f in FAMILIES]], [*batch.schema.names, *names])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema) + ", oddness double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema) + "".join(f", {n} double" for n in names)
     return stats.mapInArrow(run, schema)
 
 
-def calibrated(scored: DataFrame, labels: DataFrame, id_col: str, label_col: str, steps: int = 2000, cost: float = 4.0) -> float:
-    """The threshold that serves all labelled rows best: a good row rejected costs ``cost`` bad rows kept (as shares)."""
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_good"))
-    bins = (
-        scored.filter("not base_failed")
-        .join(known.hint("merge"), id_col)
-        .groupBy(F.floor(F.col("oddness") * steps).alias("bin"))
-        .agg(F.sum(F.col("_good").cast("long")).alias("good"), F.count(F.lit(1)).alias("n"))
-        .collect()
-    )
-    good, bad = np.zeros(steps + 2), np.zeros(steps + 2)
-    for r in bins:
-        good[r["bin"]] += r["good"]
-        bad[r["bin"]] += r["n"] - r["good"]
-    if not good.sum() or not bad.sum():
+def best_threshold(good: np.ndarray, bad: np.ndarray, cost: float, all_good: float, all_bad: float) -> float:
+    """The threshold, of those between bins, that gains most: the share of all bad rows at or above it less ``cost`` times that of good ones."""
+    if not all_good or not all_bad:
         return 1.0
-    above = lambda x: np.concatenate([np.cumsum(x[::-1])[::-1], [0]]) / x.sum()
-    gain = above(bad) - cost * above(good)
+    above = lambda x: np.concatenate([np.cumsum(x[::-1])[::-1], [0]])
+    gain = above(bad) / all_bad - cost * above(good) / all_good
     best = np.flatnonzero(gain >= gain.max() - 1e-12)
-    return float(best[len(best) // 2]) / steps if gain.max() > 0 else 1.0
+    return float(best[len(best) // 2]) / (len(good) - 2) if gain.max() > 0 else 1.0
+
+
+def calibrated(scored: DataFrame, labels: DataFrame, id_col: str, label_col: str, steps: int = 2000, cost: float = 4.0) -> dict[str, float]:
+    """The threshold of each family that serves all labelled rows best; a row that one family rejects does not count for the next."""
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("labelled")).agg(F.max(label_col).alias("good"))
+    rows = scored.filter("not base_failed").join(known.hint("merge"), F.col(id_col) == F.col("labelled"))
+    limits: dict[str, float] = {}
+    totals = rows.agg(F.sum(F.col("good").cast("long")).alias("good"), F.count(F.lit(1)).alias("n")).first()
+    all_good = totals["good"] or 0
+    for f in FAMILIES:
+        left = F.lit(True)
+        for g, limit in limits.items():
+            left = left & (F.col(f"odd_{g}") < limit)
+        bins = rows.filter(left).groupBy(F.floor(F.col(f"odd_{f}") * steps).alias("bin")).agg(F.sum(F.col("good").cast("long")).alias("good"), F.count(F.lit(1)).alias("n")).collect()
+        good, bad = np.zeros(steps + 2), np.zeros(steps + 2)
+        for r in bins:
+            good[r["bin"]] += r["good"]
+            bad[r["bin"]] += r["n"] - r["good"]
+        limits[f] = best_threshold(good, bad, cost, all_good, totals["n"] - all_good)
+    return limits
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """One row for each document: the base counts, ``base_failed``, ``oddness`` (0 to 1), ``threshold`` and ``kept``.
+    """One row for each document: the base counts, ``base_failed``, oddness (0 to 1) and threshold of each family, and ``kept``.
 
-    ``kept`` is false if a base rule fails, else whether the oddness is under the threshold. A null or
-    empty text has no words, all counts zero, and fails. Without labelled rows of both kinds the forest
-    rejects nothing; an id labelled twice counts as good if one label says so; null labels are left out.
-    Rows of one id are judged by their own text. An empty table gives an empty result. Other columns
-    are not read.
+    ``kept`` is false if a base rule fails, else whether the oddness of each family is under its threshold. A null or
+    empty text has no words, all counts zero, and fails. Without labelled rows of both kinds the forests
+    reject nothing; an id labelled twice counts as good if one label says so; null labels are left out.
+    Rows of one id are judged by their own text, very long texts as a whole. An empty table gives an empty result.
+    Other columns are not read.
     """
     stats = written(document_statistics(docs, id_col, text_col))
-    scored = written(with_oddness(stats, fit_forest(stats, id_col)))
-    limit = calibrated(scored, labels, id_col, label_col)
-    return scored.withColumn("threshold", F.lit(limit)).withColumn("kept", ~F.col("base_failed") & (F.col("oddness") < F.col("threshold")))
+    scored = written(with_oddness(stats, fit_forests(stats, id_col)))
+    limits = calibrated(scored, labels, id_col, label_col)
+    kept = ~F.col("base_failed")
+    for f, limit in limits.items():
+        kept = kept & (F.col(f"odd_{f}") < limit)
+    return scored.withColumns({f"threshold_{f}": F.lit(limit) for f, limit in limits.items()}).withColumn("kept", kept)

@@ -306,3 +306,31 @@ def test_language_is_learned(spark):
     got = {r.doc_id: r for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     held = [(got[k].lang_pred, lang) for k, _, lang in rows if got[k].held_out]
     assert len(held) > 20 and sum(a == b for a, b in held) >= 0.95 * len(held)
+
+
+def test_forest_paths_and_threshold():
+    import numpy as np
+
+    from gradeloom.llm.quality_forest import Forest, best_threshold
+
+    rng = np.random.default_rng(5)
+    rows = np.concatenate([rng.normal(0, 1, (400, 3)), [[9, 9, 9]]])
+    forest = Forest(rows, 20, 64, 1)
+
+    def mean_search(n):
+        return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
+    def path(x, tree, node=0):
+        feature, at, left, right, length = (c[node] for c in tree)
+        return length if feature < 0 else path(x, tree, int(left if x[int(feature)] <= at else right))
+
+    for x in (rows[0], rows[7], rows[-1]):
+        mean = sum(path(x, t) for t in forest.trees) / 20
+        assert abs(2 ** (-mean / mean_search(64)) - forest.oddness(x[None])[0]) < 1e-9
+    assert forest.oddness(rows)[-1] == forest.oddness(rows).max()
+    for tree in forest.trees:  # leaves at depth d with n rows count d and the mean search in n rows
+        assert tree[4].max() <= forest.depth + mean_search(64)
+    good, bad = rng.integers(0, 5, 22).astype(float), rng.integers(0, 5, 22).astype(float)
+    gain = [bad[k:].sum() / bad.sum() - 2 * good[k:].sum() / good.sum() for k in range(23)]
+    k = round(best_threshold(good, bad, 2.0, good.sum(), bad.sum()) * 20)
+    assert max(gain) <= 0 or abs(gain[k] - max(gain)) < 1e-9
