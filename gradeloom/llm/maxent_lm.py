@@ -68,7 +68,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in groups(batch.column("text"), 1 << 23):
+            for _, _, data, offsets in groups(batch.column("text"), 1 << 22):
                 name, number = np.unique(tokenize(data, offsets)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(number)], ["h", "n"])
 
