@@ -334,3 +334,43 @@ def test_forest_paths_and_threshold():
     gain = [bad[k:].sum() / bad.sum() - 2 * good[k:].sum() / good.sum() for k in range(23)]
     k = round(best_threshold(good, bad, 2.0, good.sum(), bad.sum()) * 20)
     assert max(gain) <= 0 or abs(gain[k] - max(gain)) < 1e-9
+
+
+def test_licenses_in_headers_and_files(spark):
+    from gradeloom.llm.license_scan import TEMPLATES
+
+    mit, bsd = TEMPLATES["MIT"][1], TEMPLATES["BSD-3-Clause"][1]
+    rows = [
+        (1, "a/LICENSE.txt", "Somebody 2020\n\n" + "\n".join(mit.split(". "))),
+        (2, "a/x.py", "import os\nprint(1)"),
+        (3, "b/y.c", "/*\n * " + "\n * ".join(bsd.split(", ")) + "\n */\nint main() { return 0; }\n" * 3),
+        (4, "c/z.js", "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/.\n\nlet x = 1;\n"),
+        (5, "d/plain.txt", "words of no matter here\nand then some more of them\nThis Source Code Form is subject to the terms of the Mozilla Public\nLicense, version 2.0\nand the text goes on and on about quite other things"),
+        (6, "e/COPYING", "nothing that any template says"),
+    ]
+    got = {r.doc_id: (r.license, r.origin) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("BSD-3-Clause", "own"), 4: ("MPL-2.0", "own"), 5: ("MPL-2.0", "own"), 6: (None, "none")}
+
+
+def test_license_cosine_by_brute_force(spark):
+    from gradeloom.llm.license_scan import part_licenses
+
+    rng = random.Random(4)
+    pool = ["grant", "use", "copy", "free", "terms", "law", "the", "of", "v1.0", "v2.0"]
+    templates = [(f"L{k}", " ".join(rng.choices(pool, k=rng.randint(2, 9)))) for k in range(5)]
+    parts = [(f"k{k}", " ".join(rng.choices([*pool, "other", "words"], k=rng.randint(1, 12)))) for k in range(40)]
+    bags = {k: Counter(t.lower().split()) for k, t in parts}
+    given = [(name, Counter(t.split())) for name, t in set(templates)]
+    number = len(bags) + len(given)
+    df = Counter(w for bag in [*bags.values(), *[b for _, b in given]] for w in bag)
+    weigh = lambda bag: {w: n * (math.log((number + 1) / (df[w] + 1)) + 1) for w, n in bag.items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    want = {}
+    for k, bag in bags.items():
+        v = weigh(bag)
+        scores = [(-round(sum(x * weigh(t).get(w, 0) for w, x in v.items()) / norm(v) / norm(weigh(t)), 6), name) for name, t in given if set(t) & set(bag)]
+        if scores:
+            want[k] = (min(scores)[1], -min(scores)[0])
+    got = part_licenses(spark.createDataFrame(parts, "key string, part string"), spark.createDataFrame(templates, "license string, text string")).collect()
+    assert {r.key: r.license for r in got} == {k: v[0] for k, v in want.items()}
+    assert all(abs(r.similarity - want[r.key][1]) < 2e-6 for r in got)
