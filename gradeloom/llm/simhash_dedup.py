@@ -154,10 +154,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Bits of the sketch of a set of shingles.
 SKETCH = 1024
-#: At most this many frequent shingles come last in the order of shingles.
-FREQUENT = 1 << 16
+#: Cells in which uses of shingles are counted; cells with many uses come last in the order of shingles.
+CELLS = 1 << 19
 #: Bits of the map of texts whose sets are compared.
 SLOTS = 1 << 24
+#: Bytes of texts that a task looks at together.
+PORTION = 1 << 19
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -209,45 +211,87 @@ def needed(number: np.ndarray, similarity: float) -> np.ndarray:
     return np.ceil(number * similarity - 1e-9).astype(np.int64)
 
 
-def prefixes(value: np.ndarray, edge: np.ndarray, similarity: float, late: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first shingles of each set in the common order (``late`` ones last, by ``turn``), and the edges between sets.
+def prefixes(value: np.ndarray, edge: np.ndarray, similarity: float, cells: np.ndarray, more: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of each set in the common order (by uses of their cells) and ``more``, and the edges between sets.
 
     Two sets of this similarity share ``similarity`` times the larger one's size or more, so that the
-    first shingle they share is among the others' number and one of each.
+    first shingle they share is among the others' number and one of each, and the second one is there
+    with one more.
     """
     number = np.diff(edge)
     own = np.repeat(np.arange(len(number)), number)
-    rank = np.zeros(len(value), np.int64)
-    if len(late):
-        at = np.minimum(np.searchsorted(late, value), len(late) - 1)
-        rank = np.where(late[at] == value, turn[at], 0)
-    value = value[np.lexsort([value, rank, own])]
-    length = np.where(number > 0, number - needed(number, similarity) + 1, 0)
+    value = value[np.lexsort([value, cells[cell_of(value, len(cells))], own])]
+    length = np.where(number > 0, np.minimum(number - needed(number, similarity) + 1 + more, number), 0)
     return value[np.arange(len(value)) - edge[own] < length[own]], np.concatenate([[0], np.cumsum(length)])
 
 
-def bucket_pairs(bucket: np.ndarray, fp: np.ndarray, number: np.ndarray, place: np.ndarray, root: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of one bucket and two roots whose sizes and whose places of the shared shingle allow this similarity."""
-    order = np.lexsort([number, bucket])
-    bucket, fp, number, place, root = (x[order] for x in (bucket, fp, number, place, root))
-    stop = np.searchsorted(bucket, bucket, side="right")
-    least = needed(number, similarity)
-    i, step, found, held = np.arange(len(fp)), 1, [], 0
-    while len(i):
-        i = i[i + step < stop[i]]
-        i = i[least[i + step] <= number[i]]
-        j = i + step
-        shared = np.minimum(place[i], place[j]) + 1 + np.minimum(number[i] - place[i], number[j] - place[j]) - 1
-        both = needed(number[i] + number[j], similarity / (1 + similarity))
-        ok = (root[i] != root[j]) & (shared >= both)
-        found.append(np.stack([np.minimum(fp[i[ok]], fp[j[ok]]), np.maximum(fp[i[ok]], fp[j[ok]])]))
-        held += found[-1].shape[1]
-        if held > 1 << 19:
-            yield tuple(np.unique(np.concatenate(found, axis=1), axis=1))
-            found, held = [], 0
-        step += 1
-    if held:
-        yield tuple(np.unique(np.concatenate(found, axis=1), axis=1))
+def cell_of(value: np.ndarray, cells: int) -> np.ndarray:
+    return (mix(value) % U64(cells)).astype(np.int64)
+
+
+def uses_of_cells(texts: DataFrame, size: int, similarity: float) -> np.ndarray:
+    """How often shingles of each cell are among the first ones of a text (by hash), over all texts."""
+    cells, each = CELLS, CELLS // 64
+    schema = "block long, part long, uses binary"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, none = np.zeros(cells, np.int64), np.zeros(cells, np.int8)
+        for batch in batches:
+            for _, _, data, offsets in groups(batch.column("text"), PORTION):
+                first, _ = prefixes(*shingle_sets(data, offsets, size), similarity, none, 0)
+                np.add.at(total, cell_of(first, cells), 1)
+        if total.any():
+            for k in range(64):
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([0]), pa.array([total[k * each : (k + 1) * each].astype(np.float32).tobytes()], pa.binary())], ["block", "part", "uses"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, _, uses in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total[block] = total.get(block, 0) + np.frombuffer(uses, np.float32)
+        for block, uses in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([0]), pa.array([uses.astype(np.float32).tobytes()], pa.binary())], ["block", "part", "uses"])
+
+    counted = texts.select("text").mapInArrow(count, schema).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(16)).cast("long"))
+    uses = np.zeros(cells, np.float32)
+    for r in counted.repartition("block", "part").mapInArrow(add, schema).repartition("block").mapInArrow(add, schema).collect():
+        uses[r["block"] * each : (r["block"] + 1) * each] = np.frombuffer(r["uses"], np.float32)
+    return uses
+
+
+def with_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``h, fp, at`` sorted by ``h, fp``: those of an ``h`` with two or more, once each, with its least ``fp`` as ``hub``.
+
+    Buckets of any size pass through in portions; what is carried over is one row.
+    """
+    names = ["h", "fp", "at", "hub"]
+    held, open_ = np.zeros((3, 0), np.int64), None  # a row that is alone so far; or (h, hub, latest fp) of a bucket under way
+    for batch in batches:
+        rows = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+        out = []
+        if open_ is not None:
+            same = int(np.searchsorted(rows[0] != open_[0], True)) if (rows[0] != open_[0]).any() else rows.shape[1]
+            part = rows[:, :same]
+            part = part[:, np.diff(part[1], prepend=open_[2]) != 0]
+            out.append(np.concatenate([part, np.full((1, part.shape[1]), open_[1])]))
+            open_ = (open_[0], open_[1], part[1, -1]) if part.shape[1] else open_
+            rows = rows[:, same:]
+        if rows.shape[1]:
+            new = np.ones(rows.shape[1], bool)
+            new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
+            rows = rows[:, new]
+            first = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
+            number = np.diff(first, append=rows.shape[1])
+            several = np.repeat(number > 1, number)
+            out.append(np.concatenate([rows, np.repeat(rows[1, first], number)[None]])[:, several])
+            alone = number[-1] == 1
+            held = rows[:, -1:] if alone else rows[:, :0]
+            open_ = None if alone else (rows[0, -1], rows[1, first[-1]], rows[1, -1])
+        else:
+            held = rows
+        done = np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
+        if done.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in done], names)
 
 
 def keyed(name: Column, text: Column) -> list[Column]:
@@ -262,61 +306,39 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int, simil
     A link joins two texts whose sets of shingles have this Jaccard similarity or more; no such pair is
     missed at any size. Sets alike are one node. Two sets of the similarity share one of their first
     shingles in any common order (``prefixes``), so they meet in its bucket; frequent shingles come last
-    in the order, which keeps buckets small. First each member of a bucket meets the least one, then
-    all pairs of members that this has not joined. Sketches drop pairs that are surely too far apart,
-    and the sets themselves decide about the others.
+    in the order, which keeps buckets small. First each member of a bucket meets the least one, its hub. Then
+    members that are not joined with their hub meet all others; where these are many, only those with
+    which they share a second one of the first shingles. Sketches drop pairs that are surely too far
+    apart (Hamming distance), and the sets themselves decide about the others.
     """
     spark = docs.sparkSession
     id_kind = docs.schema[id_col].dataType.simpleString()
     keys = docs.select(*keyed(F.col(id_col), F.col(text_col)), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    none = (np.zeros(0, U64), np.zeros(0, np.int64))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in groups(batch.column("text")):
-                first, _ = prefixes(*shingle_sets(data, offsets, size), similarity, *none)
-                value, number = np.unique(first, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(value)), pa.array(number)], ["h", "n"])
-
     # which shingles come last decides the size of buckets only, not what is found
-    often = keys.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 16")
-    often = [r["h"] % 2**64 for r in often.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()]
-    late = np.array(often, U64)
-    order = np.argsort(late)
-    sent = spark.sparkContext.broadcast((late[order], (len(late) - np.arange(len(late), dtype=np.int64))[order]))
+    sent = spark.sparkContext.broadcast(uses_of_cells(keys, size, similarity))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for a, b, data, offsets in groups(batch.column("text"), 1 << 20):
+            for a, b, data, offsets in groups(batch.column("text"), PORTION):
                 value, edge = shingle_sets(data, offsets, size)
-                first, cut = prefixes(value, edge, similarity, *sent.value)
+                first, cut = prefixes(value, edge, similarity, sent.value)
+                fp = signed(set_names(value, edge))
+                # of sets alike in one task the first one has the shingles and the sketch
+                new = np.array([not (x in seen or seen.add(x)) for x in fp.tolist()], bool)
                 lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(signed(first)))
-                sketch = pa.array(set_sketches(value, edge), pa.binary())
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in ("doc", "tag", "id")], pa.array(signed(set_names(value, edge))), pa.array(np.diff(edge)), lists, sketch], ["doc", "tag", "id", "fp", "size", "first", "sketch"])
+                take = pa.array(np.where(new, np.arange(b - a), -1), mask=~new)
+                sketch = pa.array(set_sketches(value, edge), pa.binary()).take(take)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in ("doc", "tag", "id")], pa.array(fp), pa.array(np.diff(edge)), lists.take(take), sketch], ["doc", "tag", "id", "fp", "size", "first", "sketch"])
 
     marked = written(keys.mapInArrow(mark, f"doc long, tag long, id {id_kind}, fp long, size long, first array<long>, sketch binary"))
-    nodes = marked.groupBy("fp").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("doc", "tag")).alias("text"), *[F.first(c).alias(c) for c in ("size", "first", "sketch")])
+    nodes = marked.groupBy("fp").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("doc", "tag")).alias("text"), F.first("size").alias("size"), F.first("sketch", ignorenulls=True).alias("sketch"))
     nodes = written(nodes)
     rows = nodes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    members = nodes.select("fp", "size", F.posexplode("first").alias("place", "h"))
-    buckets = written(members.groupBy("h").agg(F.collect_list(F.struct("fp", "size", "place")).alias("m")).filter(F.size("m") > 1))
-
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(0)
-            fp, ends = column.flatten().field("fp").to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
-            hub = np.repeat(np.minimum.reduceat(fp, ends[:-1]), np.diff(ends))
-            a, b = np.unique(np.stack([fp, hub])[:, fp != hub], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(0)
-            flat, ends = column.flatten(), column.offsets.to_numpy()
-            bucket = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-            fp, number, place, root = (flat.field(c).to_numpy() for c in ("fp", "size", "place", "root"))
-            for a, b in bucket_pairs(bucket, fp, number, place.astype(np.int64), root, similarity):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    least = lambda n: F.ceil(n * similarity - 1e-9)
+    members = marked.filter(F.size("first") > 0).select("fp", "size", F.posexplode("first").alias("place", "h"))
+    members = members.filter(F.col("place") <= F.col("size") - least(F.col("size"))).select("h", "fp", (F.shiftleft("size", 32) + F.col("place")).alias("at"))
+    buckets = written(members.repartition("h").sortWithinPartitions("h", "fp").mapInArrow(with_hubs, "h long, fp long, at long, hub long"))
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,7 +355,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int, simil
             for batch in batches:
                 slot = batch.column("slot").to_numpy()
                 batch = batch.filter(pa.array(marks.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1))
-                for a, b, data, offsets in groups(batch.column("text"), 1 << 20):
+                for a, b, data, offsets in groups(batch.column("text"), PORTION):
                     value, edge = shingle_sets(data, offsets, size)
                     sets = pa.array([value[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
                     yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, b - a), batch.column("tag").slice(a, b - a), sets], ["doc", "tag", "set"])
@@ -375,11 +397,25 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int, simil
         close = written(beside(pairs, nodes, "size", "sketch").mapInArrow(sketched, "a long, b long"))
         return written(beside(close, sets_of(close), "set").mapInArrow(exact, "a long, b long"))
 
-    links = verified(buckets.select("m").mapInArrow(stars, "a long, b long"))
-    roots = written(connected_components(links))
-    rooted = buckets.select("h", F.explode("m").alias("m")).select("h", "m.*").join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    apart = rooted.groupBy("h").agg(F.collect_list(F.struct("fp", "size", "place", "root")).alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
-    links = links.unionByName(verified(apart.select("m").mapInArrow(others, "a long, b long")))
+    links = verified(buckets.filter("fp <> hub").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")))
+    roots = written(connected_components(links).withColumnRenamed("node", "fp"))
+    rooted = buckets.join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    hubs = written(buckets.groupBy("hub").agg(F.count(F.lit(1)).alias("_n")).join(roots.select(F.col("fp").alias("hub"), F.col("root").alias("hub_root")).hint("merge"), "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub")))
+    rooted = written(look_up(written(rooted), hubs, "hub", buckets.count()))
+    apart = written(rooted.filter("root <> hub_root").select("h", "fp", "at", "root"))
+    large = written(apart.groupBy("h").count().filter(F.col("count") > LARGE_BUCKET).select("h"))
+    meet = [(apart, rooted.select("h", "fp", "at", "root"))]
+    if not large.isEmpty():
+        second = marked.filter(F.size("first") > 0).select("fp", "first").dropDuplicates(["fp"])
+        finer = lambda side: side.join(large.hint("merge"), "h").join(second.hint("merge"), "fp").select(F.explode(F.array_remove("first", F.col("h"))).alias("other"), "*").select(F.xxhash64("h", "other").alias("h"), "fp", "at", "root")
+        meet = [tuple(side.join(large.hint("merge"), "h", "left_anti") for side in meet[0]), tuple(finer(side) for side in meet[0])]
+    for one, two in meet:
+        one, two = (side.select("h", *[F.col(c).alias(f"{c}_{k}") for c in ("fp", "at", "root")]) for k, side in ((1, one), (2, two)))
+        size_of, place_of = (lambda k: F.shiftright(f"at_{k}", 32)), (lambda k: F.col(f"at_{k}").bitwiseAND((1 << 32) - 1))
+        shared = F.least(place_of(1), place_of(2)) + F.least(size_of(1) - place_of(1), size_of(2) - place_of(2))
+        possible = (F.col("root_1") != F.col("root_2")) & (least(F.greatest(size_of(1), size_of(2))) <= F.least(size_of(1), size_of(2))) & (F.ceil((size_of(1) + size_of(2)) * (similarity / (1 + similarity)) - 1e-9) <= shared)
+        pairs = one.join(two.hint("merge"), "h").filter(possible).select(F.least("fp_1", "fp_2").alias("a"), F.greatest("fp_1", "fp_2").alias("b"))
+        links = links.unionByName(verified(pairs))
     roots = connected_components(links)
     rooted = written(nodes.select("fp", "_n").join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "_n", F.coalesce("root", "fp").alias("root")))
     return look_up(marked.select("doc", "tag", "id", "fp"), rooted, "fp", rows).select(F.col("id").alias("doc"), F.struct("doc", "tag").alias("key"), "root")
