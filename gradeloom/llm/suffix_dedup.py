@@ -4,11 +4,12 @@ A rolling hash runs over the bytes; a place is a trigger if its hash is the leas
 the length that counts, so every window holds one and equal windows hold the same one. Windows with
 one trigger are a phrase with its surroundings; the phrases are counted over the corpus
 (``repeats.py``): those that occur once end there, and those alike in all bytes are settled together.
-What is left is one phrase for each different content under a shared trigger, of which the single
-windows are compared, in the order of the texts' ids and places.
+What is left is one phrase for each different content under a shared trigger. Its strings are sorted byte
+by byte, and with the order of the texts' ids and places they give the corpus order of these strings, in which
+equal ones are neighbours and the first of them is the earliest.
 
-This stands in for prefix-free parsing with suffix arrays: only equality of strings of one length matters here,
-so no order of suffixes is made. The README says why, with figures.
+This stands in for prefix-free parsing with suffix arrays of the whole dictionary and parse: only strings of one
+length that share a trigger with another are ordered. The README says why, with figures.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from gradeloom.llm import repeats
 from gradeloom.llm.tokens import BYTE_CODE, U64, Rolling
 
 TRIGGER = 32
+#: Names with more rows than this are compared by hashes of their windows, which no task needs to hold together.
+LARGE_NAME = 4096
 
 
 def least_in_windows(key: np.ndarray, length: int) -> np.ndarray:
@@ -68,6 +71,29 @@ def parsed_runs(data: np.ndarray, offsets: np.ndarray, size: int, trigger: int =
     return gram[at], rolling.of(start, start + count - 1 + size) ^ (at - start).astype(U64), start, count
 
 
+def in_corpus_order(name: np.ndarray, owner: np.ndarray, at: np.ndarray, data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of all strings of ``size`` bytes in these stretches, those with an equal one earlier in the corpus: stretch and place.
+
+    ``owner`` orders the texts; strings at one place of texts with one order are not earlier than each other.
+    """
+    first, count = repeats.unpacked(at)
+    which = np.repeat(np.arange(len(at)), count)
+    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    begin, place = offsets[which] + step, first[which] + step
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
+    columns = [np.ascontiguousarray(eight[begin + k]).view(">u8").ravel().astype(U64) for k in [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]]
+    owner, names = owner[which], name[which]
+    order = np.lexsort([place, owner, *columns[::-1], names])
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for column in (names, *columns):
+        new[1:] |= column[order[1:]] != column[order[:-1]]
+    lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    later = order[(owner[order] != owner[lead]) | (place[order] != place[lead])]
+    return which[later], place[later]
+
+
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
     """Remove each byte that a string of ``length`` bytes covers which also starts earlier in the corpus.
 
@@ -98,15 +124,55 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     runs = repeats.sorted_runs(small.select("row", "id", "small").mapInArrow(find, f"{repeats.RUNS}, id {kind}"), "id", "at")
     # of copies of one row (equal id and place) none is earlier than the others
-    runs = repeats.written(runs.filter("known or nth > 1 or mixed").select("name", "row", "at", "nth", "mixed", "known"))
+    runs = repeats.written(runs.filter("known or nth > 1 or mixed").select("name", "row", "at", "nth", "mixed", "known", "uses"))
 
     def hashes(data: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
         rolling = Rolling(BYTE_CODE[data])
         return lambda start: rolling.of(start, start + length)
 
-    windows = repeats.windows_of_runs(small, runs.filter("mixed and nth = 1 and not known"), length, hashes, with_id=True)
-    again = windows.withColumn("nth", F.dense_rank().over(Window.partitionBy("name", "content").orderBy("id", "at"))).filter(repeats.is_known() | (F.col("nth") > 1))
-    found = runs.filter("known or nth > 1").select("row", "at").unionByName(again.select("row", "at"))
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loose = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for k, (name, at) in enumerate(zip(repeats.lists(batch.column("name")), repeats.lists(batch.column("at")), strict=True)):
+                data = loose.decompress(batch.column("small")[k].as_buffer())
+                first, count = repeats.unpacked(at)
+                pieces = [data[x : x + n - 1 + length] for x, n in zip(first.tolist(), count.tolist(), strict=True)]
+                owner = pa.array(np.full(len(at), k))
+                yield pa.RecordBatch.from_arrays([pa.array(name), batch.column("row").take(owner), batch.column("id").take(owner), pa.array(at), pa.array(pieces, pa.binary())], ["name", "row", "id", "at", "stretch"])
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by name; whole names are taken together, several in one sort."""
+        held: list[pa.RecordBatch] = []
+
+        def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            if table.num_rows:
+                name, row, at = (table.column(c).to_numpy() for c in ("name", "row", "at"))
+                pieces = table.column("stretch").combine_chunks().cast(pa.large_binary())
+                _, offsets, data = pieces.buffers()
+                offsets = np.frombuffer(offsets, np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]
+                which, place = in_corpus_order(name, repeats.ranks(table.column("id").combine_chunks()), at, np.frombuffer(data, np.uint8), offsets, length)
+                yield pa.RecordBatch.from_arrays([pa.array(row[which]), pa.array(repeats.packed_place(place, np.ones(len(place), np.int64)))], ["row", "at"])
+
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            names = table.column("name").to_numpy()
+            if table.num_rows >= LARGE_NAME and names[0] != names[-1]:
+                cut = int(np.flatnonzero(names != names[-1])[-1]) + 1
+                yield from settle(table.slice(0, cut))
+                held = table.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield from settle(pa.Table.from_batches(held))
+
+    single = runs.filter("mixed and nth = 1 and not known").select("name", "row", "at", "uses")
+    few, many = single.filter(F.col("uses") <= LARGE_NAME), single.filter(F.col("uses") > LARGE_NAME)
+    pieces = repeats.texts_with_places(small, few, ["name", "at"], "inner").select("row", "id", "small", "name", "at")
+    few = pieces.mapInArrow(stretches, f"name long, row long, id {kind}, at long, stretch binary").repartition("name").sortWithinPartitions("name").mapInArrow(ordered, "row long, at long")
+    found = runs.filter("known or nth > 1").select("row", "at").unionByName(few)
+    if not many.isEmpty():
+        windows = repeats.windows_of_runs(small, many, length, hashes, with_id=True)
+        again = windows.withColumn("nth", F.dense_rank().over(Window.partitionBy("name", "content").orderBy("id", "at"))).filter(repeats.is_known() | (F.col("nth") > 1))
+        found = found.unionByName(again.select("row", "at"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loose = zstandard.ZstdDecompressor()

@@ -374,3 +374,20 @@ def test_license_cosine_by_brute_force(spark):
     got = part_licenses(spark.createDataFrame(parts, "key string, part string"), spark.createDataFrame(templates, "license string, text string")).collect()
     assert {r.key: r.license for r in got} == {k: v[0] for k, v in want.items()}
     assert all(abs(r.similarity - want[r.key][1]) < 2e-6 for r in got)
+
+
+def test_bytes_of_a_name_with_many_uses(docs, monkeypatch):
+    from gradeloom.llm import suffix_dedup
+
+    clean = docs.filter("doc_id IS NOT NULL AND doc_id <> 5")
+    want = sorted(map(tuple, remove_repeated_bytes(clean).collect()), key=str)
+    monkeypatch.setattr(suffix_dedup, "LARGE_NAME", 2)
+    assert sorted(map(tuple, remove_repeated_bytes(clean).collect()), key=str) == want
+
+
+def test_rows_without_id_keep_to_themselves(spark):
+    passage = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, passage), (None, passage)] + [(None, f"text{k} that has nothing in common with others " + " ".join(f"x{k}y{j}" for j in range(40))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert sorted(r.n_removed for r in remove_repeated_passages(docs).collect()) == [0] * 300 + [40, 40]
+    assert remove_repeated_bytes(docs).filter("n_removed > 0").count() <= 2
