@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gradeloom.operators.ranking import beside_group
+
 
 def draw(seed: int, key: str) -> Column:
     """A repeatable random order of keys."""
@@ -21,8 +23,7 @@ def leakage_audit(df: DataFrame, keys: list[str], split: str = "split") -> DataF
 
 def identity_conflicts(df: DataFrame, key: str, attributes: list[str]) -> DataFrame:
     """Keys with more than one combination of the attributes (nulls count as a value)."""
-    code = F.to_json(F.struct(*[F.coalesce(F.col(a).cast("string"), F.lit("\0")).alias(a) for a in attributes]))
-    return df.groupBy(key).agg(F.countDistinct(code).alias("variants")).filter("variants > 1")
+    return df.groupBy(key).agg(F.countDistinct(row_code(attributes)).alias("variants")).filter("variants > 1")
 
 
 def integrity_report(df: DataFrame, path: str, content: Column, group: str, label: str) -> DataFrame:
@@ -33,9 +34,9 @@ def integrity_report(df: DataFrame, path: str, content: Column, group: str, labe
 
 
 def composition(df: DataFrame, dimensions: list[str]) -> DataFrame:
-    """Counts by each dimension alone, as ``dimension, value, n``."""
-    stack = ", ".join(f"'{d}', cast({d} as string)" for d in dimensions)
-    return df.select(F.expr(f"stack({len(dimensions)}, {stack}) as (dimension, value)")).groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"))
+    """Counts by each dimension, as ``dimension, value, n``; ``a:b`` is the two columns together."""
+    one = lambda d: F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in d.split(":")]) if ":" in d else F.col(d).cast("string")
+    return df.select(F.inline(F.array(*[F.struct(F.lit(d).alias("dimension"), one(d).alias("value")) for d in dimensions]))).groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def stratified_group_split(df: DataFrame, group: str, label: str, val: float, test: float, seed: int) -> DataFrame:
@@ -91,22 +92,52 @@ def shared_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return clean(a).intersect(clean(b))
 
 
+def row_code(columns: list[str]) -> Column:
+    """A row as one text that no other row has: each value after its length, null as a mark of its own."""
+    one = lambda c: F.when(F.col(c).isNull(), "-;").otherwise(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")))
+    return F.concat(*[one(c) for c in columns])
+
+
 def table_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows and an order-free content hash: the sum of the leading 60 bits of every row's SHA-256."""
-    line = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns])
-    bits = F.conv(F.substring(F.sha2(line, 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(bits).cast("string").alias("content"))
+    bits = F.conv(F.substring(F.sha2(row_code(columns), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(bits), F.lit(0)).cast("string").alias("content"))
+
+
+def verify_receipt(df: DataFrame, receipt: dict) -> DataFrame:
+    """``df`` itself if its fingerprint over ``receipt["columns"]`` is the receipt's ``rows`` and ``content``; else an error."""
+    found = table_fingerprint(df, receipt["columns"]).first()
+    if (found["rows"], found["content"]) != (receipt["rows"], receipt["content"]):
+        raise ValueError(f"the table has {found['rows']} rows and content {found['content']}, not {receipt['rows']} and {receipt['content']}")
+    return df
+
+
+def split_by_role(df: DataFrame, column: str, roles: list[str]) -> dict[str, DataFrame]:
+    """The rows of each role; a row of any other role, or of none, is an error. Write them with ``partitionBy``."""
+    strange = df.filter(~F.coalesce(F.col(column).isin(roles), F.lit(False))).select(column).limit(1).collect()
+    if strange:
+        raise ValueError(f"{strange[0][0]!r} is none of the roles {roles}")
+    return {role: df.filter(F.col(column) == role) for role in roles}
+
+
+def fold_complement(rows: DataFrame, folds: DataFrame, group: str, fold: int) -> DataFrame:
+    """The rows of all groups but those of one fold; a group in several folds is an error."""
+    one = folds.select(group, "fold").distinct()
+    if not one.groupBy(group).count().filter(F.col("count") > 1).isEmpty():
+        raise ValueError("a group is in several folds")
+    return rows.join(one.filter(F.col("fold") != fold).select(group).hint("merge"), group, "left_semi")
 
 
 def pair_mass(df: DataFrame, pair: str) -> DataFrame:
-    return df.withColumn("mass", F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy(pair)))
+    """Each row weighs one over the number of rows of its pair."""
+    return beside_group(df, pair, mass=F.lit(1.0) / F.count(F.lit(1)))
 
 
 def balance_mass(df: DataFrame, label: str, weight: str) -> DataFrame:
     """Scale the weights so that all labels with a positive mass weigh the same and the total stays."""
-    mass = F.sum(weight).over(Window.partitionBy(label))
     sums = df.groupBy(label).agg(F.sum(weight).alias("_m")).filter("_m > 0").agg(F.sum("_m").alias("_total"), F.count(F.lit(1)).alias("_k"))
-    return df.withColumn("_mass", mass).crossJoin(F.broadcast(sums)).withColumn("balanced", F.when(F.col("_mass") > 0, F.col(weight) * F.col("_total") / (F.col("_k") * F.col("_mass"))).otherwise(0.0)).drop("_mass", "_total", "_k")
+    rows = beside_group(df, label, _mass=F.sum(weight)).crossJoin(F.broadcast(sums))  # one row
+    return rows.withColumn("balanced", F.when(F.col("_mass") > 0, F.col(weight) * F.col("_total") / (F.col("_k") * F.col("_mass"))).otherwise(0.0)).drop("_mass", "_total", "_k")
 
 
 def class_balanced(df: DataFrame, label: str, power: float) -> DataFrame:

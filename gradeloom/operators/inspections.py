@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gradeloom.plans.durable import written
+
 #: Fixed values of the scoring rule, used where a rule leaves a weight or limit empty.
 SCORES = ("color_score", "integrity_score", "shape_score", "size_score", "defect_score")
 DEFAULT_WEIGHTS = (0.30, 0.30, 0.15, 0.10, 0.15)
@@ -56,10 +58,48 @@ def apply_model_grade(df: DataFrame) -> DataFrame:
 
 
 def reject_reasons(df: DataFrame) -> DataFrame:
-    """Add ``reasons``: one entry for each broken range, in a fixed order; empty for a valid record."""
-    rules = [(F.when((F.col(c) < 0) | (F.col(c) > 100) | F.col(c).isNull(), F.lit(f"{c} outside 0..100"))) for c in SCORES]
-    rules.append(F.when(~F.coalesce(F.lower("severity"), F.lit("mild")).isin("mild", "moderate", "severe"), F.lit("severity unknown")))
-    return df.withColumn("reasons", F.array_compact(F.array(*rules)))
+    """Add ``reasons``: one entry for each broken rule, in a fixed order; empty for a valid record.
+
+    The five scores are needed and lie in 0..100; where they are given, ``length`` and ``width`` are above 0,
+    ``confidence`` in 0..1, ``processing_time`` not below 0, ``model_grade`` A, B or C, ``model_score`` in 0..100; each
+    defect has a type and a name, a known severity, and confidence and area share in 0..1. Columns that the
+    table lacks are not judged.
+    """
+    rules: list[tuple[Column, str]] = [((F.col(c) < 0) | (F.col(c) > 100) | F.col(c).isNull(), f"{c} outside 0..100") for c in SCORES]
+    has = set(df.columns)
+    rules += [(F.col(c) <= 0, f"{c} not above 0") for c in ("length", "width") if c in has]
+    rules += [((F.col(c) < 0) | (F.col(c) > top), f"{c} outside 0..{top}") for c, top in (("confidence", 1), ("model_score", 100)) if c in has]
+    if "processing_time" in has:
+        rules.append((F.col("processing_time") < 0, "processing_time below 0"))
+    if "model_grade" in has:
+        rules.append((~F.col("model_grade").isin("A", "B", "C"), "model_grade unknown"))
+    if "severity" in has:
+        rules.append((~F.coalesce(F.col("severity"), F.lit("mild")).isin("mild", "moderate", "severe"), "severity unknown"))
+    if "defects" in has:
+        of = {f.name for f in df.schema["defects"].dataType.elementType.fields}
+        some = lambda test: F.coalesce(F.exists("defects", test), F.lit(False))
+        rules.append((some(lambda d: d["type"].isNull() | d["name"].isNull()), "defect without type or name"))
+        rules.append((some(lambda d: ~F.coalesce(d["severity"], F.lit("mild")).isin("mild", "moderate", "severe")), "defect severity unknown"))
+        rules += [(some(lambda d, c=c: F.coalesce((d[c] < 0) | (d[c] > 1), F.lit(False))), f"defect {c} outside 0..1") for c in ("confidence", "area_ratio") if c in of]
+    return df.withColumn("reasons", F.array_compact(F.array(*[F.when(test, text) for test, text in rules])))
+
+
+def with_defaults(df: DataFrame, batch: str | int | None = None, variety: str | None = None) -> DataFrame:
+    """Fill what a record may leave out: batch, variety, confidence 0.95, no defects, and mild severity and confidence 0.8 of a defect."""
+    given = {"batch_id": batch, "variety": variety, "confidence": 0.95}
+    df = df.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in given.items() if c in df.columns and v is not None})
+    if "defects" in df.columns:
+        fill = {"severity": "mild", "confidence": 0.8}
+        fields = [f.name for f in df.schema["defects"].dataType.elementType.fields]
+        one = lambda d: F.struct(*[(F.coalesce(d[n], F.lit(fill[n])) if n in fill else d[n]).alias(n) for n in fields])
+        df = df.withColumn("defects", F.coalesce(F.transform("defects", one), F.array().cast(df.schema["defects"].dataType)))
+    return df
+
+
+def validate(df: DataFrame, **defaults) -> tuple[DataFrame, DataFrame]:
+    """``(valid, rejects)``: records that keep all rules, with defaults filled in, and the others as they came with their ``reasons``."""
+    judged = reject_reasons(df)
+    return with_defaults(judged.filter(F.size("reasons") == 0).drop("reasons"), **defaults), judged.filter(F.size("reasons") > 0)
 
 
 def batch_stats(df: DataFrame) -> DataFrame:
@@ -95,38 +135,66 @@ def list_batches(batches: DataFrame, stats: DataFrame) -> DataFrame:
     return batches.join(stats.select("batch_id", "total", "mean_score"), "batch_id", "left").select("batch_id", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("mean_score", F.lit(0.0)).alias("mean_score"))
 
 
-def search(df: DataFrame, batch: int | None = None, text: str | None = None, variety: str | None = None, page: int = 1, limit: int = 20) -> DataFrame:
-    """One page of the records that pass all given filters, newest first, ties by id; ASCII case is ignored."""
-    if not 1 <= limit <= 200:
-        raise ValueError("limit must be between 1 and 200")
-    for value, column in ((batch, "batch_id"), (variety, "variety")):
+def matching(df: DataFrame, batch: int | None = None, text: str | None = None, variety: str | None = None, grade: str | None = None, source: str | None = None, model_only: bool = False) -> DataFrame:
+    """Records that pass all given filters; ``text`` is part of the sample code or the variety, ASCII case ignored."""
+    for value, column in ((batch, "batch_id"), (variety, "variety"), (grade, "grade"), (source, "source")):
         if value is not None:
             df = df.filter(F.col(column) == value)
     if text:
         df = df.filter(F.contains(F.lower("sample_code"), F.lit(text.lower())) | F.contains(F.lower("variety"), F.lit(text.lower())))
-    return df.orderBy(F.desc("ts"), "id").offset((page - 1) * limit).limit(limit)
+    return df.filter(F.startswith("reason", F.lit("model"))) if model_only else df
+
 
+def search(df: DataFrame, page: int = 1, limit: int = 20, **filters) -> DataFrame:
+    """One page of the records that pass all filters (see ``matching``), newest first, ties by id, with ``total`` and ``pages`` (of all that pass)."""
+    if not 1 <= limit <= 200:
+        raise ValueError("limit must be between 1 and 200")
+    found = matching(df, **filters)
+    part = found.orderBy(F.desc("ts"), "id").offset((page - 1) * limit).limit(limit)
+    return part.crossJoin(F.broadcast(search_totals(found, limit)))  # one row
 
-def score_as_of(df: DataFrame, versions: DataFrame) -> DataFrame:
+
+def search_totals(found: DataFrame, limit: int) -> DataFrame:
+    """One row: ``total`` and ``pages`` (0 without records)."""
+    total = found.agg(F.count(F.lit(1)).alias("total"))
+    return total.withColumn("pages", F.ceil(F.col("total") / limit))
+
+
+def score_as_of(df: DataFrame, versions: DataFrame, width: int = 86_400, most: int = 100_000) -> DataFrame:
     """Score each record by the rule version in force at its time.
 
     Versions (``valid_from``, ``w1`` to ``w5``, ``a_min``, ``b_min``) whose weights do not sum to 1 within
-    0.001, or whose A limit is not above that of B, are refused. They are a handful of saved rules; the
-    join is broadcast only after a count shows so.
+    0.001, or whose A limit is not above that of B, are refused. Spans of versions are cut into stretches of
+    ``width`` seconds, on which records join by equality; the table of stretches is broadcast up to ``most`` rows.
     """
     good = versions.filter((F.abs(sum((F.col(f"w{k}") for k in range(1, 6)), F.lit(0.0)) - 1) <= 0.001) & (F.col("a_min") > F.col("b_min")))
-    spans = good.withColumn("valid_to", F.lead("valid_from").over(Window.orderBy("valid_from")))
-    small = spans.limit(10_001).count() <= 10_000
-    spans = F.broadcast(spans) if small else spans
-    out = df.join(spans, (F.col("ts") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("ts") < F.col("valid_to"))))
+    last = df.agg(F.max("ts").alias("_last"))
+    stretch = lambda c: F.floor(F.unix_micros(c) / (width * 1_000_000))
+    spans = good.withColumn("valid_to", F.lead("valid_from").over(Window.orderBy("valid_from"))).crossJoin(F.broadcast(last)).filter("valid_from <= _last")
+    spans = spans.withColumn("_stretch", F.explode(F.sequence(stretch("valid_from"), stretch(F.least(F.coalesce("valid_to", "_last"), F.col("_last")))))).drop("_last")
+    spans = written(spans)
+    spans = F.broadcast(spans) if spans.count() <= most else spans.hint("merge")
+    out = df.withColumn("_stretch", stretch("ts")).join(spans, "_stretch").filter((F.col("ts") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("ts") < F.col("valid_to")))).drop("_stretch")
     out = out.withColumn("score", weighted_score([F.col(f"w{k}") for k in range(1, 6)]))
     return out.withColumn("grade", grade_by(F.col("score"), F.lower("severity") == "severe", F.col("a_min"), F.col("b_min")))
 
 
-def narrative(stats: DataFrame) -> DataFrame:
-    """A sentence on each batch: good from half A, poor from a quarter C, else fair."""
-    word = F.when(F.col("pct_a") >= 50, "good").when(F.col("pct_c") >= 25, "poor").otherwise("fair")
-    return stats.select("batch_id", F.concat(F.lit("Batch "), F.col("batch_id").cast("string"), F.lit(": "), F.col("total").cast("string"), F.lit(" items, quality "), word).alias("narrative"))
+def narrative(stats: DataFrame, defects: DataFrame) -> DataFrame:
+    """A sentence on each batch: records, mean score, share of A, quality (good from half A, fair under a quarter C), and its two most frequent defects.
+
+    ``defects`` is the result of ``top_defects``.
+    """
+    word = F.when(F.col("pct_a") >= 50, "good").when(F.col("pct_c") < 25, "fair").otherwise("needs attention")
+    two = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= 2, F.struct("place", "defect")))), lambda d: d["defect"]), ", ")
+    rows = stats.join(defects.groupBy("batch_id").agg(two.alias("worst")).hint("merge"), "batch_id", "left")
+    worst = F.coalesce(F.nullif("worst", F.lit("")), F.lit("no frequent defect"))
+    text = F.concat(F.lit("Batch "), F.col("batch_id").cast("string"), F.lit(": "), F.col("total").cast("string"), F.lit(" items, mean score "), F.format_string("%.1f", "mean_score"), F.lit(", A "), F.format_string("%.1f", "pct_a"), F.lit(" %, quality "), word, F.lit("; "), worst)
+    return rows.select("batch_id", text.alias("narrative"))
+
+
+def live_summary(df: DataFrame, kind: str) -> DataFrame:
+    """Records by kind and grade."""
+    return df.groupBy(F.col(kind).alias("kind"), "grade").agg(F.count(F.lit(1)).alias("n"))
 
 
 def ensure_batches(batches: DataFrame, records: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gradeloom.operators.ranking import beside_group
+
 
 def labels_from_url(df: DataFrame, column: str) -> DataFrame:
     """Add ``host`` and ``label`` (the first path part) of an address; rows without a host have nulls."""
@@ -28,22 +30,55 @@ def upgrade_legacy(df: DataFrame) -> DataFrame:
     return df if "source" in df.columns else df.withColumn("source", F.lit("legacy"))
 
 
-def event_envelope(df: DataFrame, kind: str, data: list[str]) -> DataFrame:
-    """One JSON message ``{type, data}`` for each record."""
-    return df.withColumn("message", F.to_json(F.struct(F.lit(kind).alias("type"), F.struct(*data).alias("data"))))
+def event_envelope(df: DataFrame, kind: str, data: list[str], stats: list[str] | None = None) -> DataFrame:
+    """One JSON message ``{type, data, stats}`` for each record; ``stats`` is left out where it is not asked for."""
+    parts = [F.lit(kind).alias("type"), F.struct(*data).alias("data"), *([F.struct(*stats).alias("stats")] if stats else [])]
+    return df.withColumn("message", F.to_json(F.struct(*parts)))
+
+
+#: Fixed value: how reasons of records that come from a model begin.
+MODEL_REASON = "model"
 
 
 def derive_result_columns(df: DataFrame) -> DataFrame:
-    """Add result type, share of the score and display text of each grade."""
-    text = F.when(F.col("grade") == "A", "first class").when(F.col("grade") == "B", "good").otherwise("second class")
-    kind = F.when(F.startswith("reason", F.lit("severe")), "defect").when(F.startswith("reason", F.lit("model")), "model").otherwise("score")
-    return df.withColumns({"result_type": kind, "confidence": F.round(F.col("score") / 100, 4), "display": text})
+    """Add ``result_type`` (``model`` by the reason's beginning, else ``legacy``), ``display`` (the text of each grade) and, for model results alone,
+    ``grade_label`` (first or second level) and the three confidences: of kind, grade and detector, from the scores that carry them."""
+    model = F.startswith("reason", F.lit(MODEL_REASON))
+    share = lambda c: F.when(model, F.round(F.col(c) / 100, 4))
+    return df.withColumns({
+        "result_type": F.when(F.coalesce(model, F.lit(False)), "model").otherwise("legacy"),
+        "grade_label": F.when(model, F.when(F.col("grade") == "A", "first").otherwise("second")),
+        "kind_confidence": share("color_score"),
+        "grade_confidence": share("integrity_score"),
+        "detector_confidence": share("size_score"),
+        "display": F.when(F.col("grade") == "A", "excellent").when(F.col("grade") == "B", "qualified").otherwise("to be handled"),
+    })
+
+
+def percent(share: Column) -> Column:
+    """A share as a percentage with one place, exact halves up."""
+    return F.concat(F.format_string("%.1f", F.floor(share * 1000 + 0.5) / 10), F.lit("%"))
 
 
 def prediction_to_inspection(df: DataFrame) -> DataFrame:
-    """A class prediction with confidences as an inspection record: scores, grade and one moderate defect when bad."""
-    bad = F.col("pred") % 2 == 0
-    return df.withColumns({"grade": F.when(bad, "C").otherwise("A"), "model_score": F.round(F.col("conf") * 100, 2), "severity": F.when(bad, "moderate"), "reason": F.format_string("model class %d at %.2f", F.col("pred"), F.col("conf"))})
+    """A prediction as an inspection record.
+
+    Takes ``pred`` (kind * 2 + grade; grade 1 is bad), ``conf`` (its joint probability), ``k1`` (of kind 1), ``g0`` and ``g1`` (of
+    bad under each kind) and ``detector``. The five scores are the confidence in the kind, that in the grade, the
+    probability of good, that of the detector, and of not bad, times 100; a bad item is grade C with one moderate defect.
+    """
+    kind, bad = F.floor(F.col("pred") / 2), F.col("pred") % 2 == 1
+    p_kind = F.when(kind == 1, F.col("k1")).otherwise(1 - F.col("k1"))
+    p_bad = F.when(kind == 1, F.col("g1")).otherwise(F.col("g0"))
+    p_grade = F.when(bad, p_bad).otherwise(1 - p_bad)
+    defect = F.struct(F.lit("model_bad_grade").alias("type"), F.lit("second level by the model").alias("name"), F.lit("moderate").alias("severity"), p_grade.alias("confidence"))
+    return df.withColumns({
+        "variety": F.concat(F.lit("kind "), kind.cast("string")),
+        "color_score": p_kind * 100, "integrity_score": p_grade * 100, "shape_score": (1 - p_bad) * 100, "size_score": F.col("detector") * 100, "defect_score": (1 - p_bad) * 100,
+        "confidence": F.col("conf"), "model_grade": F.when(bad, "C").otherwise("A"), "model_score": (1 - p_bad) * 100,
+        "defects": F.when(bad, F.array(defect)).otherwise(F.array().cast("array<struct<type:string,name:string,severity:string,confidence:double>>")),
+        "model_reason": F.concat(F.lit(MODEL_REASON + ": class "), F.col("pred").cast("string"), F.lit("; kind "), percent(p_kind), F.lit(", grade "), percent(p_grade), F.lit(", joint "), percent(F.col("conf"))),
+    })
 
 
 def resolve_defaults(*columns: str) -> Column:
@@ -79,12 +114,17 @@ def known_hash_overlap(new: DataFrame, known: DataFrame, column: str) -> DataFra
 
 
 def distribution_features(df: DataFrame, key: str, value: str, bins: int) -> DataFrame:
-    """Per key: shares of equal bins of 0 to 1, mean, spread, entropy (1: uniform) and five quantiles."""
+    """Per key: shares of equal bins of 0 to 1, mean, spread, median absolute deviation, entropy (1: uniform) and seven quantiles.
+
+    Values are held inside 0 to 1. The deviation is a second pass against the medians, one row for each key.
+    """
+    df = df.withColumn(value, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(value).cast("double"))))
     place = F.least(F.floor(F.col(value) * bins), F.lit(bins - 1))
     n = F.count(F.lit(1))
-    out = df.groupBy(key).agg(n.alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), *[(F.count_if(place == b) / n).alias(f"bin{b}") for b in range(bins)], *[F.percentile(value, F.lit(q / 100)).alias(f"q{q}") for q in (5, 25, 50, 75, 95)])
+    out = df.groupBy(key).agg(n.alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), *[(F.count_if(place == b) / n).alias(f"bin{b}") for b in range(bins)], *[F.percentile(value, F.lit(q / 100)).alias(f"q{q}") for q in (5, 10, 25, 50, 75, 90, 95)])
     entropy = sum((-F.col(f"bin{b}") * F.log(F.col(f"bin{b}") + 1e-12) for b in range(bins)), F.lit(0.0)) / F.log(F.lit(float(bins)))
-    return out.withColumn("entropy", entropy)
+    far = beside_group(df.select(key, value), key, _median=F.percentile(value, F.lit(0.5))).groupBy(key).agg(F.percentile(F.abs(F.col(value) - F.col("_median")), F.lit(0.5)).alias("mad"))
+    return out.withColumn("entropy", entropy).join(far.hint("merge"), key)
 
 
 def threshold_shares(df: DataFrame, key: str, predicates: dict[str, Column]) -> DataFrame:

@@ -9,14 +9,16 @@ from gradeloom.plans.catalog import query
 from gradeloom.plans.fixtures import view, with_views
 
 
-@query("A06_table_fingerprint", "SELECT count(*) AS rows, CAST(sum(CAST(('0x' || substr(sha256(concat_ws(chr(31), coalesce(CAST(doc_id AS VARCHAR), chr(0)), coalesce(text, chr(0)))), 1, 15)) AS BIGINT)::HUGEINT) AS VARCHAR) AS content FROM documents")
+@query("A06_table_fingerprint", "SELECT count(*) AS rows, CAST(sum(CAST(('0x' || substr(sha256(concat(CASE WHEN doc_id IS NULL THEN '-;' ELSE length(CAST(doc_id AS VARCHAR)) || ':' || doc_id END, CASE WHEN text IS NULL THEN '-;' ELSE length(text) || ':' || text END)), 1, 15)) AS BIGINT)::HUGEINT) AS VARCHAR) AS content FROM documents")
 def a06(spark, sf):
     return ds.table_fingerprint(spark.read.parquet(f"{sf}/documents.parquet"), ["doc_id", "text"])
 
 
 @query("A07_split_by_role", with_views("SELECT split, count(*) AS n, min(path) AS first, max(path) AS last FROM manifest GROUP BY split", "manifest"))
 def a07(spark, sf):
-    return view(spark, sf, "manifest").groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first"), F.max("path").alias("last"))
+    parts = ds.split_by_role(view(spark, sf, "manifest"), "split", ["train", "val", "test"])
+    counted = [part.agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first"), F.max("path").alias("last")).select(F.lit(role).alias("split"), "*") for role, part in parts.items()]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2]).filter("n > 0")
 
 
 @query("C11_leakage_audit", with_views("""WITH l AS (SELECT split, 'group_id' AS key, group_id AS value FROM manifest UNION ALL SELECT split, 'content', sha256(text) FROM manifest)
@@ -38,9 +40,9 @@ def d08(spark, sf):
 
 
 @query("D10_composition", with_views("""SELECT 'split' AS dimension, split AS value, count(*) AS n FROM manifest GROUP BY split UNION ALL SELECT 'class_id', CAST(class_id AS VARCHAR), count(*) FROM manifest GROUP BY class_id
- UNION ALL SELECT 'origin', origin, count(*) FROM manifest GROUP BY origin""", "manifest"))
+ UNION ALL SELECT 'origin', origin, count(*) FROM manifest GROUP BY origin UNION ALL SELECT 'split:class_id', split || ':' || class_id, count(*) FROM manifest GROUP BY split, class_id""", "manifest"))
 def d10(spark, sf):
-    return ds.composition(view(spark, sf, "manifest"), ["split", "class_id", "origin"])
+    return ds.composition(view(spark, sf, "manifest"), ["split", "class_id", "origin", "split:class_id"])
 
 
 GROUPS = "g AS (SELECT class_id, source_id || ':' || class_id AS grp, count(*) AS rows FROM manifest GROUP BY 1, 2)"
@@ -99,7 +101,7 @@ def g02(spark, sf):
 @query("G03_fold_complement", with_views(f"WITH {FOLDS} SELECT m.path, m.class_id FROM manifest m JOIN f ON f.grp = m.source_id || ':' || m.class_id WHERE fold <> 0", "manifest"))
 def g03(spark, sf):
     rows = grouped(spark, sf)
-    return rows.join(ds.group_kfold(rows, "grp", "class_id", 5, 9).select("grp", "fold"), "grp").filter("fold <> 0").select("path", "class_id")
+    return ds.fold_complement(rows, ds.group_kfold(rows, "grp", "class_id", 5, 9), "grp", 0).select("path", "class_id")
 
 
 @query("W01_pair_mass", with_views("SELECT path, group_id, 1.0::DOUBLE / count(*) OVER (PARTITION BY group_id) AS mass FROM manifest", "manifest"))

@@ -33,12 +33,22 @@ def sql(text: str) -> str:
     return with_views(SCORED + text, "inspections")
 
 
-@query("A08_validate_inspections", with_views("""SELECT sample, line, batch_id, list_filter([
- CASE WHEN color_score < 0 OR color_score > 100 OR color_score IS NULL THEN 'color_score outside 0..100' END, CASE WHEN integrity_score < 0 OR integrity_score > 100 OR integrity_score IS NULL THEN 'integrity_score outside 0..100' END,
- CASE WHEN shape_score < 0 OR shape_score > 100 OR shape_score IS NULL THEN 'shape_score outside 0..100' END, CASE WHEN size_score < 0 OR size_score > 100 OR size_score IS NULL THEN 'size_score outside 0..100' END,
- CASE WHEN defect_score < 0 OR defect_score > 100 OR defect_score IS NULL THEN 'defect_score outside 0..100' END, CASE WHEN severity NOT IN ('mild', 'moderate', 'severe') THEN 'severity unknown' END], lambda x: x IS NOT NULL) AS reasons FROM inspections""", "inspections"))
+#: What a record may hold besides its scores, some of it broken, and the rules on it in their order.
+EXTRA = {"length": "CAST(sample % 7 AS DOUBLE) - 1", "width": "CASE WHEN sample % 5 > 0 THEN CAST(sample % 11 AS DOUBLE) END", "confidence": "CASE WHEN sample % 9 > 0 THEN CAST(sample % 12 AS DOUBLE) / 10 END", "word": "CASE WHEN line = 6 THEN 'odd' WHEN line = 5 THEN NULL ELSE severity END"}
+RULES = [f"CASE WHEN {c} < 0 OR {c} > 100 OR {c} IS NULL THEN '{c} outside 0..100' END" for c in ins.SCORES] + [
+    "CASE WHEN length <= 0 THEN 'length not above 0' END", "CASE WHEN width <= 0 THEN 'width not above 0' END", "CASE WHEN confidence > 1 THEN 'confidence outside 0..1' END", "CASE WHEN model_score > 100 THEN 'model_score outside 0..100' END",
+    "CASE WHEN processing_time < 0 THEN 'processing_time below 0' END", "CASE WHEN model_grade NOT IN ('A', 'B', 'C') THEN 'model_grade unknown' END", "CASE WHEN word = 'odd' THEN 'defect severity unknown' END",
+]
+
+
+@query("A08_validate_inspections", with_views(f"""WITH x AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in EXTRA.items())} FROM inspections), r AS (SELECT *, list_filter([{', '.join(RULES)}], lambda x: x IS NOT NULL) AS reasons FROM x)
+ SELECT sample, line, batch_id, reasons, CASE WHEN len(reasons) = 0 THEN coalesce(confidence, 0.95) ELSE confidence END::DOUBLE AS confidence, CASE WHEN len(reasons) = 0 THEN coalesce(word, 'mild') ELSE word END AS severity FROM r""", "inspections"))
 def a08(spark, sf):
-    return ins.reject_reasons(records(spark, sf)).select("sample", "line", "batch_id", "reasons")
+    rows = view(spark, sf, "inspections").selectExpr("*", *[f"{v} AS {k}" for k, v in EXTRA.items()]).drop("severity")
+    rows = rows.withColumn("defects", F.array(F.struct(F.col("defect_type").alias("type"), F.col("defect_type").alias("name"), F.col("word").alias("severity"))))
+    valid, rejects = ins.validate(rows)
+    both = valid.withColumn("reasons", F.array().cast("array<string>")).unionByName(rejects)
+    return both.select("sample", "line", "batch_id", "reasons", "confidence", F.get("defects", F.lit(0))["severity"].alias("severity"))
 
 
 @query("B01_score_inspections", sql("SELECT sample, line, batch_id, score, grade, reason FROM graded"))
@@ -52,14 +62,20 @@ def b02(spark, sf):
     return ins.apply_model_grade(graded(spark, sf)).select("sample", "line", "batch_id", "score", "grade", "reason")
 
 
-@query("B06_search_inspections", with_views("SELECT * FROM inspection_log WHERE contains(lower(sample_code), '1') OR contains(lower(variety), '1') ORDER BY ts DESC, id LIMIT 50 OFFSET 50", "inspection_log"))
+LOGGED = "SELECT *, CASE id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS grade, CASE WHEN id % 2 = 0 THEN 'model grade' ELSE 'weighted score' END AS reason, CASE WHEN id % 5 = 0 THEN 'legacy' ELSE 'camera' END AS source FROM inspection_log"
+
+
+@query("B06_search_inspections", with_views(f"WITH l AS ({LOGGED}), f AS (SELECT * FROM l WHERE (contains(lower(sample_code), '1') OR contains(lower(variety), '1')) AND grade = 'A' AND source = 'camera' AND reason LIKE 'model%') SELECT *, (SELECT count(*) FROM f) AS total, (SELECT ceil(count(*) / 5.0)::BIGINT FROM f) AS pages FROM f ORDER BY ts DESC, id LIMIT 5 OFFSET 5", "inspection_log"))
 def b06(spark, sf):
-    return ins.search(view(spark, sf, "inspection_log"), text="1", page=2, limit=50)
+    more = {"grade": "CASE id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END", "reason": "CASE WHEN id % 2 = 0 THEN 'model grade' ELSE 'weighted score' END", "source": "CASE WHEN id % 5 = 0 THEN 'legacy' ELSE 'camera' END"}
+    rows = view(spark, sf, "inspection_log").withColumns({c: F.expr(e) for c, e in more.items()})
+    return ins.search(rows, text="1", grade="A", source="camera", model_only=True, page=2, limit=5)
 
 
-@query("B15_batch_narrative", sql(", " + BATCH + " SELECT batch_id, 'Batch ' || batch_id || ': ' || total || ' items, quality ' || CASE WHEN pct_a >= 50 THEN 'good' WHEN pct_c >= 25 THEN 'poor' ELSE 'fair' END AS narrative FROM stats"))
+@query("B15_batch_narrative", sql(", " + BATCH + """, d AS (SELECT batch_id, string_agg(defect_type, ', ' ORDER BY n DESC, defect_type) AS worst FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY n DESC, defect_type) AS place FROM (SELECT batch_id, defect_type, count(*) AS n FROM graded GROUP BY 1, 2)) WHERE place <= 2 GROUP BY batch_id)
+ SELECT batch_id, 'Batch ' || batch_id || ': ' || total || ' items, mean score ' || printf('%.1f', mean_score) || ', A ' || printf('%.1f', pct_a) || ' %, quality ' || CASE WHEN pct_a >= 50 THEN 'good' WHEN pct_c < 25 THEN 'fair' ELSE 'needs attention' END || '; ' || coalesce(worst, 'no frequent defect') AS narrative FROM stats LEFT JOIN d USING (batch_id)"""))
 def b15(spark, sf):
-    return ins.narrative(ins.batch_stats(graded(spark, sf)))
+    return ins.narrative(ins.batch_stats(graded(spark, sf)), ins.top_defects(records(spark, sf)))
 
 
 @query("C17_score_as_of", with_views("""WITH v(valid_from, w1, w2, w3, w4, w5, a_min, b_min) AS (SELECT CAST(d AS TIMESTAMP), a, b, 0.15, 0.10, 0.15, 85.0, 65.0 FROM (VALUES ('1992-01-01', 0.30, 0.30), ('1995-06-01', 0.20, 0.40)) AS t(d, a, b)),
@@ -96,7 +112,7 @@ def d04(spark, sf):
 
 @query("D05_live_summary", sql("SELECT defect_type AS kind, grade, count(*) AS n FROM graded GROUP BY defect_type, grade"))
 def d05(spark, sf):
-    return graded(spark, sf).groupBy(F.col("defect_type").alias("kind"), "grade").agg(F.count(F.lit(1)).alias("n"))
+    return ins.live_summary(graded(spark, sf), "defect_type")
 
 
 @query("E13_rate_per_window", with_views("SELECT date_trunc('second', ts) AS start, count(*) AS n FROM inspection_log GROUP BY 1", "inspection_log"))

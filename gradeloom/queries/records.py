@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from gradeloom.operators import records as rc
 from gradeloom.operators import vectors as vc
 from gradeloom.operators.evaluation import judged
+from gradeloom.operators.inspections import apply_model_grade
+from gradeloom.operators.ranking import beside_group
 from gradeloom.plans.catalog import query
 from gradeloom.plans.fixtures import view, with_views
 from gradeloom.queries.evaluation import predictions, rounded, sql_both
@@ -44,19 +46,32 @@ def a09(spark, sf):
     return rc.upgrade_legacy(view(spark, sf, "inspection_log").select(F.col("sample_code").alias("id"), "score"))
 
 
-@query("A10_event_envelope", with_views("""SELECT id, '{"type":"detection","data":{"id":' || id || ',"sample_code":"' || sample_code || '"}}' AS message FROM inspection_log""", "inspection_log"))
+@query("A10_event_envelope", with_views("""SELECT id, '{"type":"detection","data":{"id":' || id || ',"sample_code":"' || sample_code || '"}' || ',"stats":{"total":' || count(*) OVER (PARTITION BY batch_id) || ',"last":' || max(id) OVER (PARTITION BY batch_id) || '}}' AS message FROM inspection_log""", "inspection_log"))
 def a10(spark, sf):
-    return rc.event_envelope(view(spark, sf, "inspection_log"), "detection", ["id", "sample_code"]).select("id", "message")
+    rows = beside_group(view(spark, sf, "inspection_log"), "batch_id", total=F.count(F.lit(1)), last=F.max("id"))
+    return rc.event_envelope(rows, "detection", ["id", "sample_code"], ["total", "last"]).select("id", "message")
 
 
-@query("B03_derive_result_columns", graded_sql("SELECT sample, line, batch_id, CASE WHEN reason LIKE 'severe%' THEN 'defect' WHEN reason LIKE 'model%' THEN 'model' ELSE 'score' END AS result_type, round(score / 100, 4) AS confidence, CASE grade WHEN 'A' THEN 'first class' WHEN 'B' THEN 'good' ELSE 'second class' END AS display FROM graded"))
+SHARE = "CASE WHEN model_grade IS NOT NULL THEN round({} / 100, 4) END::DOUBLE"
+
+
+@query("B03_derive_result_columns", graded_sql(f"SELECT sample, line, batch_id, CASE WHEN model_grade IS NOT NULL THEN 'model' ELSE 'legacy' END AS result_type, CASE WHEN model_grade = 'A' THEN 'first' WHEN model_grade IS NOT NULL THEN 'second' END AS grade_label, {SHARE.format('color_score')} AS kind_confidence, {SHARE.format('integrity_score')} AS grade_confidence, {SHARE.format('size_score')} AS detector_confidence, CASE coalesce(model_grade, grade) WHEN 'A' THEN 'excellent' WHEN 'B' THEN 'qualified' ELSE 'to be handled' END AS display FROM graded"))
 def b03(spark, sf):
-    return rc.derive_result_columns(graded(spark, sf)).select("sample", "line", "batch_id", "result_type", "confidence", "display")
+    return rc.derive_result_columns(apply_model_grade(graded(spark, sf))).select("sample", "line", "batch_id", "result_type", "grade_label", "kind_confidence", "grade_confidence", "detector_confidence", "display")
+
+
+PERCENT = "printf('%.1f', floor({} * 1000 + 0.5) / 10) || '%'"
 
 
-@query("B04_prediction_to_inspection", sql_both("SELECT path, CASE WHEN pred % 2 = 0 THEN 'C' ELSE 'A' END AS grade, round(conf * 100, 2) AS model_score, CASE WHEN pred % 2 = 0 THEN 'moderate' END AS severity FROM a"))
+@query("B04_prediction_to_inspection", sql_both(f""", p AS (SELECT *, CASE WHEN pred >= 2 THEN k1 ELSE 1 - k1 END AS pk, CASE WHEN pred >= 2 THEN g1 ELSE g0 END AS bad, (path % 97 + 1)::DOUBLE / 98 AS detector FROM a), q AS (SELECT *, CASE WHEN pred IN (1, 3) THEN bad ELSE 1 - bad END AS pg FROM p)
+ SELECT path, CASE WHEN pred >= 2 THEN 'kind 1' ELSE 'kind 0' END AS variety, round(pk * 100, 6) AS color_score, round(pg * 100, 6) AS integrity_score, round((1 - bad) * 100, 6) AS shape_score, round(detector * 100, 6) AS size_score, round((1 - bad) * 100, 6) AS defect_score, round(conf, 6) AS confidence,
+ CASE WHEN pred IN (1, 3) THEN 'C' ELSE 'A' END AS model_grade, round((1 - bad) * 100, 6) AS model_score, CASE WHEN pred IN (1, 3) THEN 'moderate' END AS severity, CASE WHEN pred IN (1, 3) THEN round(pg, 6) END AS defect_confidence,
+ 'model: class ' || pred || '; kind ' || {PERCENT.format('pk')} || ', grade ' || {PERCENT.format('pg')} || ', joint ' || {PERCENT.format('conf')} AS model_reason FROM q"""))
 def b04(spark, sf):
-    return rc.prediction_to_inspection(judged(predictions(spark, sf))).select("path", "grade", "model_score", "severity")
+    rows = rc.prediction_to_inspection(judged(predictions(spark, sf)).withColumn("detector", F.expr("cast(path % 97 + 1 as double) / 98")))
+    first = F.get("defects", F.lit(0))
+    names = ["color_score", "integrity_score", "shape_score", "size_score", "defect_score", "confidence", "model_grade", "model_score"]
+    return rounded(rows.select("path", "variety", *names, first["severity"].alias("severity"), first["confidence"].alias("defect_confidence"), "model_reason"))
 
 
 @query("B07_resolve_defaults", with_views("SELECT path, CASE WHEN path % 3 = 0 THEN 'override' WHEN path % 3 = 1 AND source_id <> '' THEN source_id ELSE 'asset' END AS image FROM manifest", "manifest"))
@@ -152,7 +167,7 @@ def numeric(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_returnflag AS flag", "CAST(l_discount * 10 AS DOUBLE) AS x", "CAST(l_tax AS DOUBLE) AS y", "CAST(l_quantity AS DOUBLE) AS z")
 
 
-@query("D26_distribution_features", "WITH d AS (SELECT flag, count(*) AS n, avg(x) AS mean, stddev_pop(x) AS sd, " + ", ".join(f"count(*) FILTER (least(floor(x * 8), 7) = {b})::DOUBLE / count(*) AS bin{b}" for b in range(8)) + ", " + ", ".join(f"quantile_cont(x, {q / 100}) AS q{q}" for q in (5, 25, 50, 75, 95)) + f" FROM {NUMERIC} GROUP BY flag) SELECT flag, n, round(mean, 6) AS mean, round(sd, 6) AS sd, " + ", ".join(f"round(bin{b}, 6) AS bin{b}" for b in range(8)) + ", " + ", ".join(f"round(q{q}, 6) AS q{q}" for q in (5, 25, 50, 75, 95)) + ", round((" + " + ".join(f"-bin{b} * ln(bin{b} + 1e-12)" for b in range(8)) + ") / ln(8), 6) AS entropy FROM d")
+@query("D26_distribution_features", "WITH d AS (SELECT flag, count(*) AS n, avg(x) AS mean, stddev_pop(x) AS sd, " + ", ".join(f"count(*) FILTER (least(floor(x * 8), 7) = {b})::DOUBLE / count(*) AS bin{b}" for b in range(8)) + ", " + ", ".join(f"quantile_cont(x, {q / 100}) AS q{q}" for q in (5, 10, 25, 50, 75, 90, 95)) + f", mad(x) AS mad FROM {NUMERIC} GROUP BY flag) SELECT flag, n, round(mean, 6) AS mean, round(sd, 6) AS sd, " + ", ".join(f"round(bin{b}, 6) AS bin{b}" for b in range(8)) + ", " + ", ".join(f"round(q{q}, 6) AS q{q}" for q in (5, 10, 25, 50, 75, 90, 95)) + ", round(mad, 6) AS mad, round((" + " + ".join(f"-bin{b} * ln(bin{b} + 1e-12)" for b in range(8)) + ") / ln(8), 6) AS entropy FROM d")
 def d26(spark, sf):
     return rounded(rc.distribution_features(numeric(spark, sf), "flag", "x", 8))
 
