@@ -57,12 +57,22 @@ def geometry_filter(df: DataFrame, width: float, height: float, region: tuple[fl
     return df.filter(inside & long & centre)
 
 
-def pad(df: DataFrame, width: float, height: float, least: float, ratio: float) -> DataFrame:
-    """Grow every side by ``max(least, ratio * own side)``, inside the frame."""
-    dx, dy = F.greatest(F.lit(float(least)), ratio * wide()), F.greatest(F.lit(float(least)), ratio * high())
+def pad(df: DataFrame, width: float, height: float, least: float, ratio: float, long_side: bool = False) -> DataFrame:
+    """Grow every side by ``max(least, ratio * own side)``, or of the long side, inside the frame."""
+    sides = (F.greatest(wide(), high()),) * 2 if long_side else (wide(), high())
+    dx, dy = (F.greatest(F.lit(float(least)), ratio * side) for side in sides)
     return clamp(df.withColumns({"x1": F.col("x1") - dx, "x2": F.col("x2") + dx, "y1": F.col("y1") - dy, "y2": F.col("y2") + dy}), width, height)
 
 
+def expand_touching(df: DataFrame, width: float, height: float, least: int = 30, ratio: float = 0.38, calm: int = 8) -> DataFrame:
+    """Grow the sides that touch (booleans ``left, top, right, bottom``) by ``max(least, ratio * side)``, the others by a sixth of that, ``calm`` at least."""
+    gx, gy = (F.greatest(F.lit(least), F.bround(ratio * side).cast("int")) for side in (wide(), high()))
+    other = lambda g: F.greatest(F.lit(calm), F.floor(g / 6))
+    by = lambda flag, g: F.when(F.col(flag), g).otherwise(other(g))
+    grown = {"x1": F.col("x1") - by("left", gx), "y1": F.col("y1") - by("top", gy), "x2": F.col("x2") + by("right", gx), "y2": F.col("y2") + by("bottom", gy)}
+    return clamp(df.withColumns(grown), width, height)
+
+
 def to_xywh(df: DataFrame, width: float, height: float) -> DataFrame:
     """Add centre and size as shares of the frame: ``cx, cy, w, h``."""
     return df.withColumns({"cx": (F.col("x1") + F.col("x2")) / (2 * width), "cy": (F.col("y1") + F.col("y2")) / (2 * height), "w": wide() / width, "h": high() / height})
@@ -82,10 +92,12 @@ def quality_flags(df: DataFrame, width: float, height: float) -> DataFrame:
 
 
 def rank_components(df: DataFrame, width: float, height: float) -> DataFrame:
-    """Plausible regions with ``rank_score``; columns ``area``, ``surround`` and ``density`` come with the region."""
+    """Plausible regions with ``rank_score``: an area in a band of the frame's, sides, place, shape and surroundings; columns ``area``, ``surround`` and ``density`` come with the region."""
     aspect = F.greatest(wide(), high()) / F.greatest(F.least(wide(), high()), F.lit(1))
     cx, cy = (F.col("x1") + F.col("x2")) / (2 * width), (F.col("y1") + F.col("y2")) / (2 * height)
-    plausible = (wide() >= 5) & (high() >= 5) & cx.between(0.02, 0.98) & cy.between(0.10, 0.98) & (aspect <= 9.5) & (F.col("surround") >= 0.42)
+    whole = width * height
+    band = F.col("area").between(max(24, int(whole * 0.000025)), int(whole * 0.035))
+    plausible = band & (wide() >= 5) & (high() >= 5) & cx.between(0.02, 0.98) & cy.between(0.10, 0.98) & (aspect <= 9.5) & (F.col("surround") >= 0.42)
     score = F.log1p("area") + 3 * F.col("surround") + 0.4 * F.least("density", F.lit(0.8)) - 0.15 * F.greatest(F.lit(0.0), aspect - 5)
     return df.filter(plausible).withColumn("rank_score", score)
 
@@ -211,14 +223,17 @@ def count_recall(df: DataFrame, found: Column, truth: Column) -> DataFrame:
 
 
 def candidate_audit(df: DataFrame, expected: int, min_area: float) -> DataFrame:
-    """Per image: candidates, those above the fragment floor, the floor and the status.
+    """Per image: candidates, those above the fragment floor, the floor, the status and ``ratios``: areas over the median, largest first.
 
     The floor is the greater of ``min_area`` and a tenth of the median of the 25 largest areas.
     """
     area = (wide() * high()).cast("double")
     rows = df.withColumn("_area", area).withColumn("_n", F.row_number().over(Window.partitionBy("image").orderBy(F.desc("_area"), "box")))
-    floor = rows.filter("_n <= 25").groupBy("image").agg(F.greatest(F.lit(float(min_area)), 0.10 * F.percentile("_area", F.lit(0.5))).alias("floor"))
-    out = rows.join(floor.hint("merge"), "image").groupBy("image", "floor").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("_area") >= F.col("floor")).alias("selected"))
+    median = F.percentile("_area", F.lit(0.5))
+    floor = rows.filter("_n <= 25").groupBy("image").agg(F.greatest(F.lit(float(min_area)), 0.10 * median).alias("floor"), median.alias("_median"))
+    ratio = F.when(F.col("_median") > 0, F.round(F.col("_area") / F.col("_median"), 4)).otherwise(0.0)
+    ratios = F.reverse(F.array_sort(F.collect_list(ratio)))  # an image's boxes
+    out = rows.join(floor.hint("merge"), "image").groupBy("image", "floor").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("_area") >= F.col("floor")).alias("selected"), ratios.alias("ratios"))
     return out.withColumn("status", F.when(F.col("selected") >= expected, "ok").otherwise("shortfall"))
 
 

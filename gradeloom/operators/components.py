@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.operators.hot_keys import look_up
+from gradeloom.operators.ranking import numbered
 from gradeloom.plans.durable import written
 
 
@@ -22,6 +23,17 @@ def _star(edges: DataFrame, number: int, large: bool) -> DataFrame:
     return tied.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(own).filter("a <> b").distinct()
 
 
+def duplicate_clusters(nodes: DataFrame, edges: DataFrame, node: str = "path") -> DataFrame:
+    """``node, root, cluster`` of all nodes that an edge ties to another: components numbered from 1 by their least node.
+
+    Numbers are given by ranges of roots, so that no task holds all clusters.
+    """
+    roots = written(connected_components(edges).join(nodes.select(F.col(node).alias("node")).distinct().hint("merge"), "node", "left_semi"))
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    placed = written(numbered(sizes.withColumn("_all", F.lit(0)), "_all", [F.col("root")], "cluster").drop("_all"))
+    return look_up(roots, placed, "root", roots.count()).select(F.col("node").alias(node), "root", F.col("cluster").cast("long").alias("cluster"))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``root`` (the smallest node of its component) of every node that an edge names.
 

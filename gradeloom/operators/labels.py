@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gradeloom.operators.ranking import beside_group, numbered
+from gradeloom.plans.durable import written
+
 #: Fixed limits of the audit ladder.
 OPPOSITE, STABLE, SURE_KIND, AMBIGUOUS, MARGIN = 0.80, 0.80, 0.90, (0.40, 0.60), 0.005
 
@@ -20,7 +23,7 @@ def oof_summary(pred: DataFrame, labels: DataFrame) -> DataFrame:
     as the mean does; ``stability``: share of views that vote as their model, the least over models;
     ``all_opposite``: every model's grade contradicts the label. The grade is read under the labelled kind.
     """
-    rows = pred.join(labels.select("path", "class_id"), "path")
+    rows = pred.join(labels.select("path", "class_id").hint("merge"), "path")
     rows = rows.withColumn("g", F.when(F.col("class_id") < 2, F.col("g0")).otherwise(F.col("g1")))
     own = rows.withColumns({"mk": F.avg("k1").over(Window.partitionBy("path", "model")), "mg": F.avg("g").over(Window.partitionBy("path", "model"))})
     stable = (((F.col("k1") > 0.5) == (F.col("mk") > 0.5)) & ((F.col("g") > 0.5) == (F.col("mg") > 0.5))).cast("double")
@@ -198,18 +201,31 @@ def ownership_conflicts(canonical: DataFrame, views: DataFrame) -> DataFrame:
     return stray.unionByName(views.groupBy("pair_id").count().filter("count > 1").select("pair_id", F.lit("claimed twice").alias("reason")))
 
 
+def canonical_violations(df: DataFrame) -> DataFrame:
+    """``pair_id, reason``: pairs without exactly one canonical row, with a class unlike the canonical one's, or with another view type."""
+    own = F.max(F.when(F.col("view_type") == "canonical", F.col("class_id")))
+    pairs = df.groupBy("pair_id").agg(F.count_if(F.col("view_type") == "canonical").alias("_c"), own.alias("_own"), F.min("class_id").alias("_low"), F.max("class_id").alias("_high"), F.count_if(~F.col("view_type").isin("canonical", "detector_aligned")).alias("_odd"))
+    reason = F.when(F.col("_c") != 1, "not one canonical row").when((F.col("_low") != F.col("_own")) | (F.col("_high") != F.col("_own")), "classes differ").when(F.col("_odd") > 0, "unknown view type")
+    return pairs.select("pair_id", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
 def propagate_canonical(df: DataFrame, fields: list[str]) -> DataFrame:
-    """Give every row of a pair the fields of its canonical row; one aggregate on the pair (pairs have few rows) joined back."""
+    """Give every row of a pair the fields of its canonical row; one aggregate on the pair (pairs have few rows) joined back.
+
+    ``canonical_violations`` names the pairs that should not be propagated.
+    """
     first = [F.first(F.when(F.col("view_type") == "canonical", F.col(f)), ignorenulls=True).alias(f"_{f}") for f in fields]
     own = df.groupBy("pair_id").agg(*first)
     return df.join(own.hint("merge"), "pair_id").withColumns({f: F.col(f"_{f}") for f in fields}).drop(*[f"_{f}" for f in fields])
 
 
 def pair_consistency(df: DataFrame) -> DataFrame:
-    """Pairs with several labels, groups or unequal weights, or with other views than one canonical and at most one aligned view."""
+    """Pairs with several labels, groups or sources, unequal weights, a base mass other than one, or with other views than one canonical and at most one aligned view."""
     views = F.array_join(F.array_sort(F.collect_list("view_type")), ",")
-    out = df.groupBy("pair_id").agg(F.countDistinct("class_id").alias("labels"), F.countDistinct("group_id").alias("groups"), (F.max("weight") - F.min("weight")).alias("spread"), views.alias("views"))
-    return out.filter((F.col("labels") != 1) | (F.col("groups") != 1) | (F.col("spread") > 1e-12) | ~F.col("views").isin("canonical", "canonical,detector_aligned")).select("pair_id", "labels", "groups", "views")
+    one = [F.countDistinct(c).alias(n) for c, n in (("class_id", "labels"), ("group_id", "groups"), ("source_id", "sources"))]
+    out = df.groupBy("pair_id").agg(*one, (F.max("weight") - F.min("weight")).alias("spread"), F.sum("mass").alias("_mass"), views.alias("views"))
+    wrong = (F.col("labels") != 1) | (F.col("groups") != 1) | (F.col("sources") != 1) | (F.col("spread") > 1e-12) | (F.abs(F.col("_mass") - 1) > 1e-12) | ~F.col("views").isin("canonical", "canonical,detector_aligned")
+    return out.filter(wrong).select("pair_id", "labels", "groups", "sources", F.round("_mass", 6).alias("mass"), "views")
 
 
 def paired_instances(df: DataFrame) -> DataFrame:
@@ -228,20 +244,25 @@ def source_balanced(df: DataFrame, group: str, label: str, weight: str) -> DataF
     return df.join(scale, [label, group], "left").withColumn("balanced", F.coalesce(F.col(weight) * F.col("_scale"), F.lit(0.0))).drop("_scale")
 
 
-def balanced_sample(df: DataFrame, label: str, n: int, seed: int) -> DataFrame:
-    """``n`` rows drawn with replacement, every class equally often; draw ``d`` takes the row at a seeded place of its class.
+def balanced_sample(df: DataFrame, label: str, group: str, n: int, seed: int) -> DataFrame:
+    """``n`` rows drawn with replacement: every class equally often, then a group of the class, then a row of the group, each at a seeded place.
 
-    Places come from one window by class over the keys alone; the draws join on (class, place).
+    Groups of a class and rows of a group are numbered in a seeded order, in ranges; the draws join on these numbers.
     """
     from gradeloom.operators.datasets import draw
 
-    keys = df.select("path", label).withColumn("place", F.row_number().over(Window.partitionBy(label).orderBy(draw(seed, "path"), "path")) - 1)
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size")).withColumn("_rank", F.row_number().over(Window.orderBy(label)) - 1)
-    k = F.broadcast(sizes.agg(F.count(F.lit(1)).alias("_k")))  # one row
+    pair = F.concat_ws("\x1f", label, group)
+    keys = df.select("path", label, group).filter(F.col(label).isNotNull() & F.col(group).isNotNull()).withColumn("_pair", pair)
+    rows = numbered(keys, "_pair", [draw(seed, "path"), F.col("path")], "_row").select("path", "_pair", (F.col("_row") - 1).alias("_row"))
+    groups = keys.groupBy(label, "_pair").agg(F.count(F.lit(1)).alias("_rows"))
+    groups = written(numbered(groups, label, [draw(seed, "_pair"), F.col("_pair")], "_group").withColumn("_group", F.col("_group") - 1))
+    classes = groups.groupBy(label).agg(F.count(F.lit(1)).alias("_groups")).withColumn("_rank", F.row_number().over(Window.orderBy(label)) - 1)  # one row a class
+    k = F.broadcast(classes.agg(F.count(F.lit(1)).alias("_k")))  # one row
+    code = lambda part: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{part}:"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long")
     draws = df.sparkSession.range(n).withColumnRenamed("id", "draw").crossJoin(k).withColumn("_rank", F.col("draw") % F.col("_k"))
-    code = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long")
-    placed = draws.join(sizes.hint("shuffle_hash"), "_rank").withColumn("place", (code % F.col("_size")).cast("int"))
-    return placed.select("draw", label, "place").join(keys.hint("merge"), [label, "place"]).select("draw", "path", label)
+    of_class = draws.join(classes.hint("shuffle_hash"), "_rank").withColumn("_group", code("group") % F.col("_groups"))
+    of_group = of_class.select("draw", label, "_group").join(groups.hint("merge"), [label, "_group"]).withColumn("_row", code("row") % F.col("_rows"))
+    return of_group.select("draw", label, "_pair", "_row").join(rows.hint("merge"), ["_pair", "_row"]).select("draw", "path", label)
 
 
 def expand_views(df: DataFrame, views: str, weight: str) -> DataFrame:
@@ -250,15 +271,14 @@ def expand_views(df: DataFrame, views: str, weight: str) -> DataFrame:
 
 
 def small_loss_select(df: DataFrame, label: str, rate: float) -> DataFrame:
-    """The ``max(1, ceil(n * rate))`` rows of least ``loss`` of each class, ties by ``path``; two ranks, no row held back."""
-    by = Window.partitionBy(label)
-    return df.withColumn("_n", F.count(F.lit(1)).over(by)).withColumn("place", F.row_number().over(by.orderBy("loss", "path"))).filter(F.col("place") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(rate)))).drop("_n")
+    """The ``max(1, ceil(n * rate))`` rows of least ``loss`` of each class, ties by ``path``; numbers come by ranges, so that no task holds a class."""
+    rows = numbered(df, label, [F.col("loss"), F.col("path")], "place")
+    return beside_group(written(rows), label, _all=F.count(F.lit(1))).filter(F.col("place") <= F.greatest(F.lit(1), F.ceil(F.col("_all") * F.lit(rate)))).drop("_all")
 
 
 def review_queue(df: DataFrame, priority: int, per_page: int) -> DataFrame:
-    """Rows of one priority by class, then probability, numbered and paged, with empty decision columns."""
-    place = F.row_number().over(Window.partitionBy("class_id").orderBy("p_grade", "path"))
-    rows = df.filter(F.col("priority") == priority).withColumn("number", place)
+    """Rows of one priority by class, then probability, numbered (by ranges) and paged, with empty decision columns."""
+    rows = numbered(df.filter(F.col("priority") == priority), "class_id", [F.col("p_grade"), F.col("path")], "number")
     return rows.withColumns({"page": F.ceil(F.col("number") / per_page), "suggested": F.when(F.col("p_grade") > 0.5, 1).otherwise(0) + F.floor(F.col("class_id") / 2) * 2, "decision": F.lit(None).cast("string")})
 
 

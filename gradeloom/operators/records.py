@@ -167,3 +167,8 @@ def manifest_paths(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def stable_id(prefix: str, columns: list[str], n: int = 20) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]), 256), 1, n))
+
+
+def dated_id(prefix: str, ts: str, columns: list[str], n: int = 6) -> Column:
+    """``prefix-YYYYMMDD-`` and the first digits of a hash of the columns."""
+    return F.concat(F.lit(prefix + "-"), F.date_format(ts, "yyyyMMdd"), F.lit("-"), stable_id("", columns, n))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.operators.vectors import dot, hamming, l2_normalise, unit_means
+from gradeloom.plans.durable import written
 
 
 def blocked(new: DataFrame, refs: DataFrame, new_blocks: int = 4, ref_blocks: int = 16) -> DataFrame:
@@ -25,10 +26,15 @@ def blocked(new: DataFrame, refs: DataFrame, new_blocks: int = 4, ref_blocks: in
 
 
 def _prints(new: DataFrame, refs: DataFrame) -> DataFrame:
-    """Distances between fingerprints of new rows and of references; equal references of a scope count once, as the least."""
-    once = refs.groupBy("scope", F.col("hi").alias("r_hi"), F.col("lo").alias("r_lo")).agg(F.min("path").alias("ref"))
+    """Distances between fingerprints of new rows and of all other references; equal references of a scope count once, as the least that is not the row itself."""
+    keys = ["scope", "r_hi", "r_lo"]
+    rows = refs.select("scope", "path", F.col("hi").alias("r_hi"), F.col("lo").alias("r_lo"))
+    first = rows.groupBy(*keys).agg(F.min("path").alias("ref"))
+    second = rows.join(first.hint("merge"), keys).filter(F.col("path") != F.col("ref")).groupBy(*keys).agg(F.min("path").alias("_next"))
+    once = first.join(second.hint("merge"), keys, "left")
     own = new.select("path", F.col("hi").alias("n_hi"), F.col("lo").alias("n_lo"))
-    return blocked(own, once).withColumn("bits", hamming("n_", "r_"))
+    pairs = blocked(own, once).withColumn("ref", F.when(F.col("ref") == F.col("path"), F.col("_next")).otherwise(F.col("ref"))).drop("_next")
+    return pairs.filter("ref IS NOT NULL").withColumn("bits", hamming("n_", "r_"))
 
 
 def cross_reference_matches(new: DataFrame, refs: DataFrame, distance: int, sealed: str) -> DataFrame:
@@ -47,10 +53,10 @@ def nearest_reference(new: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def domain_neighbours(new: DataFrame, base: DataFrame, label: str, v: str) -> DataFrame:
-    """``path, same, other``: the best cosine to base rows of the row's own class and of all other classes; null without any."""
+    """``path, same, other``: the best cosine to other base rows of the row's own class and of all other classes; null without any."""
     left = new.select("path", F.col(label).alias("_own"), l2_normalise(v).alias("_a"))
     right = base.select(F.col("path").alias("ref"), F.col(label).alias("_class"), l2_normalise(v).alias("_b"))
-    near = blocked(left, right).select("path", (F.col("_own") == F.col("_class")).alias("_same"), dot("_a", "_b").alias("_c"))
+    near = blocked(left, right).filter(F.col("path") != F.col("ref")).select("path", (F.col("_own") == F.col("_class")).alias("_same"), dot("_a", "_b").alias("_c"))
     return near.groupBy("path").agg(F.max(F.when(F.col("_same"), F.col("_c"))).alias("same"), F.max(F.when(~F.col("_same"), F.col("_c"))).alias("other"))
 
 
@@ -63,10 +69,12 @@ def domain_shift(train: DataFrame, val: DataFrame, new: DataFrame, label: str, v
     """
     centre = unit_means(train, [label], v).select(label, F.col(v).alias("_centre"))
     far = lambda a: 1 - dot(a, "_centre")
-    rows = train.select(label, l2_normalise(v).alias("_v")).join(F.broadcast(centre), label)  # one row for each class
+    rows = train.select(label, l2_normalise(v).alias("_v"), F.pmod(F.xxhash64("path"), F.lit(16)).alias("_salt"))
+    salted = written(centre).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+    rows = rows.join(salted.hint("shuffle_hash"), [label, "_salt"])  # few classes, each in sixteen parts
     out = rows.groupBy(label).agg(F.percentile(far("_v"), F.lit(0.5)).alias("spread"))
     for name, side in (("val_shift", val), ("new_shift", new)):
-        moved = unit_means(side, [label], v).withColumnRenamed(v, "_v").join(centre, label).select(label, far("_v").alias(name))
+        moved = unit_means(side, [label], v).withColumnRenamed(v, "_v").join(centre.hint("merge"), label).select(label, far("_v").alias(name))
         out = out.join(moved.hint("merge"), label, "left")
     near = new.select("path", label).join(domain_neighbours(new, train, label, v).hint("merge"), "path")
     near = near.groupBy(label).agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in ("same", "other")])

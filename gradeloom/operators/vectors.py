@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gradeloom.operators.hot_keys import look_up
 from gradeloom.plans.durable import written
 
 
@@ -81,9 +82,26 @@ def group_excluded_knn(df: DataFrame, v: str, k: int = 3, salt: int = 16) -> Dat
     return out.withColumns({"knn_grade": F.when(F.col("score1") > F.col("score0"), 1).otherwise(0), "knn_margin": F.abs(F.col("score1") - F.col("score0"))})
 
 
-def difference_hash(v: str, n: int = 64) -> Column:
-    """Bit i is set where value i + 1 (around the end) is above value i; as a string of bits."""
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(F.get(v, (i + 1) % n) > F.get(v, i), "1").otherwise("0")), "")
+def hex64(bits: Column) -> Column:
+    """Sixteen hex digits of an array of 64 truth values, the first one highest."""
+    text = F.array_join(F.transform(bits, lambda b: F.when(b, "1").otherwise("0")), "")
+    return F.lower(F.lpad(F.conv(text, 2, 16), 16, "0"))
+
+
+def dhash64(v: str) -> Column:
+    """Bit i is set where value i + 1 (around the end) of 64 is above value i."""
+    return hex64(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get(v, (i + 1) % 64) > F.get(v, i)))
+
+
+def phash64(v: str) -> Column:
+    """A bit is set where a value of 64 is above the median of all but the first."""
+    rest = F.array_sort(F.slice(v, 2, 63))
+    return hex64(F.transform(v, lambda x: x > F.get(rest, F.lit(31))))
+
+
+def halves(code: Column) -> list[Column]:
+    """``hi, lo``: the two halves of sixteen hex digits as numbers."""
+    return [F.conv(F.substring(code, at, 8), 16, 10).cast("long").alias(name) for name, at in (("hi", 1), ("lo", 9))]
 
 
 def token_fingerprint(df: DataFrame, text: str) -> DataFrame:
@@ -104,12 +122,15 @@ def hamming(a: str, b: str) -> Column:
 def near_fingerprints(df: DataFrame, distance: int, blocks: int | None = None) -> DataFrame:
     """``a, b, bits`` of distinct fingerprints within ``distance``; ``a`` and ``b`` are their least paths.
 
-    The 64 bits are cut into ``blocks`` (distance + 3 if not given); a close pair agrees in ``blocks - distance`` of
-    them, so every choice of that many is a join key. More blocks make longer keys for larger tables.
+    The 64 bits are cut into ``blocks``; a close pair agrees in ``blocks - distance`` of
+    them, so every choice of that many is a join key. Where the number is not given it follows from that of
+    fingerprints: longer keys for larger tables, so that chance meetings stay few.
     """
-    blocks = blocks or distance + 3
-    keep, edges = blocks - distance, [round(64 * i / blocks) for i in range(blocks + 1)]
     reps = written(df.groupBy("hi", "lo").agg(F.min("path").alias("path")))
+    if blocks is None:
+        number = reps.count()
+        blocks = next(b for b in range(distance + 2, distance + 6) if number <= 2 ** (64 * (b - distance) / b) / 4 or b == distance + 5)
+    keep, edges = blocks - distance, [round(64 * i / blocks) for i in range(blocks + 1)]
     bits = F.concat(*[F.lpad(F.conv(F.col(c).cast("string"), 10, 2), 32, "0") for c in ("hi", "lo")])
     parts = reps.withColumns({f"_b{i}": F.substring(bits, edges[i] + 1, edges[i + 1] - edges[i]) for i in range(blocks)})
     keys = F.array(*[F.xxhash64(F.lit(n), *[f"_b{i}" for i in chosen]) for n, chosen in enumerate(combinations(range(blocks), keep))])
@@ -120,6 +141,15 @@ def near_fingerprints(df: DataFrame, distance: int, blocks: int | None = None) -
     return pairs.groupBy("a", "b").agg(F.min("bits").alias("bits"))
 
 
+def near_duplicate_report(df: DataFrame, content: str, near: int, review: int) -> DataFrame:
+    """``a, b, bits, kind`` of a table ``path, hi, lo`` and a content hash: ``exact`` (equal contents, tied to their least path), ``near`` (within
+    ``near`` bits) and ``review``, a warning only (within ``review`` bits). Distinct fingerprints meet as their least paths."""
+    first = df.filter(F.col(content).isNotNull()).groupBy(content).agg(F.min("path").alias("a"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    copies = look_up(df.filter(F.col(content).isNotNull()).select(content, F.col("path").alias("b")), written(first), content, df.count()).filter("a <> b")
+    pairs = near_fingerprints(df, review).withColumn("kind", F.when(F.col("bits") <= near, "near").otherwise("review"))
+    return copies.select("a", "b", F.lit(0).alias("bits"), F.lit("exact").alias("kind")).unionByName(pairs)
+
+
 def fingerprint_spacing(df: DataFrame, distance: int) -> DataFrame:
     """Close pairs of distinct fingerprints, rows in them, and the least and median of each row's nearest distance."""
     pairs = written(near_fingerprints(df, distance))

@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.operators import labels as lb
+from gradeloom.operators.datasets import pair_mass
 from gradeloom.operators.evaluation import judged as judge
 from gradeloom.plans.catalog import query
 from gradeloom.plans.fixtures import view, with_views
+from gradeloom.operators.vectors import group_excluded_knn
+from gradeloom.plans.durable import written
 from gradeloom.queries.evaluation import predictions, rounded, sql_both
+from gradeloom.queries.records import knn_sql
 
 #: Three models with five views each, from two hashes of the document number; views move little.
 PROBABILITY = "(((path * 2654435761 + {c} + m * 101) % 9973 + 1) / CAST(9975 AS DOUBLE) * 9 + ((path * 40503 + {c} + v * 13) % 997) / CAST(997 AS DOUBLE)) / 10"
@@ -21,13 +25,21 @@ def oof(spark: SparkSession, sf: str) -> DataFrame:
     return rows.selectExpr("path", "m AS model", "v AS view", *[f"{PROBABILITY.format(c=c)} AS {n}" for n, c in (("k1", 7), ("g0", 108), ("g1", 209))])
 
 
-OOF = f"""long AS ({LONG} FROM manifest, (SELECT unnest([1, 2, 3]) AS m), (SELECT unnest([0, 1, 2, 3, 4]) AS v)), r AS (SELECT l.*, class_id, CASE WHEN class_id < 2 THEN g0 ELSE g1 END AS g FROM long l JOIN manifest USING (path)),
+def vote_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The features of manifest rows, with kind and grade of their class."""
+    rows = view(spark, sf, "features").select("path", "group_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return rows.join(view(spark, sf, "manifest").selectExpr("path", "CAST(floor(class_id / 2) AS INT) AS kind", "CAST(class_id % 2 AS INT) AS grade").hint("merge"), "path")
+
+
+#: ``knn``: the vote of the three nearest centroids of each grade, of the same kind and other groups.
+KNN = knn_sql("(SELECT f.path, f.group_id, class_id // 2 AS kind, class_id % 2 AS grade, embedding FROM (SELECT vec_id AS path, vec_id % 25 AS group_id, embedding FROM embeddings) f JOIN manifest m ON m.path = f.path)")
+OOF = f"""{KNN}, long AS ({LONG} FROM manifest, (SELECT unnest([1, 2, 3]) AS m), (SELECT unnest([0, 1, 2, 3, 4]) AS v)), r AS (SELECT l.*, class_id, CASE WHEN class_id < 2 THEN g0 ELSE g1 END AS g FROM long l JOIN manifest USING (path)),
  o AS (SELECT *, avg(k1) OVER (PARTITION BY path, model) AS mk, avg(g) OVER (PARTITION BY path, model) AS mg FROM r),
  ms AS (SELECT path, class_id, model, avg(k1) AS mk, avg(g) AS mg, avg(((k1 > 0.5) = (mk > 0.5) AND (g > 0.5) = (mg > 0.5))::INT) AS st FROM o GROUP BY ALL),
  u AS (SELECT path, class_id, avg(mk) AS p_kind, avg(mg) AS p_grade, min(st) AS stability, count(*) AS n, count(*) FILTER (mk > 0.5) AS k, count(*) FILTER (mg > 0.5) AS gg, min(((mk > 0.5)::INT <> class_id // 2)::INT) AS kind_opposite, min(((mg > 0.5)::INT <> class_id % 2)::INT) AS grade_opposite FROM ms GROUP BY path, class_id),
- s AS (SELECT path, class_id, p_kind, p_grade, stability, kind_opposite, grade_opposite, CASE WHEN p_kind > 0.5 THEN k ELSE n - k END / n::DOUBLE AS kind_agreement, CASE WHEN p_grade > 0.5 THEN gg ELSE n - gg END / n::DOUBLE AS grade_agreement, 1 - class_id % 2 AS knn_grade, 0.01 AS knn_margin FROM u),
+ s AS (SELECT path, class_id, p_kind, p_grade, stability, kind_opposite, grade_opposite, CASE WHEN p_kind > 0.5 THEN k ELSE n - k END / n::DOUBLE AS kind_agreement, CASE WHEN p_grade > 0.5 THEN gg ELSE n - gg END / n::DOUBLE AS grade_agreement, knn_grade, knn_margin FROM u LEFT JOIN knn USING (path)),
  w AS (SELECT *, CASE WHEN class_id >= 2 THEN p_kind ELSE 1 - p_kind END AS ok, CASE WHEN class_id % 2 = 1 THEN p_grade ELSE 1 - p_grade END AS og FROM s),
- z AS (SELECT *, CASE WHEN kind_opposite = 1 AND ok <= 1 - 0.8::DOUBLE AND stability >= 0.8 THEN 'kind_contradiction' WHEN grade_opposite = 1 AND 1 - og >= 0.8 AND stability >= 0.8 AND ok >= 0.9 AND kind_agreement = 1 THEN 'grade_contradiction'
+ z AS (SELECT *, CASE WHEN kind_opposite = 1 AND ok <= 1 - 0.8::DOUBLE AND stability >= 0.8 THEN 'kind_contradiction' WHEN grade_opposite = 1 AND 1 - og >= 0.8 AND stability >= 0.8 AND ok >= 0.9 AND kind_agreement = 1 AND knn_grade <> class_id % 2 AND knn_margin >= 0.005 THEN 'grade_contradiction'
  WHEN p_grade BETWEEN 0.4 AND 0.6 THEN 'ambiguous' WHEN (p_grade > 0.5)::INT <> class_id % 2 THEN 'grade_differs' ELSE 'agreed' END AS status FROM w),
  audit AS (SELECT *, CASE status WHEN 'kind_contradiction' THEN 1 WHEN 'grade_contradiction' THEN 1 WHEN 'ambiguous' THEN 3 WHEN 'grade_differs' THEN 2 ELSE 9 END AS priority, CASE WHEN status LIKE '%contradiction' THEN 0 ELSE 1 END::DOUBLE AS kind_weight, CASE WHEN status = 'agreed' THEN 1 ELSE 0 END::DOUBLE AS grade_weight FROM z)"""
 
@@ -41,8 +53,9 @@ def summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def audit(spark: SparkSession, sf: str) -> DataFrame:
-    """The audit; the neighbours' vote stands for one that always contradicts."""
-    return lb.audit_labels(summary(spark, sf).withColumns({"knn_grade": F.expr("1 - class_id % 2"), "knn_margin": F.lit(0.01)}))
+    """The audit, with the vote of the neighbouring groups of the rows' features; rows without features have none."""
+    votes = group_excluded_knn(vote_features(spark, sf), "v").select("path", "knn_grade", "knn_margin")
+    return lb.audit_labels(summary(spark, sf).join(written(votes).hint("merge"), "path", "left"))
 
 
 AUDITED = "path, class_id, status, priority, kind_weight, grade_weight"
@@ -67,16 +80,16 @@ def i03(spark, sf):
     return lb.relabel_ambiguous(summary(spark, sf)).select("path", "class_id", "new_class", "new_weight")
 
 
-VIEWS = "vw AS (SELECT path, path AS pair_id, class_id, group_id, split, 'canonical' AS view_type, 1.0 AS weight FROM manifest UNION ALL SELECT -path - 1, CASE WHEN path % 30 = 0 THEN path - 1000000000 ELSE path END, (class_id + (path % 15 = 0)::INT) % 4, group_id, split, 'detector_aligned', 1.0 FROM manifest WHERE path % 3 = 0)"
+VIEWS = "vw AS (SELECT path, path AS pair_id, class_id, group_id, split, 'canonical' AS view_type, 1.0 AS weight, source_id FROM manifest UNION ALL SELECT -path - 1, CASE WHEN path % 30 = 0 THEN path - 1000000000 ELSE path END, (class_id + (path % 15 = 0)::INT) % 4, group_id, split, CASE WHEN path % 33 = 0 THEN 'other' ELSE 'detector_aligned' END, 1.0, CASE WHEN path % 21 = 0 THEN 'elsewhere' ELSE source_id END FROM manifest WHERE path % 3 = 0)"
 
 
 def second_views(spark: SparkSession, sf: str) -> DataFrame:
     """A second view of every third row; some name no canonical row, some disagree in class."""
-    return view(spark, sf, "manifest").filter("path % 3 = 0").selectExpr("-path - 1 AS path", "CASE WHEN path % 30 = 0 THEN path - 1000000000 ELSE path END AS pair_id", "(class_id + CAST(path % 15 = 0 AS INT)) % 4 AS class_id", "group_id", "split", "'detector_aligned' AS view_type", "CAST(1 AS DOUBLE) AS weight")
+    return view(spark, sf, "manifest").filter("path % 3 = 0").selectExpr("-path - 1 AS path", "CASE WHEN path % 30 = 0 THEN path - 1000000000 ELSE path END AS pair_id", "(class_id + CAST(path % 15 = 0 AS INT)) % 4 AS class_id", "group_id", "split", "CASE WHEN path % 33 = 0 THEN 'other' ELSE 'detector_aligned' END AS view_type", "CAST(1 AS DOUBLE) AS weight", "CASE WHEN path % 21 = 0 THEN 'elsewhere' ELSE source_id END AS source_id")
 
 
 def all_views(spark: SparkSession, sf: str) -> DataFrame:
-    first = view(spark, sf, "manifest").selectExpr("path", "path AS pair_id", "class_id", "group_id", "split", "'canonical' AS view_type", "CAST(1 AS DOUBLE) AS weight")
+    first = view(spark, sf, "manifest").selectExpr("path", "path AS pair_id", "class_id", "group_id", "split", "'canonical' AS view_type", "CAST(1 AS DOUBLE) AS weight", "source_id")
     return first.unionByName(second_views(spark, sf))
 
 
@@ -165,10 +178,18 @@ def c15(spark, sf):
     return lb.propagate_canonical(all_views(spark, sf), ["class_id"]).select("path", "pair_id", "class_id")
 
 
-@query("D09_pair_consistency", with_views(f"""WITH {VIEWS} SELECT pair_id, count(DISTINCT class_id) AS labels, count(DISTINCT group_id) AS groups, string_agg(view_type, ',' ORDER BY view_type) AS views FROM vw GROUP BY pair_id
- HAVING labels <> 1 OR groups <> 1 OR views NOT IN ('canonical', 'canonical,detector_aligned')""", "manifest"))
+@query("C15_canonical_violations", with_views(f"""WITH {VIEWS}, o AS (SELECT pair_id, class_id FROM vw WHERE view_type = 'canonical') SELECT vw.pair_id, CASE WHEN count(o.pair_id) = 0 THEN 'not one canonical row' WHEN count(*) FILTER (vw.class_id <> o.class_id) > 0 THEN 'classes differ' ELSE 'unknown view type' END AS reason FROM vw LEFT JOIN o USING (pair_id) GROUP BY vw.pair_id
+ HAVING count(o.pair_id) = 0 OR count(*) FILTER (vw.class_id <> o.class_id) > 0 OR count(*) FILTER (view_type = 'other') > 0""", "manifest"))
+def c15_violations(spark, sf):
+    return lb.canonical_violations(all_views(spark, sf))
+
+
+@query("D09_pair_consistency", with_views(f"""WITH {VIEWS}, m AS (SELECT *, CASE WHEN path % 28 = 0 THEN 0.4 ELSE 1.0::DOUBLE / count(*) OVER (PARTITION BY pair_id) END AS mass FROM vw)
+ SELECT pair_id, count(DISTINCT class_id) AS labels, count(DISTINCT group_id) AS groups, count(DISTINCT source_id) AS sources, round(sum(mass), 6) AS mass, string_agg(view_type, ',' ORDER BY view_type) AS views FROM m GROUP BY pair_id
+ HAVING labels <> 1 OR groups <> 1 OR sources <> 1 OR abs(sum(mass) - 1) > 1e-12 OR views NOT IN ('canonical', 'canonical,detector_aligned')""", "manifest"))
 def d09(spark, sf):
-    return lb.pair_consistency(all_views(spark, sf))
+    rows = pair_mass(all_views(spark, sf), "pair_id").withColumn("mass", F.expr("CASE WHEN path % 28 = 0 THEN CAST(0.4 AS DOUBLE) ELSE mass END"))
+    return lb.pair_consistency(rows)
 
 
 @query("D18_supervision_mass", sql("SELECT class_id, count(*) AS pairs, count(*) FILTER (grade_weight >= 0.999) AS consistent, sum(grade_weight) AS mass FROM audit GROUP BY class_id"))
@@ -198,12 +219,13 @@ def w03(spark, sf):
     return rounded(lb.source_balanced(rows, "source_id", "class_id", "w").select("path", "balanced"))
 
 
-@query("W06_balanced_sample", with_views("""WITH k AS (SELECT path, class_id, row_number() OVER (PARTITION BY class_id ORDER BY md5('5:' || path), path) - 1 AS place FROM manifest), s AS (SELECT class_id, count(*) AS size, row_number() OVER (ORDER BY class_id) - 1 AS rank FROM manifest GROUP BY 1),
- d AS (SELECT range AS draw, range % (SELECT count(*) FROM s) AS rank, ('0x' || substr(md5('5:' || range), 1, 8))::BIGINT AS code FROM range((SELECT count(*) FROM manifest)))
- SELECT draw, path, k.class_id FROM d JOIN s USING (rank) JOIN k ON k.class_id = s.class_id AND k.place = d.code % s.size""", "manifest"))
+@query("W06_balanced_sample", with_views("""WITH m AS (SELECT path, class_id, concat_ws(chr(31), class_id, source_id) AS pair FROM manifest WHERE source_id IS NOT NULL), r AS (SELECT path, pair, row_number() OVER (PARTITION BY pair ORDER BY md5('5:' || path), path) - 1 AS row FROM m),
+ g AS (SELECT class_id, pair, count(*) AS rows, row_number() OVER (PARTITION BY class_id ORDER BY md5('5:' || pair), pair) - 1 AS grp FROM m GROUP BY 1, 2), s AS (SELECT class_id, count(*) AS groups, row_number() OVER (ORDER BY class_id) - 1 AS rank FROM g GROUP BY 1),
+ d AS (SELECT range AS draw, range % (SELECT count(*) FROM s) AS rank, ('0x' || substr(md5('5:group:' || range), 1, 8))::BIGINT AS cg, ('0x' || substr(md5('5:row:' || range), 1, 8))::BIGINT AS cr FROM range((SELECT count(*) FROM manifest)))
+ SELECT draw, path, s.class_id FROM d JOIN s USING (rank) JOIN g ON g.class_id = s.class_id AND g.grp = d.cg % s.groups JOIN r ON r.pair = g.pair AND r.row = d.cr % g.rows""", "manifest"))
 def w06(spark, sf):
     rows = view(spark, sf, "manifest")
-    return lb.balanced_sample(rows, "class_id", rows.count(), 5)
+    return lb.balanced_sample(rows, "class_id", "source_id", rows.count(), 5)
 
 
 @query("W07_expand_views", with_views("SELECT path, v AS view, 1.0::DOUBLE / (1 + path % 3) AS view_weight FROM (SELECT path, unnest(range(1 + path % 3)) AS v FROM manifest)", "manifest"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.operators import records as rc
 from gradeloom.operators import vectors as vc
+from gradeloom.operators.components import duplicate_clusters
 from gradeloom.operators.evaluation import judged
 from gradeloom.operators.inspections import apply_model_grade
 from gradeloom.operators.ranking import beside_group
@@ -110,12 +111,31 @@ def c07(spark, sf):
     return vc.near_fingerprints(prints(spark, sf), 6)
 
 
+@query("C07_near_duplicate_report", with_views(f"WITH {PRINTS}, {CLOSE % 8}, x AS (SELECT sha256(text) AS h, min(path) AS a FROM manifest WHERE text IS NOT NULL GROUP BY 1) SELECT a, path AS b, 0 AS bits, 'exact' AS kind FROM manifest JOIN x ON x.h = sha256(text) WHERE a <> path UNION ALL SELECT a, b, bits, CASE WHEN bits <= 6 THEN 'near' ELSE 'review' END FROM pairs", "manifest"))
+def c07_report(spark, sf):
+    rows = prints(spark, sf).join(view(spark, sf, "manifest").select("path", F.sha2("text", 256).alias("content")).hint("merge"), "path", "right")
+    return vc.near_duplicate_report(rows, "content", 6, 8)
+
+
+@query("D20_duplicate_clusters", with_views(f"WITH {PRINTS}, {CLOSE % 6}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), r AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node), m AS (SELECT node AS path, min(root) AS root FROM r GROUP BY node) SELECT path, root, dense_rank() OVER (ORDER BY root) AS cluster FROM m", "manifest").replace("WITH ", "WITH RECURSIVE ", 1))
+def d20(spark, sf):
+    return duplicate_clusters(view(spark, sf, "manifest"), vc.near_fingerprints(prints(spark, sf), 6))
+
+
 @query("C10_fingerprint_spacing", with_views(f"WITH {PRINTS}, {CLOSE % 4}, e AS (SELECT path, min(bits) AS bits FROM (SELECT a AS path, bits FROM pairs UNION ALL SELECT b, bits FROM pairs) GROUP BY path) SELECT count(*) AS rows, min(bits) AS least, quantile_cont(bits, 0.5)::DOUBLE AS median, (SELECT count(*) FROM pairs) AS pairs FROM e", "manifest"))
 def c10(spark, sf):
     return vc.fingerprint_spacing(prints(spark, sf), 4)
 
 
-@query("C13_group_excluded_knn")
+def knn_sql(rows: str) -> str:
+    """SQL of ``knn``: the vote on rows with ``path, group_id, kind, grade, embedding``."""
+    return f"""kf AS (SELECT path, group_id, kind, grade, embedding::DOUBLE[] AS v FROM {rows}), ku AS (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM kf),
+ kx AS (SELECT kind, grade, group_id, unnest(v) / CASE WHEN n > 0 THEN n ELSE 1 END AS x, generate_subscripts(v, 1) AS place FROM ku), km AS (SELECT kind, grade, group_id, place, avg(x) AS x FROM kx GROUP BY ALL), kc AS (SELECT kind, grade, group_id, list(x ORDER BY place) AS c FROM km GROUP BY ALL),
+ kd AS (SELECT path, c.grade, list_cosine_similarity(v, c) AS cosine, row_number() OVER (PARTITION BY path, c.grade ORDER BY list_cosine_similarity(v, c) DESC) AS n FROM kf JOIN kc c ON c.kind = kf.kind AND c.group_id <> kf.group_id),
+ ks AS (SELECT path, avg(cosine) FILTER (grade = 0) AS score0, avg(cosine) FILTER (grade = 1) AS score1 FROM kd WHERE n <= 3 GROUP BY path), knn AS (SELECT path, score0, score1, coalesce(score1 > score0, false)::INT AS knn_grade, abs(score1 - score0) AS knn_margin FROM ks)"""
+
+
+@query("C13_group_excluded_knn", with_views(f"WITH {knn_sql('(SELECT path, group_id, kind, label // 2 % 2 AS grade, embedding FROM features)')} SELECT path, round(score0, 6) AS score0, round(score1, 6) AS score1, knn_grade, round(knn_margin, 6) AS knn_margin FROM knn", "features"))
 def c13(spark, sf):
     return rounded(vc.group_excluded_knn(features(spark, sf), "v"))
 
@@ -140,19 +160,39 @@ def d21(spark, sf):
     return vc.unit_means(features(spark, sf), ["label"], "v").withColumn("v", rounded_list("v"))
 
 
-STATS = "s AS (SELECT place, avg(x) AS mean, stddev_pop(x) AS sd, var_pop(x) AS variance FROM x WHERE path % 2 = 0 GROUP BY place)"
+#: Rows of the training part by a hash of their path: three quarters.
+TRAIN = "substr(md5(CAST(path AS VARCHAR(20))), 1, 1) < 'c'"
+STATS = f"s AS (SELECT place, avg(x) AS mean, stddev_pop(x) AS sd, var_pop(x) AS variance FROM x WHERE {TRAIN} GROUP BY place)"
 
 
 @query("D22_standardise", with_views(f"""WITH {LONG}, {STATS}, z AS (SELECT path, place, (x - mean) / sd AS x FROM x JOIN s USING (place) WHERE sd > 1e-8), n AS (SELECT path, sqrt(sum(x * x)) AS n FROM z GROUP BY path)
  SELECT path, list(round(x / CASE WHEN n > 0 THEN n ELSE 1 END, 5) + 0.0 ORDER BY place) AS v FROM z JOIN n USING (path) GROUP BY path""", "features"))
 def d22(spark, sf):
     rows = features(spark, sf).select("path", "v")
-    return vc.standardise(rows.filter("path % 2 = 0"), rows, "v").withColumn("v", rounded_list("v"))
+    return vc.standardise(rows.filter(TRAIN), rows, "v").withColumn("v", rounded_list("v"))
 
 
 @query("D23_variance_top_k", with_views(f"WITH {LONG}, {STATS} SELECT place, round(variance, 9) AS variance FROM s ORDER BY s.variance DESC, place LIMIT 10", "features"))
 def d23(spark, sf):
-    return vc.variance_top_k(features(spark, sf).filter("path % 2 = 0"), "v", 10).withColumn("variance", F.round("variance", 9))
+    return vc.variance_top_k(features(spark, sf).filter(TRAIN), "v", 10).withColumn("variance", F.round("variance", 9))
+
+
+NIBBLES = "array_to_string([printf('%x', (b[4 * k + 1] * 8 + b[4 * k + 2] * 4 + b[4 * k + 3] * 2 + b[4 * k + 4])::INT) FOR k IN range(16)], '') AS code"
+
+
+@query("H02_dhash64", with_views(f"WITH e AS (SELECT path, [(embedding[i % 64 + 1] > embedding[i])::INT FOR i IN range(1, 65)] AS b FROM features) SELECT path, {NIBBLES} FROM e", "features"))
+def h02(spark, sf):
+    return features(spark, sf).select("path", vc.dhash64("v").alias("code"))
+
+
+@query("H03_phash64", with_views(f"WITH e AS (SELECT path, [(x > list_aggregate(embedding[2:], 'median'))::INT FOR x IN embedding] AS b FROM features) SELECT path, {NIBBLES} FROM e", "features"))
+def h03(spark, sf):
+    return features(spark, sf).select("path", vc.phash64("v").alias("code"))
+
+
+@query("H16_dated_id", with_views("SELECT id, 'P-' || strftime(ts, '%Y%m%d') || '-' || substr(sha256(sample_code), 1, 6) AS code, 'BATCH-' || strftime(ts, '%Y%m%d') || '-01' AS batch FROM inspection_log", "inspection_log"))
+def h16(spark, sf):
+    return view(spark, sf, "inspection_log").select("id", rc.dated_id("P", "ts", ["sample_code"]).alias("code"), F.concat(F.lit("BATCH-"), F.date_format("ts", "yyyyMMdd"), F.lit("-01")).alias("batch"))
 
 
 @query("D24_fuse_families", with_views(f"WITH {LONG}, n AS (SELECT path, sqrt(sum(x * x)) AS n FROM x GROUP BY path) SELECT path, list_concat(list(round(x / n / sqrt(2), 5) + 0.0 ORDER BY place), list(round(x / n / sqrt(2), 5) + 0.0 ORDER BY place)) AS v FROM x JOIN n USING (path) GROUP BY path", "features"))

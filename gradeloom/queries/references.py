@@ -13,16 +13,16 @@ from gradeloom.operators import references as rf
 from gradeloom.plans.catalog import query
 from gradeloom.plans.fixtures import view, with_views
 from gradeloom.queries.evaluation import rounded
-from gradeloom.queries.records import PRINTS, features, prints
+from gradeloom.queries.records import PRINTS, TRAIN, features, prints
 
-#: One row in twenty is new; every other row is a reference in the scope of its split.
-CROSS = f"WITH {PRINTS}, refs AS (SELECT split AS scope, hi, lo, min(path) AS ref FROM fp JOIN manifest USING (path) WHERE path % 20 <> 0 GROUP BY ALL), near AS (SELECT n.path, scope, ref, bit_count(xor(n.hi, r.hi)) + bit_count(xor(n.lo, r.lo)) AS bits FROM fp n JOIN refs r ON n.path % 20 = 0)"
+#: One row in twenty is a query; every row is a reference in the scope of its split, for all rows but itself.
+CROSS = f"WITH {PRINTS}, refs AS (SELECT split AS scope, hi, lo, list_sort(list(path))[:2] AS refs FROM fp JOIN manifest USING (path) GROUP BY ALL), near AS (SELECT n.path, scope, CASE WHEN refs[1] = n.path THEN refs[2] ELSE refs[1] END AS ref, bit_count(xor(n.hi, r.hi)) + bit_count(xor(n.lo, r.lo)) AS bits FROM fp n JOIN refs r ON n.path % 20 = 0 WHERE refs[1] <> n.path OR len(refs) > 1)"
 
 
 def both_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     marks = prints(spark, sf)
     scope = view(spark, sf, "manifest").selectExpr("path", "split AS scope")
-    return marks.filter("path % 20 = 0"), marks.filter("path % 20 <> 0").join(scope.hint("merge"), "path")
+    return marks.filter("path % 20 = 0"), marks.join(scope.hint("merge"), "path")
 
 
 @query("C08_cross_reference_matches", with_views(f"{CROSS} SELECT path, scope, CASE WHEN scope <> 'test' THEN ref END AS ref, bits FROM near WHERE bits <= 6", "manifest"))
@@ -35,30 +35,31 @@ def c09(spark, sf):
     return rf.nearest_reference(*both_sides(spark, sf))
 
 
-UNIT = "f AS (SELECT path, label, embedding::DOUBLE[] AS v FROM features), b AS (SELECT n.path, n.label, max(CASE WHEN t.label = n.label THEN list_cosine_similarity(n.v, t.v) END) AS same, max(CASE WHEN t.label <> n.label THEN list_cosine_similarity(n.v, t.v) END) AS other FROM f n JOIN f t ON n.path % 20 = 0 AND t.path % 20 > 4 GROUP BY ALL)"
+#: The part of a row by a hash of its path: three quarters train, an eighth each val and new.
+PART = "CASE WHEN substr(md5(CAST(path AS VARCHAR(20))), 1, 1) < 'c' THEN 't' WHEN substr(md5(CAST(path AS VARCHAR(20))), 1, 1) < 'e' THEN 'v' ELSE 'n' END"
 
 
-def domains(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = features(spark, sf)
-    return rows.filter("path % 20 > 4"), rows.filter("path % 20 BETWEEN 1 AND 4"), rows.filter("path % 20 = 0")
+def near_sql(new: str, base: str) -> str:
+    return f"f AS (SELECT path, label, embedding::DOUBLE[] AS v, {PART} AS part FROM features), b AS (SELECT n.path, n.label, max(CASE WHEN t.label = n.label THEN list_cosine_similarity(n.v, t.v) END) AS same, max(CASE WHEN t.label <> n.label THEN list_cosine_similarity(n.v, t.v) END) AS other FROM f n JOIN f t ON {new} AND {base} AND n.path <> t.path GROUP BY ALL)"
 
 
-@query("C14_domain_neighbours", with_views(f"WITH {UNIT} SELECT path, round(same, 6) AS same, round(other, 6) AS other FROM b", "features"))
+@query("C14_domain_neighbours", with_views(f"WITH {near_sql('n.path % 20 = 0', 'true')} SELECT path, round(same, 6) AS same, round(other, 6) AS other FROM b", "features"))
 def c14(spark, sf):
-    train, _, new = domains(spark, sf)
-    return rounded(rf.domain_neighbours(new, train, "label", "v"))
+    rows = features(spark, sf)
+    return rounded(rf.domain_neighbours(rows.filter("path % 20 = 0"), rows, "label", "v"))
 
 
-@query("D25_domain_shift", with_views(f"""WITH {UNIT}, x AS (SELECT label, CASE WHEN path % 20 > 4 THEN 't' WHEN path % 20 = 0 THEN 'n' ELSE 'v' END AS part, unnest(v) / sqrt(list_dot_product(v, v)) AS x, generate_subscripts(v, 1) AS place FROM f),
+@query("D25_domain_shift", with_views(f"""WITH {near_sql("n.part = 'n'", "t.part = 't'")}, x AS (SELECT label, part, unnest(v) / sqrt(list_dot_product(v, v)) AS x, generate_subscripts(v, 1) AS place FROM f),
  m AS (SELECT label, part, place, avg(x) AS x FROM x GROUP BY ALL), c AS (SELECT label, part, list(x ORDER BY place) AS c FROM m GROUP BY ALL),
- s AS (SELECT label, median(1 - list_cosine_similarity(v, c)) AS spread FROM f JOIN c USING (label) WHERE part = 't' AND path % 20 > 4 GROUP BY label),
+ s AS (SELECT f.label, median(1 - list_cosine_similarity(v, c)) AS spread FROM f JOIN c ON c.label = f.label AND c.part = 't' WHERE f.part = 't' GROUP BY f.label),
  d AS (SELECT t.label, max(CASE WHEN o.part = 'v' THEN 1 - list_cosine_similarity(t.c, o.c) END) AS val_shift, max(CASE WHEN o.part = 'n' THEN 1 - list_cosine_similarity(t.c, o.c) END) AS new_shift FROM c t JOIN c o USING (label) WHERE t.part = 't' GROUP BY t.label),
  k AS (SELECT label, median(same) AS same, median(other) AS other FROM b GROUP BY label),
  w AS (SELECT label, spread, val_shift, new_shift, CASE WHEN val_shift > 0 THEN new_shift / val_shift END AS ratio, same, other FROM s LEFT JOIN d USING (label) LEFT JOIN k USING (label)),
  u AS (SELECT * FROM w UNION ALL SELECT NULL, median(spread), median(val_shift), median(new_shift), median(ratio), median(same), median(other) FROM w)
  SELECT label, round(spread, 6) AS spread, round(val_shift, 6) AS val_shift, round(new_shift, 6) AS new_shift, round(ratio, 6) AS ratio, round(same, 6) AS same, round(other, 6) AS other FROM u""", "features"))
 def d25(spark, sf):
-    return rounded(rf.domain_shift(*domains(spark, sf), "label", "v"))
+    rows = features(spark, sf).withColumn("part", F.expr(PART))
+    return rounded(rf.domain_shift(*[rows.filter(F.col("part") == p) for p in "tvn"], "label", "v"))
 
 
 TEXT = "CASE event_id % 5 WHEN 0 THEN '[1, 2, 3]' WHEN 1 THEN '[1, null, 3, 4]' WHEN 2 THEN 'none' ELSE concat('[', CAST(event_id AS VARCHAR(20)), ', 2.5, 3, -4]') END AS box"
@@ -88,4 +89,4 @@ def l03(spark, sf):
 @query("L05_pca_whiten")
 def l05(spark, sf):
     rows = features(spark, sf).select("path", "v")
-    return ft.pca_whiten(rows.filter("path % 20 > 4"), rows, "v", 8)
+    return ft.pca_whiten(rows.filter(TRAIN), rows, "v", 8)

@@ -7,9 +7,11 @@ import pytest
 
 import __spark_entry__ as entry
 
-SF = "/root/testdata/sf0.001"
+SF, NEXT = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = sorted(n for n in entry.oracle_sql() if not n.startswith("op") and n != "E04_group_kfold")
+#: The smallest tables lack groups for five folds: these run on the next size.
+LARGER = {"E04_group_kfold", "E05_fold_audit", "G03_fold_complement"}
+NAMES = sorted(n for n in entry.oracle_sql() if not n.startswith("op"))
 
 
 def plain(value):
@@ -24,12 +26,10 @@ def plain(value):
 def test_query_matches_sql(spark, name):
     db = duckdb.connect()
     db.execute("SET timezone = 'UTC'")
+    folder = NEXT if name in LARGER else SF
     for t in TABLES:
-        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    try:
-        df = entry.queries()[name](spark, SF)
-    except ValueError as error:
-        pytest.skip(str(error))  # the smallest tables lack groups for folds
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    df = entry.queries()[name](spark, folder)
     columns = sorted(df.columns)
     got = sorted(str([plain(r[c]) for c in columns]) for r in df.collect())
     result = db.execute(entry.oracle_sql()[name])
