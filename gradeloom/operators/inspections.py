@@ -80,7 +80,8 @@ def reject_reasons(df: DataFrame) -> DataFrame:
         some = lambda test: F.coalesce(F.exists("defects", test), F.lit(False))
         rules.append((some(lambda d: d["type"].isNull() | d["name"].isNull()), "defect without type or name"))
         rules.append((some(lambda d: ~F.coalesce(d["severity"], F.lit("mild")).isin("mild", "moderate", "severe")), "defect severity unknown"))
-        rules += [(some(lambda d, c=c: F.coalesce((d[c] < 0) | (d[c] > 1), F.lit(False))), f"defect {c} outside 0..1") for c in ("confidence", "area_ratio") if c in of]
+        outside = lambda c: lambda d: F.coalesce((d[c] < 0) | (d[c] > 1), F.lit(False))
+        rules += [(some(outside(c)), f"defect {c} outside 0..1") for c in ("confidence", "area_ratio") if c in of]
     return df.withColumn("reasons", F.array_compact(F.array(*[F.when(test, text) for test, text in rules])))
 
 

@@ -15,24 +15,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
-Step = Callable[[tuple, Any], tuple[tuple, tuple | None]]
+Step = Callable[[tuple, Any], tuple[tuple, tuple | list[tuple] | None]]
 
 
-def scan_by_key(stream: DataFrame, key: str, order: str, out: str, state: str, first: tuple, step: Step) -> DataFrame:
-    """Run ``step`` over the rows of each key; ``out`` and ``state`` are schemas, ``out`` begins with the key."""
+def scan_by_key(stream: DataFrame, key: str, order: str, out: str, state: str, first: tuple, step: Step, idle: int | None = None) -> DataFrame:
+    """Run ``step`` over the rows of each key; ``out`` and ``state`` are schemas, ``out`` begins with the key.
+
+    A step gives a row, several or none. What a micro-batch holds of a key is sorted together; rows that come in a later
+    micro-batch are taken as later. ``idle``: milliseconds without rows after which a key's state is dropped (null: never).
+    """
     names = [part.split()[0] for part in out.split(",")]
 
     def scan(group: tuple, parts: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        if kept.hasTimedOut:
+            kept.remove()
+            return
         now, found = kept.get if kept.exists else first, []
         rows = pd.concat(list(parts)).sort_values(order, kind="stable")
         for row in rows.itertuples(index=False):
             now, result = step(now, row)
             if result is not None:
-                found.append((group[0], *result))
+                found += [(group[0], *r) for r in (result if isinstance(result, list) else [result])]
         kept.update(now)
+        if idle is not None:
+            kept.setTimeoutDuration(idle)
         yield pd.DataFrame(found, columns=names)
 
-    return stream.groupBy(key).applyInPandasWithState(scan, out, state, "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(key).applyInPandasWithState(scan, out, state, "append", GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def presence_step(now: tuple, row: Any, misses: int = 3) -> tuple[tuple, tuple | None]:

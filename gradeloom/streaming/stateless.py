@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from gradeloom.operators.inspections import Rule, apply_model_grade, batch_stats, score_inspections
 
@@ -32,3 +35,8 @@ def stream_dedup(records: DataFrame, key: str, ts: str, late: str = "10 minutes"
 def stream_score(records: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
     """Scores and grades by the rule in force when the query starts; a new rule takes a restart, so only later records see it."""
     return apply_model_grade(score_inspections(records, rule))
+
+
+def score_each_batch(records: DataFrame, read_rule: Callable[[SparkSession], Rule], write: Callable[[DataFrame, int], None]) -> DataStreamWriter:
+    """A writer that reads the saved rule anew for every micro-batch, so that a changed rule counts for later records without a restart."""
+    return records.writeStream.foreachBatch(lambda batch, number: write(stream_score(batch, read_rule(batch.sparkSession)), number))
