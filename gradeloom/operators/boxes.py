@@ -197,11 +197,11 @@ def reading_order(df: DataFrame) -> DataFrame:
 
     def scan(part: pd.DataFrame) -> pd.DataFrame:
         part = part.assign(cy=(part.y1 + part.y2) / 2, cx=(part.x1 + part.x2) / 2).sort_values(["cy", "cx", "box"])
-        reach, line, current, lines = max(12.0, 0.75 * float((part.y2 - part.y1).median())), 0, [], []
-        for cy in part.cy:
-            if current and abs(cy - float(pd.Series(current).median())) > reach:
-                line, current = line + 1, []
-            current.append(cy)
+        reach, line, first, lines = max(12.0, 0.75 * float((part.y2 - part.y1).median())), 0, 0, []
+        heights = part.cy.tolist()  # ascending, so that the median of a line is in its middle
+        for n, cy in enumerate(heights):
+            if n > first and abs(cy - (heights[(first + n - 1) // 2] + heights[(first + n) // 2]) / 2) > reach:
+                line, first = line + 1, n
             lines.append(line)
         part = part.assign(line=lines).sort_values(["line", "cx", "box"])
         return part.assign(place=range(1, len(part) + 1))[["image", "box", "line", "place"]]

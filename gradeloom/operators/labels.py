@@ -114,12 +114,16 @@ def build_targets(rows: DataFrame, decisions: DataFrame, statuses: list[str]) ->
 
 
 def run_summary(df: DataFrame, group: str, review: Column, top: int = 20) -> DataFrame:
-    """Rows and rows for review of each group, and the paths of the first ``top`` of these, as a report."""
+    """Rows and rows for review of each group, and the paths of the first ``top`` of these, as a report; the row of a null group has the totals."""
+    df = df.filter(F.col(group).isNotNull())
+    total = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(review).alias("n_review"))
+    whole = df.filter(review).select("path").orderBy("path").limit(top).agg(F.array_sort(F.collect_list("path")).alias("review"))
+    total = total.crossJoin(F.broadcast(whole)).select(F.lit(None).cast(df.schema[group].dataType).alias(group), "*")  # one row each
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(review).alias("n_review"))
     place = F.row_number().over(Window.partitionBy(group).orderBy("path"))
     first = df.filter(review).select(group, "path").withColumn("_n", place).filter(F.col("_n") <= top)
     lists = first.groupBy(group).agg(F.array_sort(F.collect_list("path")).alias("review"))
-    return counts.join(lists.hint("merge"), group, "left").withColumn("review", F.coalesce("review", F.array().cast("array<long>")))
+    return counts.join(lists.hint("merge"), group, "left").withColumn("review", F.coalesce("review", F.array().cast("array<long>"))).unionByName(total)
 
 
 def initial_reliability(df: DataFrame) -> DataFrame:

@@ -17,6 +17,19 @@ def labels_from_url(df: DataFrame, column: str) -> DataFrame:
     return df.withColumns({"host": host, "label": F.nullif(F.regexp_extract(column, "^[a-z]+://[^/]+/([^/?#]+)", 1), F.lit(""))})
 
 
+def labels_from_path(df: DataFrame, path: str, suffixes: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``(labelled, rejects)`` of files ``.../<kind>_<grade>/[<source>/]<file>`` with one of the suffixes (any case); other files go.
+
+    Adds ``kind``, ``grade``, ``source`` (the folder in the class folder, else the file's stem) and ``item`` (the stem). Files
+    without a class folder are rejects with a ``reason``.
+    """
+    files = df.filter(F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1)).isin([s.lower() for s in suffixes]))
+    part = lambda k: F.regexp_extract(path, r"(?:^|/)([a-z0-9]+)_([a-z0-9]+)/(?:([^/]+)/)?([^/]+)\.[^./]*$", k)
+    files = files.withColumns({"kind": part(1), "grade": part(2), "source": F.coalesce(F.nullif(part(3), F.lit("")), part(4)), "item": part(4)})
+    rejects = files.filter("kind = ''").drop("kind", "grade", "source", "item").withColumn("reason", F.lit("no class folder"))
+    return files.filter("kind <> ''"), rejects
+
+
 def capture_time(df: DataFrame, name: str) -> DataFrame:
     """Add ``captured`` from ``camera-YYYYMMDD-HHMMSS-`` names; null where the name does not say."""
     digits = F.regexp_extract(name, "^camera-([0-9]{8}-[0-9]{6})-", 1)

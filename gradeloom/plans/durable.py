@@ -22,8 +22,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders that this process wrote.
+_WRITTEN: list[str] = []
+
+
+def clear_written(spark: SparkSession) -> int:
+    """Delete all tables that ``written`` left in this process, once the results that read them are saved. Gives their number."""
+    paths, number = spark._jvm.org.apache.hadoop.fs.Path, len(_WRITTEN)
+    while _WRITTEN:
+        path = paths(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return number
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a lost executor costs no earlier work."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

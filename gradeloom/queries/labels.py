@@ -115,7 +115,7 @@ def i07(spark, sf):
     return lb.build_targets(rows, decisions, ["agreed"]).select("path", "class_id", F.round("target", 6).alias("target"), "weight", "consistent")
 
 
-@query("D29_run_summary", sql("SELECT class_id, count(*) AS n, count(*) FILTER (priority <= 2) AS n_review, coalesce(list(path ORDER BY path) FILTER (priority <= 2), [])[1:20] AS review FROM audit GROUP BY class_id"))
+@query("D29_run_summary", sql("SELECT class_id, count(*) AS n, count(*) FILTER (priority <= 2) AS n_review, coalesce(list(path ORDER BY path) FILTER (priority <= 2), [])[1:20] AS review FROM audit GROUP BY class_id UNION ALL SELECT NULL, count(*), count(*) FILTER (priority <= 2), coalesce(list(path ORDER BY path) FILTER (priority <= 2), [])[1:20] FROM audit"))
 def d29(spark, sf):
     return lb.run_summary(audit(spark, sf), "class_id", F.col("priority") <= 2)
 

@@ -25,6 +25,20 @@ def a02(spark, sf):
     return rc.labels_from_url(spark.read.parquet(f"{sf}/pages.parquet"), "url").select("page_id", "host", "label")
 
 
+LAYOUT = [
+    "CASE WHEN path % 11 = 0 THEN 'loose/' ELSE concat('k', CAST(class_id - class_id % 2 AS VARCHAR(9)), '_g', CAST(class_id % 2 AS VARCHAR(9)), '/') END AS folder",
+    "CASE WHEN path % 4 = 0 THEN '' ELSE concat(source_id, '/') END AS inner_folder",
+    "CASE WHEN path % 7 = 0 THEN 'txt' WHEN path % 5 = 0 THEN 'PNG' ELSE 'jpg' END AS suffix",
+]
+
+
+@query("A02_labels_from_layout", with_views(f"WITH l AS (SELECT *, {', '.join(LAYOUT)} FROM manifest WHERE source_id IS NOT NULL) SELECT path, CASE WHEN path % 11 <> 0 THEN 'k' || class_id // 2 * 2 END AS kind, CASE WHEN path % 11 <> 0 THEN 'g' || class_id % 2 END AS grade, CASE WHEN path % 11 = 0 THEN NULL WHEN path % 4 = 0 THEN 'f' || path ELSE source_id END AS source, CASE WHEN path % 11 = 0 THEN 'no class folder' END AS reason FROM l WHERE suffix <> 'txt'", "manifest"))
+def a02_layout(spark, sf):
+    rows = view(spark, sf, "manifest").filter("source_id IS NOT NULL").selectExpr("*", *LAYOUT).selectExpr("path", "concat('data/', folder, inner_folder, 'f', path, '.', suffix) AS file")
+    labelled, rejects = rc.labels_from_path(rows, "file", ["jpg", "png"])
+    return labelled.select("path", "kind", "grade", "source").unionByName(rejects.select("path", "reason"), allowMissingColumns=True)
+
+
 @query("A03_capture_time", with_views("SELECT id, CASE WHEN id % 10 <> 0 THEN date_trunc('second', ts) END AS captured FROM inspection_log", "inspection_log"))
 def a03(spark, sf):
     names = view(spark, sf, "inspection_log").selectExpr("id", "concat(CASE WHEN id % 10 = 0 THEN 'result-' ELSE 'camera-' END, date_format(ts, 'yyyyMMdd-HHmmss'), '-', id) AS name")

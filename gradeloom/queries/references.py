@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +86,26 @@ def l03(spark, sf):
     return ft.oof_predict(training_rows(spark, sf), 5, LogisticRegression(maxIter=20, regParam=0.01)).select("path", "fold", "kind", "grade", "k1", "g0", "g1")
 
 
+@query("L01_fit_hierarchical")
+def l01(spark, sf):
+    rows = training_rows(spark, sf)
+    return ft.score_hierarchical(ft.fit_hierarchical(rows.filter(TRAIN), LogisticRegression(maxIter=20, regParam=0.01)), rows).select("path", "kind", "grade", "k1", "g0", "g1")
+
+
+@query("L02_fit_direct")
+def l02(spark, sf):
+    rows = training_rows(spark, sf).withColumns({"class_id": F.expr("kind * 2 + grade"), "weight": F.lit(1.0)})
+    model = ft.fit_direct(rows.filter(TRAIN), LogisticRegression(maxIter=20, regParam=0.01))
+    return model.transform(rows).select("path", "class_id", vector_to_array("probability").alias("p"))
+
+
+@query("L04_grid_select")
+def l04(spark, sf):
+    rows = training_rows(spark, sf).withColumn("fold", F.col("fold") % 3)
+    grid = [(f"reg {r}", LogisticRegression(maxIter=10, regParam=r)) for r in (0.01, 1.0)]
+    return ft.grid_select(rows, grid, 3)[2]
+
+
 @query("L05_pca_whiten")
 def l05(spark, sf):
     rows = features(spark, sf).select("path", "v")

@@ -97,3 +97,16 @@ def test_a_changed_rule_counts_for_later_records(spark, tmp_path):
     query = score_each_batch(stream, lambda s: rules[len(seen)], lambda df, n: seen.update({n: df.first()["grade"]})).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert list(seen.values()) == ["A", "B"]
+
+
+def test_written_tables_can_be_cleared(spark, tmp_path):
+    from pathlib import Path
+
+    from gradeloom.plans import durable
+
+    folder = Path(durable.shared_folder(spark).removeprefix("file://"))
+    durable._WRITTEN.clear()
+    assert durable.written(spark.range(3)).count() == 3
+    here = Path(durable._WRITTEN[-1].removeprefix("file://"))
+    assert here.exists() and here.parent == folder
+    assert durable.clear_written(spark) == 1 and not here.exists()
