@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gradeloom.operators.hot_keys import look_up
 from gradeloom.operators.ranking import beside_group
+from gradeloom.plans.durable import written
 
 
 def draw(seed: int, key: str) -> Column:
@@ -66,7 +68,7 @@ def group_kfold(df: DataFrame, group: str, label: str, k: int, seed: int) -> Dat
 
 def fold_audit(rows: DataFrame, folds: DataFrame, group: str) -> DataFrame:
     """Rows and groups of each fold."""
-    return rows.join(folds.select(group, "fold"), group).groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(group).alias("groups"))
+    return rows.join(folds.select(group, "fold").hint("merge"), group).groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(group).alias("groups"))
 
 
 def sessionize(df: DataFrame, key: str, ts: str, order: str, gap_seconds: int) -> DataFrame:
@@ -141,18 +143,20 @@ def balance_mass(df: DataFrame, label: str, weight: str) -> DataFrame:
 
 
 def class_balanced(df: DataFrame, label: str, power: float) -> DataFrame:
-    """Weights ``(n / (k * count)) ** power`` scaled to mean 1; the label counts are the only shuffle."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
+    """Weights ``(n / (k * count)) ** power`` scaled to mean 1. Rows without label are left out; large labels are met where their rows lie."""
+    counts = written(df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_c")))
     total = counts.agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_k"))
     raw = counts.crossJoin(F.broadcast(total)).withColumn("_w", F.pow(F.col("_n") / (F.col("_k") * F.col("_c")), F.lit(power)))
     mean = raw.agg((F.sum(F.col("_w") * F.col("_c")) / F.sum("_c")).alias("_mean"))
-    return df.join(raw.crossJoin(F.broadcast(mean)).select(label, (F.col("_w") / F.col("_mean")).alias("weight")), label)
+    table = raw.crossJoin(F.broadcast(mean)).select(label, (F.col("_w") / F.col("_mean")).alias("weight"), "_c")  # one row
+    return look_up(df, table, label, counts.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0], "_c")
 
 
 def group_balanced(df: DataFrame, label: str, group: str) -> DataFrame:
-    """Weights ``1 / (groups of the label * rows of the group)`` scaled to mean 1."""
-    rows = df.groupBy(label, group).agg(F.count(F.lit(1)).alias("_rows"))
+    """Weights ``1 / (groups of the label * rows of the group)`` scaled to mean 1. Rows without label or group are left out."""
+    rows = written(df.filter(F.col(label).isNotNull() & F.col(group).isNotNull()).groupBy(label, group).agg(F.count(F.lit(1)).alias("_rows")))
     groups = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_groups"))
-    raw = rows.join(groups, label).withColumn("_w", 1.0 / (F.col("_groups") * F.col("_rows")))
+    raw = rows.join(groups.hint("merge"), label).withColumn("_w", 1.0 / (F.col("_groups") * F.col("_rows")))
     mean = raw.agg((F.sum(F.col("_w") * F.col("_rows")) / F.sum("_rows")).alias("_mean"))
-    return df.join(raw.crossJoin(F.broadcast(mean)).select(label, group, (F.col("_w") / F.col("_mean")).alias("weight")), [label, group])
+    table = raw.crossJoin(F.broadcast(mean)).select(label, group, (F.col("_w") / F.col("_mean")).alias("weight"), "_rows")  # one row
+    return look_up(df, table, [label, group], rows.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0], "_rows")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gradeloom.operators.hot_keys import look_up
 from gradeloom.operators.ranking import beside_group, numbered
 from gradeloom.plans.durable import written
 
@@ -145,7 +146,7 @@ def training_safety(df: DataFrame, matches: DataFrame) -> DataFrame:
 
 def consensus_pseudo_labels(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     """Labels on which two teachers (``path, pred, conf``) agree with enough confidence, and their weight."""
-    both = a.select("path", "pred", "conf").join(b.select("path", F.col("pred").alias("_p"), F.col("conf").alias("_c")), "path")
+    both = a.select("path", "pred", "conf").join(b.select("path", F.col("pred").alias("_p"), F.col("conf").alias("_c")).hint("merge"), "path")
     least = F.least("conf", "_c")
     kept = both.filter((F.col("pred") == F.col("_p")) & (least >= threshold))
     return kept.select("path", "pred", (0.5 + 0.5 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (least - threshold) / (1 - threshold)))).alias("weight"))
@@ -156,11 +157,13 @@ def soft_confidence_weight(df: DataFrame) -> DataFrame:
 
     ``df`` has ``path, pred, conf``; the threshold is the mean confidence times the class's mean over the best class's, within 0.62 and 0.92.
     """
-    by = df.groupBy("pred").agg(F.avg("conf").alias("_class"))
-    best = by.agg(F.max("_class").alias("_best"))
+    df = df.filter(F.col("pred").isNotNull())
+    by = df.groupBy("pred").agg(F.avg("conf").alias("_class"), F.count(F.lit(1)).alias("_n"))
+    best = by.agg(F.max("_class").alias("_best"), F.sum("_n").alias("_rows"))
     whole = df.agg(F.avg("conf").alias("_mu"), F.greatest(F.stddev_pop("conf"), F.lit(0.06)).alias("_sd"))
-    few = by.crossJoin(F.broadcast(best)).crossJoin(F.broadcast(whole))
-    rows = df.join(F.broadcast(few), "pred")  # one row for each class
+    few = written(by.crossJoin(F.broadcast(best)).crossJoin(F.broadcast(whole)))  # one row each
+    number = few.agg(F.max("_rows")).first()[0] or 0
+    rows = look_up(df, few.drop("_rows"), "pred", number)
     limit = F.greatest(F.lit(0.62), F.least(F.lit(0.92), F.col("_mu") * F.col("_class") / F.col("_best")))
     gap = F.col("conf") - F.col("_mu")
     tail = F.when(gap >= 0, 1.0).otherwise(0.22 * F.exp(-(gap * gap) / (2 * F.col("_sd") * F.col("_sd"))))
@@ -243,9 +246,9 @@ def source_balanced(df: DataFrame, group: str, label: str, weight: str) -> DataF
     rows = df.groupBy(label, group).agg(F.sum(weight).alias("_mass"), F.count_if(F.col(weight) > 0).alias("_n")).filter("_mass > 0")
     classes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_groups"), F.sum("_n").alias("_rows"))
     whole = classes.agg(F.count(F.lit(1)).alias("_k"), F.sum("_rows").alias("_all"))
-    scale = rows.join(classes, label).crossJoin(F.broadcast(whole))
+    scale = rows.join(classes.hint("merge"), label).crossJoin(F.broadcast(whole))
     scale = scale.select(label, group, (F.col("_all") / (F.col("_k") * F.col("_groups") * F.col("_mass"))).alias("_scale"))
-    return df.join(scale, [label, group], "left").withColumn("balanced", F.coalesce(F.col(weight) * F.col("_scale"), F.lit(0.0))).drop("_scale")
+    return df.join(scale.hint("merge"), [label, group], "left").withColumn("balanced", F.coalesce(F.col(weight) * F.col("_scale"), F.lit(0.0))).drop("_scale")
 
 
 def balanced_sample(df: DataFrame, label: str, group: str, n: int, seed: int) -> DataFrame:
