@@ -35,9 +35,21 @@ def clear_written(spark: SparkSession) -> int:
     return number
 
 
+#: Spark drops the shuffle files of a query at its end where this is set; a written table needs them no more.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: a lost executor costs no earlier work."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    """Write ``df`` as Parquet in the shared folder and read it back: a lost executor costs no earlier work.
+
+    The shuffle files of the work go when the table stands, so that disks hold those of one step at a time.
+    """
+    spark = df.sparkSession
+    path, before = f"{shared_folder(spark)}/{uuid.uuid4().hex}", spark.conf.get(_CLEANUP, "false")
     _WRITTEN.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
