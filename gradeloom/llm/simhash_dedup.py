@@ -154,8 +154,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Bits of the sketch of a set of shingles.
 SKETCH = 1024
-#: Cells in which uses of shingles are counted; cells with many uses come last in the order of shingles.
-CELLS = 1 << 19
+#: Cells in which uses of shingles are counted; shingles of cells with far more uses than most come last in the order.
+CELLS = 1 << 21
 #: Bits of the map of texts whose sets are compared.
 SLOTS = 1 << 24
 #: Bytes of texts that a task looks at together.
@@ -212,7 +212,7 @@ def needed(number: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def prefixes(value: np.ndarray, edge: np.ndarray, similarity: float, cells: np.ndarray, more: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """The first shingles of each set in the common order (by uses of their cells) and ``more``, and the edges between sets.
+    """The first shingles of each set in the common order (by the ranks of their cells, then by hash) and ``more``, and the edges between sets.
 
     Two sets of this similarity share ``similarity`` times the larger one's size or more, so that the
     first shingle they share is among the others' number and one of each, and the second one is there
@@ -229,8 +229,11 @@ def cell_of(value: np.ndarray, cells: int) -> np.ndarray:
     return (mix(value) % U64(cells)).astype(np.int64)
 
 
-def uses_of_cells(texts: DataFrame, size: int, similarity: float) -> np.ndarray:
-    """How often shingles of each cell are among the first ones of a text (by hash), over all texts."""
+def ranks_of_cells(texts: DataFrame, size: int, similarity: float) -> np.ndarray:
+    """0 for most cells, and for those with far more uses than the mean their uses: over all texts, of shingles that are among a text's first by hash.
+
+    A task counts up to 255 in a cell, which is enough for an order.
+    """
     cells, each = CELLS, CELLS // 64
     schema = "block long, part long, uses binary"
 
@@ -242,13 +245,13 @@ def uses_of_cells(texts: DataFrame, size: int, similarity: float) -> np.ndarray:
                 np.add.at(total, cell_of(first, cells), 1)
         if total.any():
             for k in range(64):
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([0]), pa.array([total[k * each : (k + 1) * each].astype(np.float32).tobytes()], pa.binary())], ["block", "part", "uses"])
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([0]), pa.array([np.minimum(total[k * each : (k + 1) * each], 255).astype(np.uint8).tobytes()], pa.binary())], ["block", "part", "uses"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, _, uses in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                total[block] = total.get(block, 0) + np.frombuffer(uses, np.float32)
+                total[block] = total.get(block, 0) + np.frombuffer(uses, np.uint8 if len(uses) == each else np.float32).astype(np.float32)
         for block, uses in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([0]), pa.array([uses.astype(np.float32).tobytes()], pa.binary())], ["block", "part", "uses"])
 
@@ -256,7 +259,8 @@ def uses_of_cells(texts: DataFrame, size: int, similarity: float) -> np.ndarray:
     uses = np.zeros(cells, np.float32)
     for r in counted.repartition("block", "part").mapInArrow(add, schema).repartition("block").mapInArrow(add, schema).collect():
         uses[r["block"] * each : (r["block"] + 1) * each] = np.frombuffer(r["uses"], np.float32)
-    return uses
+    mean = float(uses.mean())
+    return np.where(uses > mean + 5 * mean**0.5 + 5, uses, 0).astype(np.float32)
 
 
 def with_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +319,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int, simil
     id_kind = docs.schema[id_col].dataType.simpleString()
     keys = docs.select(*keyed(F.col(id_col), F.col(text_col)), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # which shingles come last decides the size of buckets only, not what is found
-    sent = spark.sparkContext.broadcast(uses_of_cells(keys, size, similarity))
+    sent = spark.sparkContext.broadcast(ranks_of_cells(keys, size, similarity))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -399,10 +403,11 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int, simil
 
     links = verified(buckets.filter("fp <> hub").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")))
     roots = written(connected_components(links).withColumnRenamed("node", "fp"))
-    rooted = buckets.join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     hubs = written(buckets.groupBy("hub").agg(F.count(F.lit(1)).alias("_n")).join(roots.select(F.col("fp").alias("hub"), F.col("root").alias("hub_root")).hint("merge"), "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub")))
-    rooted = written(look_up(written(rooted), hubs, "hub", buckets.count()))
-    apart = written(rooted.filter("root <> hub_root").select("h", "fp", "at", "root"))
+    rooted = look_up(buckets, hubs, "hub", buckets.count()).select("h", "fp", "at", "hub_root").join(roots.hint("merge"), "fp", "left")
+    rooted = rooted.select("h", "fp", "at", F.coalesce("root", "fp").alias("root"), (F.coalesce("root", "fp") != F.col("hub_root")).alias("apart"))
+    rooted = written(rooted)
+    apart = rooted.filter("apart").select("h", "fp", "at", "root")
     large = written(apart.groupBy("h").count().filter(F.col("count") > LARGE_BUCKET).select("h"))
     meet = [(apart, rooted.select("h", "fp", "at", "root"))]
     if not large.isEmpty():
