@@ -63,6 +63,8 @@ TEMPLATES = {
 CUE = r"(?i)licen[cs]e|copyright|public domain|spdx|permission is hereby|redistribution and use"
 COMMENT = r"^\s*$|^\s*(#|//|/\*|\*|--|;|%|<!--)"
 LICENCE_FILE = r"^(?i)(un)?licen[cs]e([._-].*)?$|^(?i)(copying|copyright|notice)([._-].*)?$"
+#: Templates with more words than this are joined by a shuffle.
+BROADCAST_TERMS = 100_000
 WORD = r"[\p{L}\p{N}][\p{L}\p{N}.\-]*"
 
 
@@ -93,8 +95,7 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``origin`` is ``own`` if a part of the file comes to a template with a cosine of ``least`` or
     more (the most similar part; ties go to the template first by name), ``inherited`` if the nearest
     ancestor directory that holds a file of its own licence gives it (``from_dir``; there the first file
-    by path and id decides), else ``none`` with a null license. ``templates`` (``license``, ``text``: some hundreds of
-    texts at most, they are broadcast) takes the place of the built-in ones. Null and empty texts have no parts. A null
+    by path and id decides), else ``none`` with a null license. ``templates`` (``license``, ``text``) takes the place of the built-in ones. Null and empty texts have no parts. A null
     path has no directory: the file neither gives nor inherits. Rows alike in path and id are one file
     and give one row each. Very long texts are read whole. An empty table gives an empty result. Other columns are not read.
     """
@@ -154,8 +155,9 @@ def part_licenses(parts: DataFrame, templates: DataFrame | None = None) -> DataF
     given = given.join(idf.drop("_n").hint("merge"), "term").select("license", "text", "term", (F.col("tf") * F.col("idf")).alias("v"))
     given = given.withColumn("norm", F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("license", "text"))))
     norm = spoken.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("part_norm"))
-    # the templates are a bounded list of some thousands of words
-    dot = spoken.join(F.broadcast(given), "term").groupBy("key", "license", "text").agg(F.sum(F.col("w") * F.col("v") / F.col("norm")).alias("dot"))
+    given = written(given)
+    few = given.count() <= BROADCAST_TERMS
+    dot = spoken.join(F.broadcast(given) if few else given.hint("merge"), "term").groupBy("key", "license", "text").agg(F.sum(F.col("w") * F.col("v") / F.col("norm")).alias("dot"))
     cosine = dot.join(norm.hint("merge"), "key").select("key", "license", F.round(F.col("dot") / F.col("part_norm"), 6).alias("similarity"))
     best = cosine.groupBy("key").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "license")).alias("m"))
     return best.select("key", F.col("m.license").alias("license"), (-F.col("m.minus")).alias("similarity"))
