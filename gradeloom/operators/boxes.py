@@ -231,7 +231,7 @@ def candidate_audit(df: DataFrame, expected: int, min_area: float) -> DataFrame:
     rows = df.withColumn("_area", area).withColumn("_n", F.row_number().over(Window.partitionBy("image").orderBy(F.desc("_area"), "box")))
     median = F.percentile("_area", F.lit(0.5))
     floor = rows.filter("_n <= 25").groupBy("image").agg(F.greatest(F.lit(float(min_area)), 0.10 * median).alias("floor"), median.alias("_median"))
-    ratio = F.when(F.col("_median") > 0, F.round(F.col("_area") / F.col("_median"), 4)).otherwise(0.0)
+    ratio = F.when(F.col("_median") > 0, F.col("_area") / F.col("_median")).otherwise(0.0)
     ratios = F.reverse(F.array_sort(F.collect_list(ratio)))  # an image's boxes
     out = rows.join(floor.hint("merge"), "image").groupBy("image", "floor").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("_area") >= F.col("floor")).alias("selected"), ratios.alias("ratios"))
     return out.withColumn("status", F.when(F.col("selected") >= expected, "ok").otherwise("shortfall"))

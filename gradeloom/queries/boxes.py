@@ -129,9 +129,9 @@ def d11(spark, sf):
 
 
 @query("D30_candidate_audit", sql("""WITH r AS (SELECT image, ((x2 - x1) * (y2 - y1))::DOUBLE AS area, row_number() OVER (PARTITION BY image ORDER BY (x2 - x1) * (y2 - y1) DESC, box) AS n FROM boxes), f AS (SELECT image, greatest(1500, 0.10::DOUBLE * quantile_cont(area, 0.5)) AS floor, quantile_cont(area, 0.5) AS median FROM r WHERE n <= 25 GROUP BY image)
- SELECT image, round(floor, 6) AS floor, count(*) AS candidates, count(*) FILTER (area >= floor) AS selected, CASE WHEN selected >= 6 THEN 'ok' ELSE 'shortfall' END AS status, list(round(area / median, 4) ORDER BY area DESC) AS ratios FROM r JOIN f USING (image) GROUP BY image, floor"""))
+ SELECT image, round(floor, 6) AS floor, count(*) AS candidates, count(*) FILTER (area >= floor) AS selected, CASE WHEN selected >= 6 THEN 'ok' ELSE 'shortfall' END AS status, list(round(area / median, 6) ORDER BY area DESC) AS ratios FROM r JOIN f USING (image) GROUP BY image, floor"""))
 def d30(spark, sf):
-    return bx.candidate_audit(boxes(spark, sf), 6, 1500).withColumn("floor", F.round("floor", 6))
+    return bx.candidate_audit(boxes(spark, sf), 6, 1500).withColumns({"floor": F.round("floor", 6), "ratios": F.transform("ratios", lambda x: F.round(x, 6))})
 
 
 @query("D31_count_recall", sql("SELECT image, count(*) FILTER (confidence >= 0.5) AS found, count(*) FILTER (red_core >= 0.5) AS truth, CASE WHEN truth = 0 THEN 1.0 ELSE round(least(found, truth) / truth::DOUBLE, 6) END::DOUBLE AS recall FROM boxes GROUP BY image"))
