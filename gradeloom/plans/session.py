@@ -16,3 +16,14 @@ def importable(spark: SparkSession) -> SparkSession:
     if home not in paths:
         env["PYTHONPATH"] = ":".join([home, *paths])
     return spark
+
+
+#: Rows of one Arrow batch where texts travel to Python workers.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches of this session to ``BATCH_ROWS`` rows, so that long texts take little memory on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
