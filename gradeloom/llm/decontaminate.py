@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from gradeloom.llm.tokens import LOWER, U64, groups, mix, word_hashes, words
+from gradeloom.plans.session import small_batches
 
 STRETCH = 13
 SIMILARITY = 0.8
@@ -141,6 +142,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     null. An empty benchmark or table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}, start long, stretch long, agreed long, shared long, item_words long"
     item_type = to_arrow_type(benchmark.schema[item_col].dataType)
@@ -179,6 +181,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` that overlap no benchmark item, with all their columns; null texts stay."""
+    small_batches(docs.sparkSession)
     for tests in blocks(benchmark, item_col, item_text_col, block_words):
         clean = clean_texts(docs.sparkSession.sparkContext.broadcast(tests))
         docs = docs.filter(clean(F.col(text_col).cast("string")))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm.tokens import LOWER, groups
 from gradeloom.plans.columns import packed, unpacked
+from gradeloom.plans.session import small_batches
 
 WINDOW = 64
 LETTER = re.compile(r"[^\W\d_]")
@@ -171,15 +172,16 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int =
 
 def predict(docs: DataFrame, net: Network | None, langs: list[str], keep: str) -> DataFrame:
     """Column ``keep`` of ``docs`` with ``lang_pred`` and ``score`` of its column ``text``."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[keep].dataType.simpleString()
 
     def label(text: pa.Array) -> tuple[pa.Array, pa.Array]:
         names, scores = [], []
-        for a, b, data, offsets in groups(text, 1 << 20):
+        for a, b, data, offsets in groups(text, 1 << 19):
             total = np.zeros((b - a, max(1, len(langs))))
             start, owner = windows_of(offsets)
-            for k in range(0, len(start) if net else 0, 4096):
-                part = slice(k, k + 4096)
+            for k in range(0, len(start) if net else 0, 2048):
+                part = slice(k, k + 2048)
                 raw, mask = cut(data, offsets, start[part], owner[part])
                 pooled = (net.probabilities(raw.T) * mask.T[:, :, None]).sum(axis=0)
                 np.add.at(total, owner[part], pooled)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm.tokens import LOWER, U64, groups, mix, signed, word_hashes, words
 from gradeloom.plans.durable import written
+from gradeloom.plans.session import small_batches
 
 END = U64(0x0123456789ABCDEF)
 #: Classes of words (by their last two bytes), and places in the softmax of a class; place 0 is all its other words.
@@ -335,6 +336,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is 0. An empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     counted = written(count_words(texts.filter(in_training("id", folds, held))))
     lexicon = Lexicon.of(counted)

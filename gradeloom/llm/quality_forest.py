@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm.tokens import BYTE_CODE, LOWER, SPACE, U64, Rolling, groups, mix, words
 from gradeloom.plans.durable import written
+from gradeloom.plans.session import small_batches
 
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -79,6 +80,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def document_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,6 +27,7 @@ from pyspark.sql.window import Window
 
 from gradeloom.llm.tokens import U64, mix, signed
 from gradeloom.plans.durable import written
+from gradeloom.plans.session import small_batches
 
 #: Set in the place of a run that is known to repeat: settled before the shuffle, and dealt
 #: by a name of its own, so that it loads no single task.
@@ -51,6 +52,7 @@ def stored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     All later steps name texts by that number, so ids may be null, repeated and of any type. Nothing is
     computed from the numbers before they are written.
     """
+    small_batches(docs.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)

@@ -24,6 +24,7 @@ from gradeloom.operators.components import connected_components
 from gradeloom.operators.hot_keys import look_up
 from gradeloom.plans.columns import packed, unpacked
 from gradeloom.plans.durable import written
+from gradeloom.plans.session import small_batches
 
 #: A bucket with more members is cut again by its other bits, so that no task gets more of one bucket.
 LARGE_BUCKET = 8192
@@ -50,6 +51,7 @@ def fingerprint(text: bytes, size: int, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """``id`` and ``fp`` (the bits as a long) of every row; a null text has no words."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,6 +318,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int, simil
     apart (Hamming distance), and the sets themselves decide about the others.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     id_kind = docs.schema[id_col].dataType.simpleString()
     keys = docs.select(*keyed(F.col(id_col), F.col(text_col)), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # which shingles come last decides the size of buckets only, not what is found
