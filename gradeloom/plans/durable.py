@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,15 +27,30 @@ def shared_folder(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
+def _delete(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_written(spark: SparkSession) -> int:
     """Delete all tables that ``written`` left in this process, once the results that read them are saved. Gives their number."""
-    paths, number = spark._jvm.org.apache.hadoop.fs.Path, len(_WRITTEN)
-    while _WRITTEN:
-        path = paths(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    number = len(_WRITTEN)
+    _delete(spark, _WRITTEN)
+    _WRITTEN.clear()
     return number
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``make`` as a written table; the tables that were written on the way to it are deleted."""
+    before = len(_WRITTEN)
+    out = written(make())
+    steps = _WRITTEN[before:-1]
+    del _WRITTEN[before:-1]
+    _delete(spark, steps)
+    return out
+
+
 #: Spark drops the shuffle files of a query at its end where this is set; a written table needs them no more.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
