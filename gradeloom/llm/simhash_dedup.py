@@ -23,7 +23,7 @@ from gradeloom.llm.tokens import LOWER, U64, Rolling, groups, mix, signed, word_
 from gradeloom.operators.components import connected_components
 from gradeloom.operators.hot_keys import look_up
 from gradeloom.plans.columns import packed, unpacked
-from gradeloom.plans.durable import written
+from gradeloom.plans.durable import settled, written
 from gradeloom.plans.session import small_batches
 
 #: A bucket with more members is cut again by its other bits, so that no task gets more of one bucket.
@@ -231,8 +231,8 @@ def cell_of(value: np.ndarray, cells: int) -> np.ndarray:
     return (mix(value) % U64(cells)).astype(np.int64)
 
 
-def ranks_of_cells(texts: DataFrame, size: int, similarity: float) -> np.ndarray:
-    """0 for most cells, and for those with far more uses than the mean their uses: over all texts, of shingles that are among a text's first by hash.
+def ranks_of_cells(texts: DataFrame, size: int) -> np.ndarray:
+    """0 for most cells, and for those with far more uses than the mean their uses: of all shingles of all texts, one for each text.
 
     A task counts up to 255 in a cell, which is enough for an order.
     """
@@ -240,11 +240,10 @@ def ranks_of_cells(texts: DataFrame, size: int, similarity: float) -> np.ndarray
     schema = "block long, part long, uses binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, none = np.zeros(cells, np.int64), np.zeros(cells, np.int8)
+        total = np.zeros(cells, np.int64)
         for batch in batches:
             for _, _, data, offsets in groups(batch.column("text"), PORTION):
-                first, _ = prefixes(*shingle_sets(data, offsets, size), similarity, none, 0)
-                np.add.at(total, cell_of(first, cells), 1)
+                np.add.at(total, cell_of(shingle_sets(data, offsets, size)[0], cells), 1)
         if total.any():
             for k in range(64):
                 yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([0]), pa.array([np.minimum(total[k * each : (k + 1) * each], 255).astype(np.uint8).tobytes()], pa.binary())], ["block", "part", "uses"])
@@ -322,7 +321,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int, simil
     id_kind = docs.schema[id_col].dataType.simpleString()
     keys = docs.select(*keyed(F.col(id_col), F.col(text_col)), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # which shingles come last decides the size of buckets only, not what is found
-    sent = spark.sparkContext.broadcast(ranks_of_cells(keys, size, similarity))
+    sent = spark.sparkContext.broadcast(ranks_of_cells(keys, size))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -436,7 +435,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     in id and text the one first by its columns written as JSON. Null, empty and blank texts are one
     group. All columns of ``docs`` stay, whatever their names. Ids may be of any type that has an order.
     """
-    groups = written(similar_groups(docs, id_col, text_col, size, similarity))
+    groups = settled(docs.sparkSession, lambda: similar_groups(docs, id_col, text_col, size, similarity))
     kept = groups.groupBy("root").agg(F.min(F.struct("doc", "key")).alias("first")).select("first.key.*")  # folded before the shuffle
     row = F.col("row")
     marked = packed(docs).select("row", *keyed(row.getField(id_col), row.getField(text_col)))
