@@ -69,7 +69,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in groups(batch.column("text"), 1 << 22):
+            for _, _, data, offsets in groups(batch.column("text"), 1 << 20):
                 name, number = np.unique(tokenize(data, offsets)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(number)], ["h", "n"])
 
@@ -223,7 +223,7 @@ def positions(edge: np.ndarray) -> np.ndarray:
     return np.arange(edge[-1]) - np.repeat(edge[:-1], np.diff(edge))
 
 
-def coded(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def coded(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices ``(first, last, codes, edges)`` of a column of codes."""
     for a, b, data, offsets in groups(column, limit):
         yield a, b, np.frombuffer(data.tobytes(), np.uint32), offsets // 4
@@ -298,7 +298,7 @@ def encoded(docs: DataFrame, lexicon: Lexicon, id_col: str, text_col: str, folds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in groups(batch.column("text")):
+            for a, b, data, offsets in groups(batch.column("text"), 1 << 20):
                 name, edge = tokenize(data, offsets)
                 code = sent.value.encode(name)
                 owner = np.repeat(np.arange(b - a), np.diff(edge))
