@@ -14,19 +14,27 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BYTE_CODE = np.random.default_rng(20240521).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
-_BASE = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+#: The field of the rolling hashes, and a seeded base for each of two of them.
+PRIME = 2**31 - 1
+_BASES = tuple(int(x) for x in np.random.default_rng(20240607).integers(2**20, PRIME - 1, 2))
+_POWERS: list[np.ndarray] = [np.ones(1, U64) for _ in range(4)]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers modulo 2**64 of a fixed odd number, and of its inverse."""
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            table = np.full(size, base, U64)
-            table[0] = 1
-            _POWERS[k] = np.cumprod(table, dtype=U64)
-    return _POWERS[0][:n], _POWERS[1][:n]
+def modulo(x: np.ndarray) -> np.ndarray:
+    """Numbers under 2**62 modulo ``PRIME``."""
+    low = U64(PRIME)
+    x = (x & low) + (x >> U64(31))
+    x = (x & low) + (x >> U64(31))
+    return np.where(x >= low, x - low, x)
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first ``n`` powers modulo ``PRIME`` of both bases, and of their inverses."""
+    while len(_POWERS[0]) < n:
+        for k, base in enumerate([*_BASES, *(pow(x, -1, PRIME) for x in _BASES)]):
+            table = _POWERS[k]
+            _POWERS[k] = np.concatenate([table, modulo(table * U64(pow(base, len(table), PRIME)))])
+    return [x[:n] for x in _POWERS]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,16 +45,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any slice of a sequence of 64-bit codes, from one prefix sum."""
+    """Hashes of any slice of a sequence of 64-bit codes, from prefix sums.
+
+    Each hash is two polynomials over a prime field with seeded bases, one over the codes' low bits and one over
+    their high bits: 62 bits, which no structure of the sequence lessens (modulo a power of two, sequences such
+    as that of Thue and Morse meet their complement at any base).
+    """
 
     def __init__(self, codes: np.ndarray):
         n = len(codes)
-        up, self.down = powers(n + 1)
-        self.prefix = np.zeros(n + 1, U64)
-        np.cumsum(codes * up[:n], dtype=U64, out=self.prefix[1:])
+        table = powers(n + 1)
+        self.down, self.prefix = table[2:], []
+        for k, part in enumerate((codes & U64(PRIME), codes >> U64(33))):
+            total = np.zeros(n + 1, U64)
+            np.cumsum(modulo(part * table[k][:n]), dtype=U64, out=total[1:])
+            self.prefix.append(total)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.prefix[end] - self.prefix[start]) * self.down[start] + (end - start).astype(U64))
+        low, high = (modulo(modulo(p[end] - p[start]) * d[start]) for p, d in zip(self.prefix, self.down, strict=True))
+        return mix((low | high << U64(32)) + (end - start).astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,10 +104,15 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+    """A 64-bit hash of each slice's bytes: the sum of a scrambled number for each byte at its place, so that no pattern cancels."""
     if len(starts) == 0:
         return np.zeros(0, U64)
-    return Rolling(BYTE_CODE[data]).of(starts, ends)
+    length = ends - starts
+    edge = np.concatenate([[0], np.cumsum(length)])
+    place = np.arange(edge[-1]) - np.repeat(edge[:-1], length)
+    total = np.zeros(edge[-1] + 1, U64)
+    np.cumsum(mix(BYTE_CODE[data[np.repeat(starts, length) + place]] + place.astype(U64) * U64(0x9E3779B97F4A7C15)), dtype=U64, out=total[1:])
+    return mix(total[edge[1:]] - total[edge[:-1]] + length.astype(U64))
 
 
 def signed(x: np.ndarray) -> np.ndarray:
