@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeloom.llm.conversation_repair import repair_damaged
 from gradeloom.llm.decontaminate import overlaps
 from gradeloom.llm.language_id import identify
 from gradeloom.llm.license_scan import scan_licenses
@@ -68,6 +69,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(documents(spark, sf_dir)).drop("kept")
 
 
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_maxent_scores": op1,
     "op2_spaced_seed_overlaps": op2,
@@ -79,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash_groups": op8,
     "op9_quality_forest": op9,
     "op10_suffix_dedup": op10,
+    "op12_conversation_repair": op12,
 }
 
 ORACLES: dict[str, str] = {
