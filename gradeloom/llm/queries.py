@@ -13,6 +13,7 @@ from gradeloom.llm.language_id import identify
 from gradeloom.llm.license_scan import scan_licenses
 from gradeloom.llm.maxent_lm import score_texts
 from gradeloom.llm.quality_forest import judge_quality
+from gradeloom.llm.ranked_search import ranked
 from gradeloom.llm.shards import shuffle_into_shards
 from gradeloom.llm.simhash_dedup import near_duplicates
 from gradeloom.llm.source_mix import mix_sources
@@ -74,6 +75,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_maxent_scores": op1,
     "op2_spaced_seed_overlaps": op2,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op9_quality_forest": op9,
     "op10_suffix_dedup": op10,
     "op12_conversation_repair": op12,
+    "op13_ranked_search": op13,
 }
 
 ORACLES: dict[str, str] = {
@@ -115,4 +121,15 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
                sha256(unhex(coalesce(t || substr(x, 2 * last::BIGINT + 1), x))) AS kept_sha256
         FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id""",
+    "op13_ranked_search": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        s AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS words FROM d WHERE len(w) > 0),
+        tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+        q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)),
+        w AS (SELECT q.item_id, q.term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM q JOIN df ON q.term = df.term, s),
+        scored AS (SELECT w.item_id, d.r, d.doc_id, sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 20 * (50 + (50 * len(d.w) * s.docs) // s.words))))::BIGINT AS score
+                   FROM w JOIN tf ON w.term = tf.term JOIN d ON tf.r = d.r, s GROUP BY w.item_id, d.r, d.doc_id),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scored WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM placed WHERE rank <= 50""",
 }
