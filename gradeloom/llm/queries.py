@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm.conversation_repair import repair_damaged
 from gradeloom.llm.decontaminate import overlaps
+from gradeloom.llm.jaccard_join import jaccard_join
 from gradeloom.llm.language_id import identify
 from gradeloom.llm.license_scan import scan_licenses
 from gradeloom.llm.maxent_lm import score_texts
@@ -71,6 +72,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(documents(spark, sf_dir))
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -90,6 +95,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash_groups": op8,
     "op9_quality_forest": op9,
     "op10_suffix_dedup": op10,
+    "op11_jaccard_join": op11,
     "op12_conversation_repair": op12,
     "op13_ranked_search": op13,
 }

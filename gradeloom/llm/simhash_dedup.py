@@ -10,16 +10,17 @@ than members.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.tokens import LOWER, U64, Rolling, groups, mix, signed, word_hashes, words
+from gradeloom.llm.jaccard_join import keyed, similar_groups
+from gradeloom.llm.tokens import U64
 from gradeloom.operators.components import connected_components
 from gradeloom.operators.hot_keys import look_up
 from gradeloom.plans.columns import packed, unpacked
@@ -154,280 +155,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return look_up(marked, labels, "fp", rows).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Bits of the sketch of a set of shingles.
-SKETCH = 1024
-#: Cells in which uses of shingles are counted; shingles of cells with far more uses than most come last in the order.
-CELLS = 1 << 21
-#: Bits of the map of texts whose sets are compared.
-SLOTS = 1 << 24
-#: Bytes of texts that a task looks at together.
-PORTION = 1 << 19
-
-
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The different hashes of the word shingles of each text in order, and the edges between texts.
-
-    A-Z are made small; a text of fewer words than ``size`` is one shingle and one without words has none.
-    """
-    small = LOWER[data]
-    start, end, owner = words(small, offsets)
-    count = np.bincount(owner, minlength=len(offsets) - 1)
-    word = np.concatenate([[0], np.cumsum(count)])
-    number = np.where(count > 0, np.maximum(count - size + 1, 1), 0)
-    edge = np.concatenate([[0], np.cumsum(number)])
-    own = np.repeat(np.arange(len(count)), number)
-    first = word[own] + np.arange(edge[-1]) - edge[own]
-    value = Rolling(word_hashes(small, start, end)).of(first, np.minimum(first + size, word[own + 1]))
-    value = value[np.lexsort([value, own])]
-    new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (own[1:] != own[:-1])
-    return value[new], np.searchsorted(own[new], np.arange(len(count) + 1))
-
-
-def set_names(value: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """A hash of each set of shingles; sets alike have one name."""
-    total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(value ^ U64(0x5851F42D4C957F2D)), dtype=U64)])
-    return mix(total[edge[1:]] - total[edge[:-1]] + np.diff(edge).astype(U64))
-
-
-def set_sketches(value: np.ndarray, edge: np.ndarray) -> list[bytes]:
-    """Parities of the shingles dealt to ``SKETCH`` bits, more for large sets: two sketches differ in no more bits than their sets in members."""
-    place, out = mix(value), []
-    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        bits = max(SKETCH, 1 << (2 * (b - a)).bit_length())
-        parity = np.bincount((place[a:b] & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
-        out.append(np.packbits(parity.astype(np.uint8)).tobytes())
-    return out
-
-
-def sketch_distance(one: bytes, two: bytes) -> int:
-    """Bits in which two sketches differ, the larger one folded to the smaller one's length."""
-    x, y = np.frombuffer(one, U64), np.frombuffer(two, U64)
-    short = min(len(x), len(y))
-    x, y = (np.bitwise_xor.reduce(z.reshape(-1, short), axis=0) for z in (x, y))
-    return int(np.bitwise_count(x ^ y).sum())
-
-
-def needed(number: np.ndarray, similarity: float) -> np.ndarray:
-    """The least whole number that is ``similarity`` times ``number`` or more."""
-    return np.ceil(number * similarity - 1e-9).astype(np.int64)
-
-
-def prefixes(value: np.ndarray, edge: np.ndarray, similarity: float, cells: np.ndarray, more: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """The first shingles of each set in the common order (by the ranks of their cells, then by hash) and ``more``, and the edges between sets.
-
-    Two sets of this similarity share ``similarity`` times the larger one's size or more, so that the
-    first shingle they share is among the others' number and one of each, and the second one is there
-    with one more.
-    """
-    number = np.diff(edge)
-    own = np.repeat(np.arange(len(number)), number)
-    value = value[np.lexsort([value, cells[cell_of(value, len(cells))], own])]
-    length = np.where(number > 0, np.minimum(number - needed(number, similarity) + 1 + more, number), 0)
-    return value[np.arange(len(value)) - edge[own] < length[own]], np.concatenate([[0], np.cumsum(length)])
-
-
-def cell_of(value: np.ndarray, cells: int) -> np.ndarray:
-    return (mix(value) % U64(cells)).astype(np.int64)
-
-
-def ranks_of_cells(texts: DataFrame, size: int) -> np.ndarray:
-    """0 for most cells, and for those with far more uses than the mean their uses: of all shingles of all texts, one for each text.
-
-    A task counts up to 255 in a cell, which is enough for an order.
-    """
-    cells, each = CELLS, CELLS // 64
-    schema = "block long, part long, uses binary"
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int64)
-        for batch in batches:
-            for _, _, data, offsets in groups(batch.column("text"), PORTION):
-                np.add.at(total, cell_of(shingle_sets(data, offsets, size)[0], cells), 1)
-        if total.any():
-            for k in range(64):
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([0]), pa.array([np.minimum(total[k * each : (k + 1) * each], 255).astype(np.uint8).tobytes()], pa.binary())], ["block", "part", "uses"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, _, uses in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                total[block] = total.get(block, 0) + np.frombuffer(uses, np.uint8 if len(uses) == each else np.float32).astype(np.float32)
-        for block, uses in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([0]), pa.array([uses.astype(np.float32).tobytes()], pa.binary())], ["block", "part", "uses"])
-
-    counted = texts.select("text").mapInArrow(count, schema).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(16)).cast("long"))
-    uses = np.zeros(cells, np.float32)
-    for r in counted.repartition("block", "part").mapInArrow(add, schema).repartition("block").mapInArrow(add, schema).collect():
-        uses[r["block"] * each : (r["block"] + 1) * each] = np.frombuffer(r["uses"], np.float32)
-    mean = float(uses.mean())
-    return np.where(uses > mean + 5 * mean**0.5 + 5, uses, 0).astype(np.float32)
-
-
-def with_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``h, fp, at`` sorted by ``h, fp``: those of an ``h`` with two or more, once each, with its least ``fp`` as ``hub``.
-
-    Buckets of any size pass through in portions; what is carried over is one row.
-    """
-    names = ["h", "fp", "at", "hub"]
-    held, open_ = np.zeros((3, 0), np.int64), None  # a row that is alone so far; or (h, hub, latest fp) of a bucket under way
-    for batch in batches:
-        rows = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
-        out = []
-        if open_ is not None:
-            same = int(np.searchsorted(rows[0] != open_[0], True)) if (rows[0] != open_[0]).any() else rows.shape[1]
-            part = rows[:, :same]
-            part = part[:, np.diff(part[1], prepend=open_[2]) != 0]
-            out.append(np.concatenate([part, np.full((1, part.shape[1]), open_[1])]))
-            open_ = (open_[0], open_[1], part[1, -1]) if part.shape[1] else open_
-            rows = rows[:, same:]
-        if rows.shape[1]:
-            new = np.ones(rows.shape[1], bool)
-            new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
-            rows = rows[:, new]
-            first = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
-            number = np.diff(first, append=rows.shape[1])
-            several = np.repeat(number > 1, number)
-            out.append(np.concatenate([rows, np.repeat(rows[1, first], number)[None]])[:, several])
-            alone = number[-1] == 1
-            held = rows[:, -1:] if alone else rows[:, :0]
-            open_ = None if alone else (rows[0, -1], rows[1, first[-1]], rows[1, -1])
-        else:
-            held = rows
-        done = np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
-        if done.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in done], names)
-
-
-def keyed(name: Column, text: Column) -> list[Column]:
-    """``doc`` and ``tag``: 128 bits of hashes of a row's id and text. Rows alike in both are one."""
-    parts = name.cast("string"), F.coalesce(text.cast("string"), F.lit(""))
-    return [F.xxhash64(F.lit(1), *parts).alias("doc"), F.xxhash64(F.lit(2), *parts[::-1]).alias("tag")]
-
-
-def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:
-    """``doc`` (the id) and ``key`` (hashes of id and text) of each text, with the ``root`` of its group.
-
-    A link joins two texts whose sets of shingles have this Jaccard similarity or more; no such pair is
-    missed at any size. Sets alike are one node. Two sets of the similarity share one of their first
-    shingles in any common order (``prefixes``), so they meet in its bucket; frequent shingles come last
-    in the order, which keeps buckets small. First each member of a bucket meets the least one, its hub. Then
-    members that are not joined with their hub meet all others; where these are many, only those with
-    which they share a second one of the first shingles. Sketches drop pairs that are surely too far
-    apart (Hamming distance), and the sets themselves decide about the others.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    id_kind = docs.schema[id_col].dataType.simpleString()
-    keys = docs.select(*keyed(F.col(id_col), F.col(text_col)), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # which shingles come last decides the size of buckets only, not what is found
-    sent = spark.sparkContext.broadcast(ranks_of_cells(keys, size))
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for a, b, data, offsets in groups(batch.column("text"), PORTION):
-                value, edge = shingle_sets(data, offsets, size)
-                first, cut = prefixes(value, edge, similarity, sent.value)
-                fp = signed(set_names(value, edge))
-                # of sets alike in one task the first one has the shingles and the sketch
-                new = np.array([not (x in seen or seen.add(x)) for x in fp.tolist()], bool)
-                lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(signed(first)))
-                take = pa.array(np.where(new, np.arange(b - a), -1), mask=~new)
-                sketch = pa.array(set_sketches(value, edge), pa.binary()).take(take)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in ("doc", "tag", "id")], pa.array(fp), pa.array(np.diff(edge)), lists.take(take), sketch], ["doc", "tag", "id", "fp", "size", "first", "sketch"])
-
-    marked = written(keys.mapInArrow(mark, f"doc long, tag long, id {id_kind}, fp long, size long, first array<long>, sketch binary"))
-    nodes = marked.groupBy("fp").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("doc", "tag")).alias("text"), F.first("size").alias("size"), F.first("sketch", ignorenulls=True).alias("sketch"))
-    nodes = written(nodes)
-    rows = nodes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    least = lambda n: F.ceil(n * similarity - 1e-9)
-    members = marked.filter(F.size("first") > 0).select("fp", "size", F.posexplode("first").alias("place", "h"))
-    members = members.filter(F.col("place") <= F.col("size") - least(F.col("size"))).select("h", "fp", (F.shiftleft("size", 32) + F.col("place")).alias("at"))
-    buckets = written(members.repartition("h").sortWithinPartitions("h", "fp").mapInArrow(with_hubs, "h long, fp long, at long, hub long"))
-
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            apart = np.array([sketch_distance(x, y) for x, y in zip(batch.column("a_sketch").to_pylist(), batch.column("b_sketch").to_pylist(), strict=True)], np.int64)
-            x, y = (batch.column(c).to_numpy() for c in ("a_size", "b_size"))
-            shared = needed(x + y, similarity / (1 + similarity))
-            near = pa.array((apart <= x + y - 2 * shared) & (shared <= np.minimum(x, y)))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in ("a", "b")], ["a", "b"])
-
-    def full(slots: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        marks = spark.sparkContext.broadcast(slots)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                slot = batch.column("slot").to_numpy()
-                batch = batch.filter(pa.array(marks.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1))
-                for a, b, data, offsets in groups(batch.column("text"), PORTION):
-                    value, edge = shingle_sets(data, offsets, size)
-                    sets = pa.array([value[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, b - a), batch.column("tag").slice(a, b - a), sets], ["doc", "tag", "set"])
-
-        return run
-
-    def sets_of(close: DataFrame) -> DataFrame:
-        """``fp`` and ``set`` of all texts that links name; a bitmap of fixed size leaves out most others before the shuffle."""
-        slot = F.pmod(F.xxhash64("doc", "tag"), F.lit(SLOTS))
-        named = written(close.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "text.*").hint("merge"), "fp"))
-        slots = np.zeros(SLOTS // 8, np.uint8)
-        for r in named.groupBy(F.floor(slot / 32768).alias("part")).agg(F.bitmap_construct_agg(slot % 32768).alias("bits")).collect():
-            slots[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
-        sets = keys.drop("id").withColumn("slot", slot).mapInArrow(full(slots), "doc long, tag long, set binary")
-        return written(sets.join(named.hint("merge"), ["doc", "tag"]).select("fp", "set").dropDuplicates(["fp"]))
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = []
-            for one, two in zip(batch.column("a_set"), batch.column("b_set"), strict=True):
-                x, y = np.frombuffer(one.as_py(), U64), np.frombuffer(two.as_py(), U64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(both >= needed(np.int64(len(x) + len(y) - both), similarity))
-            near = pa.array(near, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in ("a", "b")], ["a", "b"])
-
-    def beside(pairs: DataFrame, table: DataFrame, *values: str) -> DataFrame:
-        """Pairs with the values of both sides; a side with many pairs is met where they lie."""
-        for end in ("a", "b"):
-            uses = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("_n"))
-            side = written(uses.join(table.select(F.col("fp").alias(end), *[F.col(v).alias(f"{end}_{v}") for v in values]).hint("merge"), end))
-            pairs = look_up(pairs, side, end, pairs.count())
-            if end == "a":
-                pairs = written(pairs)
-        return pairs
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs.distinct())
-        close = written(beside(pairs, nodes, "size", "sketch").mapInArrow(sketched, "a long, b long"))
-        return written(beside(close, sets_of(close), "set").mapInArrow(exact, "a long, b long"))
-
-    links = verified(buckets.filter("fp <> hub").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")))
-    roots = written(connected_components(links).withColumnRenamed("node", "fp"))
-    hubs = written(buckets.groupBy("hub").agg(F.count(F.lit(1)).alias("_n")).join(roots.select(F.col("fp").alias("hub"), F.col("root").alias("hub_root")).hint("merge"), "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub")))
-    rooted = look_up(buckets, hubs, "hub", buckets.count()).select("h", "fp", "at", "hub_root").join(roots.hint("merge"), "fp", "left")
-    rooted = rooted.select("h", "fp", "at", F.coalesce("root", "fp").alias("root"), (F.coalesce("root", "fp") != F.col("hub_root")).alias("apart"))
-    rooted = written(rooted)
-    apart = rooted.filter("apart").select("h", "fp", "at", "root")
-    large = written(apart.groupBy("h").count().filter(F.col("count") > LARGE_BUCKET).select("h"))
-    meet = [(apart, rooted.select("h", "fp", "at", "root"))]
-    if not large.isEmpty():
-        second = marked.filter(F.size("first") > 0).select("fp", "first").dropDuplicates(["fp"])
-        finer = lambda side: side.join(large.hint("merge"), "h").join(second.hint("merge"), "fp").select(F.explode(F.array_remove("first", F.col("h"))).alias("other"), "*").select(F.xxhash64("h", "other").alias("h"), "fp", "at", "root")
-        meet = [tuple(side.join(large.hint("merge"), "h", "left_anti") for side in meet[0]), tuple(finer(side) for side in meet[0])]
-    for one, two in meet:
-        one, two = (side.select("h", *[F.col(c).alias(f"{c}_{k}") for c in ("fp", "at", "root")]) for k, side in ((1, one), (2, two)))
-        size_of, place_of = (lambda k: F.shiftright(f"at_{k}", 32)), (lambda k: F.col(f"at_{k}").bitwiseAND((1 << 32) - 1))
-        shared = F.least(place_of(1), place_of(2)) + F.least(size_of(1) - place_of(1), size_of(2) - place_of(2))
-        possible = (F.col("root_1") != F.col("root_2")) & (least(F.greatest(size_of(1), size_of(2))) <= F.least(size_of(1), size_of(2))) & (F.ceil((size_of(1) + size_of(2)) * (similarity / (1 + similarity)) - 1e-9) <= shared)
-        pairs = one.join(two.hint("merge"), "h").filter(possible).select(F.least("fp_1", "fp_2").alias("a"), F.greatest("fp_1", "fp_2").alias("b"))
-        links = links.unionByName(verified(pairs))
-    roots = connected_components(links)
-    rooted = written(nodes.select("fp", "_n").join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "_n", F.coalesce("root", "fp").alias("root")))
-    return look_up(marked.select("doc", "tag", "id", "fp"), rooted, "fp", rows).select(F.col("id").alias("doc"), F.struct("doc", "tag").alias("key"), "root")
-
-
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """Keep one row of each group of texts that are alike at this similarity of word shingles: that of the smallest id.
 

@@ -49,11 +49,11 @@ def test_all_pairs_are_found(spark):
     assert {frozenset(x) for x in found.values()} == brute(texts, 0.8)
 
 
-def test_large_buckets_are_cut_finer(spark, monkeypatch):
-    from gradeloom.llm import simhash_dedup as sd
+def test_an_order_that_knows_little(spark, monkeypatch):
+    from gradeloom.llm import jaccard_join as jj
 
-    monkeypatch.setattr(sd, "LARGE_BUCKET", 2)
-    monkeypatch.setattr(sd, "CELLS", 64)  # an order that knows little, so that buckets are large
+    monkeypatch.setattr(jj, "CELLS", 64)  # buckets are large
+    monkeypatch.setattr(jj, "WIDE", 64)  # sets of frequent ends are salted
     test_all_pairs_are_found(spark)
 
 
@@ -61,15 +61,15 @@ def test_hubs_over_batches():
     import numpy as np
     import pyarrow as pa
 
-    from gradeloom.llm.simhash_dedup import with_hubs
+    from gradeloom.llm.jaccard_join import with_hubs
 
     rng = np.random.default_rng(3)
     for _ in range(60):
-        rows = np.array(sorted(zip(rng.integers(0, 12, 40).tolist(), rng.integers(0, 6, 40).tolist(), strict=True)), np.int64)
+        rows = np.array(sorted((h, fp % 3, fp) for h, fp in zip(rng.integers(0, 12, 40).tolist(), rng.integers(0, 6, 40).tolist(), strict=True)), np.int64)
         cuts = [0, *sorted(rng.integers(0, 41, 5).tolist()), 40]
-        batches = [pa.RecordBatch.from_arrays([pa.array(rows[x:y, 0]), pa.array(rows[x:y, 1]), pa.array(rows[x:y, 1] + 100)], ["h", "fp", "at"]) for x, y in zip(cuts, cuts[1:], strict=False)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(rows[x:y, k]) for k in range(3)], ["h", "at", "fp"]) for x, y in zip(cuts, cuts[1:], strict=False)]
         got = sorted(tuple(r.values()) for b in with_hubs(iter(batches)) for r in b.to_pylist())
         members = {}
-        for h, fp in rows.tolist():
-            members.setdefault(h, set()).add(fp)
-        assert got == sorted((h, fp, fp + 100, min(m)) for h, m in members.items() if len(m) > 1 for fp in m)
+        for h, at, fp in rows.tolist():
+            members.setdefault(h, set()).add((at, fp))
+        assert got == sorted((h, at, fp, *min(m)) for h, m in members.items() if len(m) > 1 for at, fp in m)
