@@ -151,16 +151,6 @@ def pairwise_correlation(df: DataFrame, key: str, columns: list[str]) -> DataFra
     return df.groupBy(key).agg(*[F.when(flat(a, b), 0.0).otherwise(F.corr(a, b)).alias(f"{a}_{b}") for a, b in pairs])
 
 
-def ema(df: DataFrame, key: str, order: list[str], value: str, alpha: float) -> DataFrame:
-    """Add ``smooth``: the exponential mean of the rows so far. Rows older than the weight 1e-17 are left out of the frame, which so is bounded."""
-    import math
-
-    reach = math.ceil(math.log(1e-17) / math.log(1 - alpha))
-    frame = Window.partitionBy(key).orderBy(*order).rowsBetween(-reach, 0)
-    seen = F.collect_list(F.col(value).cast("double")).over(frame)
-    return df.withColumn("_seen", seen).withColumn("smooth", F.aggregate("_seen", F.get("_seen", F.lit(0)), lambda s, x: (1 - alpha) * s + alpha * x)).drop("_seen")
-
-
 def change_ratio(df: DataFrame, snapshot: str, cell: str, value: str, limit: float) -> DataFrame:
     """Per snapshot the share of cells that differ by more than ``limit`` from their snapshot before; first ones do not count."""
     before = F.lag(value).over(Window.partitionBy(cell).orderBy(snapshot))

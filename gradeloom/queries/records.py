@@ -236,12 +236,6 @@ def d28(spark, sf):
     return rounded(rc.pairwise_correlation(numeric(spark, sf), "flag", ["x", "y", "z"]))
 
 
-@query("E11_ema", with_views("""WITH o AS (SELECT id, batch_id, score, row_number() OVER (PARTITION BY batch_id ORDER BY ts, id) AS n FROM inspection_log),
- e AS (SELECT id, batch_id, n, score AS smooth FROM o WHERE n = 1 UNION ALL SELECT o.id, o.batch_id, o.n, 0.7::DOUBLE * e.smooth + 0.3::DOUBLE * o.score FROM e JOIN o ON o.batch_id = e.batch_id AND o.n = e.n + 1) SELECT id, batch_id, round(smooth, 6) AS smooth FROM e""", "inspection_log").replace("WITH ", "WITH RECURSIVE ", 1))
-def e11(spark, sf):
-    return rounded(rc.ema(view(spark, sf, "inspection_log"), "batch_id", ["ts", "id"], "score", 0.3).select("id", "batch_id", "smooth"))
-
-
 @query("E12_change_ratio", """WITH c AS (SELECT CAST(l_shipdate AS DATE) AS day, l_suppkey AS cell, sum(CAST(l_quantity AS DOUBLE)) AS v FROM lineitem GROUP BY 1, 2), d AS (SELECT day, abs(v - lag(v) OVER (PARTITION BY cell ORDER BY day)) AS d FROM c)
  SELECT day, count(*) AS cells, round(avg((d > 24)::INT), 6) AS ratio FROM d WHERE d IS NOT NULL GROUP BY day""")
 def e12(spark, sf):

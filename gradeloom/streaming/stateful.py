@@ -91,31 +91,32 @@ def stream_ema(stream: DataFrame, key: str, alpha: float) -> DataFrame:
     return scan_by_key(stream, key, "id", f"{key} long, id long, smooth double", "smooth double", (None,), step)
 
 
+def label_step(now: tuple, row: Any, confirm: int = 2, switch: int = 3) -> tuple[tuple, tuple]:
+    """The next state ``(shown, seen, labels, sums, other, run)`` and ``(frame, shown)``."""
+    shown, seen, labels, sums, other, run = now
+    if row.usable:
+        seen += 1
+        if shown is None:
+            scores = dict(zip(labels, sums, strict=True))
+            scores[row.label] = scores.get(row.label, 0.0) + float(row.confidence)
+            labels, sums = list(scores), list(scores.values())
+            if seen >= confirm:
+                shown = min(scores, key=lambda x: (-scores[x], x))
+        elif row.label == shown:
+            other, run = None, 0
+        else:
+            run = run + 1 if row.label == other else 1
+            other = row.label
+            if run >= switch:
+                shown, other, run = row.label, None, 0
+    return (shown, seen, labels, sums, other, run), (row.frame, shown)
+
+
 def label_hysteresis(stream: DataFrame, key: str, confirm: int = 2, switch: int = 3) -> DataFrame:
     """``frame, shown`` of observations (``frame, label, confidence, usable``).
 
     The first label is that of the greatest summed confidence once ``confirm`` usable observations came (ties: the
     label first in order); later ``switch`` usable ones in a row of the same other label change it.
     """
-
-    def step(now: tuple, row: Any) -> tuple[tuple, tuple | None]:
-        shown, seen, labels, sums, other, run = now
-        if row.usable:
-            seen += 1
-            if shown is None:
-                scores = dict(zip(labels, sums, strict=True))
-                scores[row.label] = scores.get(row.label, 0.0) + float(row.confidence)
-                labels, sums = list(scores), list(scores.values())
-                if seen >= confirm:
-                    shown = min(scores, key=lambda x: (-scores[x], x))
-            elif row.label == shown:
-                other, run = None, 0
-            else:
-                run = run + 1 if row.label == other else 1
-                other = row.label
-                if run >= switch:
-                    shown, other, run = row.label, None, 0
-        return (shown, seen, labels, sums, other, run), (row.frame, shown)
-
     state = "shown string, seen int, labels array<string>, sums array<double>, other string, run int"
-    return scan_by_key(stream, key, "frame", f"{key} long, frame long, shown string", state, (None, 0, [], [], None, 0), step)
+    return scan_by_key(stream, key, "frame", f"{key} long, frame long, shown string", state, (None, 0, [], [], None, 0), lambda now, row: label_step(now, row, confirm, switch))

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 SF, NEXT = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: The smallest tables lack groups for five folds: these run on the next size.
-LARGER = {"E04_group_kfold", "E05_fold_audit", "G03_fold_complement"}
+LARGER = {"E04_group_kfold", "E04_balanced_folds", "E05_fold_audit", "G03_fold_complement"}
 NAMES = sorted(n for n in entry.oracle_sql() if not n.startswith("op"))
 
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from gradeloom.operators.records import ema
+from gradeloom.operators.ordered import ema
 from gradeloom.streaming import stateful as sf
 from gradeloom.streaming import stateless as sl
 
