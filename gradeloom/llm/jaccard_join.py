@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from gradeloom.llm.tokens import LOWER, U64, Rolling, groups, mix, signed, word_hashes, words
 from gradeloom.operators.components import connected_components
 from gradeloom.operators.hot_keys import HOT_KEYS, look_up
-from gradeloom.plans.durable import settled, written
+from gradeloom.plans.durable import drop_written, settled, written
 from gradeloom.plans.session import small_batches
 
 #: Cells in which uses of shingles are counted; shingles of cells with far more uses than most come last in every order.
@@ -233,14 +233,17 @@ class Join:
                     take = pa.array(np.where(new, np.arange(b - a), -1), mask=~new)
                     yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in ("doc", "tag", "id")], pa.array(fp), pa.array(np.diff(edge)), lists.take(take), packed.take(take)], ["doc", "tag", "id", "fp", "size", "first", "others"])
 
-        self.marked = written(self.texts.mapInArrow(mark, f"doc long, tag long, id {kind}, fp long, size long, first array<long>, others binary"))
-        nodes = self.marked.groupBy("fp").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("smallest"), F.min(F.struct("doc", "tag")).alias("text"), F.first("size").alias("size"), F.first("others", ignorenulls=True).alias("others"))
+        wide = written(self.texts.mapInArrow(mark, f"doc long, tag long, id {kind}, fp long, size long, first array<long>, others binary"))
+        nodes = wide.groupBy("fp").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("smallest"), F.min(F.struct("doc", "tag")).alias("text"), F.first("size").alias("size"), F.first("others", ignorenulls=True).alias("others"))
         self.nodes = written(nodes)
+        self.members = self.bucket_members(wide)
+        self.marked = written(wide.select("doc", "tag", "id", "fp", "size"))
+        drop_written(wide)
         self.rows, self.sets = self.nodes.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count(F.lit(1))).first()
 
-    def buckets(self) -> DataFrame:
+    def bucket_members(self, wide: DataFrame) -> DataFrame:
         """Members ``h, at, fp`` of buckets of two or more sets, with their hub. ``at`` packs the shingle's place in the set and the set's size."""
-        members = self.marked.filter(F.size("first") > 0).select("fp", "size", F.posexplode("first").alias("place", "h"))
+        members = wide.filter(F.size("first") > 0).select("fp", "size", F.posexplode("first").alias("place", "h"))
         rows = members.select("h", (F.shiftleft(F.col("place").cast("long"), 32) + F.col("size")).alias("at"), "fp")
         return written(rows.repartition("h").sortWithinPartitions("h", "at", "fp").mapInArrow(with_hubs, "h long, at long, fp long, hub_at long, hub long"))
 
@@ -267,9 +270,15 @@ class Join:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs that share first shingles in all orders and are of the similarity."""
-        pairs = written(pairs.distinct())
-        left = written(sets_meeting(pairs, self.nodes, "others").mapInArrow(share_in_all_orders, "a long, b long"))
-        return written(sets_meeting(left, self.sets_of(left), "set").mapInArrow(of_similarity(self.similarity), "a long, b long"))
+
+        def filtered() -> DataFrame:
+            return sets_meeting(written(pairs.distinct()), self.nodes, "others").mapInArrow(share_in_all_orders, "a long, b long")
+
+        def verified() -> DataFrame:
+            return sets_meeting(left, self.sets_of(left), "set").mapInArrow(of_similarity(self.similarity), "a long, b long")
+
+        left = settled(self.spark, filtered)
+        return settled(self.spark, verified)
 
 
 def share_in_all_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,16 +309,20 @@ def of_similarity(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Ite
 
 def still_apart(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of buckets with several groups, with their ``root`` and that of the bucket's hub."""
-    rooted = written(members.select("h", "at", "fp").join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    several = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", F.struct("at", "fp")).alias("hub_root")).filter("low <> high")
-    return written(rooted.join(several.select("h", "hub_root").hint("merge"), "h"))
+
+    def make() -> DataFrame:
+        rooted = written(members.select("h", "at", "fp").join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+        several = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", F.struct("at", "fp")).alias("hub_root")).filter("low <> high")
+        return rooted.join(several.select("h", "hub_root").hint("merge"), "h")
+
+    return settled(members.sparkSession, make)
 
 
 def joined_roots(join: Join) -> DataFrame:
     """``fp`` and ``root`` of all sets that links join with another."""
     s = join.similarity
-    roots_of = lambda links: written(connected_components(links).select(F.col("node").alias("fp"), "root"))
-    buckets = join.buckets()
+    roots_of = lambda links: settled(join.spark, lambda: connected_components(links).select(F.col("node").alias("fp"), "root"))
+    buckets = join.members
     links = join.links(buckets.filter("fp <> hub").filter(can_share("at", "hub_at", s)).select(*ordered("fp", "hub")))
     roots = roots_of(links)
 
