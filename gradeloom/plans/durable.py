@@ -41,6 +41,13 @@ def clear_written(spark: SparkSession) -> int:
     return number
 
 
+def drop_written(table: DataFrame) -> None:
+    """Delete a table that ``written`` gave, once nothing reads it any more."""
+    path = table._written_at
+    _WRITTEN.remove(path)
+    _delete(table.sparkSession, [path])
+
+
 def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     """The result of ``make`` as a written table; the tables that were written on the way to it are deleted."""
     before = len(_WRITTEN)
@@ -68,4 +75,6 @@ def written(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
