@@ -166,20 +166,20 @@ def published(tracks: list[Track], rules: Rules = Rules()) -> list[tuple]:  # no
 SCHEMA = "frame long, track long, x1 long, y1 long, x2 long, y2 long, label string, kind_confidence double, grade_confidence double, joint_confidence double"
 
 
-def track_objects(stream: DataFrame, key: str, rules: Rules = Rules(), idle: int | None = None) -> DataFrame:  # noqa: B008
+def track_objects(stream: DataFrame, key: str, rules: Rules = Rules(), idle: int | None = None, ts: str | None = None, late: str = "10 minutes") -> DataFrame:  # noqa: B008
     """Tracks shown after each frame, by ``key`` (a long).
 
     Each row of the stream is a frame: ``frame``, and ``seen``, an array of ``box`` (array of four), ``label``, ``kind_confidence``,
     ``grade_confidence``, ``joint_confidence`` and ``sharpness`` (null: sharp); an empty or null array is an empty frame.
-    ``idle``: milliseconds without frames after which a camera's tracks are forgotten.
+    ``idle``: milliseconds without frames after which a camera's tracks are forgotten. ``ts``: the frames' time, by which they are taken across micro-batches.
     """
 
     def step(now: tuple, row: Any) -> tuple[tuple, list[tuple] | None]:
         number, text = now
         tracks = [Track(**{**t, "box": tuple(t["box"]), "velocity": tuple(t["velocity"]), "confidences": tuple(t["confidences"])}) for t in json.loads(text)]
-        boxes = row.seen if row.seen is not None else []
+        boxes = row.seen if row.seen is not None else []  # rows, or maps where the stream is taken in event order
         seen = [Seen(tuple(map(float, s["box"])), s["label"], (float(s["kind_confidence"]), float(s["grade_confidence"]), float(s["joint_confidence"])), math.inf if s["sharpness"] is None else float(s["sharpness"])) for s in boxes]
         tracks, number = next_tracks(tracks, seen, number, rules)
         return (number, json.dumps([asdict(t) for t in tracks])), [(int(row.frame), *r) for r in published(tracks, rules)] or None
 
-    return scan_by_key(stream, key, "frame", f"{key} long, {SCHEMA}", "number long, tracks string", (0, "[]"), step, idle)
+    return scan_by_key(stream, key, "frame", f"{key} long, {SCHEMA}", "number long, tracks string", (0, "[]"), step, idle, ts, late)
