@@ -102,11 +102,40 @@ def rank_components(df: DataFrame, width: float, height: float) -> DataFrame:
     return df.filter(plausible).withColumn("rank_score", score)
 
 
+def _in_cells(df: DataFrame, box: str) -> DataFrame:
+    """A row for each grid cell that a box reaches, on its own level and on all coarser ones that an image has.
+
+    A level's cells are as wide as a power of two that no side of its boxes exceeds, so that a box reaches four of them at most.
+    """
+    sides = [F.col(c).cast("double") for c in CORNERS]
+    rows = df.select("image", F.col("box").alias(box), *[c.alias(f"{box}_{n}") for c, n in zip(sides, CORNERS, strict=True)])
+    x1, y1, x2, y2 = (F.col(f"{box}_{n}") for n in CORNERS)
+    return rows.withColumn(f"{box}_level", F.ceil(F.log2(F.greatest(x2 - x1, y2 - y1, F.lit(1.0)))).cast("int"))
+
+
+def _cells(rows: DataFrame, box: str, levels: DataFrame) -> DataFrame:
+    x1, y1, x2, y2 = (F.col(f"{box}_{n}") for n in CORNERS)
+    wide = F.pow(F.lit(2.0), F.col("level"))
+    span = lambda low, high: F.sequence(F.floor(low / wide), F.floor(high / wide))
+    at = rows.crossJoin(F.broadcast(levels)).withColumn("level", F.explode(F.filter("levels", lambda n: n >= F.col(f"{box}_level")))).drop("levels")  # one row
+    return at.filter((x2 >= x1) & (y2 >= y1)).withColumn("cx", F.explode(span(x1, x2))).withColumn("cy", F.explode(span(y1, y2)))
+
+
 def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``image, a, b, iou, inside`` of all boxes of the two tables that overlap; inside: of the smaller one."""
-    left = a.select("image", F.col("box").alias("a"), *[F.col(c).cast("double").alias(f"a_{c}") for c in CORNERS])
-    right = b.select("image", F.col("box").alias("b"), *[F.col(c).cast("double").alias(f"b_{c}") for c in CORNERS])
-    meet = left.join(right.hint("merge"), "image").filter("a_x1 < b_x2 AND b_x1 < a_x2 AND a_y1 < b_y2 AND b_y1 < a_y2")
+    """``image, a, b, iou, inside`` of all boxes of the two tables that overlap; inside: of the smaller one.
+
+    Boxes meet in grid cells of the size of the larger one, each pair in the cell of its common upper left corner alone, so that an image of many
+    boxes makes about as many candidates as neighbours, whatever the boxes' sizes.
+    """
+    left, right = _in_cells(a, "a"), _in_cells(b, "b")
+    # the levels in use, a few numbers: sides are under 2**1024
+    levels = left.select(F.col("a_level").alias("n")).unionByName(right.select(F.col("b_level").alias("n"))).agg(F.array_sort(F.collect_set("n")).alias("levels"))
+    one, two = _cells(left, "a", levels), _cells(right, "b", levels)
+    cell = ["image", "level", "cx", "cy"]
+    meet = one.filter("a_level = level").join(two.hint("merge"), cell).unionByName(one.filter("a_level < level").join(two.filter("b_level = level").hint("merge"), cell))
+    wide = F.pow(F.lit(2.0), F.col("level"))
+    owner = (F.floor(F.greatest("a_x1", "b_x1") / wide) == F.col("cx")) & (F.floor(F.greatest("a_y1", "b_y1") / wide) == F.col("cy"))
+    meet = meet.filter("a_x1 < b_x2 AND b_x1 < a_x2 AND a_y1 < b_y2 AND b_y1 < a_y2").filter(owner)
     inter = F.expr("(least(a_x2, b_x2) - greatest(a_x1, b_x1)) * (least(a_y2, b_y2) - greatest(a_y1, b_y1))")
     one, two = F.expr("(a_x2 - a_x1) * (a_y2 - a_y1)"), F.expr("(b_x2 - b_x1) * (b_y2 - b_y1)")
     return meet.select("image", "a", "b", (inter / F.greatest(one + two - inter, F.lit(1e-9))).alias("iou"), (inter / F.greatest(F.least(one, two), F.lit(1e-9))).alias("inside"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from gradeloom.operators.inspections import Rule, apply_model_grade, batch_stats, score_inspections
+from gradeloom.operators.records import event_envelope
 
 
 def stream_batch_stats(records: DataFrame) -> DataFrame:
@@ -16,6 +17,26 @@ def stream_batch_stats(records: DataFrame) -> DataFrame:
     return batch_stats(records)
 
 
+def publish_batch_stats(records: DataFrame, folder: str, kind: str = "batch_statistics") -> DataStreamWriter:
+    """A writer of one message ``{type, data, stats}`` for each batch that a micro-batch changed, with its statistics then.
+
+    Messages of a micro-batch lie in a folder of its number, which a repeated micro-batch overwrites: after a crash or a
+    restart each message is there once. Start it with a checkpoint location; ``published_stats`` reads it.
+    """
+
+    def write(changed: DataFrame, number: int) -> None:
+        stats = [c for c in changed.columns if c != "batch_id"]
+        event_envelope(changed, kind, ["batch_id"], stats).select("batch_id", "message").write.mode("overwrite").json(f"{folder}/number={number}")
+
+    return stream_batch_stats(records).writeStream.outputMode("update").foreachBatch(write)
+
+
+def published_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """``batch_id, number, message``: the latest message of each batch."""
+    messages = spark.read.schema("batch_id long, message string, number long").json(folder)
+    return messages.groupBy("batch_id").agg(F.max("number").alias("number"), F.max_by("message", "number").alias("message"))
+
+
 def stream_sessions(events: DataFrame, key: str, ts: str, gap: str = "120 seconds", late: str = "10 minutes") -> DataFrame:
     """Closed sessions of each key (output mode ``append``); a gap of exactly the limit stays in one session."""
     sessions = events.withWatermark(ts, late).groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))

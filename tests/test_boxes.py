@@ -68,3 +68,23 @@ def test_no_boxes(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert bx.nms(none).count() == 0
     assert bx.match_one_to_one(bx.iou_pairs(none, none, 0.3)).count() == 0
+
+
+def test_dense_image_of_all_sizes(spark):
+    """Small, large and touching boxes of one image: the grid finds the pairs of all boxes that overlap, once each."""
+    rng, rows = random.Random(2), []
+    for k in range(700):
+        side = rng.choice([0, 1, 3, 8, 8, 20, 64, 300, 2000])
+        x, y = rng.randrange(-500, 3000), rng.randrange(-500, 3000)
+        rows.append((k % 2, k, x, y, x + side, y + rng.choice([side, 1 + side // 3])))
+    boxes = spark.createDataFrame(rows, "image long, box long, x1 long, y1 long, x2 long, y2 long")
+    got = sorted((r.image, r.a, r.b) for r in bx.overlaps(boxes, boxes.filter("box % 3 > 0")).collect())
+    meet = lambda p, q: p[0] == q[0] and p[2] < q[4] and q[2] < p[4] and p[3] < q[5] and q[3] < p[5]
+    assert got == sorted((p[0], p[1], q[1]) for p in rows for q in rows if q[1] % 3 > 0 and meet(p, q))
+
+
+def test_many_boxes_make_few_candidates(spark):
+    side = 150  # 22,500 boxes of one image, each over its right and lower neighbours
+    rows = spark.range(side * side).selectExpr("0L AS image", "id AS box", f"id % {side} * 10 AS x1", f"floor(id / {side}) * 10 AS y1").selectExpr("*", "x1 + 12 AS x2", "y1 + 12 AS y2")
+    found = bx.overlaps(rows, rows)
+    assert found.count() == side * side + 4 * side * (side - 1) + 4 * (side - 1) ** 2
