@@ -1,13 +1,18 @@
 """New rows against reference rows: matches, nearest references and shifts between domains.
 
-The new rows are a stated query set and meet every reference: both sides are dealt into blocks, so that a
-task holds one block of each, and what a block finds is folded before the shuffle.
+Searches are exact and compare few pairs: fingerprints are found by an index over blocks of their bits, with a growing number of bits
+that may differ in a block; vectors by balls around pivots, of which those are skipped that cannot hold a better one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from functools import reduce
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gradeloom.operators.vectors import dot, hamming, l2_normalise, unit_means
 from gradeloom.plans.durable import written
@@ -25,39 +30,166 @@ def blocked(new: DataFrame, refs: DataFrame, new_blocks: int = 4, ref_blocks: in
     return left.join(right.hint("shuffle_hash"), ["_new", "_ref"]).drop("_new", "_ref")
 
 
-def _prints(new: DataFrame, refs: DataFrame) -> DataFrame:
-    """Distances between fingerprints of new rows and of all other references; equal references of a scope count once, as the least that is not the row itself."""
-    keys = ["scope", "r_hi", "r_lo"]
-    rows = refs.select("scope", "path", F.col("hi").alias("r_hi"), F.col("lo").alias("r_lo"))
-    first = rows.groupBy(*keys).agg(F.min("path").alias("ref"))
-    second = rows.join(first.hint("merge"), keys).filter(F.col("path") != F.col("ref")).groupBy(*keys).agg(F.min("path").alias("_next"))
-    once = first.join(second.hint("merge"), keys, "left")
-    own = new.select("path", F.col("hi").alias("n_hi"), F.col("lo").alias("n_lo"))
-    pairs = blocked(own, once).withColumn("ref", F.when(F.col("ref") == F.col("path"), F.col("_next")).otherwise(F.col("ref"))).drop("_next")
+def bit_blocks(number: int) -> list[tuple[int, int]]:
+    """``(first bit, width)`` of blocks of 64 bits that are about as wide as the logarithm of the number of fingerprints, at most 16."""
+    blocks = max(4, 64 // max(8, math.ceil(math.log2(max(number, 2)))))
+    edges = [round(64 * k / blocks) for k in range(blocks + 1)]
+    return [(x, y - x) for x, y in zip(edges, edges[1:], strict=False)]
+
+
+def _block(hi: str, lo: str, first: int, width: int) -> Column:
+    """Bits ``first`` to ``first + width - 1`` (from the lowest of ``lo``) of a fingerprint in two halves."""
+    low, high = F.shiftright(F.col(lo), first) if first < 32 else F.lit(0).cast("long"), F.shiftleft(F.col(hi), 32 - first) if first < 32 else F.shiftright(F.col(hi), first - 32)
+    return low.bitwiseOR(high).bitwiseAND(F.lit((1 << width) - 1))
+
+
+class PrintIndex:
+    """References by scope and fingerprint (equal ones once, as the least path that is not the row itself), under each of their blocks."""
+
+    def __init__(self, refs: DataFrame) -> None:
+        keys = ["scope", "r_hi", "r_lo"]
+        rows = refs.select("scope", "path", F.col("hi").alias("r_hi"), F.col("lo").alias("r_lo"))
+        first = written(rows.groupBy(*keys).agg(F.min("path").alias("ref"), F.count(F.lit(1)).alias("_n")))
+        several = first.filter("_n > 1").drop("_n")
+        second = rows.join(several.hint("merge"), keys).filter(F.col("path") != F.col("ref")).groupBy(*keys).agg(F.min("path").alias("_next"))
+        self.once = written(first.drop("_n").join(second.hint("merge"), keys, "left"))
+        self.number = self.once.count()
+        self.blocks = bit_blocks(self.number)
+        parts = F.array(*[F.struct(F.lit(k).alias("block"), _block("r_hi", "r_lo", *b).alias("value")) for k, b in enumerate(self.blocks)])
+        self.keyed = written(self.once.select("*", F.inline(parts)))
+
+    def probes(self, bits: int) -> int:
+        """Keys of one query at this step."""
+        return sum(math.comb(width, bits) for _, width in self.blocks)
+
+    def within(self, new: DataFrame, bits: int) -> DataFrame:
+        """New rows (``path, n_hi, n_lo``) beside the references that differ in exactly ``bits`` bits of one of the blocks; a pair may come once for each block."""
+        keys = lambda k, value: lambda x: F.struct(F.lit(k).alias("block"), value.bitwiseXOR(x).alias("value"))
+        parts = []
+        for k, (first, width) in enumerate(self.blocks):
+            flips = [sum(1 << b for b in x) for x in combinations(range(width), bits)]
+            parts.append(F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), keys(k, _block("n_hi", "n_lo", first, width))))
+        asked = new.select("path", "n_hi", "n_lo", F.inline(F.concat(*parts)))
+        return others(asked.join(self.keyed.hint("merge"), ["block", "value"]).drop("block", "value"))
+
+
+def others(pairs: DataFrame) -> DataFrame:
+    """Pairs with the reference's least path that is not the row itself and the ``bits`` between them."""
+    pairs = pairs.withColumn("ref", F.when(F.col("ref") == F.col("path"), F.col("_next")).otherwise(F.col("ref"))).drop("_next")
     return pairs.filter("ref IS NOT NULL").withColumn("bits", hamming("n_", "r_"))
 
 
+def _asked(new: DataFrame) -> DataFrame:
+    return new.select("path", F.col("hi").alias("n_hi"), F.col("lo").alias("n_lo"))
+
+
 def cross_reference_matches(new: DataFrame, refs: DataFrame, distance: int, sealed: str) -> DataFrame:
     """``path, scope, ref, bits`` of references within ``distance``; matches in the ``sealed`` scope do not name theirs.
 
-    Both tables have ``path, hi, lo``, references a ``scope``.
+    Both tables have ``path, hi, lo``, references a ``scope``. A reference within the distance differs in few bits of one of the blocks.
     """
-    near = _prints(new, refs).filter(F.col("bits") <= distance)
-    return near.select("path", "scope", F.when(F.col("scope") != sealed, F.col("ref")).alias("ref"), "bits")
+    index = PrintIndex(refs)
+    near = [index.within(_asked(new), bits).filter(F.col("bits") <= distance) for bits in range(distance // len(index.blocks) + 1)]
+    found = reduce(DataFrame.unionByName, near).groupBy("path", "scope", "r_hi", "r_lo").agg(F.min("ref").alias("ref"), F.min("bits").alias("bits"))
+    return found.select("path", "scope", F.when(F.col("scope") != sealed, F.col("ref")).alias("ref"), "bits")
 
 
 def nearest_reference(new: DataFrame, refs: DataFrame) -> DataFrame:
-    """``path, scope, bits, ref`` of the nearest reference in each scope, ties to the smallest path."""
-    best = F.min(F.struct("bits", "ref")).alias("best")
-    return _prints(new, refs).groupBy("path", "scope").agg(best).select("path", "scope", "best.bits", "best.ref")
+    """``path, scope, bits, ref`` of the nearest reference in each scope, ties to the smallest path.
+
+    Step t finds all references that differ in t bits of some block. One that no step up to t has found differs in more than t bits of every
+    block, so what is nearer than that is settled. Rows that are not settled when a further step would ask for a quarter of the index meet all references.
+    """
+    index = PrintIndex(refs)
+    scopes = index.once.select("scope").distinct()
+    kind = refs.schema["path"].dataType.simpleString()
+    left = written(_asked(new).crossJoin(F.broadcast(scopes)).withColumn("best", F.lit(None).cast(f"struct<bits:int,ref:{kind}>")))  # few scopes
+    done, step = [], 0
+    share = lambda t: sum(math.comb(w, t) / 2**w for _, w in index.blocks)
+    while not left.isEmpty():
+        whole = share(step) > 0.25
+        own = left.select("path", "n_hi", "n_lo").distinct()
+        pairs = others(blocked(own, index.once)) if whole else index.within(own, step)
+        found = pairs.groupBy("path", "scope").agg(F.min(F.struct("bits", "ref")).alias("now"))
+        met = left.join(found.hint("merge"), ["path", "scope"], "left")
+        met = written(met.select("path", "scope", "n_hi", "n_lo", F.coalesce(F.least("best", "now"), F.col("best"), F.col("now")).alias("best")))
+        settled = F.lit(True) if whole else F.coalesce(F.col("best.bits") < len(index.blocks) * (step + 1), F.lit(False))
+        done.append(met.filter(settled & F.col("best").isNotNull()))
+        left = met.filter(~settled)
+        step += 1
+    out = reduce(DataFrame.unionByName, done) if done else left
+    return out.select("path", "scope", "best.bits", "best.ref")
+
+
+class Balls:
+    """Unit vectors ``ref, v`` and a group ``g`` in balls around pivots of their group: parts of at most ``MOST`` rows each."""
+
+    PIVOTS, MOST, SALTS = 64, 4096, 16
+
+    def __init__(self, refs: DataFrame, g: str, v: str, extra: list[str] = []) -> None:  # noqa: B006
+        rows = refs.select("ref", F.col(g).alias("g"), F.col(v).alias("v"), *extra)
+        # pivots of each group: those of the least hash, a bounded sample that decides how much is skipped, not what is found
+        place = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("ref"), "ref"))
+        pivots = written(rows.select("ref", "g", "v").withColumn("_n", place).filter(F.col("_n") <= self.PIVOTS).select("g", F.col("_n").alias("pivot"), F.col("v").alias("centre")))
+        # few groups may hold all rows: each is salted
+        salts = F.explode(F.sequence(F.lit(0), F.lit(self.SALTS - 1)))
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("ref"), F.lit(self.SALTS)).cast("int"))
+        near = salted.join(pivots.withColumn("_salt", salts).hint("shuffle_hash"), ["g", "_salt"]).withColumn("cosine", dot("v", "centre"))
+        near = near.groupBy("ref", "g", *extra).agg(F.max_by(F.struct("pivot", "cosine", "v"), F.struct("cosine", -F.col("pivot"))).alias("at"))
+        members = near.select("ref", "g", *extra, "at.pivot", "at.cosine", "at.v")
+        sizes = members.groupBy("g", "pivot").agg(F.count(F.lit(1)).alias("_n"), F.min("cosine").alias("low"))
+        self.balls = written(sizes.join(pivots.hint("merge"), ["g", "pivot"]).select("g", "pivot", F.ceil(F.col("_n") / self.MOST).alias("parts"), F.col("_n").alias("rows"), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("low")))).alias("radius"), "centre"))
+        parts = members.join(self.balls.select("g", "pivot", "parts").hint("merge"), ["g", "pivot"])
+        self.members = written(parts.withColumn("part", F.pmod(F.xxhash64("ref"), F.col("parts")).cast("int")).drop("parts", "cosine"))
+
+
+def best_cosines(new: DataFrame, balls: Balls, slot: Column, meets: Column, k: int) -> DataFrame:
+    """``path, slot, cosine``: the ``k`` best cosines of each new row (``path, a`` and columns of its own) in each slot.
+
+    ``slot`` says from the new row's columns and a ball's group ``g`` which result the ball counts for (null: none), ``meets`` which members count.
+    A ball of radius r whose pivot is at the angle w holds no cosine above cos(w - r): first each row meets its two balls of the highest
+    bound in each slot, then those whose bound is above its ``k``-th best so far.
+    """
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot("a", "centre"))))
+    bound = F.cos(F.greatest(F.lit(0.0), angle - F.col("radius"))) + F.lit(1e-9)
+    # at most PIVOTS balls a group: a table far smaller than the references
+    ranked = written(new.crossJoin(balls.balls).withColumn("slot", slot).filter("slot IS NOT NULL").withColumn("bound", bound).drop("centre", "radius"))
+    first = F.row_number().over(Window.partitionBy("path", "slot").orderBy(F.desc("bound"), "g", "pivot"))
+    ranked = written(ranked.withColumn("_turn", first))
+
+    def met(asked: DataFrame) -> DataFrame:
+        each = asked.withColumn("part", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))))
+        pairs = each.join(balls.members.hint("merge"), ["g", "pivot", "part"]).filter(meets).select("path", "slot", "ref", dot("a", "v").alias("cosine"))
+        place = F.row_number().over(Window.partitionBy("path", "slot").orderBy(F.desc("cosine"), "ref"))
+        return pairs.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
+
+    found = written(met(ranked.filter("_turn <= 2")))
+    floor = found.groupBy("path", "slot").agg(F.count(F.lit(1)).alias("_n"), F.min("cosine").alias("floor")).filter(F.col("_n") >= k)
+    rest = ranked.filter("_turn > 2").join(floor.hint("merge"), ["path", "slot"], "left").filter(F.col("floor").isNull() | (F.col("bound") > F.col("floor"))).drop("floor", "_n")
+    place = F.row_number().over(Window.partitionBy("path", "slot").orderBy(F.desc("cosine"), "ref"))
+    return found.unionByName(met(rest)).withColumn("_place", place).filter(F.col("_place") <= k).select("path", "slot", "cosine")
 
 
 def domain_neighbours(new: DataFrame, base: DataFrame, label: str, v: str) -> DataFrame:
     """``path, same, other``: the best cosine to other base rows of the row's own class and of all other classes; null without any."""
-    left = new.select("path", F.col(label).alias("_own"), l2_normalise(v).alias("_a"))
-    right = base.select(F.col("path").alias("ref"), F.col(label).alias("_class"), l2_normalise(v).alias("_b"))
-    near = blocked(left, right).filter(F.col("path") != F.col("ref")).select("path", (F.col("_own") == F.col("_class")).alias("_same"), dot("_a", "_b").alias("_c"))
-    return near.groupBy("path").agg(F.max(F.when(F.col("_same"), F.col("_c"))).alias("same"), F.max(F.when(~F.col("_same"), F.col("_c"))).alias("other"))
+    asked = written(new.select("path", F.col(label).alias("_own"), l2_normalise(v).alias("a")))
+    balls = Balls(base.select(F.col("path").alias("ref"), label, l2_normalise(v).alias("_b")), label, "_b")
+    best = best_cosines(asked, balls, F.when(F.col("_own") == F.col("g"), "same").when(F.col("_own") != F.col("g"), "other"), F.col("path") != F.col("ref"), 1)
+    out = best.groupBy("path").agg(*[F.max(F.when(F.col("slot") == c, F.col("cosine"))).alias(c) for c in ("same", "other")])
+    return out
+
+
+def group_excluded_knn(df: DataFrame, v: str, k: int = 3) -> DataFrame:
+    """Vote of the ``k`` nearest group centroids of each grade, of the same kind and other groups: ``path, score0, score1, knn_grade, knn_margin``.
+
+    Centroids are pre-aggregated by (kind, grade, group) and searched by balls.
+    """
+    centroids = unit_means(df, ["kind", "grade", "group_id"], v)
+    refs = centroids.select(F.struct("kind", "grade", "group_id").alias("ref"), F.struct("kind", "grade").alias("of"), F.col("group_id").alias("_group"), F.col(v).alias("_b"))
+    asked = written(df.select("path", "kind", "group_id", l2_normalise(v).alias("a")))
+    best = best_cosines(asked, Balls(refs, "of", "_b", ["_group"]), F.when(F.col("kind") == F.col("g.kind"), F.col("g.grade")), F.col("group_id") != F.col("_group"), k)
+    out = best.groupBy("path").agg(F.avg(F.when(F.col("slot") == 0, F.col("cosine"))).alias("score0"), F.avg(F.when(F.col("slot") == 1, F.col("cosine"))).alias("score1"))
+    return out.withColumns({"knn_grade": F.when(F.col("score1") > F.col("score0"), 1).otherwise(0), "knn_margin": F.abs(F.col("score1") - F.col("score0"))})
 
 
 def domain_shift(train: DataFrame, val: DataFrame, new: DataFrame, label: str, v: str) -> DataFrame:

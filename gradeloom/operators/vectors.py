@@ -68,20 +68,6 @@ def aligned(manifest: DataFrame, features: DataFrame, v: str, dimensions: int) -
     return both.select("path", reason.alias("reason")).filter("reason IS NOT NULL")
 
 
-def group_excluded_knn(df: DataFrame, v: str, k: int = 3, salt: int = 16) -> DataFrame:
-    """Vote of the ``k`` nearest group centroids of each grade, of the same kind and other groups: ``path, score0, score1, knn_grade, knn_margin``.
-
-    Centroids are pre-aggregated by (kind, grade, group). The join on the kind is salted, since there are few kinds.
-    """
-    centroids = written(unit_means(df, ["kind", "grade", "group_id"], v))
-    side = centroids.select("kind", F.col("grade").alias("_grade"), F.col("group_id").alias("_group"), F.col(v).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt"))
-    rows = df.select("path", "kind", "group_id", l2_normalise(v).alias(v), F.pmod(F.xxhash64("path"), F.lit(salt)).cast("int").alias("_salt"))
-    near = rows.join(side.hint("shuffle_hash"), ["kind", "_salt"]).filter("group_id <> _group").select("path", "_grade", dot(v, "_v").alias("_c"))
-    ranked = near.withColumn("_n", F.row_number().over(Window.partitionBy("path", "_grade").orderBy(F.desc("_c")))).filter(F.col("_n") <= k)
-    out = ranked.groupBy("path").agg(F.avg(F.when(F.col("_grade") == 0, F.col("_c"))).alias("score0"), F.avg(F.when(F.col("_grade") == 1, F.col("_c"))).alias("score1"))
-    return out.withColumns({"knn_grade": F.when(F.col("score1") > F.col("score0"), 1).otherwise(0), "knn_margin": F.abs(F.col("score1") - F.col("score0"))})
-
-
 def hex64(bits: Column) -> Column:
     """Sixteen hex digits of an array of 64 truth values, the first one highest."""
     text = F.array_join(F.transform(bits, lambda b: F.when(b, "1").otherwise("0")), "")

@@ -10,7 +10,7 @@ from gradeloom.operators.datasets import pair_mass
 from gradeloom.operators.evaluation import judged as judge
 from gradeloom.plans.catalog import query
 from gradeloom.plans.fixtures import view, with_views
-from gradeloom.operators.vectors import group_excluded_knn
+from gradeloom.operators.references import group_excluded_knn
 from gradeloom.plans.durable import written
 from gradeloom.queries.evaluation import predictions, rounded, sql_both
 from gradeloom.queries.records import knn_sql

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.operators import records as rc
+from gradeloom.operators import references as rf
 from gradeloom.operators import vectors as vc
 from gradeloom.operators.components import duplicate_clusters
 from gradeloom.operators.evaluation import judged
@@ -151,7 +152,7 @@ def knn_sql(rows: str) -> str:
 
 @query("C13_group_excluded_knn", with_views(f"WITH {knn_sql('(SELECT path, group_id, kind, label // 2 % 2 AS grade, embedding FROM features)')} SELECT path, round(score0, 6) AS score0, round(score1, 6) AS score1, knn_grade, round(knn_margin, 6) AS knn_margin FROM knn", "features"))
 def c13(spark, sf):
-    return rounded(vc.group_excluded_knn(features(spark, sf), "v"))
+    return rounded(rf.group_excluded_knn(features(spark, sf), "v"))
 
 
 @query("C16_known_hash_overlap", with_views("SELECT path FROM manifest WHERE split = 'test' AND sha256(text) IN (SELECT sha256(text) FROM manifest WHERE split = 'train' AND text IS NOT NULL)", "manifest"))
