@@ -82,6 +82,11 @@ def resolution_tier(side: Column) -> Column:
     return F.when(side < 112, 0.35).when(side < 160, 0.60).otherwise(1.0)
 
 
+def resolution_reason(side: Column) -> Column:
+    """Why ``resolution_tier`` lowers the weight of a row; null where it does not."""
+    return F.when(side < 112, "below 112 pixels").when(side < 160, "below 160 pixels")
+
+
 def quality_flags(df: DataFrame, width: float, height: float) -> DataFrame:
     """Add ``flags`` and ``status``: ``review`` where any flag but the border note is set."""
     area = wide() * high() / (width * height)
@@ -245,6 +250,13 @@ def coverage(found: DataFrame, truth: DataFrame) -> DataFrame:
     return rows.groupBy("image").agg(F.count(F.lit(1)).alias("truth"), F.count("_hit").alias("matched")).withColumn("share", F.col("matched") / F.col("truth"))
 
 
+def coverage_with_total(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """``coverage`` of each image, and one row with a null image of all reference boxes together."""
+    each = written(coverage(found, truth))
+    whole = each.agg(F.lit(None).cast(each.schema["image"].dataType).alias("image"), F.coalesce(F.sum("truth"), F.lit(0)).alias("truth"), F.coalesce(F.sum("matched"), F.lit(0)).alias("matched"))
+    return each.unionByName(whole.withColumn("share", F.col("matched") / F.nullif(F.col("truth"), F.lit(0))))
+
+
 def count_recall(df: DataFrame, found: Column, truth: Column) -> DataFrame:
     """Per image ``min(found, truth) / truth``; one where nothing was to find."""
     counts = df.groupBy("image").agg(F.count_if(found).alias("found"), F.count_if(truth).alias("truth"))

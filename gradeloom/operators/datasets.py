@@ -28,11 +28,24 @@ def identity_conflicts(df: DataFrame, key: str, attributes: list[str]) -> DataFr
     return df.groupBy(key).agg(F.countDistinct(row_code(attributes)).alias("variants")).filter("variants > 1")
 
 
-def integrity_report(df: DataFrame, path: str, content: Column, group: str, label: str) -> DataFrame:
-    """Repeated paths, repeated contents and groups with mixed labels, as ``check, key, n``."""
-    twice = lambda name, key: df.groupBy(key.cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lit(name).alias("check"), "key", "n")
+def integrity_report(df: DataFrame, path: str, content: Column, group: str, label: str, pair: str | None = None, most_views: int = 2, role: str | None = None, split: str = "split", allowed: dict[str, list[str]] | None = None) -> DataFrame:
+    """Repeated paths, repeated contents and groups with mixed labels, as ``check, key, n``.
+
+    With ``pair`` also pairs of more than ``most_views`` rows; with ``role`` and ``allowed`` (the splits of each role) rows in a split that their role forbids,
+    those of an unknown or no role too. Null pairs are no pair.
+    """
+    many = lambda name, key, most=1: df.groupBy(key.cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select(F.lit(name).alias("check"), "key", "n")
     mixed = df.groupBy(F.col(group).cast("string").alias("key")).agg(F.countDistinct(label).alias("n")).filter("n > 1").select(F.lit("mixed_labels").alias("check"), "key", "n")
-    return twice("repeated_path", F.col(path)).unionByName(twice("repeated_content", content)).unionByName(mixed)
+    out = many("repeated_path", F.col(path)).unionByName(many("repeated_content", content)).unionByName(mixed)
+    if pair is not None:
+        out = out.unionByName(many("crowded_pair", F.col(pair), most_views).filter("key IS NOT NULL"))
+    if role is not None:
+        fits = F.lit(False)
+        for name, splits in (allowed or {}).items():
+            fits = fits | ((F.col(role) == name) & F.col(split).isin(splits))
+        bad = df.filter(~F.coalesce(fits, F.lit(False)))
+        out = out.unionByName(bad.groupBy(F.col(path).cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("forbidden_split").alias("check"), "key", "n"))
+    return out
 
 
 def composition(df: DataFrame, dimensions: list[str]) -> DataFrame:
@@ -71,6 +84,41 @@ def fold_audit(rows: DataFrame, folds: DataFrame, group: str) -> DataFrame:
     return rows.join(folds.select(group, "fold").hint("merge"), group).groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(group).alias("groups"))
 
 
+def fold_classes(rows: DataFrame, folds: DataFrame, group: str, label: str) -> DataFrame:
+    """``fold, label, rows, groups`` of every fold and label."""
+    own = rows.groupBy(group, label).agg(F.count(F.lit(1)).alias("rows"))
+    met = own.join(folds.select(group, "fold").distinct().hint("merge"), group)
+    return met.groupBy("fold", label).agg(F.sum("rows").alias("rows"), F.countDistinct(group).alias("groups"))
+
+
+def fold_violations(rows: DataFrame, folds: DataFrame, group: str, pair: str, k: int) -> DataFrame:
+    """``check, key, n``: groups and pairs that lie in several folds, groups without a fold, numbers that are no fold of ``k``, and folds without rows."""
+    given = folds.select(group, "fold").distinct()
+    own = rows.groupBy(group, pair).agg(F.count(F.lit(1)).alias("rows"))
+    met = written(own.join(given.hint("merge"), group, "left"))
+    several = lambda name, key: met.filter(F.col("fold").isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("key")).agg(F.countDistinct("fold").alias("n")).filter("n > 1").select(F.lit(name).alias("check"), "key", "n")
+    by = lambda name, key, test: met.filter(test).groupBy(F.col(key).cast("string").alias("key")).agg(F.sum("rows").alias("n")).select(F.lit(name).alias("check"), "key", "n")
+    there = met.select("fold").distinct()
+    absent = rows.sparkSession.range(k).select(F.col("id").cast("int").alias("fold")).join(there.hint("merge"), "fold", "left_anti").select(F.lit("absent_fold").alias("check"), F.col("fold").cast("string").alias("key"), F.lit(0).cast("long").alias("n"))
+    out = several("group_in_folds", group).unionByName(several("pair_in_folds", pair))
+    return out.unionByName(by("no_fold", group, F.col("fold").isNull())).unionByName(by("unknown_fold", "fold", ~F.col("fold").between(0, k - 1))).unionByName(absent)
+
+
+def split_violations(rows: DataFrame, splits: DataFrame, group: str, keys: list[str]) -> DataFrame:
+    """``key, value, splits`` of values of ``keys`` that rows of several splits hold, once whole groups are split (``stratified_group_split``)."""
+    met = rows.join(splits.select(group, "split").hint("merge"), group)
+    return leakage_audit(met.select("split", *keys), keys)
+
+
+def scene_split(df: DataFrame, label: str, scene: str, seed: int) -> DataFrame:
+    """``label, scene, rows, split``: per label the last scene in a seeded order is ``test``, the second last of four or more ``val``, all others ``train``."""
+    scenes = df.filter(F.col(scene).isNotNull()).groupBy(label, scene).agg(F.count(F.lit(1)).alias("rows"))
+    order = Window.partitionBy(label).orderBy(draw(seed, scene).desc(), F.col(scene).desc())
+    placed = scenes.withColumns({"_back": F.row_number().over(order), "_n": F.count(F.lit(1)).over(Window.partitionBy(label))})
+    where = F.when(F.col("_back") == 1, "test").when((F.col("_back") == 2) & (F.col("_n") >= 4), "val").otherwise("train")
+    return placed.select(label, scene, "rows", where.alias("split"))
+
+
 def sessionize(df: DataFrame, key: str, ts: str, order: str, gap_seconds: int) -> DataFrame:
     """Add ``session``, from 1 by key: a new one when the gap to the row before is longer than ``gap_seconds``."""
     by = Window.partitionBy(key).orderBy(ts, order)
@@ -78,10 +126,16 @@ def sessionize(df: DataFrame, key: str, ts: str, order: str, gap_seconds: int) -
     return df.withColumn("_new", F.when(gap.isNull() | (gap > gap_seconds * 1_000_000), 1).otherwise(0)).withColumn("session", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def holdout_latest(df: DataFrame, key: str, n: int) -> DataFrame:
-    """Add ``pool``: the last ``n`` sessions of each key are ``holdout``, the others ``train``."""
-    rank = F.dense_rank().over(Window.partitionBy(key).orderBy(F.desc("session")))
-    return df.withColumn("pool", F.when(rank <= n, "holdout").otherwise("train"))
+def holdout_latest(df: DataFrame, key: str, n: int, pinned: Column | None = None) -> DataFrame:
+    """Add ``pool``: the last ``n`` sessions of each key, and those with a ``pinned`` row, are ``holdout``, the others ``train``."""
+    if pinned is None:
+        rank = F.dense_rank().over(Window.partitionBy(key).orderBy(F.desc("session")))
+        return df.withColumn("pool", F.when(rank <= n, "holdout").otherwise("train"))
+    sessions = df.groupBy(F.col(key).alias("_key"), F.col("session").alias("_session")).agg(F.max(F.coalesce(pinned, F.lit(False))).alias("_pinned"))
+    rank = F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("_session")))
+    sessions = sessions.withColumn("pool", F.when((rank <= n) | F.col("_pinned"), "holdout").otherwise("train"))
+    met = df.join(sessions.hint("merge"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("session") == F.col("_session")))
+    return met.drop("_key", "_session", "_pinned")
 
 
 def first_wins(df: DataFrame, key: list[Column], order: list[str]) -> DataFrame:

@@ -12,9 +12,9 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gradeloom.functions.probability import FLOOR, JOINT, argmax, decompose, log_clipped, log_spaced, logit_bias, temperature
+from gradeloom.operators.ranking import numbered
 from gradeloom.plans.durable import written
 
 CLASSES = range(4)
@@ -156,7 +156,7 @@ def group_bootstrap(df: DataFrame, right_a: Column, right_b: Column, repeats: in
     Only the counts of each group are resampled; the draws are ``repeats`` times the number of groups.
     """
     counts = df.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.sum(right_a.cast("int") - right_b.cast("int")).alias("d"))
-    ranked = written(counts.withColumn("place", F.row_number().over(Window.orderBy("group_id")) - 1))
+    ranked = written(numbered(counts.withColumn("_all", F.lit(0)), "_all", [F.col("group_id")], "place").withColumn("place", F.col("place") - 1).drop("_all"))
     size = ranked.count()
     draws = df.sparkSession.range(repeats * size).select(F.floor(F.col("id") / max(size, 1)).alias("repeat"), F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(max(size, 1))).cast("int").alias("place"))
     one = draws.join(ranked.hint("shuffle_hash"), "place").groupBy("repeat").agg((F.sum("d") / F.sum("n")).alias("x"))

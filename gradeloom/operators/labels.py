@@ -241,6 +241,41 @@ def paired_instances(df: DataFrame) -> DataFrame:
     return df.groupBy("pair_id").agg(own, F.array_join(F.array_sort(F.collect_list("view_type")), ",").alias("views"))
 
 
+def role_instances(df: DataFrame) -> DataFrame:
+    """One row for each pair of the roles ``training`` and ``model_selection``; rows of other roles are left out before anything of them is read.
+
+    Class, group and weights are those of the canonical row: kind and grade target (a pair's soft target in training, else one or zero), weights (1 in
+    model selection), ``consistent`` (positive weight and a kept or relabelled status; always in model selection), and the views in order. Pairs that
+    ``instance_violations`` lists have no row.
+    """
+    rows = df.filter(F.col("selection_role").isin("training", "model_selection"))
+    bad = instance_violations(rows).select("pair_id").filter("pair_id IS NOT NULL").distinct()
+    own = lambda c: F.max_by(F.col(c), F.when(F.col("view_type") == "canonical", 1))
+    training = F.col("selection_role") == "training"
+    out = rows.groupBy("selection_role", "pair_id").agg(
+        own("class_id").alias("class_id"), own("group_id").alias("group_id"), own("grade_target").alias("_target"), own("kind_weight").alias("_kind"), own("grade_weight").alias("_grade"), own("status").alias("_status"),
+        F.array_join(F.array_sort(F.collect_list("view_type")), ",").alias("views"), F.count(F.lit(1)).alias("n_views"),
+    )
+    grade = (F.col("class_id") % 2).cast("double")
+    kept = F.coalesce(F.col("_grade") > 0, F.lit(False)) & F.coalesce(F.col("_status").isin("hard_label_retained", "auto_relabelled_high_conf"), F.lit(False))
+    out = out.join(bad.hint("merge"), "pair_id", "left_anti").withColumns({
+        "kind_target": F.floor(F.col("class_id") / 2).cast("double"), "grade_target": F.when(training, F.coalesce("_target", grade)).otherwise(grade),
+        "kind_weight": F.when(training, F.coalesce(F.nullif("_kind", F.lit(0.0)), F.lit(1.0))).otherwise(1.0), "grade_weight": F.when(training, F.coalesce("_grade", F.lit(0.0))).otherwise(1.0),
+        "consistent": ~training | kept,
+    })
+    return out.drop("_target", "_kind", "_grade", "_status")
+
+
+def instance_violations(df: DataFrame) -> DataFrame:
+    """``pair_id, group_id, reason``: pairs without or with several canonical rows, of views that disagree on the class, training rows that are not eligible, and groups in both roles."""
+    rows = df.filter(F.col("selection_role").isin("training", "model_selection"))
+    pairs = rows.groupBy("selection_role", "pair_id").agg(F.count_if(F.col("view_type") == "canonical").alias("_c"), F.countDistinct("class_id").alias("_k"), F.count_if((F.col("selection_role") == "training") & ~F.coalesce(F.col("eligible"), F.lit(False))).alias("_e"))
+    reasons = F.array_compact(F.array(F.when(F.col("_c") == 0, "no canonical row"), F.when(F.col("_c") > 1, "several canonical rows"), F.when(F.col("_k") > 1, "views disagree"), F.when(F.col("_e") > 0, "not eligible")))
+    own = pairs.select("pair_id", F.lit(None).cast(df.schema["group_id"].dataType).alias("group_id"), F.explode(reasons).alias("reason"))
+    both = rows.groupBy("group_id").agg(F.countDistinct("selection_role").alias("_n")).filter("_n > 1 AND group_id IS NOT NULL")
+    return own.unionByName(both.select(F.lit(None).cast(df.schema["pair_id"].dataType).alias("pair_id"), "group_id", F.lit("group in both roles").alias("reason")))
+
+
 def source_balanced(df: DataFrame, group: str, label: str, weight: str) -> DataFrame:
     """Weights that are equal by group, then by class, with mean 1 over the rows of positive weight."""
     rows = df.groupBy(label, group).agg(F.sum(weight).alias("_mass"), F.count_if(F.col(weight) > 0).alias("_n")).filter("_mass > 0")
@@ -272,6 +307,22 @@ def balanced_sample(df: DataFrame, label: str, group: str, n: int, seed: int) ->
     return of_group.select("draw", label, "_pair", "_row").join(rows.hint("merge"), ["_pair", "_row"]).select("draw", "path", label)
 
 
+def inverse_frequency_sample(df: DataFrame, label: str, n: int, seed: int) -> DataFrame:
+    """``draw, path, label``: exactly ``n`` rows drawn with replacement, each with a chance inverse to the rows of its class.
+
+    That is: of all classes alike, then of its rows alike. Classes are few; a class's rows are numbered by ranges, and the draws, spread over the cluster, join on these numbers.
+    """
+    from gradeloom.operators.datasets import draw
+
+    rows = written(numbered(df.filter(F.col(label).isNotNull()).select("path", label), label, [draw(seed, "path"), F.col("path")], "_row"))
+    classes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_rank", F.row_number().over(Window.orderBy(label)) - 1)  # one row a class
+    k = F.broadcast(classes.agg(F.count(F.lit(1)).alias("_k")))  # one row
+    code = lambda part: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{part}:"), F.col("draw").cast("string"))), 1, 15), 16, 10).cast("long")
+    draws = df.sparkSession.range(n).withColumnRenamed("id", "draw").crossJoin(k).filter("_k > 0").withColumn("_rank", code("class") % F.col("_k"))
+    chosen = draws.join(classes.hint("shuffle_hash"), "_rank").withColumn("_row", code("row") % F.col("_rows") + 1)
+    return chosen.select("draw", label, "_row").join(rows.hint("merge"), [label, "_row"]).select("draw", "path", label)
+
+
 def expand_views(df: DataFrame, views: str, weight: str) -> DataFrame:
     """One row for each view; the row's weight is shared equally."""
     return df.select("*", F.posexplode(views).alias("view_id", "view")).withColumn("view_weight", F.col(weight) / F.size(views))
@@ -297,3 +348,22 @@ def audit_summary(df: DataFrame) -> DataFrame:
 def supervision_mass(df: DataFrame) -> DataFrame:
     """Rows, rows of full weight and the sum of grade weights by class."""
     return df.groupBy("class_id").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("grade_weight") >= 0.999).alias("consistent"), F.sum("grade_weight").alias("mass"))
+
+
+def audit_counts(df: DataFrame) -> DataFrame:
+    """``part, value, n, kind_agreement, grade_agreement, kind_mass, grade_mass`` by status, by priority, by resolution tier (column ``tier``) and of all rows: both agreement rates and weight sums."""
+    cell = lambda part, value: F.struct(F.lit(part).alias("part"), value.cast("string").alias("value"))
+    parts = F.array(cell("status", F.col("status")), cell("priority", F.col("priority")), cell("tier", F.col("tier")), cell("all", F.lit("all")))
+    rows = df.select("kind_agreement", "grade_agreement", "kind_weight", "grade_weight", F.inline(parts))
+    return rows.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"), F.avg("kind_agreement").alias("kind_agreement"), F.avg("grade_agreement").alias("grade_agreement"), F.sum("kind_weight").alias("kind_mass"), F.sum("grade_weight").alias("grade_mass"))
+
+
+def realigned(df: DataFrame, p: str, classes: int) -> DataFrame:
+    """Class balance: each class's probability times ``1 / classes`` over its mean, scaled to sum 1, as ``p``; a class that never has any stays 0."""
+    cells = df.select(F.posexplode(p).alias("_place", "_x")).groupBy("_place").agg(F.avg("_x").alias("_mean"))
+    means = cells.agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_mean"))), lambda c: c["_mean"]).alias("_means"))  # one row with one entry a class
+    rows = df.crossJoin(F.broadcast(means))
+    raw = F.zip_with(p, "_means", lambda x, m: F.when(m > 0, x * F.lit(1.0 / classes) / m).otherwise(0.0))
+    rows = rows.withColumn("_raw", raw)
+    total = F.aggregate("_raw", F.lit(0.0), lambda s, x: s + x)
+    return rows.withColumn(p, F.transform("_raw", lambda x: F.when(total > 0, x / total).otherwise(0.0))).drop("_raw", "_means")

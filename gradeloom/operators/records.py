@@ -126,6 +126,14 @@ def known_hash_overlap(new: DataFrame, known: DataFrame, column: str) -> DataFra
     return new.filter(good).join(known.filter(good).select(column).hint("merge"), column, "left_semi")
 
 
+def source_overlap(new: DataFrame, known: DataFrame, source: str, scope: str) -> DataFrame:
+    """``scope, value, n`` of source identifiers of new rows that a known scope holds; null and empty ones are none."""
+    clean = lambda df: df.filter(F.col(source).isNotNull() & (F.col(source).cast("string") != ""))
+    mine = clean(new).groupBy(source).agg(F.count(F.lit(1)).alias("n"))
+    theirs = clean(known).select(scope, source).distinct()
+    return theirs.join(mine.hint("merge"), source).select(scope, F.col(source).cast("string").alias("value"), "n")
+
+
 def distribution_features(df: DataFrame, key: str, value: str, bins: int) -> DataFrame:
     """Per key: shares of equal bins of 0 to 1, mean, spread, median absolute deviation, entropy (1: uniform) and seven quantiles.
 

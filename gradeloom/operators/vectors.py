@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gradeloom.operators.hot_keys import look_up
 from gradeloom.plans.durable import written
@@ -55,16 +55,25 @@ def variance_top_k(df: DataFrame, v: str, k: int) -> DataFrame:
     return place_statistics(df, v).orderBy(F.desc("variance"), "place").limit(k).select("place", "variance")
 
 
-def fuse_families(blocks: list[str]) -> Column:
-    """Unit blocks side by side, each divided by the root of their number."""
-    return F.concat(*[F.transform(l2_normalise(b), lambda x: x / F.sqrt(F.lit(float(len(blocks))))) for b in blocks])
+def fuse_families(blocks: list[str], scale: list[float] | None = None) -> Column:
+    """Unit blocks side by side, each divided by the root of their number, or times its own factor of ``scale``."""
+    factors = scale or [1 / len(blocks) ** 0.5] * len(blocks)
+    return F.concat(*[_scaled(b, float(f)) for b, f in zip(blocks, factors, strict=True)])
 
 
-def aligned(manifest: DataFrame, features: DataFrame, v: str, dimensions: int) -> DataFrame:
-    """``path, reason`` of rows without partner, of repeated features and of vectors that are not usable."""
-    both = manifest.select("path", F.lit(True).alias("_m")).join(features.groupBy("path").agg(F.count(F.lit(1)).alias("_n"), F.first(v).alias(v)).hint("merge"), "path", "full_outer")
-    bad = F.exists(v, lambda x: F.isnan(x) | x.isNull())
-    reason = F.when(F.col("_m").isNull(), "no manifest row").when(F.col("_n").isNull(), "no features").when(F.col("_n") > 1, "repeated").when(F.size(v) != dimensions, "wrong size").when(bad, "not finite").when(norm(v) == 0, "zero")
+def _scaled(v: str, factor: float) -> Column:
+    return F.transform(l2_normalise(v), lambda x: x * F.lit(factor))
+
+
+def aligned(manifest: DataFrame, features: DataFrame, v: str, dimensions: int, same: tuple[str, ...] = ()) -> DataFrame:
+    """``path, reason`` of rows without partner, of repeated features, of vectors that are not usable, and of features whose columns ``same`` (label, group) differ from the manifest's."""
+    rows = manifest.select("path", F.lit(True).alias("_m"), *[F.col(c).alias(f"_m_{c}") for c in same])
+    both = rows.join(features.groupBy("path").agg(F.count(F.lit(1)).alias("_n"), F.first(v).alias(v), *[F.first(c).alias(f"_f_{c}") for c in same]).hint("merge"), "path", "full_outer")
+    bad = F.exists(v, lambda x: F.isnan(x) | x.isNull() | (F.abs(x) == float("inf")))
+    reason = F.when(F.col("_m").isNull(), "no manifest row").when(F.col("_n").isNull(), "no features").when(F.col("_n") > 1, "repeated")
+    for c in same:
+        reason = reason.when(~F.col(f"_m_{c}").eqNullSafe(F.col(f"_f_{c}")), f"other {c}")
+    reason = reason.when(F.size(v) != dimensions, "wrong size").when(bad, "not finite").when(norm(v) == 0, "zero")
     return both.select("path", reason.alias("reason")).filter("reason IS NOT NULL")
 
 
@@ -105,26 +114,56 @@ def hamming(a: str, b: str) -> Column:
     return F.bit_count(F.col(f"{a}hi").bitwiseXOR(F.col(f"{b}hi"))) + F.bit_count(F.col(f"{a}lo").bitwiseXOR(F.col(f"{b}lo")))
 
 
+#: Buckets of more fingerprints than this are cut again by other bits.
+LARGE_BUCKET = 256
+
+
+def _masks(mask: int, parts: int) -> list[int]:
+    """The bits of ``mask`` in ``parts`` neighbouring masks of nearly equal size, those without a bit left out."""
+    bits = [b for b in range(64) if mask >> b & 1]
+    edges = [round(len(bits) * k / parts) for k in range(parts + 1)]
+    return [m for m in (sum(1 << b for b in bits[x:y]) for x, y in zip(edges, edges[1:], strict=False)) if m]
+
+
 def near_fingerprints(df: DataFrame, distance: int, blocks: int | None = None) -> DataFrame:
     """``a, b, bits`` of distinct fingerprints within ``distance``; ``a`` and ``b`` are their least paths.
 
     The 64 bits are cut into ``blocks``; a close pair agrees in ``blocks - distance`` of
     them, so every choice of that many is a join key. Where the number is not given it follows from that of
-    fingerprints: longer keys for larger tables, so that chance meetings stay few.
+    fingerprints: longer keys for larger tables, so that chance meetings stay few. A bucket of many fingerprints is cut again: its pairs differ in at most ``distance`` of
+    the other bits, so they agree in one of ``distance + 1`` parts of these; until no bucket is large or no bits are left.
     """
-    reps = written(df.groupBy("hi", "lo").agg(F.min("path").alias("path")))
+    signed = lambda x: F.lit(x - 2**64 if x >> 63 else x)
+    code = F.shiftleft("hi", 32).bitwiseOR(F.col("lo"))
+    reps = written(df.groupBy("hi", "lo").agg(F.min("path").alias("path")).select("path", code.alias("code")))
     if blocks is None:
         number = reps.count()
         blocks = next(b for b in range(distance + 2, distance + 6) if number <= 2 ** (64 * (b - distance) / b) / 4 or b == distance + 5)
-    keep, edges = blocks - distance, [round(64 * i / blocks) for i in range(blocks + 1)]
-    bits = F.concat(*[F.lpad(F.conv(F.col(c).cast("string"), 10, 2), 32, "0") for c in ("hi", "lo")])
-    parts = reps.withColumns({f"_b{i}": F.substring(bits, edges[i] + 1, edges[i + 1] - edges[i]) for i in range(blocks)})
-    keys = F.array(*[F.xxhash64(F.lit(n), *[f"_b{i}" for i in chosen]) for n, chosen in enumerate(combinations(range(blocks), keep))])
-    keyed = parts.select("path", "hi", "lo", F.explode(keys).alias("_key"))
-    left = keyed.select("_key", F.col("path").alias("a"), F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"))
-    right = keyed.select("_key", F.col("path").alias("b"), F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"))
-    pairs = left.join(right.hint("merge"), "_key").filter(F.col("a") < F.col("b")).withColumn("bits", hamming("a_", "b_")).filter(F.col("bits") <= distance)
-    return pairs.groupBy("a", "b").agg(F.min("bits").alias("bits"))
+    whole = 2**64 - 1
+    cut = _masks(whole, blocks)
+    masks = [sum(x) for x in combinations(cut, blocks - distance)]
+    keyed = reps.select("path", "code", F.explode(F.array(*[signed(m) for m in masks])).alias("mask")).withColumn("key", F.col("code").bitwiseAND(F.col("mask")))
+    small: list[DataFrame] = []
+    while True:
+        keyed = written(keyed)
+        finer = {m: [m | x for x in _masks(whole & ~m, distance + 1)] for m in masks}
+        large = keyed.groupBy("mask", "key").count().filter(F.col("count") > LARGE_BUCKET).select("mask", "key")
+        large = written(large.filter(F.col("mask").isin([m - 2**64 if m >> 63 else m for m, f in finer.items() if f])))
+        if large.isEmpty():
+            small.append(keyed)
+            break
+        small.append(keyed.join(large.hint("merge"), ["mask", "key"], "left_anti"))
+        table = df.sparkSession.createDataFrame([(m - 2**64 if m >> 63 else m, f - 2**64 if f >> 63 else f) for m, fs in finer.items() for f in fs], "mask long, finer long")
+        again = keyed.join(large.hint("merge"), ["mask", "key"], "left_semi").join(F.broadcast(table), "mask")  # the masks alone
+        keyed = again.select("path", "code", F.col("finer").alias("mask")).distinct().withColumn("key", F.col("code").bitwiseAND(F.col("mask")))
+        masks = sorted({f for fs in finer.values() for f in fs})
+    found = []
+    for part in small:
+        left = part.select("mask", "key", F.col("path").alias("a"), F.col("code").alias("a_code"))
+        right = part.select("mask", "key", F.col("path").alias("b"), F.col("code").alias("b_code"))
+        pairs = left.join(right.hint("merge"), ["mask", "key"]).filter(F.col("a") < F.col("b")).withColumn("bits", F.bit_count(F.col("a_code").bitwiseXOR(F.col("b_code"))))
+        found.append(pairs.filter(F.col("bits") <= distance).select("a", "b", "bits"))
+    return reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.min("bits").alias("bits"))
 
 
 def near_duplicate_report(df: DataFrame, content: str, near: int, review: int) -> DataFrame:
