@@ -7,8 +7,8 @@ must be able to share enough at and after that shingle, and must share one of th
 before the sets themselves are compared.
 
 What is wanted is which texts hang together, so members of a bucket that do already need not meet. In each bucket all
-members meet the one with the fewest rarer shingles, its hub: that is the text closest to what the members have in common. Buckets
-in which some are left apart from their hub choose a second hub among these. Then whoever is still
+members meet the one with the fewest rarer shingles, its hub: that is the text closest to what the members have in common. While many
+are left apart from their hubs, buckets choose a further hub among these. Then whoever is still
 apart meets every other member that the filters leave.
 """
 
@@ -35,6 +35,8 @@ ORDERS = (U64(0), U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB))
 SLOTS = 1 << 24
 #: Bytes of texts that a task looks at together.
 PORTION = 1 << 19
+#: Buckets choose a further hub while those apart from theirs would make more meetings than so many times the rows of these buckets, and a round helps.
+FEW_MEETINGS, HUB_ROUNDS = 64, 8
 #: Values of frequent keys that are larger than this many bytes are not broadcast but shuffled under so many salted keys.
 WIDE, SALTS = 1 << 15, 16
 
@@ -216,7 +218,7 @@ class Join:
         kind = docs.schema[id_col].dataType.simpleString()
         self.texts = docs.select(*keyed(F.col(id_col), F.col(text_col)), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
         # which shingles come last decides how many meet, not what is found
-        sent = self.spark.sparkContext.broadcast(levels_of_cells(self.texts, size))
+        sent = self.levels = self.spark.sparkContext.broadcast(levels_of_cells(self.texts, size))
 
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
@@ -224,17 +226,15 @@ class Join:
                 for a, b, data, offsets in groups(batch.column("text"), PORTION):
                     value, edge = shingle_sets(data, offsets, size)
                     first, cut = prefixes(value, edge, similarity, sent.value)
-                    others = [prefixes(value, edge, similarity, sent.value, seed)[0].astype(np.uint32) for seed in ORDERS[1:]]
                     fp = signed(set_names(value, edge))
                     # of sets alike in one task the first one has the shingles
                     new = np.array([not (x in seen or seen.add(x)) for x in fp.tolist()], bool)
                     lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(signed(first)))
-                    packed = pa.array([b"".join(o[x:y].tobytes() for o in others) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())
                     take = pa.array(np.where(new, np.arange(b - a), -1), mask=~new)
-                    yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in ("doc", "tag", "id")], pa.array(fp), pa.array(np.diff(edge)), lists.take(take), packed.take(take)], ["doc", "tag", "id", "fp", "size", "first", "others"])
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in ("doc", "tag", "id")], pa.array(fp), pa.array(np.diff(edge)), lists.take(take)], ["doc", "tag", "id", "fp", "size", "first"])
 
-        wide = written(self.texts.mapInArrow(mark, f"doc long, tag long, id {kind}, fp long, size long, first array<long>, others binary"))
-        nodes = wide.groupBy("fp").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("smallest"), F.min(F.struct("doc", "tag")).alias("text"), F.first("size").alias("size"), F.first("others", ignorenulls=True).alias("others"))
+        wide = written(self.texts.mapInArrow(mark, f"doc long, tag long, id {kind}, fp long, size long, first array<long>"))
+        nodes = wide.groupBy("fp").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("smallest"), F.min(F.struct("doc", "tag")).alias("text"), F.first("size").alias("size"))
         self.nodes = written(nodes)
         self.members = self.bucket_members(wide)
         self.marked = written(wide.select("doc", "tag", "id", "fp", "size"))
@@ -248,8 +248,11 @@ class Join:
         return written(rows.repartition("h").sortWithinPartitions("h", "at", "fp").mapInArrow(with_hubs, "h long, at long, fp long, hub_at long, hub long"))
 
     def sets_of(self, pairs: DataFrame) -> DataFrame:
-        """``fp`` and ``set`` of all texts that pairs name; a bitmap of fixed size leaves out most others before the shuffle."""
-        slot, size = F.pmod(F.xxhash64("doc", "tag"), F.lit(SLOTS)), self.size
+        """``fp`` and ``set`` of all texts that pairs name; a bitmap of fixed size leaves out most others before the shuffle.
+
+        A set is 32 bits of each of its first shingles in the further orders, then the shingles themselves.
+        """
+        slot, size, similarity, levels = F.pmod(F.xxhash64("doc", "tag"), F.lit(SLOTS)), self.size, self.similarity, self.levels
         named = written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(self.nodes.select("fp", "text.*").hint("merge"), "fp"))
         slots = np.zeros(SLOTS // 8, np.uint8)
         for r in named.groupBy(F.floor(slot / 32768).alias("part")).agg(F.bitmap_construct_agg(slot % 32768).alias("bits")).collect():  # 2 MB at most
@@ -262,7 +265,10 @@ class Join:
                 batch = batch.filter(pa.array(marks.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1))
                 for a, b, data, offsets in groups(batch.column("text"), PORTION):
                     value, edge = shingle_sets(data, offsets, size)
-                    sets = pa.array([value[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+                    firsts = [prefixes(value, edge, similarity, levels.value, seed) for seed in ORDERS[1:]]
+                    bits = [f.astype(np.uint32) for f, _ in firsts]
+                    cut = firsts[0][1]
+                    sets = pa.array([b"".join([*(f[c:d].tobytes() for f in bits), value[x:y].tobytes()]) for c, d, x, y in zip(cut[:-1], cut[1:], edge[:-1], edge[1:], strict=True)], pa.binary())
                     yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, b - a), batch.column("tag").slice(a, b - a), sets], ["doc", "tag", "set"])
 
         sets = self.texts.drop("id").withColumn("slot", slot).mapInArrow(full, "doc long, tag long, set binary")
@@ -271,37 +277,35 @@ class Join:
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs that share first shingles in all orders and are of the similarity."""
 
-        def filtered() -> DataFrame:
-            return sets_meeting(written(pairs.distinct()), self.nodes, "others").mapInArrow(share_in_all_orders, "a long, b long")
-
-        def verified() -> DataFrame:
-            return sets_meeting(left, self.sets_of(left), "set").mapInArrow(of_similarity(self.similarity), "a long, b long")
+        def make() -> DataFrame:
+            asked = written(pairs.distinct())
+            return sets_meeting(asked, self.sets_of(asked), "set").mapInArrow(of_similarity(self.similarity), "a long, b long")
 
-        left = settled(self.spark, filtered)
-        return settled(self.spark, verified)
+        return settled(self.spark, make)
 
 
-def share_in_all_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose first shingles (32 bits of each) meet in each of the other orders."""
-    orders = len(ORDERS) - 1
-    for batch in batches:
-        meet = []
-        for one, two in zip(batch.column("a_others"), batch.column("b_others"), strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint32).reshape(orders, -1) for v in (one, two))
-            meet.append(all(len(np.intersect1d(x[k], y[k])) > 0 for k in range(orders)))
-        meet = pa.array(meet, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(meet) for c in ("a", "b")], ["a", "b"])
+def opened_set(packed: pa.Scalar, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """First shingles by order (32 bits of each), and the shingles of a set from ``sets_of``."""
+    data, orders = packed.as_buffer(), len(ORDERS) - 1
+    # n shingles and n - needed(n) + 1 first ones for each further order: one n fits
+    about = int(data.size / (8 + 4 * orders * (1 - similarity)))
+    n = next(n for n in range(max(0, about - 4), about + 4) if 8 * n + 4 * orders * (n - int(needed(np.int64(n), similarity)) + 1) == data.size)
+    return np.frombuffer(data, np.uint32, count=data.size // 4 - 2 * n).reshape(orders, -1), np.frombuffer(data, np.uint8)[data.size - 8 * n :].copy().view(U64)
 
 
 def of_similarity(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs whose first shingles meet in each of the further orders, and whose sets are of the similarity."""
+
+    def close(one: pa.Scalar, two: pa.Scalar) -> bool:
+        (f, x), (g, y) = opened_set(one, similarity), opened_set(two, similarity)
+        if not all(len(np.intersect1d(a, b)) for a, b in zip(f, g, strict=True)):
+            return False
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return bool(both >= needed(np.int64(len(x) + len(y) - both), similarity))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = []
-            for one, two in zip(batch.column("a_set"), batch.column("b_set"), strict=True):
-                x, y = np.frombuffer(one.as_buffer(), U64), np.frombuffer(two.as_buffer(), U64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(both >= needed(np.int64(len(x) + len(y) - both), similarity))
-            near = pa.array(near, pa.bool_())
+            near = pa.array([close(one, two) for one, two in zip(batch.column("a_set"), batch.column("b_set"), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in ("a", "b")], ["a", "b"])
 
     return run
@@ -326,19 +330,22 @@ def joined_roots(join: Join) -> DataFrame:
     links = join.links(buckets.filter("fp <> hub").filter(can_share("at", "hub_at", s)).select(*ordered("fp", "hub")))
     roots = roots_of(links)
 
-    # a second hub for those that are apart from the first
-    left = still_apart(buckets, roots)
-    if left.isEmpty():
-        return roots
-    second = left.filter("root <> hub_root").groupBy("h").agg(F.min_by(F.struct(F.col("fp").alias("hub"), F.col("at").alias("hub_at"), F.col("root").alias("its_root")), F.struct(place_of("at"), F.xxhash64("h", "fp"))).alias("second"))
-    met = left.join(second.select("h", "second.*").hint("merge"), "h").filter("root <> its_root").filter(can_share("at", "hub_at", s))
-    links = links.unionByName(join.links(met.select(*ordered("fp", "hub"))))
-    roots = roots_of(links)
+    left, before = still_apart(buckets, roots), None
+    for turn in range(HUB_ROUNDS):
+        rows, meetings = left.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("root") != F.col("hub_root")).alias("apart")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("apart")), F.lit(0))).first()
+        if rows == 0:
+            return roots
+        if meetings <= FEW_MEETINGS * rows or (before is not None and meetings > 0.8 * before):
+            break
+        before = meetings
+        further = F.struct(F.col("fp").alias("hub"), F.col("at").alias("hub_at"), F.col("root").alias("its_root"))
+        hubs = left.filter("root <> hub_root").groupBy("h").agg(F.min_by(further, F.struct(place_of("at"), F.xxhash64(F.lit(turn), "h", "fp"))).alias("further"))
+        met = left.join(hubs.select("h", "further.*").hint("merge"), "h").filter("root <> its_root").filter(can_share("at", "hub_at", s))
+        links = links.unionByName(join.links(met.select(*ordered("fp", "hub"))))
+        roots = roots_of(links)
+        left = still_apart(left, roots)
 
     # whoever is still apart meets all members of possible sizes
-    left = still_apart(left, roots)
-    if left.isEmpty():
-        return roots
     step = lambda n: F.floor(F.log(n) / F.log(F.lit(1.1)))
     n = size_of("at")
     most = F.least(F.floor(n / F.lit(s) + F.lit(1e-9)), F.floor((n - place_of("at")) * F.lit((1 + s) / s) + F.lit(1e-9)) - n)

@@ -54,6 +54,7 @@ def test_an_order_that_knows_little(spark, monkeypatch):
 
     monkeypatch.setattr(jj, "CELLS", 64)  # buckets are large
     monkeypatch.setattr(jj, "WIDE", 64)  # sets of frequent ends are salted
+    monkeypatch.setattr(jj, "FEW_MEETINGS", 0)  # further hubs while they help
     test_all_pairs_are_found(spark)
 
 
