@@ -9,12 +9,13 @@ before the sets themselves are compared.
 What is wanted is which texts hang together, so members of a bucket that do already need not meet. In each bucket all
 members meet the one with the fewest rarer shingles, its hub: that is the text closest to what the members have in common. While many
 are left apart from their hubs, buckets choose a further hub among these. Then whoever is still
-apart meets every other member that the filters leave.
+apart meets every other member that the filters leave; here sketches of the sets drop pairs that surely differ in too many shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,9 @@ from gradeloom.plans.session import small_batches
 CELLS = 1 << 21
 #: Seeds of the orders among shingles of one level; the first order deals the buckets.
 ORDERS = (U64(0), U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB))
+#: Bits of the sketch of a set, and its columns.
+SKETCH = 512
+SKETCHES = [f"p{k}" for k in range(SKETCH // 64)]
 #: Bits of the map of texts whose sets are compared.
 SLOTS = 1 << 24
 #: Bytes of texts that a task looks at together.
@@ -67,6 +71,15 @@ def set_names(value: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return mix(total[edge[1:]] - total[edge[:-1]] + np.diff(edge).astype(U64))
 
 
+def parities(value: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """``SKETCH`` bits for each set, as rows of 64-bit numbers: the parity of the shingles dealt to each. Two sets differ in no fewer shingles than their sketches in bits."""
+    own = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+    place = mix(value ^ U64(0x8BB84B93962EACC9)) & U64(SKETCH - 1)
+    out = np.zeros((len(edge) - 1, SKETCH // 64), U64)
+    np.bitwise_xor.at(out, (own, (place >> U64(6)).astype(np.int64)), U64(1) << (place & U64(63)))
+    return out
+
+
 def needed(number: np.ndarray, similarity: float) -> np.ndarray:
     """The least whole number that is ``similarity`` times ``number`` or more."""
     return np.ceil(number * similarity - 1e-9).astype(np.int64)
@@ -177,6 +190,11 @@ def size_of(at: Column | str) -> Column:
     return (F.col(at) if isinstance(at, str) else at).bitwiseAND((1 << 32) - 1)
 
 
+def shared_at_least(sizes: Column, similarity: float) -> Column:
+    """Shingles that two sets of the similarity have in common, by the sum of their sizes."""
+    return F.ceil(sizes * F.lit(similarity / (1 + similarity)) - F.lit(1e-9))
+
+
 def can_share(one: str, two: str, similarity: float) -> Column:
     """Whether two sets that meet at a shingle of these places can be of the similarity if that is the first one they share.
 
@@ -184,7 +202,7 @@ def can_share(one: str, two: str, similarity: float) -> Column:
     """
     n, m = size_of(one), size_of(two)
     least = lambda x: F.ceil(x * F.lit(similarity) - F.lit(1e-9))
-    both = F.ceil((n + m) * F.lit(similarity / (1 + similarity)) - F.lit(1e-9))
+    both = shared_at_least(n + m, similarity)
     return (F.least(n - place_of(one), m - place_of(two)) >= both) & (least(F.greatest(n, m)) <= F.least(n, m))
 
 
@@ -231,10 +249,10 @@ class Join:
                     new = np.array([not (x in seen or seen.add(x)) for x in fp.tolist()], bool)
                     lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(signed(first)))
                     take = pa.array(np.where(new, np.arange(b - a), -1), mask=~new)
-                    yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in ("doc", "tag", "id")], pa.array(fp), pa.array(np.diff(edge)), lists.take(take)], ["doc", "tag", "id", "fp", "size", "first"])
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in ("doc", "tag", "id")], pa.array(fp), pa.array(np.diff(edge)), lists.take(take), *[pa.array(signed(np.ascontiguousarray(c))) for c in parities(value, edge).T]], ["doc", "tag", "id", "fp", "size", "first", *SKETCHES])
 
-        wide = written(self.texts.mapInArrow(mark, f"doc long, tag long, id {kind}, fp long, size long, first array<long>"))
-        nodes = wide.groupBy("fp").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("smallest"), F.min(F.struct("doc", "tag")).alias("text"), F.first("size").alias("size"))
+        wide = written(self.texts.mapInArrow(mark, f"doc long, tag long, id {kind}, fp long, size long, first array<long>, {', '.join(f'{p} long' for p in SKETCHES)}"))
+        nodes = wide.groupBy("fp").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("smallest"), F.min(F.struct("doc", "tag")).alias("text"), *[F.first(c).alias(c) for c in ("size", *SKETCHES)])
         self.nodes = written(nodes)
         self.members = self.bucket_members(wide)
         self.marked = written(wide.select("doc", "tag", "id", "fp", "size"))
@@ -350,10 +368,15 @@ def joined_roots(join: Join) -> DataFrame:
     n = size_of("at")
     most = F.least(F.floor(n / F.lit(s) + F.lit(1e-9)), F.floor((n - place_of("at")) * F.lit((1 + s) / s) + F.lit(1e-9)) - n)
     least = F.ceil(n * F.lit(s) - F.lit(1e-9))
+    left = written(left.join(join.nodes.select("fp", *SKETCHES).hint("merge"), "fp"))
+    own = lambda side: [F.col(p).alias(f"{side}_{p}") for p in SKETCHES]
     one = left.filter("root <> hub_root").withColumn("least", least).withColumn("most", most).filter("most >= least and least > 0")
-    one = one.select("h", F.explode(F.sequence(step(F.col("least")), step(F.col("most")))).alias("step"), F.col("fp").alias("one"), F.col("at").alias("one_at"), F.col("root").alias("one_root"))
-    two = left.select("h", step(n).alias("step"), F.col("fp").alias("two"), F.col("at").alias("two_at"), F.col("root").alias("two_root"))
-    pairs = one.join(two.hint("merge"), ["h", "step"]).filter("one_root <> two_root").filter(can_share("one_at", "two_at", s))
+    one = one.select("h", F.explode(F.sequence(step(F.col("least")), step(F.col("most")))).alias("step"), F.col("fp").alias("one"), F.col("at").alias("one_at"), F.col("root").alias("one_root"), *own("one"))
+    two = left.select("h", step(n).alias("step"), F.col("fp").alias("two"), F.col("at").alias("two_at"), F.col("root").alias("two_root"), *own("two"))
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"one_{p}").bitwiseXOR(F.col(f"two_{p}"))) for p in SKETCHES])
+    sizes = size_of("one_at") + size_of("two_at")
+    near = can_share("one_at", "two_at", s) & (apart <= sizes - 2 * shared_at_least(sizes, s))
+    pairs = one.join(two.hint("merge"), ["h", "step"]).filter("one_root <> two_root").filter(near)
     return roots_of(links.unionByName(join.links(pairs.select(*ordered("one", "two")))))
 
 

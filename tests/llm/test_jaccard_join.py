@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from gradeloom.llm.jaccard_join import jaccard_join, levels_of, prefixes, shingle_sets
+from gradeloom.llm.jaccard_join import jaccard_join, levels_of, parities, prefixes, shingle_sets
 from gradeloom.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -85,6 +85,16 @@ def test_similar_sets_meet_in_every_order():
             assert len(np.intersect1d(first[: cut[1]], first[cut[1] :])) > 0
 
 
+def test_sketches_differ_no_more_than_sets():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 40, 900):
+        value = np.unique(rng.integers(0, 2**63, n + n // 3, dtype=np.uint64))
+        cut = len(value) // 5
+        sets, edge = np.concatenate([value[cut:], value[: len(value) - cut]]), np.array([0, len(value) - cut, 2 * (len(value) - cut)])
+        one, two = parities(sets, edge)
+        assert np.bitwise_count(one ^ two).sum() <= 2 * cut and (cut == 0 or (one != two).any())
+
+
 def test_shingles_of_short_texts():
     text = b"a b c  D e f a b c d e|one|| two words"
     cut = np.array([0, 22, 26, 27, 28, 38])
