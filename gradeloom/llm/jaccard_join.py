@@ -9,13 +9,13 @@ before the sets themselves are compared.
 What is wanted is which texts hang together, so members of a bucket that do already need not meet. In each bucket all
 members meet the one with the fewest rarer shingles, its hub: that is the text closest to what the members have in common. While many
 are left apart from their hubs, buckets choose a further hub among these. Then whoever is still
-apart meets every other member that the filters leave; here sketches of the sets drop pairs that surely differ in too many shingles.
+apart meets every other member that the filters leave. Buckets of the same members are one bucket. Of candidates first sketches meet, which
+drop pairs that surely differ in too many shingles, then the sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +32,6 @@ from gradeloom.plans.session import small_batches
 CELLS = 1 << 21
 #: Seeds of the orders among shingles of one level; the first order deals the buckets.
 ORDERS = (U64(0), U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB))
-#: Bits of the sketch of a set, and its columns.
-SKETCH = 512
-SKETCHES = [f"p{k}" for k in range(SKETCH // 64)]
 #: Bits of the map of texts whose sets are compared.
 SLOTS = 1 << 24
 #: Bytes of texts that a task looks at together.
@@ -71,15 +68,23 @@ def set_names(value: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return mix(total[edge[1:]] - total[edge[:-1]] + np.diff(edge).astype(U64))
 
 
-def parities(value: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """``SKETCH`` bits for each set, as rows of 64-bit numbers: the parity of the shingles dealt to each. Two sets differ in no fewer shingles than their sketches in bits."""
-    own = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
-    place = mix(value ^ U64(0x8BB84B93962EACC9)) & U64(SKETCH - 1)
-    out = np.zeros((len(edge) - 1, SKETCH // 64), U64)
-    np.bitwise_xor.at(out, (own, (place >> U64(6)).astype(np.int64)), U64(1) << (place & U64(63)))
+def sketches(value: np.ndarray, edge: np.ndarray) -> list[bytes]:
+    """Parities of the shingles dealt to bits, over twice as many bits as shingles: two sketches differ in no more bits than their sets in members."""
+    place, out = mix(value ^ U64(0x8BB84B93962EACC9)), []
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        bits = max(256, 1 << (2 * (b - a)).bit_length())
+        parity = np.bincount((place[a:b] & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(parity.astype(np.uint8)).tobytes())
     return out
 
 
+def sketch_distance(one: bytes, two: bytes) -> int:
+    """Bits in which two sketches differ, the larger one folded to the smaller one's length."""
+    x, y = np.frombuffer(one, U64), np.frombuffer(two, U64)
+    short = min(len(x), len(y))
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, short), axis=0) ^ np.bitwise_xor.reduce(y.reshape(-1, short), axis=0)).sum())
+
+
 def needed(number: np.ndarray, similarity: float) -> np.ndarray:
     """The least whole number that is ``similarity`` times ``number`` or more."""
     return np.ceil(number * similarity - 1e-9).astype(np.int64)
@@ -216,7 +221,8 @@ def sets_meeting(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
         uses = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("_n"))
         side = written(uses.join(table.select(F.col("fp").alias(end), F.col(value).alias(f"{end}_{value}")).hint("merge"), end))
         number = pairs.count()
-        wide = (F.col("_n") > max(256, number // HOT_KEYS)) & (F.octet_length(f"{end}_{value}") > WIDE)
+        size = F.octet_length(F.col(f"{end}_{value}") if value == "set" else F.col(f"{end}_{value}.sketch"))
+        wide = (F.col("_n") > max(256, number // HOT_KEYS)) & (size > WIDE)
         large = written(side.filter(wide).drop("_n"))
         met = look_up(pairs, side.filter(~wide), end, number)
         if not large.isEmpty():
@@ -249,10 +255,10 @@ class Join:
                     new = np.array([not (x in seen or seen.add(x)) for x in fp.tolist()], bool)
                     lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(signed(first)))
                     take = pa.array(np.where(new, np.arange(b - a), -1), mask=~new)
-                    yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in ("doc", "tag", "id")], pa.array(fp), pa.array(np.diff(edge)), lists.take(take), *[pa.array(signed(np.ascontiguousarray(c))) for c in parities(value, edge).T]], ["doc", "tag", "id", "fp", "size", "first", *SKETCHES])
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in ("doc", "tag", "id")], pa.array(fp), pa.array(np.diff(edge)), lists.take(take), pa.array(sketches(value, edge), pa.binary()).take(take)], ["doc", "tag", "id", "fp", "size", "first", "sketch"])
 
-        wide = written(self.texts.mapInArrow(mark, f"doc long, tag long, id {kind}, fp long, size long, first array<long>, {', '.join(f'{p} long' for p in SKETCHES)}"))
-        nodes = wide.groupBy("fp").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("smallest"), F.min(F.struct("doc", "tag")).alias("text"), *[F.first(c).alias(c) for c in ("size", *SKETCHES)])
+        wide = written(self.texts.mapInArrow(mark, f"doc long, tag long, id {kind}, fp long, size long, first array<long>, sketch binary"))
+        nodes = wide.groupBy("fp").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("smallest"), F.min(F.struct("doc", "tag")).alias("text"), F.first("size").alias("size"), F.first("sketch", ignorenulls=True).alias("sketch"))
         self.nodes = written(nodes)
         self.members = self.bucket_members(wide)
         self.marked = written(wide.select("doc", "tag", "id", "fp", "size"))
@@ -263,7 +269,17 @@ class Join:
         """Members ``h, at, fp`` of buckets of two or more sets, with their hub. ``at`` packs the shingle's place in the set and the set's size."""
         members = wide.filter(F.size("first") > 0).select("fp", "size", F.posexplode("first").alias("place", "h"))
         rows = members.select("h", (F.shiftleft(F.col("place").cast("long"), 32) + F.col("size")).alias("at"), "fp")
-        return written(rows.repartition("h").sortWithinPartitions("h", "at", "fp").mapInArrow(with_hubs, "h long, at long, fp long, hub_at long, hub long"))
+        schema = "h long, at long, fp long, hub_at long, hub long"
+        with_first = lambda table: table.repartition("h").sortWithinPartitions("h", "at", "fp").mapInArrow(with_hubs, schema)
+
+        def make() -> DataFrame:
+            raw = written(with_first(rows).select("h", "at", "fp"))
+            mark = lambda k: F.bit_xor(F.xxhash64(F.lit(k), "fp"))
+            alike = raw.groupBy("h").agg(F.xxhash64(F.count(F.lit(1)), mark(1), mark(2)).alias("g"))
+            # a member's least place holds for all of them: a pair that can share enough in one bucket can so here
+            return with_first(raw.join(alike.hint("merge"), "h").groupBy("g", "fp").agg(F.min("at").alias("at")).select(F.col("g").alias("h"), "at", "fp"))
+
+        return settled(self.spark, make)
 
     def sets_of(self, pairs: DataFrame) -> DataFrame:
         """``fp`` and ``set`` of all texts that pairs name; a bitmap of fixed size leaves out most others before the shuffle.
@@ -295,11 +311,28 @@ class Join:
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs that share first shingles in all orders and are of the similarity."""
 
-        def make() -> DataFrame:
-            asked = written(pairs.distinct())
-            return sets_meeting(asked, self.sets_of(asked), "set").mapInArrow(of_similarity(self.similarity), "a long, b long")
+        def not_far() -> DataFrame:
+            return sets_meeting(written(pairs.distinct()), self.nodes.withColumn("sketched", F.struct("sketch", "size")), "sketched").mapInArrow(not_far_apart(self.similarity), "a long, b long")
 
-        return settled(self.spark, make)
+        def verified() -> DataFrame:
+            return sets_meeting(near, self.sets_of(near), "set").mapInArrow(of_similarity(self.similarity), "a long, b long")
+
+        near = settled(self.spark, not_far)
+        return settled(self.spark, verified)
+
+
+def not_far_apart(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs whose sketches differ in no more bits than sets of the similarity may in members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (one, n), (two, m) = ((batch.column(c).field("sketch"), batch.column(c).field("size").to_numpy()) for c in ("a_sketched", "b_sketched"))
+            apart = np.array([sketch_distance(x.as_buffer(), y.as_buffer()) for x, y in zip(one, two, strict=True)], np.int64)
+            shared = needed(n + m, similarity / (1 + similarity))
+            near = pa.array((apart <= n + m - 2 * shared) & (shared <= np.minimum(n, m)))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in ("a", "b")], ["a", "b"])
+
+    return run
 
 
 def opened_set(packed: pa.Scalar, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -363,21 +396,11 @@ def joined_roots(join: Join) -> DataFrame:
         roots = roots_of(links)
         left = still_apart(left, roots)
 
-    # whoever is still apart meets all members of possible sizes
-    step = lambda n: F.floor(F.log(n) / F.log(F.lit(1.1)))
-    n = size_of("at")
-    most = F.least(F.floor(n / F.lit(s) + F.lit(1e-9)), F.floor((n - place_of("at")) * F.lit((1 + s) / s) + F.lit(1e-9)) - n)
-    least = F.ceil(n * F.lit(s) - F.lit(1e-9))
-    left = written(left.join(join.nodes.select("fp", *SKETCHES).hint("merge"), "fp"))
-    own = lambda side: [F.col(p).alias(f"{side}_{p}") for p in SKETCHES]
-    one = left.filter("root <> hub_root").withColumn("least", least).withColumn("most", most).filter("most >= least and least > 0")
-    one = one.select("h", F.explode(F.sequence(step(F.col("least")), step(F.col("most")))).alias("step"), F.col("fp").alias("one"), F.col("at").alias("one_at"), F.col("root").alias("one_root"), *own("one"))
-    two = left.select("h", step(n).alias("step"), F.col("fp").alias("two"), F.col("at").alias("two_at"), F.col("root").alias("two_root"), *own("two"))
-    apart = reduce(Column.__add__, [F.bit_count(F.col(f"one_{p}").bitwiseXOR(F.col(f"two_{p}"))) for p in SKETCHES])
-    sizes = size_of("one_at") + size_of("two_at")
-    near = can_share("one_at", "two_at", s) & (apart <= sizes - 2 * shared_at_least(sizes, s))
-    pairs = one.join(two.hint("merge"), ["h", "step"]).filter("one_root <> two_root").filter(near)
-    return roots_of(links.unionByName(join.links(pairs.select(*ordered("one", "two")))))
+    # whoever is still apart meets all others of its buckets; hub rounds have bounded how many meet
+    side = lambda name: [F.col(c).alias(f"{name}_{c}") for c in ("fp", "at", "root")]
+    one, two = left.filter("root <> hub_root").select("h", *side("one")), left.select("h", *side("two"))
+    pairs = one.join(two.hint("merge"), "h").filter("one_root <> two_root").filter(can_share("one_at", "two_at", s))
+    return roots_of(links.unionByName(join.links(pairs.select(*ordered("one_fp", "two_fp")))))
 
 
 def with_roots(join: Join) -> DataFrame:
