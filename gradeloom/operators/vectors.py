@@ -114,8 +114,8 @@ def hamming(a: str, b: str) -> Column:
     return F.bit_count(F.col(f"{a}hi").bitwiseXOR(F.col(f"{b}hi"))) + F.bit_count(F.col(f"{a}lo").bitwiseXOR(F.col(f"{b}lo")))
 
 
-#: Buckets of more fingerprints than this are cut again by other bits.
-LARGE_BUCKET = 256
+#: Buckets of more fingerprints than this are cut again by other bits, so many times at most: each cut makes several rows of one.
+LARGE_BUCKET, CUTS = 256, 2
 
 
 def _masks(mask: int, parts: int) -> list[int]:
@@ -131,7 +131,7 @@ def near_fingerprints(df: DataFrame, distance: int, blocks: int | None = None) -
     The 64 bits are cut into ``blocks``; a close pair agrees in ``blocks - distance`` of
     them, so every choice of that many is a join key. Where the number is not given it follows from that of
     fingerprints: longer keys for larger tables, so that chance meetings stay few. A bucket of many fingerprints is cut again: its pairs differ in at most ``distance`` of
-    the other bits, so they agree in one of ``distance + 1`` parts of these; until no bucket is large or no bits are left.
+    the other bits, so they agree in one of ``distance + 1`` parts of these.
     """
     signed = lambda x: F.lit(x - 2**64 if x >> 63 else x)
     code = F.shiftleft("hi", 32).bitwiseOR(F.col("lo"))
@@ -144,12 +144,12 @@ def near_fingerprints(df: DataFrame, distance: int, blocks: int | None = None) -
     masks = [sum(x) for x in combinations(cut, blocks - distance)]
     keyed = reps.select("path", "code", F.explode(F.array(*[signed(m) for m in masks])).alias("mask")).withColumn("key", F.col("code").bitwiseAND(F.col("mask")))
     small: list[DataFrame] = []
-    while True:
+    for cuts in range(CUTS + 1):
         keyed = written(keyed)
         finer = {m: [m | x for x in _masks(whole & ~m, distance + 1)] for m in masks}
         large = keyed.groupBy("mask", "key").count().filter(F.col("count") > LARGE_BUCKET).select("mask", "key")
         large = written(large.filter(F.col("mask").isin([m - 2**64 if m >> 63 else m for m, f in finer.items() if f])))
-        if large.isEmpty():
+        if cuts == CUTS or large.isEmpty():
             small.append(keyed)
             break
         small.append(keyed.join(large.hint("merge"), ["mask", "key"], "left_anti"))

@@ -185,4 +185,4 @@ def p03_best(spark, sf):
 def l04_seeds(spark, sf):
     rows = training_rows(spark, sf).withColumn("group_id", F.col("path") % 25)
     grid = [(f"reg {r}", LogisticRegression(maxIter=10, regParam=r)) for r in (0.01, 1.0)]
-    return ft.grid_over_seeds(rows, grid, 3, "group_id", [1, 2])[1]
+    return ft.grid_over_seeds(rows, grid, 2, "group_id", [1, 2])[1]

@@ -8,11 +8,12 @@ from __future__ import annotations
 import json
 import math
 from dataclasses import asdict, dataclass, field
+from types import SimpleNamespace
 from typing import Any
 
 from pyspark.sql import DataFrame
 
-from gradeloom.streaming.stateful import scan_by_key
+from gradeloom.streaming.stateful import label_step, scan_by_key
 
 Box = tuple[float, float, float, float]
 
@@ -92,21 +93,12 @@ def closeness(track: Track, seen: Seen, rules: Rules) -> float:
 
 
 def vote(track: Track, seen: Seen, rules: Rules) -> None:
-    """Take a usable observation's label: the best sum at first, later only a run of another label changes it."""
-    mix = lambda old, new: (1 - rules.follow_confidence) * old + rules.follow_confidence * new
-    track.confidences = tuple(mix(o, n) for o, n in zip(track.confidences, seen.confidences, strict=True))
-    track.votes += 1
-    if track.label is None:
-        track.sums[seen.label] = track.sums.get(seen.label, 0.0) + seen.confidences[2]
-        if track.votes >= rules.confirm:
-            track.label = max(track.sums, key=track.sums.get)
-    elif seen.label == track.label:
-        track.other, track.run = None, 0
-    else:
-        track.run = track.run + 1 if seen.label == track.other else 1
-        track.other = seen.label
-        if track.run >= rules.switch:
-            track.label, track.other, track.run = seen.label, None, 0
+    """Count a usable observation: blend its confidences in and let the rule of steady labels (``stateful.label_step``) decide about the label."""
+    keep = 1 - rules.follow_confidence
+    track.confidences = tuple(keep * old + rules.follow_confidence * new for old, new in zip(track.confidences, seen.confidences, strict=True))
+    held = (track.label, track.votes, list(track.sums), list(track.sums.values()), track.other, track.run)
+    (track.label, track.votes, labels, sums, track.other, track.run), _ = label_step(held, SimpleNamespace(usable=True, label=seen.label, confidence=seen.confidences[2], frame=None), rules.confirm, rules.switch)
+    track.sums = dict(zip(labels, sums, strict=True))
 
 
 def follow(track: Track, seen: Seen, rules: Rules) -> tuple[float, float]:
@@ -122,19 +114,33 @@ def follow(track: Track, seen: Seen, rules: Rules) -> tuple[float, float]:
     return step
 
 
-def lose(track: Track, steps: dict[int, tuple[float, float]], seen: list[Seen], rules: Rules) -> None:
-    """An unmatched track goes along under a larger matched box that covers it, for a while; else it drifts and slows."""
-    over = [(common(track.box, seen[k].box) / max(size(track.box), 1e-9), k) for k in steps if size(seen[k].box) >= rules.cover_size * size(track.box)]
-    over = [c for c in over if c[0] >= rules.cover_share]
-    if over:
-        step = steps[max(over)[1]]
-        track.box, track.velocity, track.covered = moved(track.box, *step), step, track.covered + 1
-        if track.covered <= rules.longest_cover:
-            track.misses = 0
-            return
-    track.covered, track.misses = 0, track.misses + 1
-    vx, vy = track.velocity
-    track.box, track.velocity = moved(track.box, rules.drift * vx, rules.drift * vy), (rules.brake * vx, rules.brake * vy)
+def cover(track: Track, matched: list[int], seen: list[Seen], rules: Rules) -> int | None:
+    """The matched observation that is large enough and hides most of a track, the later one of equals; null without any."""
+    own = size(track.box)
+    shares = {k: common(track.box, seen[k].box) / max(own, 1e-9) for k in matched if size(seen[k].box) >= rules.cover_size * own}
+    return max((k for k, share in shares.items() if share >= rules.cover_share), key=lambda k: (shares[k], k), default=None)
+
+
+def go_on(track: Track, under: tuple[float, float] | None, rules: Rules) -> None:
+    """Where a track without observation goes: along with what covers it (no miss while that is not too long), or on by its own fading velocity."""
+    hidden = under is not None
+    way = under if hidden else tuple(rules.drift * v for v in track.velocity)
+    track.velocity = under if hidden else tuple(rules.brake * v for v in track.velocity)
+    track.box = moved(track.box, *way)
+    track.covered = track.covered + 1 if hidden else 0
+    if track.covered > rules.longest_cover:  # hidden for too long: from here on it is lost like any other
+        vx, vy = track.velocity
+        track.box, track.velocity = moved(track.box, rules.drift * vx, rules.drift * vy), (rules.brake * vx, rules.brake * vy)
+        track.covered, hidden = 0, False
+    track.misses = 0 if hidden else track.misses + 1
+
+
+def begun(seen: Seen, number: int, rules: Rules) -> Track:
+    """A new track, with its first vote if the observation is sharp."""
+    track = Track(number, seen.box, seen.confidences)
+    if seen.sharpness >= rules.sharp:
+        vote(track, seen, rules)
+    return track
 
 
 def next_tracks(tracks: list[Track], seen: list[Seen], number: int, rules: Rules = Rules()) -> tuple[list[Track], int]:  # noqa: B008
@@ -147,12 +153,11 @@ def next_tracks(tracks: list[Track], seen: list[Seen], number: int, rules: Rules
     steps = {j: follow(tracks[i], seen[j], rules) for i, j in taken.items()}
     for i, track in enumerate(tracks):
         if i not in taken:
-            lose(track, steps, seen, rules)
-    for j, s in enumerate(seen):
-        if j not in steps:
-            usable = s.sharpness >= rules.sharp
-            tracks.append(Track(number, s.box, s.confidences, votes=int(usable), label=s.label if usable and rules.confirm <= 1 else None, sums={s.label: s.confidences[2]} if usable else {}))
-            number += 1
+            over = cover(track, list(steps), seen, rules)
+            go_on(track, None if over is None else steps[over], rules)
+    fresh = [s for j, s in enumerate(seen) if j not in steps]
+    tracks = tracks + [begun(s, number + n, rules) for n, s in enumerate(fresh)]
+    number += len(fresh)
     return [t for t in tracks if t.misses <= rules.most_misses], number
 
 
