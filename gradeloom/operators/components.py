@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.operators.hot_keys import look_up
 from gradeloom.operators.ranking import numbered
-from gradeloom.plans.durable import written
+from gradeloom.plans.durable import is_small, written
 
 
 def _star(edges: DataFrame, number: int, large: bool) -> DataFrame:
@@ -16,7 +16,7 @@ def _star(edges: DataFrame, number: int, large: bool) -> DataFrame:
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = written(both.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("_n")).withColumn("low", F.least("a", "low")))
-    tied = look_up(both, least, "a", 2 * number)
+    tied = look_up(both, least, "a", 2 * number, small=is_small(least))
     if large:
         return tied.filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
     own = least.select("a", F.col("low").alias("b"))

@@ -48,6 +48,17 @@ def drop_written(table: DataFrame) -> None:
     _delete(table.sparkSession, [path])
 
 
+#: Bytes of files up to which a written table may be broadcast: at most some half a million rows of two hashes.
+SMALL = 4 << 20
+
+
+def is_small(table: DataFrame) -> bool:
+    """Whether the files of a table that ``written`` gave are small enough for a broadcast."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._written_at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength() <= SMALL
+
+
 def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     """The result of ``make`` as a written table; the tables that were written on the way to it are deleted."""
     before = len(_WRITTEN)
