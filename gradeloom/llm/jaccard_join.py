@@ -9,13 +9,14 @@ before the sets themselves are compared.
 What is wanted is which texts hang together, so members of a bucket that do already need not meet. In each bucket all
 members meet the one with the fewest rarer shingles, its hub: that is the text closest to what the members have in common. While many
 are left apart from their hubs, buckets choose a further hub among these. Then whoever is still
-apart meets every other member that the filters leave. Buckets of the same members are one bucket. Of candidates first sketches meet, which
-drop pairs that surely differ in too many shingles, then the sets.
+apart meets every other member that the filters leave, among them short sketches of both sets inside the join. Buckets of the same members are one
+bucket. Of candidates first whole sketches meet, which drop pairs that surely differ in too many shingles, then the sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,16 @@ from pyspark.sql import functions as F
 from gradeloom.llm.tokens import LOWER, U64, Rolling, groups, mix, signed, word_hashes, words
 from gradeloom.operators.components import connected_components
 from gradeloom.operators.hot_keys import HOT_KEYS, look_up
-from gradeloom.plans.durable import drop_written, settled, written
+from gradeloom.plans.durable import drop_written, is_small, settled, written
 from gradeloom.plans.session import small_batches
 
 #: Cells in which uses of shingles are counted; shingles of cells with far more uses than most come last in every order.
 CELLS = 1 << 21
 #: Seeds of the orders among shingles of one level; the first order deals the buckets.
 ORDERS = (U64(0), U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB))
+#: Bits of the least sketch of a set, to which larger ones are folded where members of a bucket meet, and its columns there.
+SKETCH = 1024
+FOLDED = [f"p{k}" for k in range(SKETCH // 64)]
 #: Bits of the map of texts whose sets are compared.
 SLOTS = 1 << 24
 #: Bytes of texts that a task looks at together.
@@ -72,7 +76,7 @@ def sketches(value: np.ndarray, edge: np.ndarray) -> list[bytes]:
     """Parities of the shingles dealt to bits, over twice as many bits as shingles: two sketches differ in no more bits than their sets in members."""
     place, out = mix(value ^ U64(0x8BB84B93962EACC9)), []
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        bits = max(256, 1 << (2 * (b - a)).bit_length())
+        bits = max(SKETCH, 1 << (2 * (b - a)).bit_length())
         parity = np.bincount((place[a:b] & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
         out.append(np.packbits(parity.astype(np.uint8)).tobytes())
     return out
@@ -215,11 +219,21 @@ def ordered(one: str, two: str) -> list[Column]:
     return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
 
 
+def by_size(table: DataFrame, small: bool) -> DataFrame:
+    """A table under the hint to send it to all tasks, if its size was found small, or else to shuffle and merge."""
+    return F.broadcast(table) if small else table.hint("merge")
+
+
 def sets_meeting(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     """``pairs`` with ``value`` of both ends. An end with many pairs is met where they lie if its value is small, else under salted keys."""
+    few = is_small(pairs)
     for end in ("a", "b"):
         uses = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("_n"))
-        side = written(uses.join(table.select(F.col("fp").alias(end), F.col(value).alias(f"{end}_{value}")).hint("merge"), end))
+        side = written(by_size(uses, few).join(table.select(F.col("fp").alias(end), F.col(value).alias(f"{end}_{value}")), end))
+        if is_small(side):
+            met = pairs.join(F.broadcast(side.drop("_n")), end)
+            pairs = written(met) if end == "a" else met
+            continue
         number = pairs.count()
         size = F.octet_length(F.col(f"{end}_{value}") if value == "set" else F.col(f"{end}_{value}.sketch"))
         wide = (F.col("_n") > max(256, number // HOT_KEYS)) & (size > WIDE)
@@ -287,7 +301,7 @@ class Join:
         A set is 32 bits of each of its first shingles in the further orders, then the shingles themselves.
         """
         slot, size, similarity, levels = F.pmod(F.xxhash64("doc", "tag"), F.lit(SLOTS)), self.size, self.similarity, self.levels
-        named = written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(self.nodes.select("fp", "text.*").hint("merge"), "fp"))
+        named = written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().transform(by_size, is_small(pairs)).join(self.nodes.select("fp", "text.*"), "fp"))
         slots = np.zeros(SLOTS // 8, np.uint8)
         for r in named.groupBy(F.floor(slot / 32768).alias("part")).agg(F.bitmap_construct_agg(slot % 32768).alias("bits")).collect():  # 2 MB at most
             slots[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
@@ -306,7 +320,7 @@ class Join:
                     yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, b - a), batch.column("tag").slice(a, b - a), sets], ["doc", "tag", "set"])
 
         sets = self.texts.drop("id").withColumn("slot", slot).mapInArrow(full, "doc long, tag long, set binary")
-        return written(sets.join(named.hint("merge"), ["doc", "tag"]).select("fp", "set").dropDuplicates(["fp"]))
+        return written(sets.join(by_size(named, is_small(named)), ["doc", "tag"]).select("fp", "set").dropDuplicates(["fp"]))
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs that share first shingles in all orders and are of the similarity."""
@@ -366,13 +380,23 @@ def still_apart(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of buckets with several groups, with their ``root`` and that of the bucket's hub."""
 
     def make() -> DataFrame:
-        rooted = written(members.select("h", "at", "fp").join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+        rooted = written(members.select("h", "at", "fp").join(by_size(roots, is_small(roots)), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
         several = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", F.struct("at", "fp")).alias("hub_root")).filter("low <> high")
-        return rooted.join(several.select("h", "hub_root").hint("merge"), "h")
+        several = written(several.select("h", "hub_root"))
+        return rooted.join(by_size(several, is_small(several)), "h")
 
     return settled(members.sparkSession, make)
 
 
+def with_folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with ``SKETCH`` bits, as numbers, in place of their ``sketch``."""
+    for batch in batches:
+        folded = [np.bitwise_xor.reduce(np.frombuffer(x.as_buffer(), U64).reshape(-1, len(FOLDED)), axis=0) for x in batch.column("sketch")]
+        table = np.array(folded, U64).reshape(-1, len(FOLDED))
+        rest = [c for c in batch.schema.names if c != "sketch"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], *[pa.array(signed(np.ascontiguousarray(c))) for c in table.T]], [*rest, *FOLDED])
+
+
 def joined_roots(join: Join) -> DataFrame:
     """``fp`` and ``root`` of all sets that links join with another."""
     s = join.similarity
@@ -396,10 +420,17 @@ def joined_roots(join: Join) -> DataFrame:
         roots = roots_of(links)
         left = still_apart(left, roots)
 
-    # whoever is still apart meets all others of its buckets; hub rounds have bounded how many meet
-    side = lambda name: [F.col(c).alias(f"{name}_{c}") for c in ("fp", "at", "root")]
+    # whoever is still apart meets all others of its buckets; hub rounds have bounded how many meet, and sketches drop most of them inside the join
+    longs = lambda names: ", ".join(f"{c} long" for c in names)
+    own = ["h", "at", "fp", "root", "hub_root"]
+    sketched = left.select(*own).join(join.nodes.select("fp", "sketch").hint("merge"), "fp").select(*own, "sketch")
+    left = written(sketched.mapInArrow(with_folded, longs([*own, *FOLDED])))
+    side = lambda name: [F.col(c).alias(f"{name}_{c}") for c in ("fp", "at", "root", *FOLDED)]
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"one_{p}").bitwiseXOR(F.col(f"two_{p}"))) for p in FOLDED])
+    sizes = size_of("one_at") + size_of("two_at")
+    close = can_share("one_at", "two_at", s) & (differ <= sizes - 2 * shared_at_least(sizes, s))
     one, two = left.filter("root <> hub_root").select("h", *side("one")), left.select("h", *side("two"))
-    pairs = one.join(two.hint("merge"), "h").filter("one_root <> two_root").filter(can_share("one_at", "two_at", s))
+    pairs = one.join(two.hint("merge"), "h").filter("one_root <> two_root").filter(close)
     return roots_of(links.unionByName(join.links(pairs.select(*ordered("one_fp", "two_fp")))))
 
 
