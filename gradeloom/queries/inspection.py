@@ -13,11 +13,14 @@ SCORED = """WITH scored AS (SELECT *, CAST(round(CAST(color_score AS DECIMAL(9,4
  + CAST(shape_score AS DECIMAL(9,4)) * CAST(0.15 AS DECIMAL(5,4)) + CAST(size_score AS DECIMAL(9,4)) * CAST(0.10 AS DECIMAL(5,4)) + CAST(defect_score AS DECIMAL(9,4)) * CAST(0.15 AS DECIMAL(5,4)), 1) AS DOUBLE) AS score FROM inspections),
  graded AS (SELECT *, CASE WHEN severity = 'severe' THEN 'C' WHEN score >= 85 THEN 'A' WHEN score >= 65 THEN 'B' ELSE 'C' END AS grade,
  CASE WHEN severity = 'severe' THEN 'severe defect: ' || defect_type ELSE 'weighted score ' || printf('%.1f', score) END AS reason FROM scored) """
-STATS = ", ".join(f"round(avg({c}), 1) AS mean_{c}" for c in ins.SCORES)
-BATCH = f"""stats AS (SELECT batch_id, count(*) AS total, round(avg(score), 1) AS mean_score, round(avg(processing_time), 1) AS mean_time, {STATS},
+#: Means and percentages to one place by whole numbers (of ten-thousandths), halves away from zero.
+UNITS = "sum(CAST(CAST({c} AS DECIMAL(18,4)) * 10000 AS BIGINT))"
+MEAN = f"sign({UNITS}) * ((20 * abs({UNITS}) + 10000 * count({{c}})) // (20000 * count({{c}})))::DOUBLE / 10"
+SHARE = "((2000 * count(*) FILTER (grade = '{g}') + count(*)) // (2 * count(*)))::DOUBLE / 10"
+STATS = ", ".join(f"{MEAN.format(c=c)} AS mean_{c}" for c in ins.SCORES)
+BATCH = f"""stats AS (SELECT batch_id, count(*) AS total, {MEAN.format(c='score')} AS mean_score, {MEAN.format(c='processing_time')} AS mean_time, {STATS},
  count(*) FILTER (grade = 'A') AS n_a, count(*) FILTER (grade = 'B') AS n_b, count(*) FILTER (grade = 'C') AS n_c,
- round(100.0::DOUBLE * count(*) FILTER (grade = 'A') / count(*), 1) AS pct_a, round(100.0::DOUBLE * count(*) FILTER (grade = 'B') / count(*), 1) AS pct_b,
- round(100.0::DOUBLE * count(*) FILTER (grade = 'C') / count(*), 1) AS pct_c FROM graded GROUP BY batch_id)"""
+ {', '.join(f"{SHARE.format(g=g.upper())} AS pct_{g}" for g in 'abc')} FROM graded GROUP BY batch_id)"""
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
