@@ -6,7 +6,9 @@ image meet in equi joins on the image; greedy rules run as rounds of joins over
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -226,21 +228,32 @@ def reading_order(df: DataFrame) -> DataFrame:
     """``image, box, line, place``: lines from top to bottom, boxes from left to right in a line.
 
     A new line starts when a centre lies further from the median of the line so far than ``max(12, 0.75 * median height)``.
-    The rule is a scan over the boxes of one image, so an image is one group.
+    The rule is a scan over the boxes of one image from top to bottom; a task takes many images one after another and holds the line it is at.
     """
-
-    def scan(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.assign(cy=(part.y1 + part.y2) / 2, cx=(part.x1 + part.x2) / 2).sort_values(["cy", "cx", "box"])
-        reach, line, first, lines = max(12.0, 0.75 * float((part.y2 - part.y1).median())), 0, 0, []
-        heights = part.cy.tolist()  # ascending, so that the median of a line is in its middle
-        for n, cy in enumerate(heights):
-            if n > first and abs(cy - (heights[(first + n - 1) // 2] + heights[(first + n) // 2]) / 2) > reach:
-                line, first = line + 1, n
-            lines.append(line)
-        part = part.assign(line=lines).sort_values(["line", "cx", "box"])
-        return part.assign(place=range(1, len(part) + 1))[["image", "box", "line", "place"]]
-
-    return df.select("image", "box", *[F.col(c).cast("double").alias(c) for c in CORNERS]).groupBy("image").applyInPandas(scan, "image long, box long, line long, place long")
+    own = df.select("image", "box", *[F.col(c).cast("double").alias(c) for c in CORNERS])
+    high = own.groupBy(F.col("image").alias("_image")).agg(F.greatest(F.lit(12.0), 0.75 * F.percentile(F.col("y2") - F.col("y1"), F.lit(0.5))).alias("reach"))
+    rows = own.select("image", "box", ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"))
+    rows = rows.join(high.hint("merge"), F.col("image").eqNullSafe(F.col("_image"))).select("image", "box", "cx", "cy", "reach")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, line, current = None, 0, []  # ``current``: the centres of the line so far, ascending, so that their median is in the middle
+        for batch in batches:
+            lines = []
+            for image, cy, reach in zip(*[batch.column(c).to_pylist() for c in ("image", "cy", "reach")], strict=True):
+                if now != (image,):
+                    now, line, current = (image,), 0, []
+                n = len(current)
+                if n and abs(cy - (current[(n - 1) // 2] + current[n // 2]) / 2) > reach:
+                    line, current = line + 1, []
+                current.append(cy)
+                lines.append(line)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("image", "box", "cx")], pa.array(lines, pa.int64())], ["image", "box", "cx", "line"])
+
+    ordered = rows.repartition("image").sortWithinPartitions("image", "cy", "cx", "box")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("image", "box", "cx"))
+    lined = ordered.mapInArrow(scan, f"{kinds}, line long")
+    place = F.row_number().over(Window.partitionBy("image").orderBy("line", "cx", "box")).cast("long")
+    return lined.select("image", "box", "line", place.alias("place"))
 
 
 def coverage(found: DataFrame, truth: DataFrame) -> DataFrame:

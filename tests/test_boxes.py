@@ -1,6 +1,7 @@
 """Greedy box rules against plain loops over one image at a time."""
 
 import random
+import statistics
 
 from gradeloom.operators import boxes as bx
 
@@ -88,3 +89,24 @@ def test_many_boxes_make_few_candidates(spark):
     rows = spark.range(side * side).selectExpr("0L AS image", "id AS box", f"id % {side} * 10 AS x1", f"floor(id / {side}) * 10 AS y1").selectExpr("*", "x1 + 12 AS x2", "y1 + 12 AS y2")
     found = bx.overlaps(rows, rows)
     assert found.count() == side * side + 4 * side * (side - 1) + 4 * (side - 1) ** 2
+
+
+def test_reading_order_of_many_images(spark):
+    """Images follow one another in a task: lines and their medians start anew, and no image costs a call of its own."""
+    rng, rows = random.Random(3), []
+    for k in range(600):
+        x, y, high = rng.randrange(100), rng.randrange(90), rng.choice([8, 20, 31])
+        rows.append((rng.randrange(40), k, x, y, x + 10, y + high))
+    want = {}
+    for image in range(40):
+        part = sorted(((y1 + y2) / 2, (x1 + x2) / 2, box, y2 - y1) for i, box, x1, y1, x2, y2 in rows if i == image)
+        reach, line, current, out = max(12.0, 0.75 * statistics.median(p[3] for p in part)), 0, [], []
+        for cy, cx, box, _ in part:
+            if current and abs(cy - statistics.median(current)) > reach:
+                line, current = line + 1, []
+            current.append(cy)
+            out.append((line, cx, box))
+        want |= {(image, box): (line, place) for place, (line, _, box) in enumerate(sorted(out), 1)}
+    found = bx.reading_order(spark.createDataFrame(rows, "image long, box long, x1 long, y1 long, x2 long, y2 long"))
+    assert {(r.image, r.box): (r.line, r.place) for r in found.collect()} == want
+    assert "InPandas" not in found._jdf.queryExecution().executedPlan().toString()
