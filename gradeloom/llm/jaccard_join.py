@@ -248,9 +248,9 @@ def sets_meeting(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
 
 
 class Join:
-    """The tables of one join and the steps over them."""
+    """The tables of one join and the steps over them. ``code`` gives each set a number of 64 bits, which the table of sets then has."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> None:
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float, code: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> None:
         self.spark, self.size, self.similarity = docs.sparkSession, size, similarity
         small_batches(self.spark)
         kind = docs.schema[id_col].dataType.simpleString()
@@ -269,10 +269,12 @@ class Join:
                     new = np.array([not (x in seen or seen.add(x)) for x in fp.tolist()], bool)
                     lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(signed(first)))
                     take = pa.array(np.where(new, np.arange(b - a), -1), mask=~new)
-                    yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in ("doc", "tag", "id")], pa.array(fp), pa.array(np.diff(edge)), lists.take(take), pa.array(sketches(value, edge), pa.binary()).take(take)], ["doc", "tag", "id", "fp", "size", "first", "sketch"])
+                    codes = [] if code is None else [pa.array(signed(code(value, edge)))]
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in ("doc", "tag", "id")], pa.array(fp), pa.array(np.diff(edge)), lists.take(take), pa.array(sketches(value, edge), pa.binary()).take(take), *codes], ["doc", "tag", "id", "fp", "size", "first", "sketch", *coded])
 
-        wide = written(self.texts.mapInArrow(mark, f"doc long, tag long, id {kind}, fp long, size long, first array<long>, sketch binary"))
-        nodes = wide.groupBy("fp").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("smallest"), F.min(F.struct("doc", "tag")).alias("text"), F.first("size").alias("size"), F.first("sketch", ignorenulls=True).alias("sketch"))
+        coded = [] if code is None else ["code"]
+        wide = written(self.texts.mapInArrow(mark, f"doc long, tag long, id {kind}, fp long, size long, first array<long>, sketch binary{''.join(f', {c} long' for c in coded)}"))
+        nodes = wide.groupBy("fp").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("smallest"), F.min(F.struct("doc", "tag")).alias("text"), F.first("size").alias("size"), F.first("sketch", ignorenulls=True).alias("sketch"), *[F.first(c).alias(c) for c in coded])
         self.nodes = written(nodes)
         self.members = self.bucket_members(wide)
         self.marked = written(wide.select("doc", "tag", "id", "fp", "size"))
@@ -380,7 +382,7 @@ def still_apart(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of buckets with several groups, with their ``root`` and that of the bucket's hub."""
 
     def make() -> DataFrame:
-        rooted = written(members.select("h", "at", "fp").join(by_size(roots, is_small(roots)), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+        rooted = written(members.join(by_size(roots, is_small(roots)), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
         several = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", F.struct("at", "fp")).alias("hub_root")).filter("low <> high")
         several = written(several.select("h", "hub_root"))
         return rooted.join(by_size(several, is_small(several)), "h")
@@ -397,15 +399,17 @@ def with_folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], *[pa.array(signed(np.ascontiguousarray(c))) for c in table.T]], [*rest, *FOLDED])
 
 
-def joined_roots(join: Join) -> DataFrame:
-    """``fp`` and ``root`` of all sets that links join with another."""
+def joined_roots(join: Join, known: DataFrame | None = None) -> DataFrame:
+    """``fp`` and ``root`` of all sets that links join with another. Sets that ``known`` links ``a, b`` of the similarity join need not meet."""
     s = join.similarity
     roots_of = lambda links: settled(join.spark, lambda: connected_components(links).select(F.col("node").alias("fp"), "root"))
     buckets = join.members
-    links = join.links(buckets.filter("fp <> hub").filter(can_share("at", "hub_at", s)).select(*ordered("fp", "hub")))
+    apart = buckets.filter("fp <> hub") if known is None else still_apart(buckets, roots_of(known)).filter("root <> hub_root")
+    links = join.links(apart.filter(can_share("at", "hub_at", s)).select(*ordered("fp", "hub")))
+    links = links if known is None else links.unionByName(known)
     roots = roots_of(links)
 
-    left, before = still_apart(buckets, roots), None
+    left, before = still_apart(buckets.select("h", "at", "fp"), roots), None
     for turn in range(HUB_ROUNDS):
         rows, meetings = left.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("root") != F.col("hub_root")).alias("apart")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("apart")), F.lit(0))).first()
         if rows == 0:
@@ -418,7 +422,7 @@ def joined_roots(join: Join) -> DataFrame:
         met = left.join(hubs.select("h", "further.*").hint("merge"), "h").filter("root <> its_root").filter(can_share("at", "hub_at", s))
         links = links.unionByName(join.links(met.select(*ordered("fp", "hub"))))
         roots = roots_of(links)
-        left = still_apart(left, roots)
+        left = still_apart(left.select("h", "at", "fp"), roots)
 
     # whoever is still apart meets all others of its buckets; hub rounds have bounded how many meet, and sketches drop most of them inside the join
     longs = lambda names: ", ".join(f"{c} long" for c in names)
@@ -434,23 +438,12 @@ def joined_roots(join: Join) -> DataFrame:
     return roots_of(links.unionByName(join.links(pairs.select(*ordered("one_fp", "two_fp")))))
 
 
-def with_roots(join: Join) -> DataFrame:
+def with_roots(join: Join, known: DataFrame | None = None) -> DataFrame:
     """All sets ``fp`` with their ``root``; ``_n`` rows have the set, ``smallest`` is their least id."""
-    roots = joined_roots(join)
+    roots = joined_roots(join, known)
     return written(join.nodes.select("fp", "_n", "smallest", "size").join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
 
 
-def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:
-    """``doc`` (the id) and ``key`` (hashes of id and text) of each text, with the ``root`` of its group.
-
-    A link joins two texts whose sets of shingles have this Jaccard similarity or more; no such pair is
-    missed at any size. Sets alike are one node, that of texts without words too.
-    """
-    join = Join(docs, id_col, text_col, size, similarity)
-    rooted = with_roots(join).select("fp", "_n", "root")
-    return look_up(join.marked.select("doc", "tag", "id", "fp"), rooted, "fp", join.rows).select(F.col("id").alias("doc"), F.struct("doc", "tag").alias("key"), "root")
-
-
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row for each document: its id, ``n_shingles`` (different word shingles) and ``component_id``.
 

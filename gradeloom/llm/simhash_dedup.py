@@ -6,6 +6,10 @@ number of blocks follows from the number of different fingerprints, such that ch
 few; whatever it is, no close pair is missed. Fingerprints alike are one node from the start. In a
 bucket the pairs are verified, but only links that join something new are kept, at most one fewer
 than members.
+
+Where the similarity of the texts' sets of shingles decides (``similar_groups``), the blocks give the candidates and the
+sets are compared. Pairs of the similarity whose fingerprints are farther apart are found by the join of
+``jaccard_join``, in which texts that the blocks have joined need not meet again.
 """
 
 from __future__ import annotations
@@ -19,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.jaccard_join import keyed, similar_groups
-from gradeloom.llm.tokens import U64
+from gradeloom.llm.jaccard_join import Join, keyed, ordered, with_roots
+from gradeloom.llm.tokens import U64, mix
 from gradeloom.operators.components import connected_components
 from gradeloom.operators.hot_keys import look_up
 from gradeloom.plans.columns import packed, unpacked
@@ -155,6 +159,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return look_up(marked, labels, "fp", rows).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def set_fingerprints(value: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """The SimHash of each set of shingle hashes: a bit is set if it is in over half of them; 0 for a set without any."""
+    bits = np.unpackbits(mix(value).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    number = np.diff(edge)
+    out, some = np.zeros(len(number), U64), number > 0
+    if some.any():
+        ones = np.add.reduceat(bits, edge[:-1][some], axis=0, dtype=np.int32)
+        out[some] = np.packbits(2 * ones > number[some, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
+def block_links(join: Join, distance: int = 4) -> DataFrame:
+    """Links ``a, b`` between sets of the join's similarity that SimHash blocks bring together: equal fingerprints, and those that differ in ``distance`` bits or fewer."""
+    sets = join.nodes.filter("size > 0").select("fp", "code")
+    codes = written(sets.groupBy("code").agg(F.min("fp").alias("first"), F.count(F.lit(1)).alias("_n")))
+    alike = look_up(sets, codes, "code", join.sets).filter("fp <> first").select(*ordered("fp", "first"))
+    near = written(close_pairs(codes.select(F.col("code").alias("fp")), codes.count(), distance))
+    for end in ("a", "b"):
+        near = near.join(codes.select(F.col("code").alias(end), F.col("first").alias(f"{end}_first")).hint("merge"), end)
+    return join.links(alike.unionByName(near.select(*ordered("a_first", "b_first"))))
+
+
+def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:
+    """``doc`` (the id) and ``key`` (hashes of id and text) of each text, with the ``root`` of its group.
+
+    A link joins two texts whose sets of shingles have this Jaccard similarity or more: those that SimHash blocks bring together
+    first, then what is farther apart by the join over first shingles, so no such pair is missed at any size. Sets alike are one node, that of texts without words too.
+    """
+    join = Join(docs, id_col, text_col, size, similarity, set_fingerprints)
+    rooted = with_roots(join, block_links(join)).select("fp", "_n", "root")
+    return look_up(join.marked.select("doc", "tag", "id", "fp"), rooted, "fp", join.rows).select(F.col("id").alias("doc"), F.struct("doc", "tag").alias("key"), "root")
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """Keep one row of each group of texts that are alike at this similarity of word shingles: that of the smallest id.
 

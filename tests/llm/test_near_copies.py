@@ -74,3 +74,34 @@ def test_hubs_over_batches():
         for h, at, fp in rows.tolist():
             members.setdefault(h, set()).add((at, fp))
         assert got == sorted((h, at, fp, *min(m)) for h, m in members.items() if len(m) > 1 for at, fp in m)
+
+
+def test_simhash_blocks_give_links(spark, monkeypatch):
+    """The blocks' links are pairs of the similarity and reach whatever they should; what they have joined does not meet again in the join of the rest."""
+    from gradeloom.llm import jaccard_join as jj
+    from gradeloom.llm import simhash_dedup as sd
+
+    rng = random.Random(8)
+    texts = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(4000)}" for _ in range(150)]
+        copy = list(words)
+        copy[rng.choice([0, 1, 70])] = "other"
+        texts += [" ".join(words), " ".join(copy)]
+    texts += ["", "one two", " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    join = jj.Join(docs, "doc_id", "text", 5, 0.8, sd.set_fingerprints)
+    nodes = {r.fp: (r.smallest, r.code % 2**64) for r in join.nodes.collect()}
+    links = {tuple(sorted((nodes[r.a][0], nodes[r.b][0]))) for r in sd.block_links(join).collect()}
+    code = dict(nodes.values())
+    pairs = {(k, k + 1) for k in range(0, 80, 2)}  # the only ones of the similarity
+    assert links == {(a, b) for a, b in pairs if (code[a] ^ code[b]).bit_count() <= 4} and 10 < len(links) < 40
+
+    met, of_pairs = [], jj.Join.links
+    monkeypatch.setattr(jj.Join, "links", lambda self, pairs: met.append({(r.a, r.b) for r in pairs.collect()}) or of_pairs(self, pairs))
+    found = {}
+    for r in similar_groups(docs, "doc_id", "text", 5, 0.8).collect():
+        found.setdefault(r.root, set()).add(r.doc)
+    assert {frozenset(x) for x in found.values()} == brute(texts, 0.8)
+    own = lambda some: {tuple(sorted((nodes[a][0], nodes[b][0]))) for a, b in some}
+    assert links <= own(met[0]) and all(not links & own(later) for later in met[1:]) and len(met) > 1
