@@ -34,6 +34,21 @@ def duplicate_clusters(nodes: DataFrame, edges: DataFrame, node: str = "path") -
     return look_up(roots, placed, "root", roots.count()).select(F.col("node").alias(node), "root", F.col("cluster").cast("long").alias("cluster"))
 
 
+def every_cluster(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``path, root, cluster`` of every row of ``path, rep``: the component that its representative is in, alone or with others.
+
+    ``roots`` has ``node, root`` of the representatives that a link ties to another. Components are numbered from 1 by their root, by ranges of roots.
+    """
+    members = written(members)
+    reps = written(members.groupBy("rep").agg(F.count(F.lit(1)).alias("_n")))
+    of = roots.select(F.col("node").alias("rep"), "root")
+    reps = written(reps.join(of.hint("merge"), "rep", "left").withColumn("root", F.coalesce("root", "rep")))
+    sizes = reps.groupBy("root").agg(F.count(F.lit(1)).alias("_m"))
+    placed = written(numbered(sizes.withColumn("_all", F.lit(0)), "_all", [F.col("root")], "cluster").drop("_all"))
+    known = written(look_up(reps, placed, "root", reps.count(), count="_m"))
+    return look_up(members, known, "rep", members.count()).select("path", "root", F.col("cluster").cast("long").alias("cluster"))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``root`` (the smallest node of its component) of every node that an edge names.
 
